@@ -104,7 +104,7 @@ def digest(formatted: DataFrame) -> DataFrame:
 def op2(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return digest(format_conversations(rows))
 

@@ -59,6 +59,18 @@ def hashed(seed: str, *cols) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 12)
 
 
+def thinned(rows: DataFrame, column: str, expected: int, seed: str, key: str) -> Column:
+    """A condition that keeps, of each value of column, all rows or about `expected` of them, chosen by hash of the key.
+
+    column is a label with few values; only their counts reach the driver.
+    """
+    counts = rows.groupBy(column).count().collect()
+    share = F.lit(0.0)
+    for r in counts:
+        share = F.when(F.col(column).eqNullSafe(F.lit(r[column])), F.lit(min(1.0, expected / r["count"]))).otherwise(share)
+    return hashed(seed, key) / float(1 << 52) < share
+
+
 def ranked(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
     """Adds the 0-based rank of each row inside its (never null) keys by the random long `order` of hashed().
 

@@ -10,11 +10,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesops import buffer_of, pieces, words
-from .common import arrow_map, hashed, stored
+from .common import arrow_map, thinned
 
 #: Documents of each language that a model is fitted on, whole texts; the others are not needed for stable counts.
 SAMPLE_PER_LANGUAGE = 2000
@@ -67,9 +67,8 @@ def letters(data: np.ndarray, at: np.ndarray) -> tuple:
     is_letter = script >= 0
     # reuse words() on a 0/1 array so that row borders split words
     starts, ends, rows = words(is_letter.view(np.uint8), at, np.arange(256) > 0)
+    # reduceat runs on to the next word; what lies between is -1 and cannot win
     of_word = np.maximum.reduceat(script, starts) if len(starts) else np.zeros(0, np.int8)
-    if len(starts):  # reduceat runs on to the next word; what lies between is -1 and cannot win
-        pass
     codes = np.full(len(data) + 2 + max(ORDERS), 32, np.uint32)
     codes[1 : len(data) + 1] = np.where(is_letter, data, 32)
     return starts, ends, rows, of_word, codes
@@ -157,14 +156,12 @@ class Model:
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """A model of labelled(key, text, lang), on at most per_language documents of each language, chosen by hash of the key.
+    """A model of labelled(key, text, lang), on about per_language documents of each language, chosen by hash of the key.
 
     Null languages and texts teach nothing. The driver gets counts by language and bucket, whatever the corpus size.
     """
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(hashed("language", key), key)
-    picked = known.select(key, "lang", F.row_number().over(order).alias("_n")).where(F.col("_n") <= per_language).select(key).distinct()
-    sample = known.select(key, "text", "lang").join(picked, key, "left_semi").select("text", "lang")
+    known = labelled.where(F.col("lang").isNotNull())
+    sample = known.where(thinned(known, "lang", per_language, "language", key)).select(F.coalesce("text", F.lit("")).alias("text"), "lang")
     cells = len(ORDERS) * BUCKETS + len(SCRIPTS)
 
     def count(batch):

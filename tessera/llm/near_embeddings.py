@@ -81,12 +81,15 @@ def _pairs(cols: dict, lines: Lines) -> tuple[np.ndarray, list, list]:
         unit = np.stack([np.frombuffer(v, np.float32) for v in cols["vec"][s : s + n]]).astype(np.float64)
         unit /= np.sqrt((unit * unit).sum(axis=1))[:, None]
         h = (unit @ lines.counts).astype(np.float32)
-        earlier = lines.cells(unit)[:, : group[s]]
+        earlier = None
         label = np.arange(n)
         for i in range(0, n, 512):  # rows of a block against all later ones: memory stays bounded
-            hits = np.zeros((min(512, n - i), n - i), np.uint8)
-            for line in range(h.shape[1]):
-                hits += np.abs(h[i : i + 512, line, None] - h[None, i:, line]) <= lines.width
+            if n <= 128:
+                hits = (np.abs(h[:, None] - h[None]) <= lines.width).sum(axis=2, dtype=np.uint8)
+            else:
+                hits = np.zeros((min(512, n - i), n - i), np.uint8)
+                for line in range(h.shape[1]):
+                    hits += np.abs(h[i : i + 512, line, None] - h[None, i:, line]) <= lines.width
             x, y = np.nonzero(hits >= lines.least)
             x, y = x[y > x] + i, y[y > x] + i
             if not len(x):
@@ -109,6 +112,7 @@ def _pairs(cols: dict, lines: Lines) -> tuple[np.ndarray, list, list]:
                 if (new == label).all():
                     break
                 label = new
+            earlier = lines.cells(unit)[:, : group[s]] if earlier is None else earlier
             fresh = np.concatenate([~(earlier[x[j : j + 100_000]] == earlier[y[j : j + 100_000]]).any(axis=1) for j in range(0, len(x), 100_000)])
             np.add.at(links, s + x[fresh], copies[y[fresh]])
             np.add.at(links, s + y[fresh], copies[x[fresh]])

@@ -121,7 +121,9 @@ def shard(rows: DataFrame, by: list[str], shards: int = SHARDS, seed: str = "shu
     depth = min(MOST_DEPTH, max(0, (max(n, 1) // block_rows).bit_length()))
     made = rows.withColumns({"_b": F.shiftright(hashed(f"{seed}/block", *by), 52 - depth).cast("int") if depth else F.lit(0), "_r1": hashed(f"{seed}/first", *by), "_r2": hashed(f"{seed}/second", *by)})
     dealt = matrix(made.groupBy(F.col("_b").alias("block")).agg(F.count("*").alias("n")), depth, shards, seed)
-    placed = ranked(made, ["_b"], "_r1", "_p").join(dealt.withColumnRenamed("block", "_b"), "_b")
+    dealt = dealt.withColumnRenamed("block", "_b")
+    small = (1 << depth) * shards <= 1 << 20  # 8 MB of longs
+    placed = ranked(made, ["_b"], "_r1", "_p").join(F.broadcast(dealt) if small else dealt, "_b")
     placed = placed.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("_p"))).cast("int")).drop("ends", "_p", "_b", "_r1")
     return ranked(stored(placed), ["shard"], "_r2", "slot").drop("_r2")
 
