@@ -1,4 +1,5 @@
 """All registered queries and the SQL that states their results."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

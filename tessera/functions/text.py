@@ -72,6 +72,7 @@ def _number(text: Column) -> Column:
 
 def article(label: Column) -> tuple[Column, Column]:
     """Article number and suffix of 第N條之M, 第N-M條 or 第N條, in this order."""
+    label = digits_normalised(label)
     of = lambda p, i: _number(F.regexp_extract(label, p, i))
     after, dash, plain = f"第\\s*({NUMBER})\\s*條之\\s*({NUMBER})", f"第\\s*({NUMBER})\\s*[-－]\\s*({NUMBER})\\s*條", f"第\\s*({NUMBER})\\s*條"
     return F.coalesce(of(after, 1), of(dash, 1), of(plain, 1)), F.coalesce(of(after, 2), of(dash, 2))
