@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,18 @@ def hashed(seed: str, *cols) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 12)
 
 
+def shared(spark: SparkSession, value) -> Callable:
+    """A function that gives value in tasks: broadcast, with its class travelling by value, and unpacked once a worker."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get():
+        if not hasattr(packed, "_unpacked"):
+            packed._unpacked = pickle.loads(packed.value)
+        return packed._unpacked
+
+    return get
+
+
 def thinned(rows: DataFrame, column: str, expected: int, seed: str, key: str) -> Column:
     """A condition that keeps, of each value of column, all rows or about `expected` of them, chosen by hash of the key.
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesops import ASCII_LOWER, buffer_of, pieces, prefix_hashes, span_hashes, words
+from .common import shared
 
 WINDOW = 10
 WORDS_A_PASS = 200_000
@@ -166,9 +167,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     schema = out.schema
     arrow = to_arrow_schema(schema)
     for auto in automata(benchmark, window):
-        shared = docs.sparkSession.sparkContext.broadcast(auto)
+        given = shared(docs.sparkSession, auto)
 
-        def run(batches, shared=shared):
+        def run(batches, given=given):
             for batch in batches:
                 column, n = batch.column("text"), batch.num_rows
                 data, at = buffer_of(column)
@@ -180,7 +181,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
                     rows = tokens[2]
                     n_words[i:j] = np.diff(rows)
                     hit, found = np.zeros(len(tokens[0]), bool), {}
-                    _scan(shared.value, part, here, hit, tokens, found)
+                    _scan(given(), part, here, hit, tokens, found)
                     for r, names in found.items():
                         if names:
                             mine = hit[rows[r] : rows[r + 1]]
@@ -206,7 +207,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     out, schema = docs, docs.schema
     arrow = to_arrow_schema(schema)
     for auto in automata(benchmark, window):
-        shared = docs.sparkSession.sparkContext.broadcast(auto)
+        given = shared(docs.sparkSession, auto)
 
         def cut(raw: bytes, auto: Automaton) -> bytes | None:
             total = 0
@@ -230,7 +231,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
                     done = tokens[1][e - 1]
                 raw = b"\n".join([*keep, raw[done:]])
 
-        def run(batches, shared=shared):
+        def run(batches, given=given):
             for batch in batches:
                 column = batch.column("text")
                 data, at = buffer_of(column)
@@ -239,11 +240,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
                     part, here = ASCII_LOWER[data[at[i] : at[j]]], at[i : j + 1] - at[i]
                     tokens = words(part, here, WORD_BYTES)
                     hit, found = np.zeros(len(tokens[0]), bool), {}
-                    _scan(shared.value, part, here, hit, tokens, found)
+                    _scan(given(), part, here, hit, tokens, found)
                     for r, names in found.items():
                         if names:
                             texts = column.to_pylist() if texts is None else texts
-                            got = cut(texts[i + r].encode(), shared.value)
+                            got = cut(texts[i + r].encode(), given())
                             stay[i + r] = got is not None
                             texts[i + r] = got.decode() if got is not None else None
                 if texts is not None:

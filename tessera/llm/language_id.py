@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesops import buffer_of, pieces, words
-from .common import arrow_map, thinned
+from .common import arrow_map, shared, thinned
 
 #: Documents of each language that a model is fitted on, whole texts; the others are not needed for stable counts.
 SAMPLE_PER_LANGUAGE = 2000
@@ -203,13 +203,13 @@ def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     docs = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score", "lang_spans")])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    given = shared(docs.sparkSession, model)
     extra = {"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)} | ({"lang_spans": F.array().cast("array<struct<words:int,lang:string>>")} if spans else {})
     schema = docs.limit(0).withColumns(extra).schema
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        model = shared.value
+        model = given()
         names = np.array([*model.langs, UNKNOWN], dtype=object)
         for batch in batches:
             data, at = buffer_of(pc.utf8_lower(batch.column(batch.schema.get_field_index("text"))))
