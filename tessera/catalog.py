@@ -1,5 +1,6 @@
 """All registered queries and the SQL that states their results."""
 
+from .plans import structure
 from .plans.queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "structure"]

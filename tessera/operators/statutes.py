@@ -89,3 +89,53 @@ def node_id(law: Column, *labels: Column) -> Column:
     """Law and the numbers of the labels below it, joined by hyphens, 0 where there is none."""
     number = lambda c: F.when(F.regexp_extract(c, "第\\s*([^章節條\\s]+)", 1) != "", F.regexp_extract(c, "第\\s*([^章節條\\s]+)", 1)).otherwise("0")
     return F.concat_ws("-", law, *[F.coalesce(number(c), F.lit("0")) for c in labels])
+
+
+#: What stands in place of a repealed article.
+REPEALED = ("（刪除）", "(刪除)")
+
+
+def multi_level(nodes: DataFrame, deep: bool = True, whole_articles: bool = True) -> DataFrame:
+    """One chunk for the law and for every part of it: (doc_id, chunk_index, level, path, content, context).
+
+    A part's content is its own heading and text and those of all parts below it, in order. deep: also paragraphs and
+    below, with their article's own text as context. whole_articles: articles hold what is below them. Repealed articles
+    and the parts below them have no chunk of their own. A part meets its at most six parts above in one shuffle.
+    """
+    order = Window.partitionBy("doc_id").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
+    opened = nodes.where(F.col("kind") != "content").withColumns({f"_{k}": F.when(F.col(k).isNotNull(), F.last(F.when(F.col("kind") == k, F.col("node")), True).over(order)) for k in LEVELS})
+    own = F.concat_ws("\n", F.coalesce(*[F.col(k) for k in reversed(LEVELS)]), F.when(F.col("content") != "", F.col("content")))
+    article = F.last(F.when(F.col("kind") == "article", F.struct(own.alias("text"), F.trim("content").isin(*REPEALED).alias("gone"))), True).over(order)
+    opened = opened.withColumns({"own": own, "of": F.when(F.col("_article").isNotNull(), article)})
+    above = F.filter(F.array(F.lit(-1), *[F.col(f"_{k}") for k in LEVELS]), lambda a: a.isNotNull())
+    pieces = opened.select("doc_id", "node", "kind", "own", "_article", F.explode(above).alias("anchor"))
+    if not whole_articles:
+        pieces = pieces.where((F.col("kind").isin(*LEVELS[:3])) | ~F.col("anchor").eqNullSafe(F.col("_article")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "own"))), lambda p: p["own"]), "\n")
+    texts = pieces.groupBy("doc_id", "anchor").agg(text.alias("content"))
+    inner = F.col("kind").isin(*LEVELS[3:])
+    heads = opened.where(~F.coalesce(F.col("of.gone"), F.lit(False)) & (F.lit(deep) | ~inner))
+    heads = heads.select("doc_id", F.col("node").alias("anchor"), F.col("kind").alias("level"), F.concat_ws("/", *LEVELS).alias("path"), F.when(inner, F.col("of.text")).alias("context"))
+    laws = nodes.select("doc_id").distinct().select("doc_id", F.lit(-1).alias("anchor"), F.lit("law").alias("level"), F.lit("").alias("path"), F.lit(None).cast("string").alias("context"))
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("anchor")) - 1
+    return heads.unionByName(laws).join(texts, ["doc_id", "anchor"]).select("doc_id", index.alias("chunk_index"), "level", "path", "content", "context")
+
+
+#: Words in a label that weigh an article, and by how much.
+WEIGHTS = (
+    ("chapter", "總則|第一章|通則", 1.5),
+    ("article", "定義|用詞|釋義", 1.3),
+    ("chapter", "罰", 1.2),
+    ("chapter", "施行|程序|流程", 0.8),
+    ("chapter", "附", 0.7),
+    ("section", "通則", 1.2),
+)
+
+
+def importance(chapter: Column, section: Column, article: Column) -> Column:
+    """Weight of an article by its labels: the product of all the weights that apply."""
+    labels = {"chapter": chapter, "section": section, "article": article}
+    product = F.lit(1.0)
+    for label, pattern, weight in WEIGHTS:
+        product = product * F.when(labels[label].rlike(pattern), weight).otherwise(1.0)
+    return F.round(product, 2)
