@@ -17,6 +17,19 @@ GROUPS = {
     "structure_only": ("document", "document_component", "basic_unit_hierarchy"),
     "content_only": ("basic_unit", "basic_unit_component", "enumeration"),
 }
+#: Weight of each retrieval strategy and the kinds of question it suits.
+RETRIEVERS = {
+    "vector_search": (1.0, ("conceptual", "case_based")),
+    "hybrid_rag": (1.2, ("normative", "explicit_article")),
+    "concept_graph": (1.5, ("conceptual", "comparative")),
+    "multi_modal": (1.3, ("comparative", "procedural")),
+    "hierarchical": (1.1, ("procedural", "normative")),
+    "semantic_search": (1.0, ("conceptual", "case_based")),
+}
+#: What a complex question of a kind takes in if one strategy alone suits it, and with what weight.
+COMPLEMENTS = {"conceptual": ("semantic_search", 0.8), "normative": ("hierarchical", 0.9)}
+KINDS = ("conceptual", "normative", "explicit_article", "comparative", "procedural", "case_based")
+COMPLEX = 0.7
 STRATEGIES = ("weighted_sum", "reciprocal_rank", "comb_sum", "comb_sum_true", "comb_anz", "comb_mnz")
 
 
@@ -46,6 +59,38 @@ def fuse(results: DataFrame, strategy: str, least: float = 0.0, most: int = 0) -
     return (ranked.where(F.col("rank") <= most) if most else ranked).withColumn("score", F.round("score", 6))
 
 
+def routes(available: tuple[str, ...], kind: str, hard: bool) -> dict[str, float]:
+    """Weights of the strategies that a question takes: those that suit its kind, else a default one."""
+    if unknown := set(available) - set(RETRIEVERS):
+        raise ValueError(f"unknown strategies {sorted(unknown)}")
+    taken = {name: w for name, (w, kinds) in RETRIEVERS.items() if name in available and kind in kinds}
+    taken = taken or {"hybrid_rag" if "hybrid_rag" in available else "vector_search": 1.0}
+    extra, w = COMPLEMENTS.get(kind, ("", 0.0))
+    return taken | {extra: w} if hard and len(taken) == 1 and extra in available and extra not in taken else taken
+
+
+def adaptive(queries: DataFrame, results: DataFrame, available: tuple[str, ...]) -> DataFrame:
+    """Fused results of the strategies that each question's kind and complexity call for: (query_id, result_id, score, strategies, rank).
+
+    queries(query_id, kind, complexity, articles) and results(query_id, strategy, result_id, content, score, by_concept). A
+    score is weighted by its strategy and counts 1.2 times where a conceptual question met a concept, 1.3 times where a
+    normative and 1.5 times where an explicit one is answered with an article it names. A result's score is the mean over its
+    strategies, times 1.1 where several of them found it for a complex question. Nothing is cut off; an unknown kind takes the
+    default strategy, a null complexity counts as simple. All routes are one table of at most 12 rows a strategy.
+    """
+    routed = [(kind, hard, name, w) for kind in ("", *KINDS) for hard in (False, True) for name, w in routes(available, kind, hard).items()]
+    table = F.broadcast(queries.sparkSession.createDataFrame(routed, "route string, hard boolean, strategy string, weight double"))
+    kind = F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise("")
+    asked = queries.select("query_id", kind.alias("route"), F.coalesce(F.col("complexity") > COMPLEX, F.lit(False)).alias("hard"), F.coalesce("articles", F.array().cast("array<string>")).alias("articles")).join(table, ["route", "hard"])
+    named = F.coalesce(F.exists("articles", lambda a: F.contains(F.col("content"), a)), F.lit(False))
+    factor = F.when((F.col("route") == "conceptual") & F.coalesce("by_concept", F.lit(False)), 1.2).when((F.col("route") == "normative") & named, 1.3).when((F.col("route") == "explicit_article") & named, 1.5).otherwise(1.0)
+    found = results.select("query_id", "strategy", "result_id", "content", "score", "by_concept").join(asked, ["query_id", "strategy"])
+    count = F.count_distinct("strategy")
+    one = found.groupBy("query_id", "result_id", "hard").agg(F.avg(F.col("score") * F.col("weight") * factor).alias("mean"), count.alias("strategies"))
+    scored = one.select("query_id", "result_id", F.round(F.col("mean") * F.when(F.col("hard") & (F.col("strategies") > 1), 1.1).otherwise(1.0), 6).alias("score"), "strategies")
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "result_id")))
+
+
 def group_levels(spark) -> DataFrame:
     values = ", ".join(f"('{g}', '{level}')" for g, ls in GROUPS.items() for level in ls)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(group_name, level)")

@@ -121,6 +121,22 @@ def multi_level(nodes: DataFrame, deep: bool = True, whole_articles: bool = True
     return heads.unionByName(laws).join(texts, ["doc_id", "anchor"]).select("doc_id", index.alias("chunk_index"), "level", "path", "content", "context")
 
 
+#: What tells that a short part already says what its article is about.
+MAIN_TEXT = ("本法.*?定義", "本法.*?規定", "本法.*?用詞", "應.*?申請", "得.*?辦理", "依.*?程序")
+SHORT = 200
+
+
+def six_levels(chunks: DataFrame) -> DataFrame:
+    """The chunks of multi_level with their granularity; a short item without main text follows its article's own text.
+
+    Adds level (document to enumeration; the kind of part stays as `part`), original (the content before) and in_context.
+    """
+    level = F.coalesce(*[F.when(F.col("level") == kind, name) for kind, name in GRANULARITY.items()], F.lit("basic_unit"))
+    alone = (F.col("level") == "item") & (F.length("content") < SHORT) & ~F.col("content").rlike("|".join(MAIN_TEXT)) & F.col("context").isNotNull()
+    text = F.when(alone, F.concat_ws("\n", "context", "content")).otherwise(F.col("content"))
+    return chunks.select("doc_id", "chunk_index", level.alias("level"), F.col("level").alias("part"), "path", text.alias("content"), F.col("content").alias("original"), F.coalesce(alone, F.lit(False)).alias("in_context"))
+
+
 #: Words in a label that weigh an article, and by how much.
 WEIGHTS = (
     ("chapter", "總則|第一章|通則", 1.5),
