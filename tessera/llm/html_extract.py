@@ -3,7 +3,8 @@
 Markup is stripped into lines, one per block element, in page order. A line weighs its text outside links; lines inside
 menus, headers, footers, sidebars, notices, adverts, forms or reader comments weigh nothing. Weights are summed over a
 sliding window of lines; text starts where the sum surges, ends where it dives to nothing, and every weighty line between
-is kept, short ones too.
+is kept, short ones too. A page may have many such stretches, and all of them are text. <article> and <main> only raise the
+weight of their lines: text outside them counts as on any other page.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ from .common import arrow_map
 
 #: Lines of a window; so many empty lines in a row are a dive.
 WINDOW = 3
-#: A stretch between surge and dive is text if its peak reaches this share of the page's highest.
-PEAK_SHARE = 0.2
 
 # HTML elements by their role (HTML Living Standard).
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -30,6 +29,8 @@ DROPPED = frozenset("script style noscript template head title svg math iframe o
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SIGNS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|site-head|footer|site-foot|cookies?|consent|gdpr|notice|notices|alert|popup|modal|newsletter|subscribe|subscription|signup|sign-up|login|share|sharing|social|comments?|commentlist|disqus|replies|respond|related|recommended|read-more|widget|pagination|pager|toolbar|skip-link|copyright|legal|disclaimer)(?:$|[\s_-])", re.I)
+#: An article is a reader comment or an advert only by a whole word of its class or id: themes put topics and settings there too (category-legal, comments-open).
+ASIDES = frozenset("ad ads advert adverts advertisement advertisements sponsor sponsored promo promos comment comments reply replies respond related recommended".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)>?|([^<]+|<)", re.S)
@@ -41,8 +42,10 @@ SPACE = re.compile(r"[\s​﻿]+")
 def _is_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in BOILERPLATE or tag == "header" and not in_article:
         return True
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body", "main"):
         return False
+    if tag == "article":
+        return any(name.lower() in ("class", "id") and not ASIDES.isdisjoint((a or b or c).lower().split()) for name, a, b, c, _ in ATTR.findall(attrs))
     for name, a, b, c, hidden in ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if hidden or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES or name in ("class", "id") and SIGNS.search(value) or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -57,7 +60,6 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     text: list[str] = []
     linked = [0, 0]  # characters in links, open links
     bad = article = False
-    saw_article = False
 
     def flush() -> None:
         nonlocal text
@@ -105,7 +107,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 stack.pop()
             stack.append((tag, bad, article))
             if tag in ("article", "main") and not bad:
-                article = saw_article = True
+                article = True
             bad = bad or _is_boilerplate(tag, m[3], article)
         else:
             if tag in BLOCKS:
@@ -120,24 +122,13 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 if tag not in BLOCKS and stack[k][0] in BLOCKS:  # a stray inline end tag closes no block
                     break
     flush()
-    if saw_article:
-        out = [(t, w if a else 0, a) for t, w, a in out]
     return out
 
 
 def main_text(page: str | None) -> str:
     """Null, empty and textless pages give an empty text."""
     got = lines(page or "")
-    weights = np.array([w for _, w, _ in got], np.int64)
-    if not weights.any():
-        return ""
-    sums = np.convolve(weights, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # sums[i]: lines i to i + WINDOW - 1
-    live = np.flatnonzero(sums > 0)
-    cuts = np.flatnonzero(np.diff(live) > 1)
-    stretches = [(live[a], live[b]) for a, b in zip(np.r_[0, cuts + 1], np.r_[cuts, len(live) - 1])]
-    peak = max(sums)
-    keep = [t for s, e in stretches if sums[s : e + 1].max() >= PEAK_SHARE * peak or any(got[i][2] for i in range(s, e + 1)) for (t, w, _) in got[s : min(len(got), e + WINDOW)] if w > 0] if stretches else []
-    return "\n".join(keep)
+    return "\n".join(t for t, w, _ in got if w > 0)
 
 
 def extract(pages: DataFrame) -> DataFrame:

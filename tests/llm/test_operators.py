@@ -318,6 +318,23 @@ def test_main_text(page, want):
     assert html_extract.main_text(page) == want
 
 
+BODY = "real text of the page " * 20
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div class=content><p>{BODY}</p></div><div><article class=card><p>Teaser.</p></article><article class=comment><p>First!</p></article></div>", [BODY.strip(), "Teaser."]),
+        ("<main><p>Start.</p></main><div><p>Text after a main closed early.</p></div>", ["Start.", "Text after a main closed early."]),
+        ("<article class='category-legal comments-open'><p>Themes put topics here.</p></article>", ["Themes put topics here."]),
+        (f"<p>{BODY * 5}</p><ul><li><a>a</a><li><a>b</a><li><a>c</a></ul><p>A short end.</p>", [(BODY * 5).strip(), "A short end."]),
+        (f"<p>Short.</p><div class=share>x</div><div class=ad>y</div><div class=ad>z</div><p>{BODY * 5}</p>", ["Short.", (BODY * 5).strip()]),
+    ],
+)
+def test_text_outside_articles_and_below_the_peak_stays(page, want):
+    assert html_extract.main_text(page).split("\n") == want
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x</p>", "extra"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in html_extract.extract(pages).collect()) == [("1", "x", 1), ("None", "", 0)]
