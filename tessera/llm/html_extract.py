@@ -1,10 +1,12 @@
 """Main-text extraction from HTML by line-block distribution.
 
-Markup is stripped into lines, one per block element, in page order. A line weighs its text outside links; lines inside
-menus, headers, footers, sidebars, notices, adverts, forms or reader comments weigh nothing. Weights are summed over a
-sliding window of lines; text starts where the sum surges, ends where it dives to nothing, and every weighty line between
-is kept, short ones too. A page may have many such stretches, and all of them are text. <article> and <main> only raise the
-weight of their lines: text outside them counts as on any other page.
+Markup is stripped into lines, one per block element, in page order. A line weighs its text outside links, with character
+references and white space resolved; in an <article> or <main> links weigh like other text. Lines inside menus, headers,
+footers, sidebars, notices, adverts, forms or reader comments weigh nothing and are never kept. Weights are summed over a
+sliding window of lines; text starts where the sum surges, ends where it dives to nothing, and every line between is kept,
+short ones and links too. A page may have many such stretches, and all of them are text. Link lines before a surge, or as many
+in a row as a window has, are menus. <article> and <main> only raise the weight of their lines: text outside them counts as on
+any other page.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map
 
-#: Lines of a window; so many empty lines in a row are a dive.
+#: Lines of a window; so many weightless lines in a row are a dive.
 WINDOW = 3
 
 # HTML elements by their role (HTML Living Standard).
@@ -53,23 +55,26 @@ def _is_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+def _resolved(text: list[str]) -> str:
+    return SPACE.sub(" ", html.unescape("".join(text))).strip()
+
+
 def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, in article) of every block line with text."""
+    """(text, weight, boilerplate) of every block line with text."""
     out: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate from here on, article from here on
     text: list[str] = []
-    linked = [0, 0]  # characters in links, open links
+    plain: list[str] = []  # the text, with a blank for what is in links
+    links = 0  # open links
     bad = article = False
 
     def flush() -> None:
-        nonlocal text
+        nonlocal text, plain
         if text:
-            joined = SPACE.sub(" ", html.unescape("".join(text))).strip()
+            joined = _resolved(text)
             if joined:
-                plain = len(joined) - linked[0]
-                out.append((joined, 0 if bad else len(joined) if article and plain > 0 else max(0, plain), article))
-            text = []
-        linked[0] = 0
+                out.append((joined, 0 if bad else len(joined) if article or text == plain else len(_resolved(plain)), bad))
+            text, plain = [], []
 
     pos, n = 0, len(page)
     while pos < n:
@@ -78,8 +83,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         tag = m[2]
         if m[4] is not None:
             text.append(m[4])
-            if linked[1]:
-                linked[0] += len(m[4])
+            plain.append(" " if links else m[4])
             continue
         if tag is None:
             continue
@@ -96,11 +100,12 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 continue
             if tag == "br":
                 text.append(" ")
+                plain.append(" ")
                 continue
             if tag in BLOCKS:
                 flush()
             if tag == "a":
-                linked[1] += 1
+                links += 1
             if tag in VOID or m[3].endswith("/"):
                 continue
             if tag == "p" and stack and stack[-1][0] == "p":
@@ -113,7 +118,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             if tag in BLOCKS:
                 flush()
             if tag == "a":
-                linked[1] = max(0, linked[1] - 1)
+                links = max(0, links - 1)
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     _, bad, article = stack[k]
@@ -128,7 +133,11 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str | None) -> str:
     """Null, empty and textless pages give an empty text."""
     got = lines(page or "")
-    return "\n".join(t for t, w, _ in got if w > 0)
+    live = [i for i, (_, w, _) in enumerate(got) if w > 0]
+    keep = live[:1]
+    for a, b in zip(live, live[1:]):
+        keep += range(a + 1 if b - a <= WINDOW else b, b + 1)
+    return "\n".join(got[i][0] for i in keep if not got[i][2])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -335,6 +335,21 @@ def test_text_outside_articles_and_below_the_peak_stays(page, want):
     assert html_extract.main_text(page).split("\n") == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>Mehr: <a>&Uuml;ber &ouml;ffentliche G&uuml;ter</a></p></article>", ["Mehr: Über öffentliche Güter"]),
+        ("<p>Mehr: <a>&Uuml;ber &ouml;ffentliche G&uuml;ter</a></p>", ["Mehr: Über öffentliche Güter"]),
+        ("<p>See <a>\n" + " " * 30 + "full report</a></p>", ["See full report"]),
+        ("<article><h2><a>Title</a></h2><p>One.</p><ol><li><a>r1</a><li><a>r2</a><li><a>r3</a><li><a>r4</a></ol></article>", ["Title", "One.", "r1", "r2", "r3", "r4"]),
+        ("<ul><li><a>menu</a></ul><p>One.</p><h2><a>Title</a></h2><div class=ad>buy</div><p>Two.</p><ul><li><a>menu</a></ul>", ["One.", "Title", "Two."]),
+        ("<ul><li><a>a</a> | <li><a>&nbsp;b</a></ul>", ["a |"]),
+    ],
+)
+def test_links_inside_text_stay(page, want):
+    assert html_extract.main_text(page).split("\n") == want
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x</p>", "extra"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in html_extract.extract(pages).collect()) == [("1", "x", 1), ("None", "", 0)]
