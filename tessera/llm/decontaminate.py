@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesops import ASCII_LOWER, buffer_of, pieces, prefix_hashes, span_hashes, words
-from .common import shared
+from .common import shared, stored
 
 WINDOW = 10
 WORDS_A_PASS = 200_000
@@ -160,14 +160,18 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
     Null text has no words. Columns of docs named like the new ones are replaced. An empty benchmark hits nothing.
     """
+    return _marked(docs, [shared(docs.sparkSession, auto) for auto in automata(benchmark, window)]).drop("text")
+
+
+def _marked(docs: DataFrame, passes: list) -> DataFrame:
+    """mark() with the text, over automata that are broadcast already."""
     keep = [c for c in docs.columns if c not in ("text", "n_words", "hits", "items")]
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = docs.select(*keep, "text").withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
     schema = out.schema
     arrow = to_arrow_schema(schema)
-    for auto in automata(benchmark, window):
-        given = shared(docs.sparkSession, auto)
+    for given in passes:
 
         def run(batches, given=given):
             for batch in batches:
@@ -194,20 +198,69 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
                 yield pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) for f in arrow], schema=arrow)
 
         out = out.mapInArrow(run, schema)
-    return out.drop("text")
+    return out
+
+
+def _without(raw: bytes, tokens: tuple, spans: list[int]) -> bytes:
+    """raw with a line break in the place of each span (start and end word, flat)."""
+    keep, done = [], 0
+    for s, e in zip(spans[::2], spans[1::2]):
+        keep.append(raw[done : tokens[0][s]])
+        done = tokens[1][e - 1]
+    return b"\n".join([*keep, raw[done:]])
+
+
+def _clean_in_rounds(docs: DataFrame, passes: list, coverage: float) -> DataFrame:
+    """clean() with several automata: a round marks by all of them, judges and cuts; what it cut goes to the next round."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    names = [c if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)]
+    chars = names[docs.columns.index("n_chars")] if "n_chars" in docs.columns else None
+    todo = docs.toDF(*names).withColumns({"_asked": F.lit(-1).cast("long"), "_cut": F.lit(0).cast("long"), "_open": F.lit(False)})
+    schema = todo.schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            texts, hits, n_words, asked, gone, size = (batch.column(c).to_pylist() for c in ("text", "hits", "n_words", "_asked", "_cut", chars or "_cut"))
+            stay, still = np.ones(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
+            for i, spans in enumerate(hits):
+                asked[i] = n_words[i] if asked[i] < 0 else asked[i]
+                if spans:
+                    gone[i] += sum(spans[1::2]) - sum(spans[::2])
+                    stay[i], still[i] = gone[i] <= coverage * asked[i], True
+                    if stay[i]:
+                        raw = texts[i].encode()
+                        texts[i] = _without(raw, words(ASCII_LOWER[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]), WORD_BYTES), spans).decode()
+                        size[i] = len(texts[i])
+            cols = {f.name: batch.column(f.name) for f in arrow if f.name in batch.schema.names} | ({chars: pa.array(size, pa.int64())} if chars else {})
+            cols |= {"text": pa.array(texts, pa.string()), "_asked": pa.array(asked, pa.int64()), "_cut": pa.array(gone, pa.int64()), "_open": pa.array(still)}
+            yield pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) for f in arrow], schema=arrow).filter(pa.array(stay))
+
+    done = None
+    while done is None or not todo.isEmpty():
+        got = stored(_marked(todo, passes).mapInArrow(run, schema))
+        settled = got.where("NOT _open")
+        done = settled if done is None else done.unionByName(settled)
+        todo = got.where("_open")
+    return done.select(*names).toDF(*docs.columns)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """docs without benchmark passages: hit spans are cut out of the text (a line break stays in their place), and a document
-    of which more than `coverage` of the words are hit goes as a whole. Cuts are repeated until nothing is hit. Untouched
-    documents stay as they are, null texts too; n_chars, where there is one, follows the text.
+    of which more than `coverage` of the words are hit, by whatever items, goes as a whole. Cuts are repeated until nothing is
+    hit. Untouched documents stay as they are, null texts too; n_chars, where there is one, follows the text. One automaton
+    does all rounds of a document in its task; with several, each round is written to the shared folder, and only documents
+    that it cut are read again.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    passes = [shared(docs.sparkSession, auto) for auto in automata(benchmark, window)]
+    if len(passes) > 1:
+        return _clean_in_rounds(docs, passes, coverage)
     out, schema = docs, docs.schema
     arrow = to_arrow_schema(schema)
-    for auto in automata(benchmark, window):
-        given = shared(docs.sparkSession, auto)
+    for given in passes:
 
         def cut(raw: bytes, auto: Automaton) -> bytes | None:
             total = 0
@@ -224,12 +277,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
                 total += int(hit.sum())
                 if total > coverage * n:
                     return None
-                edges = np.flatnonzero(np.diff(np.r_[False, hit, False]))
-                keep, done = [], 0
-                for s, e in zip(edges[::2], edges[1::2]):
-                    keep.append(raw[done : tokens[0][s]])
-                    done = tokens[1][e - 1]
-                raw = b"\n".join([*keep, raw[done:]])
+                raw = _without(raw, tokens, np.flatnonzero(np.diff(np.r_[False, hit, False])).tolist())
 
         def run(batches, given=given):
             for batch in batches:

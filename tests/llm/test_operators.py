@@ -126,6 +126,23 @@ def test_decontamination_in_several_passes(spark, monkeypatch):
     assert [r["text"].split() for r in decontaminate.clean(docs, items).where("doc_id = 0").collect()][0][:2] == ["before", "after"]
 
 
+def test_cleaning_does_not_depend_on_the_passes(spark, monkeypatch):
+    one, two = ([f"t{i}x{j}" for j in range(12)] for i in range(2))
+    rest = [f"own{i}" for i in range(30)]
+    texts = [one + two + rest[:6], one[:6] + two + one[6:] + rest, one[:5] + two[:6] + one + two[6:] + one[5:] + rest * 2, one + rest, rest, None, []]
+    items = spark.createDataFrame([(0, " ".join(one)), (1, " ".join(two))], "item_id long, text string")
+    rows = [(None if i == 3 else i, t if t is None else " ".join(t), 7, ["x"]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, hits array<string>")
+    once = sorted(map(str, decontaminate.clean(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "WORDS_A_PASS", 12)
+    left = decontaminate.clean(docs, items)
+    assert left.columns == docs.columns and sorted(map(str, left.collect())) == once
+    got = {r["doc_id"]: r for r in left.collect()}
+    assert set(got) == {1, 2, None, 4, 5, 6} and got[1]["text"].split() == rest and got[2]["text"].split() == rest * 2
+    assert got[1]["n_chars"] == len(got[1]["text"]) and got[4]["n_chars"] == 7 and got[5]["text"] is None
+    assert decontaminate.mark(left, items).where(F.size("hits") > 0).count() == 0
+
+
 # --- mixing ------------------------------------------------------------------------------------------------------------
 def fill(sizes, weights, cap=3):
     total, free, target = sum(sizes), set(range(len(sizes))), [0.0] * len(sizes)
