@@ -4,9 +4,10 @@ Unit vectors are projected on many random lines. Two vectors collide on a line i
 half-width around the other. A pair is verified by exact cosine if it collides on at least as many lines as a pair at
 the threshold does but for a chance of 1e-4 (binomial).
 
-Counting collisions of all pairs would be quadratic, so the lines are sorted in groups: K lines cut at zero order the
+Counting collisions of all pairs would be quadratic, so further lines come in groups: K lines cut at zero deal the
 vectors into cells, and only pairs that share the cell of one of T such groups have their collisions counted. K grows
-with log2 of the number of vectors; T is what the wanted recall at the threshold needs. Verified links are counted
+with log2 of the number of vectors. No two groups share a line, and T is raised until random pairs at the threshold, put
+through the lines that were drawn, meet as often as the wanted recall asks. Verified links are counted
 in the first group where a pair meets, so no pair is counted twice and no list of pairs is ever written.
 """
 
@@ -22,18 +23,20 @@ from pyspark.sql import functions as F
 from .common import components, split_hot, stored
 
 THRESHOLD, RECALL = 0.9, 0.999
-#: Vectors of a cell aimed at, lines whose signs make cells, lines whose windows are counted.
-CELL, SIGN_LINES, COUNT_LINES = 64, 128, 32
+#: Vectors of a cell aimed at, lines whose windows are counted.
+CELL, COUNT_LINES = 64, 32
+#: Random pairs at the threshold that the drawn lines are tried on.
+TRIALS = 20_000
 #: Half-width of a window in standard deviations of the projected distance at the threshold.
 WIDTH = 2.0
 HOT_CELL = 4096
 
 
 def tables_for(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
-    """(K, T): lines of a group, number of groups."""
+    """(K, T): lines of a group, number of groups that the recall needs if they are independent."""
     k = min(40, max(4, ceil(log2(max(n, 2) / CELL))))
     p = (1 - acos(threshold) / pi) ** k
-    return k, max(4, ceil(log(1 - recall) / log(1 - p) * 1.3))  # groups draw from the same lines, hence 1.3
+    return k, max(4, ceil(log(1 - recall) / log(1 - p)))
 
 
 def least_count(lines: int, chance: float = 1e-4) -> int:
@@ -47,22 +50,52 @@ def least_count(lines: int, chance: float = 1e-4) -> int:
     return lines
 
 
+def pairs_at(threshold: float, dim: int, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Two arrays of n unit vectors: row by row random pairs whose cosine is the threshold (1 where dim is 1)."""
+    a, b = rng.standard_normal((2, n, dim))
+    a /= np.sqrt((a * a).sum(axis=1))[:, None]
+    if dim == 1:
+        return a, a
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b /= np.sqrt((b * b).sum(axis=1))[:, None]
+    return a, threshold * a + sqrt(1 - threshold * threshold) * b
+
+
 class Lines:
     def __init__(self, dim: int, n: int, threshold: float, recall: float):
         rng = np.random.default_rng(20_24)
-        self.k, self.t = tables_for(n, threshold, recall)
-        # orthogonal blocks spread the lines better than independent ones
-        blocks = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(ceil((SIGN_LINES + COUNT_LINES) / dim))]
-        rows = np.concatenate(blocks)
-        self.signs, self.counts = rows[:SIGN_LINES].T.copy(), (rows[SIGN_LINES : SIGN_LINES + COUNT_LINES] * sqrt(dim)).T.copy()
-        self.groups = np.stack([rng.choice(SIGN_LINES, self.k, replace=False) for _ in range(self.t)])
+        self.k, least_t = tables_for(n, threshold, recall)
+        spare = np.zeros((0, dim))
+
+        def draw(lines: int) -> np.ndarray:  # orthogonal blocks spread the lines better than independent ones
+            nonlocal spare
+            while len(spare) < lines:
+                spare = np.concatenate([spare, np.linalg.qr(rng.standard_normal((dim, dim)))[0]])
+            out, spare = spare[:lines].T.copy(), spare[lines:]
+            return out
+
+        self.counts = draw(COUNT_LINES) * sqrt(dim)
         self.width = WIDTH * sqrt(2 - 2 * threshold)
-        self.least = least_count(COUNT_LINES)
         self.threshold = threshold
-
-    def cells(self, unit: np.ndarray) -> np.ndarray:
-        bits = (unit @ self.signs > 0).astype(np.int64)
-        return np.stack([bits[:, g] @ (1 << np.arange(self.k)) for g in self.groups], axis=1)
+        a, b = pairs_at(threshold, dim, TRIALS, np.random.default_rng(20_25))
+        collisions = (np.abs(a @ self.counts - b @ self.counts) <= self.width).sum(axis=1)
+        self.least = min(least_count(COUNT_LINES), int(np.sort(collisions)[TRIALS // 10_000]))
+        self.groups: list[np.ndarray] = []
+        missed = np.ones(TRIALS, bool)
+        allowed = TRIALS * (1 - recall)
+        # two standard deviations of the misses on the safe side; a recall that so few pairs cannot show is left to tables_for()
+        while len(self.groups) < least_t or allowed >= 1 and missed.any() and (lost := (missed | (collisions < self.least)).sum()) + 2 * sqrt(lost) > allowed:
+            self.groups.append(draw(self.k))
+            missed[missed] = self._cell(a[missed], len(self.groups) - 1) != self._cell(b[missed], len(self.groups) - 1)
+        self.t = len(self.groups)
+
+    def _cell(self, unit: np.ndarray, t: int) -> np.ndarray:
+        return ((unit @ self.groups[t] > 0).astype(np.float64) @ 2.0 ** np.arange(self.k)).astype(np.int64)
+
+    def cells(self, unit: np.ndarray, groups: int | None = None) -> np.ndarray:
+        """The cell of each vector in each group, or in the first so many."""
+        found = [self._cell(unit, t) for t in range(self.t if groups is None else groups)]
+        return np.stack(found, axis=1) if found else np.zeros((len(unit), 0), np.int64)
 
 
 def usable(embedding):
@@ -112,7 +145,7 @@ def _pairs(cols: dict, lines: Lines) -> tuple[np.ndarray, list, list]:
                 if (new == label).all():
                     break
                 label = new
-            earlier = lines.cells(unit)[:, : group[s]] if earlier is None else earlier
+            earlier = lines.cells(unit, group[s]) if earlier is None else earlier
             fresh = np.concatenate([~(earlier[x[j : j + 100_000]] == earlier[y[j : j + 100_000]]).any(axis=1) for j in range(0, len(x), 100_000)])
             np.add.at(links, s + x[fresh], copies[y[fresh]])
             np.add.at(links, s + y[fresh], copies[x[fresh]])

@@ -70,6 +70,24 @@ def test_collision_count_keeps_recall():
     assert 0 < near_embeddings.least_count(32) <= 32 and near_embeddings.tables_for(10**9)[1] > near_embeddings.tables_for(10**4)[1]
 
 
+@pytest.mark.parametrize(("n", "dim"), [(500, 64), (51_000, 64), (3_000_000, 64), (10_000_000, 64), (1_000_000, 3), (500, 1)])
+def test_drawn_lines_keep_recall_at_every_size(n, dim):
+    lines = near_embeddings.Lines(dim, n, 0.9, 0.999)
+    rng = np.random.default_rng(77)
+    a = rng.standard_normal((20_000, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.standard_normal((20_000, dim))
+    if dim > 1:
+        b -= (a * b).sum(axis=1)[:, None] * a
+        b *= (1 - 0.9001**2) ** 0.5 / np.linalg.norm(b, axis=1)[:, None]
+    b = 0.9001 * a + b if dim > 1 else a
+    meet = np.zeros(len(a), bool)
+    for i in range(0, len(a), 2000):
+        meet[i : i + 2000] = (lines.cells(a[i : i + 2000]) == lines.cells(b[i : i + 2000])).any(axis=1)
+    counted = (np.abs(a @ lines.counts - b @ lines.counts) <= lines.width).sum(axis=1) >= lines.least
+    assert (meet & counted).mean() >= 0.999
+
+
 # --- chat ------------------------------------------------------------------------------------------------------------
 HARD = ["", "plain", "<|im_end|>", "<|im_start|>", "<\\|im_end|>", "<\\\\|x|> <|nl|>", "a <| b", "tail <", "|tail", "<|im_end|>\n<|im_start|>assistant\nok<|im_end|>", "line\nline", "\\"]
 
