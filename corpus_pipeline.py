@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, language_id, mixing, sharding, simhash_dedup
-from tessera.llm.common import shared_folder, stored, table
+from tessera.llm.common import row_names, shared_folder, stored, table
 
 #: A document stays if at least this share of its words is in one language.
 LEAST_SCORE = 0.4
@@ -31,9 +31,18 @@ def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; one that it takes no copy of goes."""
-    taken = mixing.copies(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
-    return docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Each row as often as the mix takes it, whatever its doc_id; one that it takes no copy of goes.
+
+    Rows equal in all columns stand for one another: one of them takes the copies of all.
+    """
+    named = docs.withColumns(row_names(docs))
+    copies = mixing.copies(named.withColumn("_row", F.struct("_a", "_b")), "_row").groupBy("_row").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_n"))
+    taken = stored(copies.where("_copies > 0").select("_row._a", "_row._b", "_copies", "_n"))
+    out = named.join(taken.where("_n = 1"), ["_a", "_b"])
+    equal = taken.where("_n > 1")
+    if not equal.isEmpty():
+        out = out.unionByName(named.join(equal, ["_a", "_b"]).dropDuplicates(["_a", "_b"]))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def shuffle_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

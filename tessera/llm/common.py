@@ -61,6 +61,12 @@ def hashed(seed: str, *cols) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 12)
 
 
+def row_names(df: DataFrame) -> dict[str, Column]:
+    """Two hashes of all values of a row, as columns _a and _b: only rows equal in every column share both. Never null."""
+    values = [F.isnull(c) for c in df.columns] + [F.col(c) for c in df.columns]
+    return {"_a": F.xxhash64(*values), "_b": F.xxhash64(F.lit("row"), *values)}
+
+
 def shared(spark: SparkSession, value) -> Callable:
     """A function that gives value in tasks: broadcast, with its class travelling by value, and unpacked once a worker."""
     packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))

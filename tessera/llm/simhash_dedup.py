@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, in_runs, split_hot, stored
+from .common import arrow_map, components, in_runs, row_names, split_hot, stored
 
 TAU, SHINGLE, SEED, BITS = 3, 3, 42, 64
 #: Weights of the cost model: one emitted key against one compared pair.
@@ -45,15 +45,15 @@ def fingerprint(text: str | bytes | None) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, fp long): the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, fp long): the fingerprint as a signed 64-bit number."""
 
     def one(batch):
-        fps = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None) for t in batch.column(1)], dtype=np.uint64)
-        return {key: batch.column(0), "fp": fps.view(np.int64)}
+        fps = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None) for t in batch.column(len(keys))], dtype=np.uint64)
+        return {k: batch.column(i) for i, k in enumerate(keys)} | {"fp": fps.view(np.int64)}
 
-    kind = dict(docs.dtypes)[key]
-    return arrow_map(docs.select(key, "text"), one, f"{key} {kind}, fp long")
+    kinds = dict(docs.dtypes)
+    return arrow_map(docs.select(*keys, "text"), one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", fp long")
 
 
 def _part_values(fp: np.ndarray, bits: list[int]) -> np.ndarray:
@@ -197,12 +197,25 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, fingerprint, component_id) of all documents. Null or wordless texts have fingerprint zero and link to one another."""
     from .common import table
 
-    fps = stored(fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    fps = stored(fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
     return fps.join(cluster(fps), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs without near copies: the row with the smallest key of each component stays, with all its columns."""
-    fps = stored(fingerprints(docs.select(key, "text"), key))
-    kept = cluster(fps, key).select(F.col("component").alias(key)).distinct()
-    return docs.join(kept, key, "left_semi").select(*docs.columns)
+    """docs without near copies: of each component exactly one row stays, with all its columns. It is the row with the smallest
+    key, null last; among rows of that key the one with the least row_names().
+
+    Keys may be null or repeat: components join fingerprints, and the row is found again by row_names().
+    """
+    named = docs.withColumns(row_names(docs))
+    fps = stored(fingerprints(named.select(key, "_a", "_b", "text"), key, "_a", "_b"))
+    component = cluster(fps.select(F.col("fp").alias("node"), "fp"), "node")
+    rows = fps.groupBy("fp").agg(F.min(F.struct(F.isnull(key).alias("none"), F.col(key).alias("key"), "_a", "_b")).alias("least"))
+    kept = rows.join(component, "fp").groupBy("component").agg(F.min("least").alias("least")).select("least._a", "least._b")
+    copies = fps.groupBy("_a", "_b").agg(F.count("*").alias("n")).where("n > 1")
+    kept = stored(kept.join(copies, ["_a", "_b"], "left"))
+    out = named.join(kept.where("n IS NULL"), ["_a", "_b"], "left_semi")
+    equal = kept.where("n > 1")
+    if not equal.isEmpty():  # rows equal in all columns: only these are gathered
+        out = out.unionByName(named.join(equal, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]))
+    return out.select(*docs.columns)

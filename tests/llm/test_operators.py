@@ -433,6 +433,23 @@ def test_pipeline_stages(spark, odd, none, tmp_path):
     assert docs.where("text LIKE '%theta iota kappa%'").count() == 0 and docs.count() > 0
 
 
+def test_pipeline_rows_without_a_key_of_their_own(spark, none):
+    import corpus_pipeline
+
+    say = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [(None, say(0), "en", "a", 1), (None, say(1), "en", "a", 1), (None, say(1), "en", "a", 1), (8, say(2), "en", "a", 1), (8, say(2), "en", "a", 1), (8, say(3), "en", "b", 1), (9, say(3), "en", "a", 1), (None, say(3), "en", None, 1), (8, say(3), "de", "b", 1), (10, say(4), None, "a", 1), (10, say(4), "a", None, 1)]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("None", say(0)), ("None", say(1)), ("8", say(2)), ("8", say(3)), ("10", say(4))])
+    # one source: the target is its size, so each row is taken once
+    same = spark.createDataFrame([(None, say(0), "en", "a", 1), (None, say(1), "en", "a", 1), (8, say(2), "en", "a", 1), (8, say(2), "en", "a", 1), (8, say(3), "en", "a", 1)], DOCS)
+    assert sorted(map(str, corpus_pipeline.mix_sources(spark, same, "").collect())) == sorted(map(str, same.collect()))
+    # two sources of 30 equally long rows share 60 rows as 5 to 2
+    two = spark.createDataFrame([(8 if i % 3 else None, say(i % 20), "en", "a" if i < 30 else "b", 1) for i in range(60)], DOCS)
+    mixed = corpus_pipeline.mix_sources(spark, two, "").groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in mixed} == {"a": 43, "b": 17}
+    assert corpus_pipeline.mix_sources(spark, none, "").count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_agrees_with_sql(spark, name):
     import duckdb
