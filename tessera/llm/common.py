@@ -20,12 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests on one machine) a new temporary one is set."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a session on one machine (as in tests) gets a new temporary one;
+    a cluster has no folder of which this could tell that all executors see it, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else ""
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -105,12 +108,25 @@ def ranked(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
     return cells.withColumn("_in", inside).join(starts, [*keys, "_cell"]).withColumn(out, F.col("_start") + F.col("_in") - 1).drop("_cell", "_start", "_in")
 
 
+#: Slices that the edges of one node are dealt into; a hub's edges are spread over as many tasks.
+SLICES = 64
+
+
+def _with_least(e: DataFrame) -> DataFrame:
+    """e(a, b) with m, the least b of each a. Nodes are dealt in slices of their edges by hash, so the slices of a hub's edges
+    meet its m in different tasks; what is gathered of a node is one number a slice."""
+    sliced = e.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SLICES)).cast("byte"))
+    part = sliced.groupBy("a", "s").agg(F.min("b").alias("m"))
+    least = part.groupBy("a").agg(F.min("m").alias("m"), F.collect_list("s").alias("slices"))
+    return sliced.join(least.select("a", "m", F.explode("slices").alias("s")), ["a", "s"]).select("a", "b", "m")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges(a, b): rows (node, component) for every node of an edge but the smallest of each component.
 
-    Alternating large-star and small-star rounds (Kiveris et al. 2014). Each round only needs the least neighbour of a
-    node, so it is a partial aggregation and a join, and no task ever holds a hub's neighbour list. Every round is written
-    to the shared folder. Ends when a round changes nothing.
+    Alternating large-star and small-star rounds (Kiveris et al. 2014). Each round only needs the least neighbour of a node,
+    so it is a partial aggregation and a join on slices of a node's edges: no task holds all edges of a hub. Every round is
+    written to the shared folder. Ends when a round changes nothing.
     """
 
     def tidy(e: DataFrame) -> DataFrame:
@@ -123,10 +139,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     seen = mark(e)
     for _ in range(most_rounds if seen[0] else 0):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = tidy(both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        large = tidy(_with_least(both).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b")))
+        small = _with_least(large).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         e = stored(tidy(small))
         now = mark(e)
         if now == seen:
@@ -137,6 +151,30 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+#: Rows of a key from which on it counts as hot in join_hot().
+HOT_ROWS = 100_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """left joined (inner or left) with right, which has one row a key and says in its column n how many rows of left have the key.
+
+    Rows of a hot key don't meet in one task: their rows of right are broadcast. There are at most rows / HOT_ROWS of them, and
+    beyond 100,000 (10^10 rows) only those of at least rows / 100,000 rows count as hot.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    limit = max(HOT_ROWS, total // 100_000)
+    hot = stored(right.where(F.col(n) > limit))
+    if hot.isEmpty():
+        return left.join(right.drop(n), key, how)
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(n) <= limit).drop(n), key, how)
+    return cold.unionByName(left.join(F.broadcast(hot.drop(n)), key))
+
+
+def shielded(df: DataFrame, *keep: str) -> DataFrame:
+    """df with its columns, but for `keep`, under names that clash with no working column. toDF(*df.columns) undoes it."""
+    return df.toDF(*[c if c in keep else f"_{i}_" for i, c in enumerate(df.columns)])
+
+
 def split_hot(keyed: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
     """Adds the column `part` to keyed(key, node, ...): all rows of a key whose count is at most limit share part 0.
 
@@ -155,7 +193,7 @@ def in_runs(df: DataFrame, fn: Callable[[dict], list[tuple]], schema: str, colum
     """Deals df by (key, part), sorts, and hands fn numpy columns holding whole runs of equal (key, part).
 
     fn gets a dict of arrays with `starts` and `sizes` of its runs and returns a dict of output columns. Runs that end
-    inside a batch are processed at once; only the last, open run is carried over.
+    inside a batch are processed at once; only the last, open run is carried over, and put together once, when it ends.
     """
     import numpy as np
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -166,26 +204,29 @@ def in_runs(df: DataFrame, fn: Callable[[dict], list[tuple]], schema: str, colum
         return np.array(column.to_pylist(), dtype=object) if pa.types.is_binary(column.type) else column.to_numpy(zero_copy_only=False)
 
     def run(batches):
-        held = None
+        held: list[dict] = []  # the open run, in pieces
 
-        def work(cols):
+        def work(parts):
+            cols = parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in columns}
             k, p = cols["key"], cols["part"]
             starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (p[1:] != p[:-1])])
             got = fn(cols | {"starts": starts, "sizes": np.diff(np.r_[starts, len(k)])})
-            return pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
+            return pa.RecordBatch.from_arrays([got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], type=f.type) for f in out], schema=out)
 
         for batch in batches:
             cols = {c: values(batch.column(c)) for c in columns}
-            if held is not None:
-                cols = {c: np.concatenate([held[c], cols[c]]) for c in columns}
             k, p = cols["key"], cols["part"]
             if not len(k):
                 continue
-            last = len(k) - 1 - np.argmax(((k != k[-1]) | (p != p[-1]))[::-1]) if ((k != k[-1]) | (p != p[-1])).any() else -1
-            held = {c: v[last + 1 :] for c, v in cols.items()}
-            if last >= 0:
-                yield work({c: v[: last + 1] for c, v in cols.items()})
-        if held is not None and len(held["key"]):
+            other = np.flatnonzero((k != k[-1]) | (p != p[-1]))
+            open_from = other[-1] + 1 if len(other) else 0
+            goes_on = held and held[-1]["key"][-1] == k[0] and held[-1]["part"][-1] == p[0]
+            if open_from or not goes_on and held:
+                ended = held + ([{c: v[:open_from] for c, v in cols.items()}] if open_from else [])
+                held = []
+                yield work(ended)
+            held.append({c: v[open_from:] for c, v in cols.items()})
+        if held:
             yield work(held)
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,14 +1,15 @@
 """Benchmark decontamination with a generalised suffix automaton of the normalised test items.
 
-Words are runs of digits, ASCII letters (lower-cased) and bytes from 0x80 up. The automaton of all items' word sequences is
+Words are runs of digits, ASCII letters (lower-cased) and bytes from 0x80 up. The automaton of the items' word sequences is
 built on the driver and broadcast; items beyond WORDS_A_PASS words go to further passes, each with an automaton of
-bounded size. In a task, hashes of whole batches find the stretches of words that items know at all; only those stream
+bounded size that is built when its pass begins and dropped after it. In a task, hashes of whole batches find the stretches of words that items know at all; only those stream
 through the automaton, which tracks the longest match ending at each word.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesops import ASCII_LOWER, buffer_of, pieces, prefix_hashes, span_hashes, words
-from .common import shared, stored
+from .common import shared, stored, table
 
 WINDOW = 10
-WORDS_A_PASS = 200_000
+#: Words of items in one automaton; results do not depend on it.
+WORDS_A_PASS = 100_000
 #: A document with a larger share of hit words goes as a whole.
 COVERAGE = 0.5
 
@@ -142,63 +144,79 @@ def item_words(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").encode().lower())
 
 
-def automata(benchmark: DataFrame, window: int) -> list[Automaton]:
-    """One automaton per WORDS_A_PASS words of items; a longer item is a pass of its own."""
-    groups, size = [[]], 0
+def automata(benchmark: DataFrame, window: int) -> Iterator[Automaton]:
+    """One automaton per WORDS_A_PASS words of items, one at a time. A longer item goes on in the next pass, from `window` - 1
+    words back, so that each of its windows is in a pass."""
+    most = max(WORDS_A_PASS, 2 * window)
+    group, size = [], 0
     for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text").toLocalIterator():
         ws = item_words(r["text"])
-        if size and size + len(ws) > WORDS_A_PASS:
-            groups.append([])
-            size = 0
-        groups[-1].append((r["i"], ws))
-        size += len(ws)
-    return [Automaton(g, window) for g in groups]
+        pieces_ = [ws[at : at + most] for at in range(0, max(1, len(ws) - window + 1), most - window + 1)]
+        for piece in pieces_:
+            if size and size + len(piece) > most:
+                yield Automaton(group, window)
+                group, size = [], 0
+            group.append((r["i"], piece))
+            size += len(piece)
+    yield Automaton(group, window)
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs' columns but text, and n_words, hits (array<int>, start and end word of each hit span), items (array<string>).
 
-    Null text has no words. Columns of docs named like the new ones are replaced. An empty benchmark hits nothing.
+    Null text has no words; texts are read whole, however long. Rows are judged one by one, whether their keys are null or
+    repeat. Columns of docs named like the new ones are replaced. An empty benchmark hits nothing, empty docs give no rows.
+    Items with one id count as one item. One automaton streams over docs lazily; with several, each pass writes its marks to
+    the shared folder before the next automaton is built.
     """
-    return _marked(docs, [shared(docs.sparkSession, auto) for auto in automata(benchmark, window)]).drop("text")
+    return _marked(docs, benchmark, window).drop("text")
 
 
-def _marked(docs: DataFrame, passes: list) -> DataFrame:
-    """mark() with the text, over automata that are broadcast already."""
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """mark() with the text."""
     keep = [c for c in docs.columns if c not in ("text", "n_words", "hits", "items")]
+    out = docs.select(*keep, "text").withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
+    given = None
+    for auto in automata(benchmark, window):
+        if given is not None:
+            out = stored(_pass(out, given))
+        given = shared(docs.sparkSession, auto)
+        del auto
+    return _pass(out, given)
+
+
+def _pass(out: DataFrame, given: Callable) -> DataFrame:
+    """out with the hits and items of one more automaton."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    out = docs.select(*keep, "text").withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
     schema = out.schema
     arrow = to_arrow_schema(schema)
-    for given in passes:
-
-        def run(batches, given=given):
-            for batch in batches:
-                column, n = batch.column("text"), batch.num_rows
-                data, at = buffer_of(column)
-                n_words, hits, items = np.zeros(n, np.int64), batch.column("hits").to_pylist(), batch.column("items").to_pylist()
-                for i, j in pieces(at):
-                    part = ASCII_LOWER[data[at[i] : at[j]]]
-                    here = at[i : j + 1] - at[i]
-                    tokens = words(part, here, WORD_BYTES)
-                    rows = tokens[2]
-                    n_words[i:j] = np.diff(rows)
-                    hit, found = np.zeros(len(tokens[0]), bool), {}
-                    _scan(given(), part, here, hit, tokens, found)
-                    for r, names in found.items():
-                        if names:
-                            mine = hit[rows[r] : rows[r + 1]]
-                            for s, e in zip(hits[i + r][::2], hits[i + r][1::2]):
-                                mine[s:e] = True
-                            edges = np.flatnonzero(np.diff(np.r_[False, mine, False]))
-                            hits[i + r] = edges.tolist()
-                            items[i + r] = sorted({*items[i + r], *names})
-                cols = {f.name: batch.column(f.name) for f in arrow} | {"n_words": pa.array(n_words), "hits": pa.array(hits, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) for f in arrow], schema=arrow)
-
-        out = out.mapInArrow(run, schema)
-    return out
+
+    def run(batches):
+        for batch in batches:
+            column, n = batch.column("text"), batch.num_rows
+            data, at = buffer_of(column)
+            n_words, hits, items = np.zeros(n, np.int64), batch.column("hits").to_pylist(), batch.column("items").to_pylist()
+            for i, j in pieces(at):
+                part = ASCII_LOWER[data[at[i] : at[j]]]
+                here = at[i : j + 1] - at[i]
+                tokens = words(part, here, WORD_BYTES)
+                rows = tokens[2]
+                n_words[i:j] = np.diff(rows)
+                hit, found = np.zeros(len(tokens[0]), bool), {}
+                _scan(given(), part, here, hit, tokens, found)
+                for r, names in found.items():
+                    if names:
+                        mine = hit[rows[r] : rows[r + 1]]
+                        for s, e in zip(hits[i + r][::2], hits[i + r][1::2]):
+                            mine[s:e] = True
+                        edges = np.flatnonzero(np.diff(np.r_[False, mine, False]))
+                        hits[i + r] = edges.tolist()
+                        items[i + r] = sorted({*items[i + r], *names})
+            cols = {f.name: batch.column(f.name) for f in arrow} | {"n_words": pa.array(n_words), "hits": pa.array(hits, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) for f in arrow], schema=arrow)
+
+    return out.mapInArrow(run, schema)
 
 
 def _without(raw: bytes, tokens: tuple, spans: list[int]) -> bytes:
@@ -210,7 +228,7 @@ def _without(raw: bytes, tokens: tuple, spans: list[int]) -> bytes:
     return b"\n".join([*keep, raw[done:]])
 
 
-def _clean_in_rounds(docs: DataFrame, passes: list, coverage: float) -> DataFrame:
+def _clean_in_rounds(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float) -> DataFrame:
     """clean() with several automata: a round marks by all of them, judges and cuts; what it cut goes to the next round."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -239,7 +257,7 @@ def _clean_in_rounds(docs: DataFrame, passes: list, coverage: float) -> DataFram
 
     done = None
     while done is None or not todo.isEmpty():
-        got = stored(_marked(todo, passes).mapInArrow(run, schema))
+        got = stored(_marked(todo, benchmark, window).mapInArrow(run, schema))
         settled = got.where("NOT _open")
         done = settled if done is None else done.unionByName(settled)
         todo = got.where("_open")
@@ -249,68 +267,68 @@ def _clean_in_rounds(docs: DataFrame, passes: list, coverage: float) -> DataFram
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """docs without benchmark passages: hit spans are cut out of the text (a line break stays in their place), and a document
     of which more than `coverage` of the words are hit, by whatever items, goes as a whole. Cuts are repeated until nothing is
-    hit. Untouched documents stay as they are, null texts too; n_chars, where there is one, follows the text. One automaton
+    hit. Untouched documents stay as they are, null texts too, and so do all other columns; n_chars, where there is one, follows
+    the text. Rows are judged one by one, whether their keys are null or repeat. Empty docs give no rows. One automaton
     does all rounds of a document in its task; with several, each round is written to the shared folder, and only documents
     that it cut are read again.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    passes = [shared(docs.sparkSession, auto) for auto in automata(benchmark, window)]
-    if len(passes) > 1:
-        return _clean_in_rounds(docs, passes, coverage)
-    out, schema = docs, docs.schema
+    built = automata(benchmark, window)
+    only = next(built)
+    if next(built, None) is not None:
+        del only, built
+        return _clean_in_rounds(docs, benchmark, window, coverage)
+    schema, given = docs.schema, shared(docs.sparkSession, only)
     arrow = to_arrow_schema(schema)
-    for given in passes:
-
-        def cut(raw: bytes, auto: Automaton) -> bytes | None:
-            total = 0
-            n = None
-            while True:
-                data = ASCII_LOWER[np.frombuffer(raw, np.uint8)]
-                here = np.array([0, len(data)])
-                tokens = words(data, here, WORD_BYTES)
-                n = len(tokens[0]) if n is None else n
+
+    def cut(raw: bytes, auto: Automaton) -> bytes | None:
+        total = 0
+        n = None
+        while True:
+            data = ASCII_LOWER[np.frombuffer(raw, np.uint8)]
+            here = np.array([0, len(data)])
+            tokens = words(data, here, WORD_BYTES)
+            n = len(tokens[0]) if n is None else n
+            hit, found = np.zeros(len(tokens[0]), bool), {}
+            _scan(auto, data, here, hit, tokens, found)
+            if not hit.any():
+                return raw
+            total += int(hit.sum())
+            if total > coverage * n:
+                return None
+            raw = _without(raw, tokens, np.flatnonzero(np.diff(np.r_[False, hit, False])).tolist())
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column("text")
+            data, at = buffer_of(column)
+            texts, stay = None, np.ones(batch.num_rows, bool)
+            for i, j in pieces(at):
+                part, here = ASCII_LOWER[data[at[i] : at[j]]], at[i : j + 1] - at[i]
+                tokens = words(part, here, WORD_BYTES)
                 hit, found = np.zeros(len(tokens[0]), bool), {}
-                _scan(auto, data, here, hit, tokens, found)
-                if not hit.any():
-                    return raw
-                total += int(hit.sum())
-                if total > coverage * n:
-                    return None
-                raw = _without(raw, tokens, np.flatnonzero(np.diff(np.r_[False, hit, False])).tolist())
-
-        def run(batches, given=given):
-            for batch in batches:
-                column = batch.column("text")
-                data, at = buffer_of(column)
-                texts, stay = None, np.ones(batch.num_rows, bool)
-                for i, j in pieces(at):
-                    part, here = ASCII_LOWER[data[at[i] : at[j]]], at[i : j + 1] - at[i]
-                    tokens = words(part, here, WORD_BYTES)
-                    hit, found = np.zeros(len(tokens[0]), bool), {}
-                    _scan(given(), part, here, hit, tokens, found)
-                    for r, names in found.items():
-                        if names:
-                            texts = column.to_pylist() if texts is None else texts
-                            got = cut(texts[i + r].encode(), given())
-                            stay[i + r] = got is not None
-                            texts[i + r] = got.decode() if got is not None else None
-                if texts is not None:
-                    cols = {f.name: batch.column(f.name) for f in arrow}
-                    cols["text"] = pa.array(texts, pa.string())
-                    if "n_chars" in cols:
-                        changed = pc.invert(pc.fill_null(pc.equal(cols["text"], column.cast(pa.string())), True))
-                        cols["n_chars"] = pc.if_else(changed, pc.utf8_length(cols["text"]).cast(pa.int64()), cols["n_chars"].cast(pa.int64()))
-                    batch = pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) for f in arrow], schema=arrow).filter(pa.array(stay))
-                yield batch
-
-        out = out.mapInArrow(run, schema)
-    return out
+                _scan(given(), part, here, hit, tokens, found)
+                for r, names in found.items():
+                    if names:
+                        texts = column.to_pylist() if texts is None else texts
+                        got = cut(texts[i + r].encode(), given())
+                        stay[i + r] = got is not None
+                        texts[i + r] = got.decode() if got is not None else None
+            if texts is not None:
+                cols = {f.name: batch.column(f.name) for f in arrow}
+                cols["text"] = pa.array(texts, pa.string())
+                if "n_chars" in cols:
+                    changed = pc.invert(pc.fill_null(pc.equal(cols["text"], column.cast(pa.string())), True))
+                    cols["n_chars"] = pc.if_else(changed, pc.utf8_length(cols["text"]).cast(pa.int64()), cols["n_chars"].cast(pa.int64()))
+                batch = pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) for f in arrow], schema=arrow).filter(pa.array(stay))
+            yield batch
+
+    return docs.mapInArrow(run, schema)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import table
-
+    """What mark() finds in all documents for all items of benchmark, one row a document."""
     got = mark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("hits") - 2, F.lit(2)), lambda i: F.col("hits")[i + 1] - F.col("hits")[i])
     n_hit = F.when(F.size("hits") == 0, F.lit(0)).otherwise(F.aggregate(pairs, F.lit(0), lambda s, x: s + x)).cast("long")

@@ -7,14 +7,17 @@ rows; nothing but the text goes into a prediction.
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesops import buffer_of, pieces, words
-from .common import arrow_map, shared, thinned
+from .bytesops import buffer_of, pieces, prefix_hashes, span_hashes, words
+from .common import arrow_map, shared, table, thinned
 
 #: Documents of each language that a model is fitted on, whole texts; the others are not needed for stable counts.
 SAMPLE_PER_LANGUAGE = 2000
@@ -24,21 +27,38 @@ PENALTY = 20.0
 SCRIPT_SHARE = 0.005
 UNKNOWN = "und"
 
-# First code points of script ranges (Unicode blocks), and what each range holds; "" holds no letters.
-RANGES = (
-    (0x0000, ""), (0x0041, "Latin"), (0x005B, ""), (0x0061, "Latin"), (0x007B, ""), (0x00AA, "Latin"), (0x00AB, ""), (0x00B5, "Greek"), (0x00B6, ""),
-    (0x00BA, "Latin"), (0x00BB, ""), (0x00C0, "Latin"), (0x00D7, ""), (0x00D8, "Latin"), (0x00F7, ""), (0x00F8, "Latin"), (0x02C2, ""), (0x0300, "Latin"), (0x0370, "Greek"),
-    (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0700, "Syriac"), (0x0900, "Devanagari"), (0x0980, "Bengali"),
-    (0x0A00, "Gurmukhi"), (0x0A80, "Gujarati"), (0x0B00, "Oriya"), (0x0B80, "Tamil"), (0x0C00, "Telugu"), (0x0C80, "Kannada"), (0x0D00, "Malayalam"),
-    (0x0D80, "Sinhala"), (0x0E00, "Thai"), (0x0E80, "Lao"), (0x0F00, "Tibetan"), (0x1000, "Myanmar"), (0x10A0, "Georgian"), (0x1100, "Hangul"),
-    (0x1200, "Ethiopic"), (0x1380, "Other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, ""), (0x2C60, "Latin"), (0x2C80, "Other"), (0x2E00, ""),
-    (0x3041, "Kana"), (0x3100, "Han"), (0x3130, "Hangul"), (0x3200, ""), (0x3400, "Han"), (0xA000, "Other"), (0xA720, "Latin"), (0xA800, "Other"),
-    (0xAC00, "Hangul"), (0xD7B0, ""), (0xF900, "Han"), (0xFB00, "Latin"), (0xFB10, "Other"), (0xFE00, ""), (0xFE70, "Arabic"), (0xFF00, ""), (0xFF21, "Latin"),
-    (0xFF3B, ""), (0xFF41, "Latin"), (0xFF5B, ""), (0xFF66, "Kana"), (0xFFE0, ""), (0x10000, "Other"), (0x1F000, ""), (0x20000, "Han"), (0x323B0, ""),
-)
-SCRIPTS = sorted({s for _, s in RANGES if s}, key=lambda s: (s != "Latin", s))
-_FIRST = np.array([c for c, _ in RANGES])
-_SCRIPT = np.array([SCRIPTS.index(s) if s else -1 for _, s in RANGES], np.int8)
+#: Names of code points start with their script, but for these words; of them the script follows or is given.
+NAMED = {"CJK": "IDEOGRAPH", "KANGXI": "IDEOGRAPH", "IDEOGRAPHIC": "IDEOGRAPH", "KATAKANA-HIRAGANA": "KATAKANA", "FULLWIDTH": None, "HALFWIDTH": None, "MODIFIER": "LATIN", "SUPERSCRIPT": "LATIN", "SUBSCRIPT": "LATIN", "FEMININE": "LATIN", "MASCULINE": "LATIN", "MICRO": "GREEK"}
+
+
+def script_ranges() -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(scripts, first, script): code points from first[i] up to first[i + 1] hold letters of scripts[script[i]].
+
+    By rule, from the character database: letters are the categories L*, and their script is the first word of the name. -1 is no
+    letter; script 0 is the marks (categories M*), which are part of a word but make none. Scripts of fewer than 8 letters
+    are one.
+    """
+    found, runs = [], []
+    for c in range(0x323B0):
+        kind, name = unicodedata.category(chr(c))[0], None
+        if kind == "L":
+            parts = (unicodedata.name(chr(c), "") or "OTHER").split()
+            name = NAMED.get(parts[0], parts[0]) or parts[1]
+            name = NAMED.get(name, name).split("-")[0]
+        elif kind == "M":
+            name = ""
+        found.append(name)
+    sizes = Counter(found)
+    for c, name in enumerate(found):
+        name = "OTHER" if name and sizes[name] < 8 else name
+        if not runs or runs[-1][1] != name:
+            runs.append((c, name))
+    runs.append((len(found), None))
+    scripts = ["", *sorted({n for _, n in runs if n})]
+    return scripts, np.array([c for c, _ in runs]), np.array([-1 if n is None else scripts.index(n) for _, n in runs], np.int16)
+
+
+SCRIPTS, _FIRST, _SCRIPT = script_ranges()
 
 
 def byte_scripts(data: np.ndarray) -> np.ndarray:
@@ -68,10 +88,17 @@ def letters(data: np.ndarray, at: np.ndarray) -> tuple:
     # reuse words() on a 0/1 array so that row borders split words
     starts, ends, rows = words(is_letter.view(np.uint8), at, np.arange(256) > 0)
     # reduceat runs on to the next word; what lies between is -1 and cannot win
-    of_word = np.maximum.reduceat(script, starts) if len(starts) else np.zeros(0, np.int8)
+    of_word = np.maximum.reduceat(script, starts) if len(starts) else np.zeros(0, np.int16)
+    real = of_word > 0  # marks alone are no word
+    if not real.all():
+        starts, ends, rows, of_word = starts[real], ends[real], np.r_[0, np.cumsum(real)][rows], of_word[real]
+    return starts, ends, rows, of_word, padded(np.where(is_letter, data, 32))
+
+
+def padded(data: np.ndarray) -> np.ndarray:
     codes = np.full(len(data) + 2 + max(ORDERS), 32, np.uint32)
-    codes[1 : len(data) + 1] = np.where(is_letter, data, 32)
-    return starts, ends, rows, of_word, codes
+    codes[1 : len(data) + 1] = data
+    return codes
 
 
 def gram_codes(codes: np.ndarray, n: int, order: int) -> np.ndarray:
@@ -90,7 +117,8 @@ class Model:
         """counts: [lang, order, bucket]; scripts: [lang, script] words."""
         self.langs = langs
         tables = np.log(counts + 0.5) - np.log(counts.sum(axis=2, keepdims=True) + 0.5 * BUCKETS)
-        tables -= tables.mean(axis=0, keepdims=True)
+        if langs:
+            tables -= tables.mean(axis=0, keepdims=True)
         self.tables = [np.ascontiguousarray(tables[:, o].T.astype(np.float32)) for o in range(len(ORDERS))]
         share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
         able = (share >= SCRIPT_SHARE).T
@@ -98,6 +126,19 @@ class Model:
         self.unfit = np.where(able, 0.0, -1e4).astype(np.float32)
 
     def word_scores(self, starts: np.ndarray, ends: np.ndarray, script: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
+        """Scores of each word; equal words are scored once."""
+        if not len(starts):
+            return np.zeros((0, len(self.langs)))
+        prefix = prefix_hashes(codes[1 : n + 1].astype(np.uint8))
+        _, one, of = np.unique(span_hashes(prefix, starts, ends), return_index=True, return_inverse=True)
+        size = ends[one] - starts[one]
+        to = np.cumsum(size + 1) - size - 1  # words one after another, a blank between
+        take = np.repeat(starts[one] - to, size) + np.arange(size.sum()) + np.repeat(np.arange(len(one)), size)
+        data = np.full(int(size.sum()) + len(one), 32, np.uint8)
+        data[np.repeat(to - (np.cumsum(size) - size), size) + np.arange(size.sum())] = codes[1 + take]
+        return self._scores(to, to + size, script[one], padded(data), len(data))[of]
+
+    def _scores(self, starts: np.ndarray, ends: np.ndarray, script: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
         out = self.unfit[script].astype(np.float64)
         first = starts  # the space before the word, in padded positions
         for order, table in zip(ORDERS, self.tables):
@@ -199,6 +240,8 @@ def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     """docs with lang_pred, score (share of the words in that language) and, if asked, lang_spans: runs of (words, language).
 
     Null text, text without letters, or a model without languages: `und`, score 0. Ties go to the first language by name.
+    Texts are read whole, however long; rows are judged one by one, whether their keys are null or repeat. Columns of docs
+    named like the new ones are replaced, all others kept. Empty docs give no rows.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -241,8 +284,7 @@ def held_out(modulus: int, rest: int):
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import table
-
+    """(doc_id, held_out, lang_pred, score) of all documents; a null doc_id is not held out. Learns from the others' text and lang."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = F.coalesce(held_out(4, 2), F.lit(False))
     model = fit(docs.where(~out))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hashed, ranked, stored
+from .common import hashed, ranked, stored, table
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -70,7 +70,8 @@ def copies(docs: DataFrame, key: str = "doc_id", weights: tuple = WEIGHTS, cap:
     """(key, size, source_size, target, copies) for every row of docs(key, text, source).
 
     Null or empty text: size 0, no copies. Null source is a source of its own. Rows equal in key, source and size are
-    ranked as ties, and either may be the one with a copy more. Empty input: no rows.
+    ranked as ties, and either may be the one with a copy more. A long text counts with all its words. Other columns are not
+    looked at. Empty input: no rows.
     """
     slim = docs.select(F.col(key).alias("k"), "source", word_count(F.col("text")).alias("size"))
     slim = stored(slim.withColumn("r", hashed(seed, "k", "source", "size")))
@@ -101,7 +102,6 @@ def copies(docs: DataFrame, key: str = "doc_id", weights: tuple = WEIGHTS, cap:
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
+    """(doc_id, size, source_size, target, taken) of all documents, one row each; see copies()."""
     got = copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

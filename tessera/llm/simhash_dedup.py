@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, in_runs, row_names, split_hot, stored
+from .common import arrow_map, components, in_runs, join_hot, row_names, shielded, split_hot, stored, table
 
 TAU, SHINGLE, SEED, BITS = 3, 3, 42, 64
 #: Weights of the cost model: one emitted key against one compared pair.
@@ -167,12 +167,13 @@ def _near_edges(cols: dict, tau: int) -> dict:
 
 
 def cluster(fps: DataFrame, key: str = "doc_id", tau: int = TAU) -> DataFrame:
-    """(fp, component): the smallest key reachable through links of at most tau differing bits, for every fingerprint.
+    """(fp, component, n): the smallest key reachable through links of at most tau differing bits, and the number of rows, for
+    every fingerprint.
 
     fps: (key long, fp long), stored. Equal fingerprints are one node. Null keys count last: a component of null keys
-    alone has a null component.
+    alone has a null component. No fingerprints, no rows.
     """
-    nodes = stored(fps.groupBy("fp").agg(F.min(key).alias("node")))
+    nodes = stored(fps.groupBy("fp").agg(F.min(key).alias("node"), F.count("*").alias("n")))
     known = nodes.where(F.col("node").isNotNull())
     parts = plan(known, tau)
     probes = [(i, v, bits, mask) for i, (bits, t) in enumerate(parts) for v, mask in enumerate(_masks(len(bits), t))]
@@ -190,24 +191,26 @@ def cluster(fps: DataFrame, key: str = "doc_id", tau: int = TAU) -> DataFrame:
     runs = split_hot(keyed, counts, HOT_KEY)
     edges = in_runs(runs, lambda c: _near_edges(c, tau), "a long, b long", ["key", "part", "node", "fp"])
     found = components(edges)
-    return nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    return nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"), "n")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of all documents. Null or wordless texts have fingerprint zero and link to one another."""
-    from .common import table
-
+    """(doc_id, fingerprint, component_id) of all documents, one row each, repeated ones too. Null or wordless texts have
+    fingerprint zero and link to one another. Texts are hashed whole, however long."""
     fps = stored(fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
-    return fps.join(cluster(fps), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    return join_hot(fps, cluster(fps), "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs without near copies: of each component exactly one row stays, with all its columns. It is the row with the smallest
     key, null last; among rows of that key the one with the least row_names().
 
-    Keys may be null or repeat: components join fingerprints, and the row is found again by row_names().
+    Keys may be null or repeat: components join fingerprints, and the row is found again by row_names(). All columns of docs
+    are kept, whatever their names; of rows equal in all of them one stays. Empty input: no rows.
     """
-    named = docs.withColumns(row_names(docs))
+    named = shielded(docs, key, "text")
+    kept_columns = named.columns
+    named = named.withColumns(row_names(named))
     fps = stored(fingerprints(named.select(key, "_a", "_b", "text"), key, "_a", "_b"))
     component = cluster(fps.select(F.col("fp").alias("node"), "fp"), "node")
     rows = fps.groupBy("fp").agg(F.min(F.struct(F.isnull(key).alias("none"), F.col(key).alias("key"), "_a", "_b")).alias("least"))
@@ -218,4 +221,4 @@ def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     equal = kept.where("n > 1")
     if not equal.isEmpty():  # rows equal in all columns: only these are gathered
         out = out.unionByName(named.join(equal, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]))
-    return out.select(*docs.columns)
+    return out.select(*kept_columns).toDF(*docs.columns)

@@ -58,6 +58,50 @@ def test_embedding_links_against_all_pairs(spark):
     assert near_embeddings.near_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_of_doubles_and_of_several_lengths(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((8, 5))
+    rows = [[1e200, 1.0], [1e200, 2.0], [1.0, 1e200], [-0.0, 1e-200], [3.0], [4.0], [-5.0], [float("inf"), 1.0]] + base.tolist() + (base + 1e-3).tolist() + base[:3].tolist()
+    frame = spark.createDataFrame([(i % 20 if i < 26 else None, v, 1, "x") for i, v in enumerate(rows)], "vec_id long, embedding array<double>, node long, h string")
+    got = near_embeddings.near_links(frame).collect()
+    ids = [i % 20 if i < 26 else None for i in range(len(rows))]
+    unit = [None if not all(map(np.isfinite, v)) else np.array(v) / max(np.abs(v)) / np.linalg.norm(np.array(v) / max(np.abs(v))) for v in rows]
+    want = [sum(1 for j, w in enumerate(unit) if j != i and w is not None and u is not None and len(u) == len(w) and u @ w >= 0.9) for i, u in enumerate(unit)]
+    assert sorted((str(r["vec_id"]), r["n_links"]) for r in got) == sorted(zip(map(str, ids), want))
+    clash = spark.createDataFrame([(None, None), (1, [1]), (1, [1])], "vec_id long, embedding array<int>")
+    assert sorted((str(r["vec_id"]), r["n_links"], r["component_id"]) for r in near_embeddings.near_links(clash).collect()) == [("1", 1, 1), ("1", 1, 1), ("None", 0, None)]
+
+
+def test_embedding_recall_just_above_the_threshold(spark):
+    rng = np.random.default_rng(12)
+    a, b = near_embeddings.pairs_at(1.0, 32, 3000, rng)[0], rng.standard_normal((3000, 32))
+    b -= (a * b).sum(axis=1)[:, None] * a
+    cos = rng.uniform(0.9005, 0.92, 3000)[:, None]
+    b = cos * a + np.sqrt(1 - cos**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(np.concatenate([a, b]).tolist())], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["component_id"] for r in near_embeddings.near_links(frame).collect()}
+    assert np.mean([got[i] == got[i + 3000] for i in range(3000)]) >= 0.998
+
+
+def test_windows_are_ranges_of_the_sorted_projections():
+    h = np.random.default_rng(3).standard_normal((70, 6))
+    of = near_embeddings.windows(h, 0.8)
+    got = np.concatenate([near_embeddings.collisions(of, 0, 40), near_embeddings.collisions(of, 40, 70)])
+    assert (got == (np.abs(h[:, None] - h[None]) <= 0.8).sum(axis=2)).all()
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    from tessera.llm import common
+
+    left = spark.range(60).select((F.col("id") % 7 * (F.col("id") % 3)).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m"))
+    want = sorted(map(tuple, left.join(right.drop("n"), "k").collect()))
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    assert sorted(map(tuple, common.join_hot(left, right, "k", "n").collect())) == want
+    some = right.where("k <> 4")
+    assert sorted(map(str, common.join_hot(left, some, "k", "n", "left").collect())) == sorted(map(str, left.join(some.drop("n"), "k", "left").collect()))
+
+
 def test_embedding_hot_cells_are_chunked(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [[float(np.float32(x)) for x in np.ones(8) + rng.standard_normal(8) * 0.02] for _ in range(120)]
@@ -106,6 +150,13 @@ def test_chat_round_trip_is_exact(spark):
     assert chat_format.digest(chat_format.format_conversations(source.limit(0))).count() == 0
 
 
+def test_long_conversation(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", HARD[i % len(HARD)] + str(i)) for i in range(3000)] + [(1, 3000, "user", "long " * 200_000)]
+    got = chat_format.digest(chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    want = hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows).encode()).hexdigest()
+    assert got["n_turns"] == 3001 and got["turns_sha256"] == want and got["loss_chars"] == sum(len(t) for _, _, r, t in rows if r == "assistant")
+
+
 # --- decontamination ---------------------------------------------------------------------------------------------------
 def test_decontamination_against_windows(spark):
     import re
@@ -144,6 +195,18 @@ def test_decontamination_in_several_passes(spark, monkeypatch):
     assert [r["text"].split() for r in decontaminate.clean(docs, items).where("doc_id = 0").collect()][0][:2] == ["before", "after"]
 
 
+def test_long_items_and_texts_go_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    item = " ".join(f"v{x}" for x in rng.integers(0, 50, 400))
+    words_ = item.split()
+    docs = spark.createDataFrame([(1, "a b " + " ".join(words_[90:130]) + " c"), (None, item * 2000), (1, " ".join(words_[385:])), (2, " ".join(words_[395:]))], "doc_id long, text string").withColumn("hits", F.lit("clash")).withColumn("items", F.lit(1))
+    items = spark.createDataFrame([(7, item), (7, item), (None, "only few words")], "item_id long, text string")
+    want = sorted(map(str, decontaminate.mark(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "WORDS_A_PASS", 30)
+    assert len(list(decontaminate.automata(items, 10))) > 5
+    assert sorted(map(str, decontaminate.mark(docs, items).collect())) == want and "items=['7']" in "".join(want)
+
+
 def test_cleaning_does_not_depend_on_the_passes(spark, monkeypatch):
     one, two = ([f"t{i}x{j}" for j in range(12)] for i in range(2))
     rest = [f"own{i}" for i in range(30)]
@@ -191,6 +254,32 @@ def test_mixing_meets_capped_targets(spark):
         assert mine.target.iloc[0] == pytest.approx(t) and mine.source_size.iloc[0] == n and (mine.copies * mine["size"]).sum() == pytest.approx(t, rel=0.03, abs=60)
 
 
+def test_rates_solve_the_entropy_dual(spark):
+    """lambda is the root of sum(n * size * min(3, exp(lambda * size / mean))) = target, found here by bisection alone."""
+    rng = np.random.default_rng(10)
+    bins = [(s, int(size), int(n)) for s in range(3) for size, n in zip(rng.choice(np.arange(1, 400), 60, False), rng.integers(1, 30, 60))]
+    share = [0.4, 1.7, 2.9]
+    mass = [sum(size * n for b, size, n in bins if b == s) for s in range(3)]
+    targets = spark.createDataFrame([(s, mass[s], sum(n for b, _, n in bins if b == s), share[s] * mass[s]) for s in range(3)], "src int, source_size long, docs long, target double")
+    got = {r["src"]: r["lam"] for r in mixing.balance(spark.createDataFrame(bins, "src int, size long, n long"), targets).collect()}
+    for s in range(3):
+        size, n = (np.array([b[k] for b in bins if b[0] == s], float) for k in (1, 2))
+        mean = mass[s] / n.sum()
+        low, high = -60.0, 60.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (n * size * np.minimum(3, np.exp(mid * size / mean))).sum() < share[s] * mass[s] else (low, mid)
+        assert got[s] == pytest.approx(low, abs=1e-6)
+
+
+def test_mixing_ties_and_long_texts(spark):
+    rows = [(i % 5 if i % 7 else None, "same words in all", "a" if i % 4 else "b") for i in range(4000)] + [(9, "w " * 300_000, "b")]
+    got = mixing.copies(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))).toPandas()
+    assert len(got) == 4001 and got[got["size"] == 300_000].copies.iloc[0] <= 3
+    for target, mine in got.groupby("target"):
+        assert (mine.copies * mine["size"]).sum() == pytest.approx(target, rel=0.02, abs=300_000)
+
+
 def test_mixing_odd_rows(odd, none):
     got = mixing.copies(odd).collect()
     assert len(got) == len(ODD) and all(r["copies"] == 0 for r in got if r["size"] == 0)
@@ -249,6 +338,9 @@ def test_simhash_odd_rows(odd, none, tmp_path):
     assert len(got) == len(ODD) and {r["component_id"] for r in got if r["doc_id"] in (1, 2)} == {1}
     assert simhash_dedup.one_of_each(none).count() == 0
     assert simhash_dedup.one_of_each(odd.where("doc_id in (4, 6)")).count() == 1
+    clash = odd.selectExpr("*", *[f"concat('v', coalesce(doc_id, 0)) AS {c}" for c in ("_a", "_b", "fp", "node", "_3_", "key", "n")])
+    kept = simhash_dedup.one_of_each(clash)
+    assert kept.columns == clash.columns and all({r[c] for c in ("_a", "_b", "fp", "node", "_3_", "key", "n")} == {f"v{r['doc_id'] or 0}"} for r in kept.collect())
 
 
 # --- language, toxicity ------------------------------------------------------------------------------------------------
@@ -263,6 +355,50 @@ def test_language_spans_and_odd_rows(spark, odd, none):
     assert language_id.identify(none, model).count() == 0
 
 
+def test_letters_are_the_unicode_letters(spark, odd):
+    """Text without a code point of the categories L* is `und`, whatever its script; any other text is not."""
+    import unicodedata
+
+    texts = ["٢٠٢٤", "१२३ ।", "،؟", "฿", "ℵ", "々", "ª", "e\u0301", "\u0301\u0301", "١ا", "𝔸", "😀 12", "ॐ", "—\u064b—", "ﬁ", "Ⅷ", "ʰ", "漢字", "ㇰ", "\U0001F130"]
+    model = language_id.fit(odd)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [got[i] == "und" for i in range(len(texts))] == [not any(unicodedata.category(c)[0] == "L" for c in t) for t in texts]
+
+
+def test_language_by_a_plain_version(spark, odd):
+    """Scores word by word and n-gram by n-gram, and the best path by recursion, on whole documents."""
+    import unicodedata
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").where("length(text) < 1500").limit(25)
+    model = language_id.fit(docs)
+    got = {r["doc_id"]: r for r in language_id.identify(docs.select("doc_id", "text"), model).collect()}
+    bucket = lambda g: int(language_id.gram_codes(np.frombuffer(g + b"   ", np.uint8).astype(np.uint32), 1, len(g))[0])
+    for r in docs.collect():
+        words_, cur = [], ""
+        for ch in (r["text"] or "").lower() + " ":
+            if unicodedata.category(ch)[0] in "LM":
+                cur += ch
+            elif cur:
+                words_, cur = [*words_, cur], ""
+        if not words_:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        path = None
+        for w in words_:
+            raw = b" " + w.encode() + b" "
+            s = sum((model.tables[o][bucket(raw[i : i + k])].astype(float) for o, k in enumerate(language_id.ORDERS) for i in range(len(raw) - k + 1)), np.zeros(len(model.langs)))
+            s = s + model.unfit[max(language_id.byte_scripts(np.frombuffer(w.encode(), np.uint8)))]
+            if path is None:
+                path = [(s[k], [k]) for k in range(len(s))]
+            else:
+                top = max(range(len(s)), key=lambda k: path[k][0])
+                path = [max((path[k][0], path[k][1]), (path[top][0] - language_id.PENALTY, path[top][1]), key=lambda x: x[0]) for k in range(len(s))]
+                path = [(v + s[k], [*p, k]) for k, (v, p) in enumerate(path)]
+        best = max(path, key=lambda x: x[0])[1]
+        votes = np.bincount(best, minlength=len(model.langs))
+        assert got[r["doc_id"]]["score"] == pytest.approx(votes.max() / votes.sum(), abs=1e-9) and got[r["doc_id"]]["lang_pred"] == model.langs[votes.argmax()]
+
+
 def test_viterbi_equals_exhaustive_search():
     rng = np.random.default_rng(4)
     model = language_id.Model(["a", "b", "c"], np.ones((3, len(language_id.ORDERS), language_id.BUCKETS)), np.ones((3, len(language_id.SCRIPTS))))
@@ -300,6 +436,72 @@ def test_toxicity_learns_and_takes_odd_rows(spark, odd, none):
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(odd, untaught).collect()) and toxicity.score(none, untaught).count() == 0
 
 
+def small_classifier(seed=1):
+    rng = np.random.default_rng(seed)
+    model = toxicity.Classifier(seed)
+    for k in ("word", "head", "filters", "shift", "out"):
+        value = getattr(model, k)
+        setattr(model, k, (rng.standard_normal(value.shape) * 0.5).astype(np.float64))
+    return model
+
+
+def test_gradients_by_finite_differences():
+    rng = np.random.default_rng(2)
+    model, rows = small_classifier(), np.array([0, 4, 5, 11])
+    word, head, label = rng.integers(0, 30, 11), rng.integers(0, 9, 11), np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        p = model.probability(word, head, rows)
+        return -np.mean(label * np.log(p) + (1 - label) * np.log(1 - p)) + 0.5e-4 * ((model.filters**2).sum() + (model.out**2).sum())
+
+    grad, _ = model.gradients(word, head, rows, label)
+    for name in ("word", "head", "filters", "shift", "out"):
+        value = getattr(model, name)
+        live = np.argwhere(np.abs(grad[name]) > 1e-7)
+        for at in map(tuple, live[rng.permutation(len(live))[:12]]):
+            kept, step = value[at], 1e-6
+            value[at] = kept + step
+            up = loss()
+            value[at] = kept - step
+            down = loss()
+            value[at] = kept
+            assert grad[name][at] == pytest.approx((up - down) / (2 * step), rel=2e-3, abs=2e-6)
+
+
+def test_scores_by_a_plain_forward_pass(spark):
+    model = small_classifier(5)
+    texts = ["one two three four", "A", "", "... 12", "é für über zwei two", "x " * 50]
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        word, head, rows = toxicity.tokens(data, np.array([0, len(data)]))
+        x, column, top = model.word[word] + model.head[head], 0, []
+        for w in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                top.append(max(sum(x[i + j] @ model.filters[column + j, :, f] for j in range(w) if i + j < len(x)) for i in range(len(x))))
+            column += w
+        want = 1 / (1 + np.exp(-(np.maximum(np.array(top) + model.shift, 0) @ model.out + model.bias)))
+        assert model.probability(word, head, rows)[0] == pytest.approx(want, rel=1e-9)
+
+
+def test_toxicity_query_on_odd_rows(spark, odd, none, tmp_path):
+    labels = spark.createDataFrame([(i, 1, (i or 0) % 2) for i in (None, 1, 2, 4, 4, 5, 7, 8, 99)] + [(6, 0, None), (5, 0, 7)], "doc_id long, quality int, toxic int")
+    long = spark.createDataFrame([(20, EN * 20_000, None, None, 1)], DOCS)
+    sf = folder(odd.unionByName(long).withColumn("score", F.lit("clash")), tmp_path, labels=labels)
+    got = toxicity.op8(spark, sf).collect()
+    assert len(got) == len(ODD) + 1 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+    assert sorted(map(str, toxicity.op8(spark, sf).collect())) == sorted(map(str, got))
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
+    rows = [(i, "word " * 200, "en", "s", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 100_000)
+    seen = []
+    monkeypatch.setattr(toxicity.Classifier, "fit", lambda self, word, *a: seen.append(len(word)))
+    toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    assert 0 < seen[0] < 400 * 200 / 2
+
+
 # --- suffixes ----------------------------------------------------------------------------------------------------------
 def slow_cut(texts):
     seen, out = set(), []
@@ -327,6 +529,32 @@ def test_suffix_dedup_against_all_windows(spark):
     assert suffix_dedup.cut_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("counters", "hot"), [(1 << 20, 1024), (16, 3), (16, 40)])
+def test_suffix_dedup_of_hot_grams_repeated_keys_and_long_texts(spark, monkeypatch, counters, hot):
+    rng = np.random.default_rng(16)
+    say = lambda n: "".join(rng.choice(list("abcdé "), n))
+    line, long = say(150), say(1_100_000)
+    texts = [say(80) + line + say(80) for _ in range(60)] + [line * 2, long[:1_050_000], "z" * 130, long[1_048_000:1_049_500]] + [say(300)] * 25
+    monkeypatch.setattr(suffix_dedup, "COUNTERS", counters)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", hot)
+    docs = spark.createDataFrame([(None if i == 0 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("kept", F.lit("clash"))
+    cut = lambda d: [(r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.cut_repeats(d).orderBy("doc_id").collect()]
+    assert cut(docs) == slow_cut(texts)
+    # rows that repeat a key: one of equal ones stays, and texts of different lengths under one key stand side by side
+    one, other = say(300), say(500)
+    rows = [(8, one), (8, one), (8, other), (None, one[:200]), (None, None), (9, other[:450]), (None, one[:200])]
+    got = suffix_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    size = lambda t: len((t or "").encode())
+    assert sorted((str(r["doc_id"]), r["n_bytes"]) for r in got) == sorted((str(i), size(t)) for i, t in rows)
+    left = {i: sorted(len(r["kept"]) for r in got if r["doc_id"] == i) for i in (None, 8, 9)}
+    assert left[None] == [0, 0, size(one[:200])] and left[9] == [0] and left[8] == sorted([0, size(one) - size(one[:200]), size(other)])
+
+
+def test_ranges_are_joined():
+    got = suffix_dedup.merged(*(np.array(x) for x in ([2, 1, 1, 1, 1], [0, 0, 0, 0, 1], [0, 50, 0, 10, 0], [5, 60, 30, 12, 9])))
+    assert [x.tolist() for x in got] == [[1, 1, 1, 2], [0, 0, 1, 0], [0, 50, 0, 0], [30, 60, 9, 5]]
+
+
 def test_suffix_order_is_the_bytes_order():
     rng = np.random.default_rng(8)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
@@ -385,6 +613,41 @@ def test_links_inside_text_stay(page, want):
     assert html_extract.main_text(page).split("\n") == want
 
 
+def plain_stretches(weight, width=3):
+    """A line is in a stretch if text stands before or on it and after or on it, and no `width` lines between are without."""
+    live = [i for i, w in enumerate(weight) if w]
+    return [any(a <= i for a in live) and any(b >= i for b in live) and (bool(weight[i]) or min(b for b in live if b > i) - max(a for a in live if a < i) <= width) for i in range(len(weight))]
+
+
+def test_stretches_against_a_plain_version():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        weight = rng.integers(0, 2, rng.integers(1, 25)) * rng.integers(1, 90)
+        assert html_extract.stretches(weight).tolist() == plain_stretches(weight), weight
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # the distribution alone decides: nothing here is marked
+        ("<div><a>Home</a></div><div><a>News</a></div><div><a>Shop</a></div><p>One.</p><div><a>next</a></div><p>Two.</p><div><a>a</a></div><div><a>b</a></div><div><a>c</a></div><div><a>d</a></div><p>Three.</p><div><a>Top</a></div>", ["One.", "next", "Two.", "Three."]),
+        ("<div class=legal>Imprint</div><p>One long line.</p><div class=legal>By law</div><p>Two long lines.</p><div class=toolbar>Print</div>", ["One long line.", "By law", "Two long lines."]),
+        ("<article><p title=it's>One.</p><header class='article-header'><h1>Title</h1></header><div class=legal>Law</div></article>", ["One.", "Title", "Law"]),
+        ("<div class='post-header'><h1>Title</h1></div><p>One.</p>", ["Title", "One."]),
+        ("<div class=legal><p>All of it</p><p>is law</p></div><p>x</p>", ["All of it", "is law", "x"]),
+        ("<p data-x='a>b' title = \"q'\">One</p><p title=a\"b>Two</p>", ["One", "Two"]),
+    ],
+)
+def test_the_distribution_decides(page, want):
+    assert html_extract.main_text(page).split("\n") == want
+
+
+def test_very_long_page(spark):
+    page = "<nav>menu</nav>" + "<p>line &amp; text</p>" * 60_000 + "<footer>foot</footer>"
+    got = html_extract.extract(spark.createDataFrame([(1, "u", page), (1, "u", page)], "page_id long, url string, html string")).collect()
+    assert [r["n_chars"] for r in got] == [60_000 * 12 - 1] * 2
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x</p>", "extra"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in html_extract.extract(pages).collect()) == [("1", "x", 1), ("None", "", 0)]
@@ -400,6 +663,8 @@ def test_shards_are_exact_and_repeatable(spark, odd, none):
     again = sharding.shard(rows.repartition(7), ["id"], 8, block_rows=500).toPandas()
     assert got.sort_values("id").reset_index(drop=True).equals(again.sort_values("id").reset_index(drop=True))
     assert abs(np.corrcoef(got.id, got.shard)[0, 1]) < 0.05
+    clash = sharding.shard(rows.limit(50).selectExpr("id", *[f"id AS {c}" for c in ("ends", "_p", "_b", "_r1", "_r2", "slot", "block", "_cell")]), ["id"], 3)
+    assert clash.columns == ["id", "ends", "_p", "_b", "_r1", "_r2", "block", "_cell", "shard", "slot"] and all(len({*r[:8]}) == 1 for r in clash.collect())
     assert sorted(sharding.shard(odd, ["doc_id"], 3).toPandas().groupby("shard").size()) == [3, 3, 4] and sharding.shard(none, ["doc_id"]).count() == 0
 
 
