@@ -1,6 +1,6 @@
 """All registered queries and the SQL that states their results."""
 
-from .plans import routing, structure
+from .plans import labels, routing, structure
 from .plans.queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "routing", "structure"]
+__all__ = ["ORACLES", "QUERIES", "labels", "routing", "structure"]

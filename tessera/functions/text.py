@@ -1,20 +1,71 @@
-"""Text features as Spark columns; none of them leaves the JVM."""
+"""Text features as Spark columns; but for nfkc() none of them leaves the JVM."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Chinese digits and units.
-CN_DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+CN_DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "兩": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 CN_UNITS = {"十": 10, "百": 100, "千": 1000}
-NUMBER = "[0-9零〇一二三四五六七八九十百千]+"
+NUMBER = "[0-9零〇一二兩三四五六七八九十百千]+"
 FULL_WIDTH, ASCII_DIGITS = "０１２３４５６７８９", "0123456789"
 
 
-def words(text: Column, least: int = 2) -> Column:
-    """Lower-cased runs of ASCII letters, those of at least `least` letters."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), lambda t: F.length(t) >= least)
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Words that tell nothing of a text; a parameter of importance_tokens().
+STOP_WORDS = ("的", "了", "在", "是", "有", "和", "就", "不", "都", "一", "上", "也", "很", "到", "要", "去", "會", "著", "沒有", "我們", "你們", "他們", "如果", "因為", "所以", "但是", "或者", "而且", "可以", "應該", "必須", "需要", "以及", "對於", "關於")
+#: Runs of anything but letters, digits and underscores, and of Chinese characters.
+BETWEEN = "(?:[^\\p{L}\\p{N}_]|\\p{IsHan})+"
+
+
+def words(text: Column, least: int = 2, tokenizer: str = "bigram") -> Column:
+    """Lower-cased words of at least `least` characters: runs of letters, digits and underscores of any script, then what the
+    tokenizer makes of runs of Chinese characters: `bigram` overlapping pairs, `char` single characters, `run` whole runs.
+
+    Chinese has no blanks between words; pairs stand in for a dictionary. Characters pass the length filter as they are.
+    """
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: _words(low, least, tokenizer))
+
+
+def _words(low: Column, least: int, tokenizer: str) -> Column:
+    runs = F.regexp_extract_all(low, F.lit("\\p{IsHan}+"), F.lit(0))
+    pairs = lambda s: F.when(F.length(s) > 1, F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, 2))).otherwise(F.array(s))
+    han = {"bigram": lambda: F.flatten(F.transform(runs, pairs)), "char": lambda: F.regexp_extract_all(low, F.lit("\\p{IsHan}"), F.lit(0)), "run": lambda: runs}[tokenizer]()
+    long = F.filter(F.split(low, BETWEEN), lambda t: F.length(t) >= least)
+    return F.concat(long, han if tokenizer == "char" else F.filter(han, lambda t: F.length(t) >= min(least, 2)))
+
+
+def importance_tokens(text: Column, stop: tuple = STOP_WORDS) -> Column:
+    """words() without stop words and plain numbers."""
+    return F.filter(words(text), lambda t: ~t.isin(*stop) & ~t.rlike("^[0-9]+$"))
+
+
+@F.pandas_udf("string")
+def nfkc(text: pd.Series) -> pd.Series:
+    """Unicode normal form KC; no built-in function gives it."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc_like(text: Column) -> Column:
+    """What NFKC does to the characters of labels: full-width digits, brackets, hyphens and blanks."""
+    return F.translate(text, FULL_WIDTH + "（）－　", ASCII_DIGITS + "()- ")
+
+
+def keywords(text: Column, k: int = 5) -> Column:
+    """The k most frequent words, ties by their first place."""
+    def counted(tokens: Column) -> Column:
+        each = F.transform(F.array_distinct(tokens), lambda w, i: F.struct((F.size(F.array_remove(tokens, w)) - F.size(tokens)).alias("less"), i.alias("at"), w.alias("word")))
+        return F.transform(F.slice(F.array_sort(each), 1, k), lambda x: x["word"])
+
+    return let(words(text), counted)
 
 
 def chars(text: Column) -> Column:
@@ -54,7 +105,7 @@ def cn_number(text: Column, append: bool = False) -> Column:
         return F.struct(total.alias("total"), num.alias("num"), (a["any"] | d.isNotNull() | u.isNotNull()).alias("any"))
 
     folded = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, step)
-    return F.when(folded["any"], folded["total"] + folded["num"])
+    return let(folded, lambda f: F.when(f["any"], f["total"] + f["num"]))
 
 
 def cn_numeral(n: Column) -> Column:
@@ -65,24 +116,27 @@ def cn_numeral(n: Column) -> Column:
     return F.when(n < 10, unit).when(tens == 1, F.concat(F.lit("十"), unit)).otherwise(F.concat(F.element_at(names, F.greatest(tens, F.lit(1))), F.lit("十"), unit))
 
 
-def _number(text: Column) -> Column:
-    plain = digits_normalised(text)
-    return F.when(plain == "", None).when(plain.rlike("^[0-9]+$"), plain.cast("int")).otherwise(cn_number(plain))
+def label_number(text: Column) -> Column:
+    """A number of a label: digits, full-width or not, or a Chinese numeral (of a digit run the last counts); null if empty."""
+    return let(digits_normalised(text), lambda plain: F.when(plain == "", None).when(plain.rlike("^[0-9]+$"), plain.cast("int")).otherwise(cn_number(plain)))
 
 
 def article(label: Column) -> tuple[Column, Column]:
     """Article number and suffix of 第N條之M, 第N-M條 or 第N條, in this order."""
     label = digits_normalised(label)
-    of = lambda p, i: _number(F.regexp_extract(label, p, i))
+    of = lambda p, i: label_number(F.regexp_extract(label, p, i))
     after, dash, plain = f"第\\s*({NUMBER})\\s*條之\\s*({NUMBER})", f"第\\s*({NUMBER})\\s*[-－]\\s*({NUMBER})\\s*條", f"第\\s*({NUMBER})\\s*條"
     return F.coalesce(of(after, 1), of(dash, 1), of(plain, 1)), F.coalesce(of(after, 2), of(dash, 2))
 
 
+#: What tells of a reference to the text itself, its law, and other laws.
+REFERENCES = (("internal_reference", "前項|前條|準用之|依.*規定|比照.*辦理|適用.*規定"), ("self_reference", "本法|本條例|本規則|本辦法"), ("external_reference", "其他法律|相關法規|其他法規|其他條例"))
+
+
 def cross_references(text: Column) -> Column:
-    """Distinct references to articles, paragraphs and subparagraphs, and what kinds of reference there are, sorted."""
-    found = F.concat(*[F.regexp_extract_all(text, F.lit(f"第{NUMBER}{u}"), F.lit(0)) for u in ("條", "項", "款")])
-    kinds = [("internal", "本法|本條例|本規則"), ("self", "前條|前項|前款|本條|本項|本款"), ("external", "其他法律|依.{1,12}法")]
-    tags = F.filter(F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in kinds]), lambda x: x.isNotNull())
+    """Distinct articles, items and clauses that a text names, and what kinds of reference it makes, sorted."""
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(f"第[一二三四五六七八九十百千0-9]+{u}"), F.lit(0)) for u in ("條", "項", "款")])
+    tags = F.filter(F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in REFERENCES]), lambda x: x.isNotNull())
     return F.array_sort(F.array_distinct(F.concat(found, tags)))
 
 

@@ -16,6 +16,8 @@ ORACLES: dict = {}
 
 def query(sql: str | None = None):
     def add(fn):
+        if fn.__name__ in QUERIES:
+            raise ValueError(f"a query named {fn.__name__} is registered already")
         QUERIES[fn.__name__] = fn
         if sql:
             ORACLES[fn.__name__] = sql
@@ -89,13 +91,6 @@ def hybrid_chunks(spark, d):
     return chunking.hybrid(_docs(spark, d)).select("doc_id", "chunk_index", "sub_index", F.md5("content").alias("content_md5"))
 
 
-@query("""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '') AS ls FROM documents),
-d AS (SELECT doc_id, CASE WHEN len(ls) > 0 THEN len(list_filter(ls, lambda s: regexp_matches(s, '^[A-Z][a-z]+[.]'))) / len(ls) ELSE 0 END AS x FROM l)
-SELECT doc_id, round(x, 6) AS density, CASE WHEN round(x, 6) > 0.1 THEN 0.8::DOUBLE WHEN round(x, 6) < 0.05 THEN 1.2 ELSE 1.0 END AS step_factor FROM d""")
-def structure_density(spark, d):
-    return chunking.density(_docs(spark, d), "^[A-Z][a-z]+[.]")
-
-
 SIZES, RATIOS = (300, 500, 800), (0.0, 0.1, 0.2)
 GRID_SQL = """g AS (SELECT s AS chunk_size, r::DOUBLE AS overlap_ratio, s - floor(s * r::DOUBLE)::INT AS step FROM (VALUES (300), (500), (800)) a(s), (VALUES (0.0), (0.1), (0.2)) b(r)),
 gc AS (SELECT chunk_size, overlap_ratio, length(substring(text, p + 1, chunk_size)) AS n FROM (SELECT chunk_size, overlap_ratio, text, unnest(generate_series(0, length(text) - 1, step)) AS p FROM documents, g WHERE length(text) > 0) WHERE trim(substring(text, p + 1, chunk_size)) <> ''),
@@ -337,13 +332,6 @@ def cn_numeral_names(spark, d):
     return spark.range(1, 100).select(F.col("id").alias("n"), T.cn_numeral(F.col("id")).alias("numeral"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, '第2條,第1項,internal'), (2, '第2條,第1項,internal'), (3, '第2條,第1項,internal')) t(doc_id, refs)")
-def cross_refs(spark, d):
-    last = F.element_at(F.split("text", "\n"), -1)
-    kept = F.filter(T.cross_references(last), lambda x: ~F.contains(x, F.lit("external")))
-    return _laws(spark).select("doc_id", F.array_join(F.concat(F.array_sort(F.filter(kept, lambda x: F.startswith(x, F.lit("第"))), lambda a, b: F.when(F.contains(a, F.lit("條")), -1).otherwise(1)), F.filter(kept, lambda x: ~F.startswith(x, F.lit("第")))), ",").alias("refs"))
-
-
 NODES_SQL = """n AS (SELECT * FROM (VALUES (0, 'chapter', '第一章 總則', ''), (1, 'article', '第一章 總則/第1條', '為示範#而訂定本規則。'), (3, 'article', '第一章 總則/第2條', ''),
   (4, 'paragraph', '第一章 總則/第2條/1 本規則用詞如下：', ''), (5, 'subparagraph', '第一章 總則/第2條/1 本規則用詞如下：/一、甲：示範#用語。', ''),
   (6, 'item', '第一章 總則/第2條/1 本規則用詞如下：/一、甲：示範#用語。/（一）第一目。', '續行文字。'), (8, 'article', '第一章 總則/第3條', '（刪除）'),
@@ -406,30 +394,6 @@ def graph_paths(spark, d):
     return enrichment.paths(edges, spark.sql("SELECT * FROM VALUES ('a'), ('x') AS t(concept)")).withColumn("hops", F.col("hops").cast("long"))
 
 
-RULES = "('the', 'article', 0.9{d}), ('und', 'conjunction', 0.8{d}), ('le', 'article', 0.7{d}), ('que', 'relative', 0.85{d})"
-
-
-@query(f"SELECT item_id AS id, concept, max(confidence) AS confidence FROM benchmark JOIN (SELECT * FROM (VALUES {RULES.replace('{d}', '::DOUBLE')}) t(term, concept, confidence)) ON contains(text, term) GROUP BY ALL")
-def reasoning_expand(spark, d):
-    rules = spark.sql(f"SELECT * FROM VALUES {RULES.replace('{d}', 'D')} AS t(term, concept, confidence)")
-    return enrichment.expand(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), rules)
-
-
-@query("""SELECT doc_id, CASE WHEN a > 0 AND a >= b THEN 'licence' WHEN b > a THEN 'secret' ELSE 'general' END AS article_type,
-CASE WHEN greatest(a, b) > 0 THEN round(least(0.9::DOUBLE, 0.2::DOUBLE * greatest(a, b) + 0.3::DOUBLE), 6) ELSE 0.5 END AS confidence
-FROM (SELECT doc_id, contains(text, 'license')::INT + contains(text, 'License')::INT + contains(text, 'copyright')::INT AS a, contains(text, 'token')::INT + contains(text, 'key')::INT AS b FROM documents)""")
-def classify_documents(spark, d):
-    name, confidence = enrichment.classify(F.coalesce("text", F.lit("")), {"licence": ("license", "License", "copyright"), "secret": ("token", "key")}, "general")
-    return _docs(spark, d).select("doc_id", name.alias("article_type"), confidence.alias("confidence"))
-
-
-@query("""WITH s AS (SELECT item_id, len(regexp_extract_all(text, '\\b[A-Z][a-z]+\\b')) AS n1, length(array_to_string(regexp_extract_all(text, '\\b[A-Z][a-z]+\\b'), '')) AS l1, len(regexp_extract_all(text, ',')) AS n2 FROM benchmark),
-x AS (SELECT item_id, least(1.0::DOUBLE, 0.1::DOUBLE * n1 + 0.01::DOUBLE * l1) AS a, least(1.0::DOUBLE, 0.11::DOUBLE * n2) AS b FROM s)
-SELECT item_id, CASE WHEN greatest(a, b) < 0.3 AND a + b > 0.5 THEN 'mixed' WHEN a > 0 AND round(a, 9) >= round(b, 9) THEN 'names' WHEN b > a THEN 'lists' ELSE 'mixed' END AS level FROM x""")
-def query_classify(spark, d):
-    return table(spark, d, "benchmark").select("item_id", enrichment.classify_query(F.col("text"), {"names": (r"\b[A-Z][a-z]+\b",), "lists": (",",)}).alias("level"))
-
-
 @query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents) WHERE rn = 1")
 def dedupe_docs(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("filename"), F.col("n_chars").alias("n_chunks"))
