@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Chinese digits and units.
 CN_DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "兩": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
@@ -48,7 +49,7 @@ def importance_tokens(text: Column, stop: tuple = STOP_WORDS) -> Column:
     return F.filter(words(text), lambda t: ~t.isin(*stop) & ~t.rlike("^[0-9]+$"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode normal form KC; no built-in function gives it."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

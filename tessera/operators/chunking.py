@@ -79,3 +79,139 @@ def density(docs: DataFrame, pattern: str) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "")
     share = F.round(F.when(F.size(lines) > 0, F.size(F.filter(lines, lambda s: s.rlike(pattern))) / F.size(lines)).otherwise(0.0), 6)
     return docs.select("doc_id", share.alias("density"), F.when(share > 0.1, 0.8).when(share < 0.05, 1.2).otherwise(1.0).alias("step_factor"))
+
+
+# --- more splitters -----------------------------------------------------------------------------------------------------------------
+def overlap_windows(docs: DataFrame, window: int = 500, ratio: float = 0.1) -> DataFrame:
+    """fixed_ratio() of texts that are not blank: windows every window - int(window * ratio) characters, each with its span."""
+    return fixed_ratio(docs.where(F.trim("text") != ""), window, ratio)
+
+
+def paragraphs_then_sentences(docs: DataFrame, most: int = 1000, least: int = 200, overlap: int = 0) -> DataFrame:
+    """(doc_id, chunk_index, content, overlapped): paragraphs between blank lines; one over `most` characters is packed from its
+    sentences (between 。), packs under `least` are dropped. overlap: behind each chunk longer than it stands a copy of the
+    next one, if that is longer, too, with the last `overlap` characters of the chunk in place of its own first ones.
+    """
+    def packs(p: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+        kept = lambda a: F.when((F.length(a["cur"]) >= least) & (a["cur"] != ""), F.concat(a["done"], F.array(F.trim(a["cur"])))).otherwise(a["done"])
+
+        def step(a: Column, s: Column) -> Column:
+            fits = F.length(a["cur"]) + F.length(s) <= most
+            grown = F.concat(a["cur"], s, F.lit("。"))
+            return F.struct(F.when(fits, a["done"]).otherwise(kept(a)).alias("done"), F.when(fits, grown).otherwise(F.concat(s, F.lit("。"))).alias("cur"))
+
+        return F.aggregate(F.split(p, "。"), start, step, kept)
+
+    parts = F.flatten(F.transform(F.split("text", "\n\n"), lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(packs(p))))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", parts.alias("parts"))
+    if overlap <= 0:
+        return rows.select("doc_id", F.posexplode("parts").alias("chunk_index", "content")).withColumn("overlapped", F.lit(False))
+    after = lambda i: F.get("parts", i + 1)
+    both = F.transform("parts", lambda c, i: F.when((F.length(c) > overlap) & (F.length(after(i)) > overlap), F.array(F.struct(c.alias("content"), F.lit(False).alias("overlapped")), F.struct(F.concat(F.right(c, F.lit(overlap)), F.substring(after(i), overlap + 1, 1 << 30)).alias("content"), F.lit(True).alias("overlapped")))).otherwise(F.array(F.struct(c.alias("content"), F.lit(False).alias("overlapped")))))
+    return rows.select("doc_id", F.posexplode(F.flatten(both)).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.content", "c.overlapped")
+
+
+def split_oversize(chunks: DataFrame, most: int = 1000, ratio: float = 0.1, keys: tuple = ("doc_id", "chunk_index")) -> DataFrame:
+    """(keys, part, content) of chunks(keys, content): those over `most` characters in pieces, others whole.
+
+    Pieces are packed from paragraphs, else lines, else sentences (those packed to `most` first), joined by blank lines; each
+    but the first starts with the last int(most * ratio) characters of the one before, if that was longer.
+    """
+    tail = int(most * ratio)
+    blank = lambda a: F.filter(a, lambda s: F.trim(s) != "")
+
+    def pieces(c: Column) -> Column:
+        by_paragraph, by_line = blank(F.split(c, "\n\n")), blank(F.split(c, "\n"))
+        return F.when(F.size(by_paragraph) > 1, by_paragraph).when(F.size(by_line) > 1, by_line).otherwise(packed(F.filter(F.split(c, "(?<=[。！？；;])"), lambda s: s != ""), most, ""))
+
+    def pack(parts: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+
+        def step(a: Column, raw: Column) -> Column:
+            s = F.trim(raw)
+            over = (F.length(a["cur"]) + F.length(s) > most) & (a["cur"] != "")
+            carried = F.trim(F.right(a["cur"], F.lit(tail))) if tail else F.lit("")
+            opened = F.when((F.length(a["cur"]) > tail) & (carried != ""), F.concat(carried, F.lit("\n\n"), s)).otherwise(s)
+            grown = F.when(a["cur"] == "", s).otherwise(F.concat(a["cur"], F.lit("\n\n"), s))
+            return F.struct(F.when(over, F.concat(a["done"], F.array(F.trim(a["cur"])))).otherwise(a["done"]).alias("done"), F.when(over, opened).otherwise(grown).alias("cur"))
+
+        return F.aggregate(parts, start, step, lambda a: F.when(F.trim(a["cur"]) == "", a["done"]).otherwise(F.concat(a["done"], F.array(F.trim(a["cur"])))))
+
+    c = F.col("content")
+    return chunks.select(*keys, F.posexplode(F.when(F.length(c) <= most, F.array(c)).otherwise(pack(pieces(c)))).alias("part", "content"))
+
+
+def recovered_spans(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, chunk_index, start, end) of chunks(doc_id, chunk_index, content) in docs(doc_id, text): each chunk is looked for from the end of
+    the one before, else from the beginning of the text, else it is taken to follow the one before. Ends stay within the text.
+
+    A text meets its own chunks in one row; the search runs over them in order.
+    """
+    listed = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("chunks"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<chunk_index:int,start:int,end:int>>").alias("out"))
+    n = F.length("text")
+
+    def step(a: Column, c: Column) -> Column:
+        ahead, anywhere = F.call_function("locate", c["content"], F.col("text"), a["at"] + 1) - 1, F.instr("text", c["content"]) - 1
+        at = F.when(ahead >= 0, ahead).when(anywhere >= 0, anywhere).otherwise(a["at"])
+        end = F.least(at + F.length(c["content"]), n)
+        return F.struct(F.greatest(end, at).alias("at"), F.concat(a["out"], F.array(F.struct(c["chunk_index"].cast("int").alias("chunk_index"), at.alias("start"), end.alias("end")))).alias("out"))
+
+    return docs.join(listed, "doc_id").select("doc_id", F.inline(F.aggregate("chunks", start, step, lambda a: a["out"])))
+
+
+def overlapping_spans(chunks: DataFrame, spans: DataFrame, least: float = 0.1) -> DataFrame:
+    """(doc_id, chunk_index, span_id, share, rank): spans(span_id, doc_id, s, e) that cover more than `least` of a chunk(doc_id, chunk_index, start,
+    end), those that cover most first."""
+    from pyspark.sql import Window
+
+    joined = chunks.select("doc_id", "chunk_index", "start", "end").join(spans, "doc_id").where((F.col("s") < F.col("end")) & (F.col("start") < F.col("e")))
+    share = (F.least("end", "e") - F.greatest("start", "s")) / (F.col("end") - F.col("start"))
+    order = Window.partitionBy("doc_id", "chunk_index").orderBy(F.desc("share"), "span_id")
+    return joined.withColumn("share", F.round(share, 6)).where(share > least).withColumn("rank", F.row_number().over(order)).select("doc_id", "chunk_index", "span_id", "share", "rank")
+
+
+def overlap_rate(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, n_chunks, rate): how much longer the chunks of a text are together than the text, as a share of the text."""
+    sums = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("content")).alias("chars"))
+    return sums.join(docs.select("doc_id", F.length("text").alias("n")), "doc_id").select("doc_id", "n_chunks", F.round(F.greatest(F.lit(0.0), F.col("chars") / F.col("n") - 1), 6).alias("rate"))
+
+
+def strategy(name: str, **parameters):
+    """The splitter of a strategy's name, with the parameters that it takes; an unknown name means fixed size. chunk_size is
+    the one size of every strategy, under whatever name its splitter has it."""
+    from . import concept_spans, splitting
+
+    size, overlap = parameters.get("chunk_size", 500), parameters.get("overlap_ratio", 0.1)
+    steps = int(size * overlap)
+    table = {
+        "fixed_size": lambda d: fixed_ratio(d, size, overlap),
+        "sliding_window": lambda d: sliding_stop(d, size, steps),
+        "hierarchical": lambda d: splitting.structured_lines(d, size),
+        "rcts_hierarchical": lambda d: splitting.prefixed_structure(d, size, steps),
+        "recursive": lambda d: splitting.recursive(d, size, steps),
+        "paragraph": lambda d: paragraphs_then_sentences(d, size, parameters.get("min_chunk_size", 0)),
+        "semantic": lambda d: sentence_packs(d, size),
+        "llm_semantic": lambda d: sentence_packs(d, size),
+        "adaptive": lambda d: splitting.boundary_windows(d, size, min(50, size // 4), steps),
+        "hybrid": lambda d: hybrid(d, size, max(1, size * 2 // 3), min(steps, size // 2)),
+        "mean_sentence": lambda d: splitting.by_sentence_length(d, size, max(1, size * 2 // 3), steps),
+        "semantic_integrity": lambda d: concept_spans.concept_windows(d, size),
+    }
+    return table.get(name, table["fixed_size"])
+
+
+def batch(docs: DataFrame, strategies: tuple, sizes: tuple, ratios: tuple) -> DataFrame:
+    """(strategy, chunk_size, overlap_ratio, doc_id, chunk_index, content) of every combination; one that a splitter refuses is left out."""
+    out = None
+    for name in strategies:
+        for size in sizes:
+            for ratio in ratios:
+                try:
+                    got = strategy(name, chunk_size=size, overlap_ratio=ratio)(docs)
+                except ValueError:
+                    continue
+                got = got.select(F.lit(name).alias("strategy"), F.lit(size).alias("chunk_size"), F.lit(float(ratio)).alias("overlap_ratio"), "doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "content")
+                out = got if out is None else out.unionByName(got)
+    return out

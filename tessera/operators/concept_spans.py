@@ -15,25 +15,25 @@ from pyspark.sql import DataFrame
 from .fusion import LEVEL_WEIGHTS
 from .splitting import walked
 
-#: What a cue of each kind says (.. stands for up to GAP characters of one sentence), and how much it weighs.
+ENDS = "。！？"
+#: What lies between the words of a cue, and between a cue and the end of its sentence.
+GAP, REST = f"[^{ENDS}\\n]{{0,200}}?", f"[^{ENDS}\\n]*"
+#: The weight of each kind of concept and the patterns of its cues.
 CUES = {
-    "definition": (1.0, ("本法所稱..是指", "指..者", "為..者")),
-    "right_definition": (0.9, ("著作人專有..權利", "商標權人..權利", "專有..權利")),
-    "exception_clause": (0.8, ("但", "不在此限", "除外")),
-    "conditional_clause": (0.7, ("有下列情形之一", "如..時", "於..情形")),
-    "procedural_clause": (0.6, ("應..申請", "得..辦理", "依..程序")),
+    "definition": (1.0, (f"本法所稱{GAP}是指{REST}", f"指{GAP}者{REST}", f"為{GAP}者{REST}")),
+    "right_definition": (0.9, (f"著作人專有{GAP}權利{REST}", f"商標權人{GAP}權利{REST}", f"專有{GAP}權利{REST}")),
+    "exception_clause": (0.8, (f"但{REST}", f"不在此限{REST}", f"除外{REST}")),
+    "conditional_clause": (0.7, (f"有下列情形之一{REST}", f"如{GAP}時{REST}", f"於{GAP}情形{REST}")),
+    "procedural_clause": (0.6, (f"應{GAP}申請{REST}", f"得{GAP}辦理{REST}", f"依{GAP}程序{REST}")),
 }
 #: Least and most characters of a chunk of each granularity level, and kinds of concept that it keeps at any length.
 LEVEL_SIZES = {"document": (2000, 10000), "document_component": (1000, 3000), "basic_unit_hierarchy": (500, 1500), "basic_unit": (200, 800), "basic_unit_component": (100, 400), "enumeration": (50, 200)}
 LEVEL_KINDS = {"basic_unit_component": ("definition",)}
 STRUCTURE = r"第\s*\d+\s*[條章節項]"
-ENDS = "。！？"
-GAP = 200
 
 
 def _patterns() -> dict[str, list[re.Pattern]]:
-    inside = f"[^{ENDS}\\n]"
-    return {kind: [re.compile(cue.replace("..", f"{inside}{{0,{GAP}}}?") + f"{inside}*") for cue in cues] for kind, (_, cues) in CUES.items()}
+    return {kind: [re.compile(cue) for cue in cues] for kind, (_, cues) in CUES.items()}
 
 
 class _Spans:

@@ -41,22 +41,28 @@ def weight(level: Column, weights: dict[str, float] = LEVEL_WEIGHTS) -> Column:
 
 
 def fuse(results: DataFrame, strategy: str, least: float = 0.0, most: int = 0) -> DataFrame:
-    """One row per query and distinct content: fused score, rank, and how often it occurred. comb_sum is the weighted mean."""
+    """One row per query and distinct content: fused score, rank, how often it occurred, and level_scores, the best score of each
+    level that has it (map). comb_sum is the weighted mean, comb_sum_true the plain sum. Scores
+    count with nine digits and come out with twelve, behind which a quotient of weights cannot lie on a rounding tie."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
-    w, s = weight(F.col("level")), F.col("score")
+    # sums of decimals do not depend on the order of the rows; scores have six digits
+    w, s, n = weight(F.col("level")).cast("decimal(3,2)"), F.col("score").cast("decimal(20,9)"), F.count("*")
+    exact = lambda c: F.sum(c).cast("double")
     how = {
-        "weighted_sum": F.sum(s * w) / F.sum(w),
-        "comb_sum": F.sum(s * w) / F.sum(w),
-        "reciprocal_rank": F.sum(w / F.col("rank")),
-        "comb_sum_true": F.sum(s),
-        "comb_anz": F.avg(s),
-        "comb_mnz": F.sum(s) * F.count("*"),
+        "weighted_sum": exact(s * w) / exact(w),
+        "comb_sum": exact(s * w) / exact(w),
+        "reciprocal_rank": exact(F.round(w.cast("double") / F.col("rank"), 9).cast("decimal(18,9)")),
+        "comb_sum_true": exact(s),
+        "comb_anz": exact(s) / n,
+        "comb_mnz": exact(s) * n,
     }[strategy]
-    one = results.groupBy("query_id", "doc_id", F.md5("content").alias("content_hash")).agg(how.alias("score"), F.count("*").alias("occurrences")).where(F.col("score") >= least)
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "doc_id", "content_hash")
+    one = results.groupBy("query_id", "doc_id", F.md5("content").alias("content_hash")).agg(how.alias("score"), n.alias("occurrences"), F.collect_set(F.struct("level", F.col("score").alias("s"))).alias("_l")).where(F.col("score") >= least)
+    best = F.array_sort(F.filter("_l", lambda x: ~F.exists("_l", lambda y: (y["level"] == x["level"]) & (y["s"] > x["s"]))))
+    one = one.withColumn("level_scores", F.map_from_entries(best)).drop("_l")
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "doc_id", "content_hash")
     ranked = one.withColumn("rank", F.row_number().over(order))
-    return (ranked.where(F.col("rank") <= most) if most else ranked).withColumn("score", F.round("score", 6))
+    return (ranked.where(F.col("rank") <= most) if most else ranked).withColumn("score", F.round("score", 12))
 
 
 def routes(available: tuple[str, ...], kind: str, hard: bool) -> dict[str, float]:
@@ -91,6 +97,27 @@ def adaptive(queries: DataFrame, results: DataFrame, available: tuple[str, ...])
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "result_id")))
 
 
+def contributions(results: DataFrame, fused: DataFrame) -> DataFrame:
+    """(query_id, level, n, mean_score, in_fused): how many results a level gave, their mean score, and how many documents of it are in
+    the fused list. results(query_id, level, doc_id, score)."""
+    kept = fused.select("query_id", "doc_id").distinct().withColumn("hit", F.lit(1))
+    return results.join(kept, ["query_id", "doc_id"], "left").groupBy("query_id", "level").agg(F.count("*").alias("n"), F.round(F.sum(F.col("score").cast("decimal(20,9)")).cast("double") / F.count("*"), 6).alias("mean_score"), F.count("hit").alias("in_fused"))
+
+
+def strategy_performance(results: DataFrame) -> DataFrame:
+    """(strategy, n, mean, low, high) of results(result_id, score, strategies array): every strategy that contributed to a result."""
+    each = results.select("score", F.explode("strategies").alias("strategy"))
+    return each.groupBy("strategy").agg(F.count("*").alias("n"), F.round(F.sum(F.col("score").cast("decimal(20,9)")).cast("double") / F.count("*"), 6).alias("mean"), F.min("score").alias("low"), F.max("score").alias("high"))
+
+
+def availability(stored_levels: DataFrame) -> DataFrame:
+    """(group_name, available, missing, ready): which levels of each granularity group stored_levels(level) holds."""
+    have = stored_levels.select("level").distinct().withColumn("have", F.lit(True))
+    joined = group_levels(stored_levels.sparkSession).join(have, "level", "left")
+    lists = [F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("level")))), "|") for c in (F.col("have").isNotNull(), F.col("have").isNull())]
+    return joined.groupBy("group_name").agg(lists[0].alias("available"), lists[1].alias("missing"), (F.count("have") == F.count("*")).alias("ready"))
+
+
 def group_levels(spark) -> DataFrame:
     values = ", ".join(f"('{g}', '{level}')" for g, ls in GROUPS.items() for level in ls)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(group_name, level)")

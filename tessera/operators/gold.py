@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from ..functions import values as V
@@ -75,7 +76,7 @@ def _keywords(text: Column) -> Column:
     return F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit("[\\p{L}\\p{N}]+"), F.lit(0))), lambda w: F.length(w) >= 2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def longest_common_share(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common substring over that of the longer text; no built-in function tells it."""
 

@@ -7,15 +7,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import importance_tokens, let, ngrams, words
+from ..sources import stored
 
-#: Rows of a query-side relation that may be broadcast.
-BROADCAST_ROWS = 100_000
+#: Rows of a query-side relation that may be broadcast, and of a vocabulary (a word and a number each, about 50 MB).
+BROADCAST_ROWS, VOCABULARY = 100_000, 1_000_000
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows that it is small; else joins shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def top(scored: DataFrame, by: list[str], k: int, ties: list[str], score: str = "score") -> DataFrame:
@@ -23,85 +24,110 @@ def top(scored: DataFrame, by: list[str], k: int, ties: list[str], score: str =
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def postings(chunks: DataFrame, keys: list[str], tokens: Column | None = None) -> DataFrame:
-    """(keys, tokens, dl): the one tokenised relation that all index parts come from."""
-    return chunks.select(*keys, (words(F.col("content")) if tokens is None else tokens).alias("tokens")).withColumn("dl", F.size("tokens"))
+KEYS = ["doc_id", "chunk_index"]
 
 
-def term_frequencies(tokenised: DataFrame, keys: list[str], terms: DataFrame) -> DataFrame:
-    """(keys, dl, term, tf) of the given terms only: other tokens are dropped before anything is shuffled."""
-    return tokenised.select(*keys, "dl", F.explode("tokens").alias("term")).join(small(terms), "term", "left_semi").groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
+def index(chunks: DataFrame, keys: list[str] | None = None, tokens: Column | None = None) -> DataFrame:
+    """(keys, dl, terms array<struct<term, tf>>): the index that all searches and statistics read, written once to the shared folder.
 
+    Tokens are counted inside the row, so building it shuffles nothing. tokens: an array column, else words() of content.
+    """
+    keys = KEYS if keys is None else keys
+    counted = lambda t: F.transform(F.array_distinct(t), lambda w: F.struct(w.alias("term"), (F.size(t) - F.size(F.array_remove(t, w))).alias("tf")))
+    rows = chunks.select(*keys, (words(F.col("content")) if tokens is None else tokens).alias("tokens"))
+    return stored(rows.select(*keys, F.size("tokens").alias("dl"), let(F.col("tokens"), counted).alias("terms")))
+
+
+def _postings(indexed: DataFrame, *columns: str) -> DataFrame:
+    """(columns, term, tf) of every term of every chunk."""
+    return indexed.select(*columns, F.explode("terms").alias("t")).select(*columns, "t.term", "t.tf")
 
-def document_frequencies(tokenised: DataFrame) -> DataFrame:
-    return tokenised.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
+def document_frequencies(indexed: DataFrame) -> DataFrame:
+    return _postings(indexed).groupBy("term").agg(F.count("*").alias("df"))
 
-def query_terms(queries: DataFrame, key: str = "item_id") -> DataFrame:
-    """(query, term, qtf)."""
-    return queries.select(F.col(key).alias("query_id"), F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
+def query_terms(queries: DataFrame, key: str = "item_id", tokens: Column | None = None) -> DataFrame:
+    """(query_id, term, qtf) of queries(key, text)."""
+    return queries.select(F.col(key).alias("query_id"), F.explode(words(F.col("text")) if tokens is None else tokens).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """Okapi BM25 top k chunks per query; a negative idf becomes epsilon times the vocabulary's mean idf."""
-    keys = ["doc_id", "chunk_index"]
-    tokenised = postings(chunks, keys)
+
+def bm25_scores(indexed: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, epsilon: float = 0.25, keys: list[str] | None = None) -> DataFrame:
+    """(query_id, keys, score) of Okapi BM25 for every chunk with a term of the query; a negative idf becomes epsilon times the
+    vocabulary's mean idf. The vocabulary is counted once; what is joined with the postings are the asked terms only."""
+    keys = KEYS if keys is None else keys
     asked = query_terms(queries)
-    stats = tokenised.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    raw = document_frequencies(tokenised).join(F.broadcast(stats)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    stats = indexed.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    raw = stored(document_frequencies(indexed).join(F.broadcast(stats)).select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
     mean = raw.agg((F.avg("raw") * epsilon).alias("floor"))
     idf = raw.join(small(asked.select("term").distinct()), "term", "left_semi").join(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    weighted = term_frequencies(tokenised, keys, asked.select("term").distinct()).join(small(idf), "term")
+    weighted = asked.join(idf, "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = weighted.select(*keys, "term", part.alias("part")).join(small(asked), "term").groupBy("query_id", *keys).agg(F.sum(F.col("part") * F.col("qtf")).alias("score"))
-    return top(scored, ["query_id"], k, keys).withColumn("score", F.round("score", 6))
+    return _postings(indexed, *keys, "dl").join(small(weighted), "term").groupBy("query_id", *keys).agg(F.sum(part * F.col("qtf")).alias("score"))
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, indexed: DataFrame | None = None) -> DataFrame:
+    """Okapi BM25 top k chunks per query; see bm25_scores(). Builds an index unless one is given."""
+    scored = bm25_scores(index(chunks) if indexed is None else indexed, queries)
+    return top(scored, ["query_id"], k, KEYS).withColumn("score", F.round("score", 6))
+
+
+def index_statistics(indexed: DataFrame) -> DataFrame:
+    vocabulary = document_frequencies(indexed).agg(F.count("*").alias("vocabulary"))
+    return indexed.agg(F.count("*").alias("n_chunks"), F.round(F.avg("dl"), 6).alias("mean_length")).join(F.broadcast(vocabulary))
+
+
+def tfidf_scores(indexed: DataFrame, asked: DataFrame, keys: list[str] | None = None, max_df: float = 1.0) -> DataFrame:
+    """(query_id, keys, score): cosine of smoothed, L2-normalised TF-IDF vectors, tf * (ln((1 + N) / (1 + df)) + 1), N over the chunks.
+
+    asked(query_id, term, qtf). Terms in more than a share max_df of the chunks are left out. A chunk's length is summed where
+    its row is (partial sums), and only asked terms are multiplied.
+    """
+    keys = KEYS if keys is None else keys
+    n = indexed.agg(F.count("*").alias("n"))
+    idf = stored(document_frequencies(indexed).join(F.broadcast(n)).where(F.col("df") <= F.col("n") * max_df).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+    weighed = asked.join(idf, "term").withColumn("qw", F.col("qtf") * F.col("idf"))
+    norms = weighed.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
+    weighed = weighed.join(norms, "query_id").select("query_id", "term", (F.col("qw") / F.col("qn")).alias("qw"), "idf")
+    dots = _postings(indexed, *keys).join(small(weighed), "term").groupBy("query_id", *keys).agg(F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("dot"))
+    w = F.col("tf") * F.col("idf")
+    lengths = _postings(indexed, *keys).join(small(idf, VOCABULARY), "term").groupBy(*keys).agg(F.sqrt(F.sum(w * w)).alias("len"))
+    return dots.join(lengths, keys).select("query_id", *keys, (F.col("dot") / F.col("len")).alias("score"))
 
 
-def index_statistics(chunks: DataFrame) -> DataFrame:
-    tokenised = postings(chunks, [])
-    vocabulary = document_frequencies(tokenised).agg(F.count("*").alias("vocabulary"))
-    return tokenised.agg(F.count("*").alias("n_chunks"), F.round(F.avg("dl"), 6).alias("mean_length")).join(F.broadcast(vocabulary))
+def tfidf(chunks: DataFrame, queries: DataFrame, k: int = 10, indexed: DataFrame | None = None) -> DataFrame:
+    """TF-IDF cosine top k chunks per query; see tfidf_scores(). Builds an index unless one is given."""
+    scored = tfidf_scores(index(chunks) if indexed is None else indexed, query_terms(queries))
+    return top(scored, ["query_id"], k, KEYS).select("query_id", *KEYS, F.round("score", 6).alias("score"), "rank")
 
 
-def tfidf(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Cosine of smoothed, L2-normalised TF-IDF vectors: tf * (ln((1 + N) / (1 + df)) + 1), N over the chunks."""
-    keys = ["doc_id", "chunk_index"]
-    tokenised = postings(chunks, keys)
-    n = tokenised.agg(F.count("*").alias("n"))
-    idf = document_frequencies(tokenised).join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    asked = query_terms(queries).join(idf, "term").withColumn("qw", F.col("qtf") * F.col("idf"))
-    norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    asked = asked.join(norms, "query_id").select("query_id", "term", (F.col("qw") / F.col("qn")).alias("qw"))
-    weights = tokenised.select(*keys, F.explode("tokens").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf")).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    dots = weights.join(small(asked), "term", "left").groupBy("query_id", *keys).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    lengths = weights.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    scored = dots.where(F.col("query_id").isNotNull()).join(lengths, keys).withColumn("score", F.col("dot") / F.col("len"))
-    return top(scored, ["query_id"], k, keys).select("query_id", *keys, F.round("score", 6).alias("score"), "rank")
+def with_bigrams(tokens: Column) -> Column:
+    """Words and pairs of neighbouring words."""
+    return let(tokens, lambda t: F.concat(t, ngrams(t, 2)))
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, level: str | None = None, block: int = 4096) -> DataFrame:
     """Exact cosine top k of queries(vec_id, embedding) against all vectors, per level if one is named, without the query itself.
 
-    Queries go out in blocks of bounded size; each task multiplies its batch with a block and keeps k rows per query and
-    level, so what is shuffled is tasks x queries x k rows, not pairs. Zero and null vectors are skipped.
+    Queries are dealt into blocks of about `block` by hash of their key, in the shared folder. One block after another is broadcast:
+    each task multiplies its batches with the block and keeps k rows per query and level, so the driver holds one block, and what
+    is shuffled is tasks x queries x k rows, not pairs. Zero and null vectors are skipped.
     """
     spark = vectors.sparkSession
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     ready = lambda d, extra: d.where(F.col("embedding").isNotNull()).withColumn("_n", norm).where("_n > 0").select("vec_id", F.transform("embedding", lambda x: x.cast("double") / F.col("_n")).alias("v"), *extra)
-    found = None
-    pending, blocks = [], []
-    for r in ready(queries, []).toLocalIterator():
-        pending.append((r["vec_id"], r["v"]))
-        if len(pending) == block:
-            blocks.append(pending)
-            pending = []
+    asked = stored(ready(queries, []))
+    blocks = max(1, -(-asked.count() // block))
     side = ready(vectors, [F.col(level).cast("string").alias("level")] if level else [F.lit("").alias("level")])
-    for part in blocks + ([pending] if pending else []):
-        shared = spark.sparkContext.broadcast((np.array([q for q, _ in part]), np.array([v for _, v in part])))
 
-        def search(batches, shared=shared):
+    def one(b: int) -> DataFrame:
+        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
+        ids = part.column(0).to_numpy()
+        shared = spark.sparkContext.broadcast((ids, np.array([x for c in part.column(1).chunks for x in c.flatten().to_numpy()]).reshape(len(ids), -1)))
+
+        def search(batches):
             ids, q = shared.value
-            for batch in batches:
+            for batch in batches if len(ids) else ():
                 if not batch.num_rows:
                     continue
                 v = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1)
@@ -112,16 +138,16 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, level: str | None
                     s = np.round(q @ v[at].T, 6)
                     s[ids[:, None] == own[at][None]] = -np.inf
                     order = np.lexsort((np.broadcast_to(own[at], s.shape), -s), axis=1)[:, :k]
-                    rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                    cols = order.ravel()
+                    rows, cols = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
                     fine = np.isfinite(s[rows, cols])
                     yield pa.RecordBatch.from_arrays([pa.array(ids[rows][fine]), pa.array(own[at][cols][fine]), pa.array([str(name)] * int(fine.sum())), pa.array(s[rows, cols][fine])], names=["query_id", "vec_id", "level", "score"])
 
-        got = side.mapInArrow(search, "query_id long, vec_id long, level string, score double")
-        found = got if found is None else found.unionByName(got)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, level string, score double")
-    return top(found, ["query_id", "level"], k, ["vec_id"])
+        return top(side.mapInArrow(search, "query_id long, vec_id long, level string, score double"), ["query_id", "level"], k, ["vec_id"])
+
+    found = one(0) if blocks == 1 else stored(one(0))
+    for b in range(1, blocks):
+        found = found.unionByName(stored(one(b)))
+    return found
 
 
 def rrf(left: DataFrame, right: DataFrame, k: int = 10, constant: int = 60) -> DataFrame:
@@ -131,10 +157,21 @@ def rrf(left: DataFrame, right: DataFrame, k: int = 10, constant: int = 60) -> D
     return top(both.withColumn("score", part("r1") + part("r2")), ["query_id"], k, ["chunk_id"]).withColumn("score", F.round("score", 6))
 
 
-def enhanced(candidates: DataFrame, k: int = 10, vector: float = 0.6, lexical: float = 0.25, metadata: float = 0.15) -> DataFrame:
-    """.6 clip(vector) + .25 sigmoid(BM25) + .15 bonus of (query_id, chunk_id, vec, bm25, bonus)."""
-    score = vector * F.least(F.greatest(F.col("vec"), F.lit(0.0)), F.lit(1.0)) + lexical / (1 + F.exp(-F.col("bm25"))) + metadata * F.least("bonus", F.lit(0.4))
-    return top(candidates.withColumn("score", score), ["query_id"], k, ["chunk_id"]).withColumn("score", F.round("score", 6))
+def enhanced_score(vector: float = 0.6, lexical: float = 0.25, metadata: float = 0.15) -> Column:
+    """.6 vec within 0 and 1, .25 sigmoid(bm25), .15 bonus (at most .4), and title_bonus() as it is, of columns vec, bm25, bonus, title."""
+    return vector * F.least(F.greatest(F.col("vec"), F.lit(0.0)), F.lit(1.0)) + lexical / (1 + F.exp(-F.col("bm25"))) + metadata * F.least("bonus", F.lit(0.4)) + F.col("title")
+
+
+def title_bonus(label: Column, chapter: Column, category: Column, law: Column) -> Column:
+    """Booleans: the question names the article's label .15, the chapter .05, the category .065, the law .035; at most .4."""
+    part = lambda c, w: F.when(c, w).otherwise(0.0)
+    return F.least(part(label, 0.15) + part(chapter, 0.05) + part(category, 0.065) + part(law, 0.035), F.lit(0.4))
+
+
+def enhanced(candidates: DataFrame, k: int = 10) -> DataFrame:
+    """Top k by enhanced_score() of (query_id, chunk_id, vec, bm25, bonus, title); the pool are the 2 k highest sums of vec and bm25."""
+    pool = top(candidates.withColumn("raw", F.round(F.col("vec") + F.col("bm25"), 6)), ["query_id"], 2 * k, ["chunk_id"], "raw").drop("rank", "raw")
+    return top(pool.withColumn("score", enhanced_score()), ["query_id"], k, ["chunk_id"]).withColumn("score", F.round("score", 6))
 
 
 def rule_bonus(law: Column, same_article: Column, same_suffix: Column, term: Column) -> Column:
@@ -146,3 +183,45 @@ def rule_bonus(law: Column, same_article: Column, same_suffix: Column, term: Col
 def rule_rank(candidates: DataFrame, k: int = 10) -> DataFrame:
     """.8 vector + bonus, of (query_id, chunk_id, vec, bonus)."""
     return top(candidates.withColumn("score", F.lit(0.8) * F.col("vec") + F.col("bonus")), ["query_id"], k, ["chunk_id"]).withColumn("score", F.round("score", 6))
+
+
+def dynamic_importance(articles: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, max_df: float = 0.95) -> DataFrame:
+    """(law, article_id, tfidf, bm25, importance) of articles(law, article_id, text): how an article's terms weigh among those of its law.
+
+    TF-IDF (words and pairs of words, over the law's articles and the article once more, without terms in over max_df of them):
+    10 (.7 sum of its unit vector + .3 mean cosine to all articles); BM25 of the article as a question against all articles:
+    2 (.6 mean + .4 maximum). Both lie within .1 and 5; importance is .3 + .7 (.6 TF-IDF + .4 BM25). Articles without terms have 1 for
+    either. Only articles of one law meet, through the terms they share.
+    """
+    keys = ["law", "article_id"]
+    clip = lambda c: F.round(F.least(F.lit(5.0), F.greatest(F.lit(0.1), c)), 2)
+    tokens = importance_tokens(F.col("text"))
+    grams = stored(_postings(index(articles, keys, with_bigrams(tokens)), *keys).select(*keys, "term", "tf"))
+    sizes = articles.groupBy("law").agg(F.count("*").alias("n"))
+    dfs = grams.groupBy("law", "term").agg(F.count("*").alias("df"))
+    # a target's own copy raises the document frequency of its terms by one
+    own = grams.select("law", F.col("article_id").alias("target"), "term").withColumn("has", F.lit(1))
+    every = grams.join(articles.select("law", F.col("article_id").alias("target")), "law").join(own, ["law", "target", "term"], "left").join(dfs, ["law", "term"]).join(sizes, "law")
+    df, n = F.col("df") + F.coalesce("has", F.lit(0)), F.col("n") + 1
+    weighed = every.where(df <= n * max_df).withColumn("w", F.col("tf") * (F.log((1 + n) / (1 + df)) + 1)).select("law", "target", "article_id", "term", "w", "has")
+    mine = weighed.where("article_id = target").select("law", "target", "term", F.col("w").alias("t"))
+    lengths = weighed.groupBy("law", "target", "article_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
+    dots = weighed.join(mine, ["law", "target", "term"]).groupBy("law", "target", "article_id").agg(F.sum(F.col("w") * F.col("t")).alias("dot"), F.sum("t").alias("total"))
+    of_target = lengths.where("article_id = target").select("law", "target", F.col("len").alias("tlen"))
+    cosines = dots.join(lengths, ["law", "target", "article_id"]).join(of_target, ["law", "target"])
+    mean = cosines.groupBy("law", F.col("target").alias("article_id")).agg(F.sum(F.col("dot") / F.col("len") / F.col("tlen")).alias("cos"), F.max(F.when(F.col("article_id") == F.col("target"), F.col("total") / F.col("tlen"))).alias("sum"))
+    tf = mean.join(sizes, "law").select(*keys, clip(10 * (0.7 * F.col("sum") + 0.3 * F.col("cos") / F.col("n"))).alias("tfidf"))
+    words_ = stored(index(articles, keys, tokens))
+    posted = _postings(words_, *keys, "dl")
+    stats = words_.groupBy("law").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    raw = posted.groupBy("law", "term").agg(F.count("*").alias("df")).join(stats, "law").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    floors = raw.groupBy("law").agg((F.avg("raw") * epsilon).alias("floor"))
+    idf = raw.join(floors, "law").select("law", "term", "n", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    pairs = posted.join(idf, ["law", "term"]).withColumn("part", part).select("law", "article_id", "term", "part", "n").join(posted.select("law", F.col("article_id").alias("target"), "term", F.col("tf").alias("qtf")), ["law", "term"])
+    scores = pairs.groupBy("law", "target", "article_id", "n").agg(F.sum(F.col("part") * F.col("qtf")).alias("s"))
+    bm = scores.groupBy("law", F.col("target").alias("article_id"), "n").agg(F.sum("s").alias("total"), F.max("s").alias("top"), F.count("*").alias("hits"))
+    # articles that share no term score 0
+    bm = bm.select(*keys, clip(2 * (0.6 * F.col("total") / F.col("n") + 0.4 * F.when(F.col("hits") < F.col("n"), F.greatest("top", F.lit(0.0))).otherwise(F.col("top")))).alias("bm25"))
+    both = articles.select(*keys).join(tf, keys, "left").join(bm, keys, "left").select(*keys, F.coalesce("tfidf", F.lit(1.0)).alias("tfidf"), F.coalesce("bm25", F.lit(1.0)).alias("bm25"))
+    return both.withColumn("importance", F.round(0.3 + 0.7 * (0.6 * F.col("tfidf") + 0.4 * F.col("bm25")), 2))

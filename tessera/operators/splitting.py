@@ -199,3 +199,83 @@ def structure_windows(docs: DataFrame, size: int = 500, overlap: float = 0.1, le
         return ((text[a:b], a, b) for a, b in walk(text) if text[a:b].strip())
 
     return walked(docs, filled, "content string, start int, end int")
+
+
+#: How lines open chapters, articles and items; groups are the number and what follows.
+CHAPTER_OPENS = r"^(第\s*[一二三四五六七八九十百千0-9]+\s*章|總則|附則|罰則|附錄)[\u3000\s]*(.*)$"
+ITEM_OPENS = r"^([（(][0-9０-９一二三四五六七八九十]+[）)]|(?:[一二三四五六七八九十]+|[0-9０-９]+)[、．.）)])\s*(.*)$"
+
+
+def prefixed_structure(docs: DataFrame, size: int = 1000, overlap: int = 100, items: int = 3) -> DataFrame:
+    """(content, prefix) of trimmed lines packed to `size`; an article opens a new chunk, and a chunk too long is cut by recursive().
+
+    The pieces of a chunk that was cut bear where they stand: 【chapter】 and article, the first piece also the first
+    `items` items, each on a line of its own before the piece. Chunks that were not cut have an empty prefix.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("need 0 <= overlap < size")
+    chapter, article, item = (re.compile(p) for p in (CHAPTER_OPENS, ARTICLE_LINE, ITEM_OPENS))
+
+    def pieces(text: str):
+        """Stretches of at most `size` that end at the coarsest separator in their last half, else at size."""
+        at = 0
+        while at < len(text):
+            stop = min(len(text), at + size)
+            if stop < len(text):
+                found = next((cut for cut in (text.rfind(s, at + size // 2, stop) + len(s) for s in SEPARATORS if s) if cut > at + size // 2), 0)
+                stop = found or stop
+            if text[at:stop].strip():
+                yield text[at:stop]
+            at = stop if stop == len(text) else max(at + 1, stop - overlap)
+
+    def walk(text: str):
+        held: list[str] = []
+        place = {"chapter": "", "article": "", "items": []}
+
+        def flush():
+            body = "\n".join(held)
+            if len(body) <= size:
+                if body.strip():
+                    yield body, ""
+                return
+            for k, piece in enumerate(pieces(body)):
+                named = ([f"【{place['chapter']}】"] if place["chapter"] else []) + ([place["article"]] if place["article"] else []) + (place["items"][:items] if not k else [])
+                prefix = "".join(f"{x}\n" for x in named)
+                yield prefix + piece, prefix
+
+        for line in map(str.strip, text.split("\n")):
+            if not line:
+                continue
+            opens = article.match(line)
+            if held and (opens or sum(map(len, held)) + len(held) + len(line) > size):
+                yield from flush()
+                held.clear()
+            if chapter.match(line):
+                place = {"chapter": line, "article": "", "items": []}
+            elif opens:
+                place = {"chapter": place["chapter"], "article": line, "items": []}
+            elif item.match(line):
+                place["items"].append(line)
+            held.append(line)
+        yield from flush()
+
+    return walked(docs, walk, "content string, prefix string")
+
+
+def by_sentence_length(docs: DataFrame, size: int = 600, other: int = 400, overlap: int = 40, share: float = 0.5, mark: str = "。") -> DataFrame:
+    """Windows of `size` characters, or of `other` where the text that remains has sentences longer than share * size on average; the
+    next starts `overlap` before the end. Contents are trimmed, blank ones skipped."""
+    if size < 1 or other < 1 or not 0 <= overlap < min(size, other):
+        raise ValueError("need size, other >= 1 and 0 <= overlap < both")
+
+    def walk(text: str):
+        n, at = len(text), 0
+        marks = [i for i, c in enumerate(text) if c == mark]
+        while at < n:
+            left = len(marks) - bisect_right(marks, at - 1)
+            stop = min(n, at + (other if (n - at) / max(1, left) > size * share else size))
+            if content := text[at:stop].strip():
+                yield (content, at, stop)
+            at = n if stop == n else max(at + 1, stop - overlap)
+
+    return walked(docs, walk, "content string, start int, end int")

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import line_class
+from ..functions.labels import any_of, number
+from ..functions.text import article as article_numbers
+from ..functions.text import cn_numeral, let, line_class
 
 LEVELS = ("chapter", "section", "article", "paragraph", "subparagraph", "item")
 #: Granularity level of each kind of part.
@@ -22,10 +24,29 @@ def lines(docs: DataFrame) -> DataFrame:
     return raw.withColumn("kind", line_class(F.col("line")))
 
 
+#: Words of amendments, of what follows them, and of effective dates.
+AMENDS = ("修正", "施行", "生效", "民國", "年", "月", "日")
+GOES_ON = (*AMENDS, "政院", "條文", "增訂", "刪除")
+EFFECTIVE, PLACES = ("政院", "施行日期", "定之", "修正之第"), ("第", "條", "章", "節")
+
+
 def clean(docs: DataFrame) -> DataFrame:
-    """Drops the lines that only tell amendment and effective dates."""
-    stamp = "^(中華民國)?[0-9零一二三四五六七八九十百]+年[0-9零一二三四五六七八九十]+月[0-9零一二三四五六七八九十]+日|修正公布|施行日期"
-    return lines(docs).where(~F.col("line").rlike(stamp)).select("doc_id", "line_no", "line", "kind")
+    """(doc_id, text) without what only tells of amendments and effective dates: dates of amendment, states of effect, the name line,
+    stray lines on effect, and numbered lists of amendments with all lines that go on about them. Leading blank lines go, too.
+
+    A list runs from a numbered line with a word of amendment to the first line that is neither blank nor numbered nor holds
+    such a word: its lines are those whose last beginning stands behind the last line that ends lists.
+    """
+    raw = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).withColumn("line", F.regexp_replace("raw", "^[ \\t\\r\u3000]+|[ \\t\\r\u3000]+$", ""))
+    line = F.col("line")
+    numbered = line.rlike("^[0-9]+[.]")
+    starts, goes_on = numbered & any_of(line, AMENDS), (line == "") | numbered | any_of(line, GOES_ON)
+    by = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda cond: F.coalesce(F.last(F.when(cond, F.col("line_no")), True).over(by), F.lit(-1))
+    gone = line.rlike("^修正日期：民國[ \\t]*[0-9]+[ \\t]*年[ \\t]*[0-9]+[ \\t]*月[ \\t]*[0-9]+[ \\t]*日") | any_of(line, ("※本法規部分或全部條文尚未生效", "生效狀態：")) | F.startswith(line, F.lit("法規名稱：")) | (any_of(line, EFFECTIVE) & ~any_of(line, PLACES))
+    kept = raw.withColumn("gone", gone | (last(starts) > last(~goes_on))).where("NOT gone")
+    some = F.max(F.when(line != "", F.lit(1)).otherwise(0)).over(by)
+    return kept.withColumn("some", some).where("some = 1").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"]), "\n").alias("text"))
 
 
 def parts(docs: DataFrame) -> DataFrame:
@@ -155,3 +176,164 @@ def importance(chapter: Column, section: Column, article: Column) -> Column:
     for label, pattern, weight in WEIGHTS:
         product = product * F.when(labels[label].rlike(pattern), weight).otherwise(1.0)
     return F.round(product, 2)
+
+
+# --- statutes as trees (JSON) ---------------------------------------------------------------------------------------------------------
+PREFIX, UNMARKED, UNSORTED = "法規名稱：", "未標示條文", ("未分類章", "未分類節")
+
+
+def tree_nodes(documents: DataFrame) -> DataFrame:
+    """(doc_id, law, chapter, section, article, paragraph, subparagraph, item, kind, place, title, content, id) of documents(doc_id, laws): one row
+    for each law, chapter, section, article and part below it, in the order of place (array of positions).
+
+    Older names (items, sub_items) are read where the newer ones (paragraphs, subparagraphs) are missing or empty; several
+    documents, each with several laws, are one table, which is all that merging them takes.
+    """
+    def level(df: DataFrame, array, kind: str, title, *more) -> DataFrame:
+        return df.select("*", F.posexplode_outer(array).alias(f"_{kind}_at", f"_{kind}")).where(F.col(f"_{kind}").isNotNull())
+
+    own = lambda new, old: F.when(F.size(new) > 0, new).otherwise(old)
+    laws = documents.select("doc_id", F.posexplode("laws").alias("_law_at", "_law"))
+    chapters = laws.select("*", F.posexplode("_law.chapters").alias("_chapter_at", "_chapter"))
+    sections = chapters.select("*", F.posexplode("_chapter.sections").alias("_section_at", "_section"))
+    articles = sections.select("*", F.posexplode("_section.articles").alias("_article_at", "_article"))
+    part = lambda title: lambda x: F.struct(F.coalesce(*[x[t] for t in title]).alias("title"), x["content"].alias("content"), x["metadata"]["id"].alias("id"))
+    items = lambda xs: F.transform(F.coalesce(xs, F.array()), part(["item"]))
+    new = F.transform("_article.paragraphs", lambda p: F.struct(part(["paragraph"])(p).alias("self"), F.transform(F.coalesce(p["subparagraphs"], F.array()), lambda q: F.struct(part(["subparagraph"])(q).alias("self"), F.transform(F.coalesce(q["items"], F.array()), part(["item"])).alias("below"))).alias("below")))
+    old = F.transform("_article.items", lambda p: F.struct(part(["item"])(p).alias("self"), F.transform(F.coalesce(p["sub_items"], F.array()), lambda q: F.struct(part(["sub_item"])(q).alias("self"), F.transform(F.coalesce(q["items"], F.array()), part(["item"])).alias("below"))).alias("below")))
+    paragraphs = articles.select("*", F.posexplode(F.when(F.size("_article.paragraphs") > 0, new).otherwise(old)).alias("_paragraph_at", "_paragraph"))
+    subs = paragraphs.select("*", F.posexplode("_paragraph.below").alias("_subparagraph_at", "_subparagraph"))
+    deep = subs.select("*", F.posexplode("_subparagraph.below").alias("_item_at", "_item"))
+    empty = F.lit(None).cast("string")
+    names = {"law": "_law.law_name", "chapter": "_chapter.chapter", "section": "_section.section", "article": "_article.article", "paragraph": "_paragraph.self.title", "subparagraph": "_subparagraph.self.title", "item": "_item.title"}
+    texts = {"article": ("_article.content", "_article.metadata.id"), "paragraph": ("_paragraph.self.content", "_paragraph.self.id"), "subparagraph": ("_subparagraph.self.content", "_subparagraph.self.id"), "item": ("_item.content", "_item.id")}
+    out, kinds = None, list(names)
+    for i, (kind, df) in enumerate(zip(kinds, (laws, chapters, sections, articles, paragraphs, subs, deep))):
+        content, id_ = (F.col(c) for c in texts[kind]) if kind in texts else (empty, empty)
+        labels = [F.col(names[k]).alias(k) if j <= i else empty.alias(k) for j, k in enumerate(kinds)]
+        rows = df.select("doc_id", *labels, F.lit(kind).alias("kind"), F.array(*[F.col(f"_{k}_at") for k in kinds[: i + 1]]).alias("place"), F.col(names[kind]).alias("title"), F.coalesce(content, F.lit("")).alias("content"), id_.alias("id"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def tree_text(nodes: DataFrame, glue: str = "\n\n") -> DataFrame:
+    """(doc_id, text): titles and contents of tree_nodes() in order, blank ones dropped."""
+    pieces = nodes.select("doc_id", "place", F.filter(F.array(F.coalesce("title", F.lit("")), "content"), lambda s: F.trim(s) != "").alias("said")).where(F.size("said") > 0)
+    listed = F.array_sort(F.collect_list(F.struct("place", "said")))
+    return pieces.groupBy("doc_id").agg(F.array_join(F.flatten(F.transform(listed, lambda x: x["said"])), glue).alias("text"))
+
+
+def normalised(nodes: DataFrame) -> DataFrame:
+    """tree_nodes() from articles down with the metadata that evaluation needs: (doc_id, place, kind, title, content, id, category, article_label,
+    article_number, article_suffix, item_number, clause_type, clause_number).
+
+    Names and ids lose the prefix 法規名稱：. Articles without a label, and unnumbered ones that describe the law, go with all below
+    them; chapters and sections that are left empty have no rows.
+    """
+    plain = lambda c: F.replace(F.col(c), F.lit(PREFIX), F.lit(""))
+    label, suffix = article_numbers(F.col("article"))
+    rows = nodes.where(F.col("kind").isin("article", "paragraph", "subparagraph", "item")).withColumns({"article_number": label, "article_suffix": suffix, "_at": F.slice("place", 1, 4)})
+    fake = (F.col("article") == UNMARKED) | (F.col("article_number").isNull() & F.contains("content", F.lit("法規名稱")))
+    dropped = rows.where((F.col("kind") == "article") & F.coalesce(fake, F.lit(False))).select("doc_id", "_at")
+    kept = rows.join(dropped, ["doc_id", "_at"], "left_anti")
+    sub = F.col("kind") == "subparagraph"
+    return kept.select(
+        "doc_id", "place", "kind", "title", "content", plain("id").alias("id"), plain("law").alias("category"), F.col("article").alias("article_label"), "article_number", "article_suffix",
+        F.when(F.col("kind") == "paragraph", number(F.col("title"))).alias("item_number"), F.when(sub, "目").alias("clause_type"), F.when(sub, number(F.col("title"))).alias("clause_number"),
+    )
+
+
+def relabelled(nodes: DataFrame) -> DataFrame:
+    """tree_nodes() with subparagraphs titled 一, 二, ... and items (一), (二), ... by their order, where a title lacks a numeral."""
+    at = F.element_at("place", -1) + 1
+    plain = F.coalesce(F.col("title"), F.lit(""))
+    inner = F.regexp_extract(plain, "([一二三四五六七八九十]+)", 1)
+    name = F.when(inner != "", inner).otherwise(cn_numeral(at))
+    title = F.when(F.col("kind") == "subparagraph", name).when(F.col("kind") == "item", F.concat(F.lit("("), name, F.lit(")"))).otherwise(F.col("title"))
+    return nodes.withColumn("title", title)
+
+
+def unit_chunks(nodes: DataFrame, unit: str = "article", context: bool = True) -> DataFrame:
+    """(doc_id, chunk_index, place, content): one chunk for each law, chapter, section, article or part of tree_nodes().
+
+    A chunk starts with 【law】 and, if context is asked for, the titles above the unit, then titles and contents of the unit and of
+    all below it, a line each. Repealed articles are left out with all below them, unclassified titles too.
+    """
+    depth = {"law": 1, "chapter": 2, "section": 3, "article": 4, "paragraph": 5, "subparagraph": 6, "item": 7}[unit]
+    rows = relabelled(nodes)
+    gone = rows.where((F.col("kind") == "article") & F.trim("content").isin(*REPEALED)).select("doc_id", F.col("place").alias("_at"))
+    rows = rows.withColumn("_at", F.slice("place", 1, 4)).join(gone, ["doc_id", "_at"], "left_anti").where(F.size("place") >= depth)
+    titled = F.when(F.coalesce("title", F.lit("")).isin("", *UNSORTED), None).otherwise(F.col("title"))
+    said = F.filter(F.array(F.when(F.col("kind") != "law", titled), F.when(F.trim("content") != "", F.col("content"))), lambda s: s.isNotNull())
+    pieces = rows.select("doc_id", F.slice("place", 1, depth).alias("unit"), "place", said.alias("said"), "law", *[F.when(F.col(k).isin(*UNSORTED), None).otherwise(F.col(k)).alias(k) for k in LEVELS])
+    above = [k for k in LEVELS[: depth - 2]] if context and depth > 2 else []
+    head = F.filter(F.array(F.concat(F.lit("【"), F.coalesce("law", F.lit("")), F.lit("】")), *above), lambda s: s.isNotNull())
+    texts = pieces.groupBy("doc_id", "unit").agg(F.min_by(head, "place").alias("head"), F.array_sort(F.collect_list(F.struct("place", "said"))).alias("rows"))
+    content = F.array_join(F.concat("head", F.flatten(F.transform("rows", lambda x: x["said"]))), "\n")
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("unit")) - 1
+    return texts.select("doc_id", index.alias("chunk_index"), F.col("unit").alias("place"), content.alias("content"))
+
+
+def node_chunks(nodes: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
+    """(doc_id, chunk_id, content): contents of articles and parts, each node a chunk named by its titles, ARTICLE_main for an article's own
+    text; contents over `size` in windows that overlap, named .._part_n from 1."""
+    named = F.concat_ws("_", "article", "paragraph", "subparagraph", "item")
+    rows = nodes.where((F.col("content") != "") & F.col("article").isNotNull()).select("doc_id", named.alias("base"), "kind", "content", F.length("content").alias("n"))
+    starts = F.when(F.col("n") <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - min(overlap, size - 1) - 1), F.lit(size - min(overlap, size - 1))))
+    cut = rows.select("doc_id", "base", "kind", "content", "n", F.posexplode(starts).alias("i", "s"))
+    name = F.when(F.col("n") > size, F.concat(F.col("base"), F.lit("_part_"), (F.col("i") + 1).cast("string"))).when(F.col("kind") == "article", F.concat(F.col("base"), F.lit("_main"))).otherwise(F.col("base"))
+    return cut.select("doc_id", name.alias("chunk_id"), F.substring("content", F.col("s") + 1, F.lit(size)).alias("content"))
+
+
+def cited(citation: Column) -> Column:
+    """struct<law, chapter, section, article, paragraph, subparagraph, item>: the numbers that a citation names, N or N-M for articles, and what is
+    left as the law's name; empty strings are null."""
+    from ..functions.labels import NUM, first_group
+
+    units = {"chapter": "章", "section": "節", "paragraph": "項", "subparagraph": "款", "item": "目"}
+
+    def found(t: Column) -> Column:
+        main, suffix = first_group(t, f"第({NUM})條"), first_group(t, f"第{NUM}條之({NUM})", f"第{NUM}條-({NUM})")
+        plain = {k: number(first_group(t, f"第({NUM}){u}")).cast("string") for k, u in units.items()}
+        article = F.when(main.isNotNull(), F.concat_ws("-", number(main).cast("string"), number(suffix).cast("string")))
+        rest = F.trim(F.regexp_replace(t, f"第{NUM}[章節條項款目](?:[之-]{NUM})?", ""))
+        return F.struct(F.when(rest != "", rest).alias("law"), plain["chapter"].alias("chapter"), plain["section"].alias("section"), article.alias("article"), plain["paragraph"].alias("paragraph"), plain["subparagraph"].alias("subparagraph"), plain["item"].alias("item"))
+
+    return let(F.regexp_replace(citation, "[ \\t\u3000]+", ""), found)
+
+
+def citation_search(nodes: DataFrame, citations: DataFrame) -> DataFrame:
+    """(query_id, doc_id, place, kind, rank): tree_nodes() that agree with every part that citations(query_id, citation) name; the coarsest first,
+    then by document and place. An equality join on the article where one is named; other citations meet the nodes by their law."""
+    level = {"chapter": "chapter", "section": "section", "article": "article", "paragraph": "paragraph", "subparagraph": "subparagraph", "item": "item"}
+    from ..functions.labels import level_info
+
+    keys = {f"k_{k}": level_info(F.col(k), k)["key"] for k in level}
+    known = nodes.withColumns(keys).withColumn("plain", F.replace("law", F.lit(PREFIX), F.lit("")))
+    asked = citations.select("query_id", cited(F.col("citation")).alias("c"))
+    ok = F.lit(True)
+    for k in level:
+        ok = ok & (F.col(f"c.{k}").isNull() | F.coalesce(F.col(f"k_{k}") == F.col(f"c.{k}"), F.lit(False)))
+    ok = ok & (F.col("c.law").isNull() | F.coalesce(F.contains("plain", F.col("c.law")), F.lit(False)))
+    by_article = known.where("k_article IS NOT NULL").join(asked.where("c.article IS NOT NULL").withColumn("k_article", F.col("c.article")), "k_article").where(ok)
+    others = known.join(F.broadcast(asked.where("c.article IS NULL")), ok)
+    found = by_article.select("query_id", "doc_id", "place", "kind").unionByName(others.select("query_id", "doc_id", "place", "kind"))
+    order = Window.partitionBy("query_id").orderBy(F.size("place"), "doc_id", "place")
+    return found.withColumn("rank", F.row_number().over(order))
+
+
+def level_histogram(chunks: DataFrame) -> DataFrame:
+    """(level, n): chunks(level) by granularity level, levels without a chunk too."""
+    from .fusion import LEVEL_WEIGHTS
+
+    every = chunks.sparkSession.createDataFrame([(x,) for x in LEVEL_WEIGHTS], "level string")
+    return F.broadcast(every).join(chunks.groupBy("level").agg(F.count("*").alias("n")), "level", "left").select("level", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def parents(chunks: DataFrame) -> DataFrame:
+    """(doc_id, chunk_index, parent_content): the content of the article that a part of chunks(doc_id, chunk_index, kind, law, chapter, section, article,
+    content) belongs to, the first of several; null for articles and above, and where there is none."""
+    keys = ["law", "chapter", "section", "article"]
+    inner = F.col("kind").isin("paragraph", "subparagraph", "item")
+    first = chunks.where("kind = 'article'").groupBy(*keys).agg(F.min_by("content", F.struct("doc_id", "chunk_index")).alias("parent"))
+    return chunks.join(first, keys, "left").select("doc_id", "chunk_index", F.when(inner, F.col("parent")).alias("parent_content"))

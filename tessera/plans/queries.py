@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, enrichment, evaluation, fusion, retrieval, statutes
-from ..sources import table
+from ..sources import stored, table
 from ..streaming import annotations
 
 QUERIES: dict = {}
@@ -30,7 +30,11 @@ def query(sql: str | None = None):
 SLIDING = """chunks AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk_index, substring(text, s + 1, 500) AS content, s AS start, least(s + 500, length(text)) AS "end"
   FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(0, length(text) - 51), 450)) AS s FROM documents WHERE length(text) > 0) WHERE trim(substring(text, s + 1, 500)) <> '')"""
-TOKENS = "list_filter(string_split_regex(lower({}), '[^a-z]+'), lambda t: length(t) >= 2)"
+#: Words of any script of two characters or more, then pairs of neighbouring Chinese characters.
+TOKENS = (
+    "list_concat(list_filter(string_split_regex(lower({0}), '(?:[^\\pL\\pN_]|\\p{{Han}})+'), lambda t: length(t) >= 2), "
+    "flatten(list_transform(list_filter(regexp_extract_all(lower({0}), '\\p{{Han}}+'), lambda h: length(h) >= 2), lambda h: list_transform(generate_series(1, length(h) - 1), lambda i: substring(h, i, 2)))))"
+)
 INDEX = f"""{SLIDING},
 tok AS (SELECT doc_id, chunk_index, {TOKENS.format('content')} AS toks FROM chunks),
 stats AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM tok),
@@ -126,7 +130,7 @@ def bm25_topk(spark, d):
 
 @query(f"WITH {INDEX} SELECT n AS n_chunks, round(avgdl, 6) AS mean_length, (SELECT count(*) FROM df) AS vocabulary FROM stats")
 def bm25_index_stats(spark, d):
-    return retrieval.index_statistics(_chunks(spark, d))
+    return retrieval.index_statistics(retrieval.index(_chunks(spark, d)))
 
 
 @query(f"WITH {TFIDF} SELECT query_id, doc_id, chunk_index::BIGINT AS chunk_index, score, rank::BIGINT AS rank FROM tfidf WHERE rank <= 10")
@@ -161,12 +165,12 @@ def dense_topk_per_level(spark, d):
 
 
 FUSIONS = {
-    "weighted_sum": f"sum(score * {WEIGHT}) / sum({WEIGHT})",
-    "comb_sum": f"sum(score * {WEIGHT}) / sum({WEIGHT})",
-    "reciprocal_rank": f"sum({WEIGHT} / rank)",
-    "comb_sum_true": "sum(score)",
-    "comb_anz": "avg(score)",
-    "comb_mnz": "sum(score) * count(*)",
+    "weighted_sum": f"sum(score::DECIMAL(20, 9) * ({WEIGHT})::DECIMAL(3, 2))::DOUBLE / sum(({WEIGHT})::DECIMAL(3, 2))::DOUBLE",
+    "comb_sum": f"sum(score::DECIMAL(20, 9) * ({WEIGHT})::DECIMAL(3, 2))::DOUBLE / sum(({WEIGHT})::DECIMAL(3, 2))::DOUBLE",
+    "reciprocal_rank": f"sum(round({WEIGHT} / rank, 9)::DECIMAL(18, 9))::DOUBLE",
+    "comb_sum_true": "sum(score::DECIMAL(20, 9))::DOUBLE",
+    "comb_anz": "sum(score::DECIMAL(20, 9))::DOUBLE / count(*)",
+    "comb_mnz": "sum(score::DECIMAL(20, 9))::DOUBLE * count(*)",
 }
 
 
@@ -178,7 +182,7 @@ def _fused(spark, d, strategy):
 
 for _name, _expr in FUSIONS.items():
     _sql = f"""WITH {LEVELLED}, f AS (SELECT query_id, doc_id % 50 AS doc_id, md5(content) AS content_hash, {_expr} AS score, count(*) AS occurrences FROM r GROUP BY ALL)
-SELECT query_id, doc_id, content_hash, round(score, 6) AS score, occurrences, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id, content_hash) AS rank FROM f WHERE score >= -1.0) WHERE rank <= 15"""
+SELECT query_id, doc_id, content_hash, round(score, 12) AS score, occurrences, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id, content_hash) AS rank FROM f WHERE score >= -1.0) WHERE rank <= 15"""
     QUERIES[f"fuse_{_name}"] = lambda spark, d, _name=_name: _fused(spark, d, _name)
     ORACLES[f"fuse_{_name}"] = _sql
 
@@ -204,7 +208,7 @@ def _sides(spark, d):
     """Dense and BM25 rankings of documents side by side: vec_id stands for doc_id, and item i for the query vector 20 i."""
     v = table(spark, d, "embeddings")
     left = retrieval.dense(v, _queries(v), 100).select("query_id", F.col("vec_id").alias("chunk_id"), F.col("score").alias("vec"), "rank")
-    scored = retrieval.bm25(_chunks(spark, d), table(spark, d, "benchmark"), 1 << 30).groupBy((F.col("query_id") * 20).alias("query_id"), F.col("doc_id").alias("chunk_id")).agg(F.max("score").alias("score"))
+    scored = retrieval.bm25_scores(retrieval.index(_chunks(spark, d)), table(spark, d, "benchmark")).groupBy((F.col("query_id") * 20).alias("query_id"), F.col("doc_id").alias("chunk_id")).agg(F.round(F.max("score"), 6).alias("score"))
     right = retrieval.top(scored, ["query_id"], 100, ["chunk_id"]).withColumnRenamed("score", "bm25")
     return left, right
 
@@ -215,12 +219,12 @@ def rrf_hybrid(spark, d):
     return retrieval.rrf(*_sides(spark, d)).select("query_id", "chunk_id", "score", F.col("rank").cast("long"))
 
 
-@query(f"""WITH {PAIRED}, f AS (SELECT query_id, chunk_id, 0.6::DOUBLE * least(greatest(coalesce(vec, 0), 0), 1) + 0.25::DOUBLE / (1 + exp(-coalesce(bm25, 0))) + 0.15::DOUBLE * (CASE WHEN chunk_id % 3 = 0 THEN 0.15::DOUBLE ELSE 0 END) AS score FROM av FULL JOIN bv USING (query_id, chunk_id))
+@query(f"""WITH {PAIRED}, f AS (SELECT query_id, chunk_id, 0.6::DOUBLE * least(greatest(coalesce(vec, 0), 0), 1) + 0.25::DOUBLE / (1 + exp(-coalesce(bm25, 0))) + 0.15::DOUBLE * (CASE WHEN chunk_id % 3 = 0 THEN 0.15::DOUBLE ELSE 0 END) + (CASE WHEN chunk_id % 2 = 0 THEN 0.05::DOUBLE ELSE 0 END) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(vec, 0) + coalesce(bm25, 0), 6) DESC, chunk_id) AS p FROM av FULL JOIN bv USING (query_id, chunk_id)) WHERE p <= 20)
 SELECT query_id, chunk_id, round(score, 6) AS score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM f) WHERE rank <= 10""")
 def enhanced_hybrid_rank(spark, d):
     left, right = _sides(spark, d)
     both = left.select("query_id", "chunk_id", "vec").join(right.select("query_id", "chunk_id", "bm25"), ["query_id", "chunk_id"], "full_outer")
-    ready = both.select("query_id", "chunk_id", F.coalesce("vec", F.lit(0.0)).alias("vec"), F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.when(F.col("chunk_id") % 3 == 0, 0.15).otherwise(0.0).alias("bonus"))
+    ready = both.select("query_id", "chunk_id", F.coalesce("vec", F.lit(0.0)).alias("vec"), F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.when(F.col("chunk_id") % 3 == 0, 0.15).otherwise(0.0).alias("bonus"), retrieval.title_bonus(F.lit(False), F.col("chunk_id") % 2 == 0, F.lit(False), F.lit(False)).alias("title"))
     return retrieval.enhanced(ready).select("query_id", "chunk_id", "score", F.col("rank").cast("long"))
 
 
@@ -240,13 +244,20 @@ def _charset(c: str) -> str:
     return f"list_distinct(list_filter(string_split(lower({c}), ''), lambda x: x <> ''))"
 
 
+def _with_contents(spark, d, found):
+    """What was found with its content and question: only documents that it names are split again."""
+    found = stored(found)
+    docs = _docs(spark, d).join(retrieval.small(found.select("doc_id").distinct()), "doc_id", "left_semi")
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return found.join(chunking.sliding_stop(docs).select("doc_id", "chunk_index", "content"), ["doc_id", "chunk_index"]).join(retrieval.small(questions), "query_id")
+
+
 @query(f"""WITH {TFIDF}, j AS (SELECT query_id, rank, len(list_intersect({_charset('b.text')}, {_charset('c.content')})) >= 0.5 * len({_charset('b.text')}) AS rel
   FROM tfidf JOIN chunks c USING (doc_id, chunk_index) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 10),
 per AS (SELECT k, query_id, count(*) FILTER (rel AND rank <= k) AS hits, count(*) FILTER (rel) AS n FROM j, (VALUES (1), (3), (5), (10)) t(k) GROUP BY ALL)
 SELECT k::BIGINT AS k, round(avg(hits / k), 6) AS "precision", round(avg(CASE WHEN n > 0 THEN hits / n END), 6) AS recall, round(avg(CASE WHEN n > 0 THEN least(n, 5) / 5 END), 6) AS omega FROM per GROUP BY k""")
 def char_overlap_metrics(spark, d):
-    chunks, items = _chunks(spark, d), table(spark, d, "benchmark")
-    ranked = retrieval.tfidf(chunks, items).join(chunks.select("doc_id", "chunk_index", "content"), ["doc_id", "chunk_index"]).join(F.broadcast(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))), "query_id")
+    ranked = _with_contents(spark, d, retrieval.tfidf(_chunks(spark, d), table(spark, d, "benchmark")))
     judged = evaluation.overlap_relevance(ranked)
     n = judged.groupBy("query_id").agg(F.count_if("relevant").alias("n_relevant"))
     return evaluation.precision_recall(judged.join(n, "query_id"), (1, 3, 5, 10)).withColumn("k", F.col("k").cast("long"))
@@ -262,7 +273,7 @@ def threshold_metrics(spark, d):
 SPANS = f"""{SLIDING}, spans AS (SELECT doc_id AS span_id, doc_id, instr(text, chr(10)) - 1 AS s, least(length(text), instr(text, chr(10)) + 119) AS e FROM documents WHERE instr(text, chr(10)) > 0),
 x AS (SELECT span_id, doc_id, chunk_index, s, e, start AS cs, "end" AS ce, greatest(0, least(e, "end") - greatest(s, start)) AS o FROM spans JOIN chunks USING (doc_id)),
 y AS (SELECT *, CASE WHEN (e - s) + (ce - cs) - o > 0 THEN o / ((e - s) + (ce - cs) - o) ELSE 0 END AS iou, CASE WHEN e > s THEN o / (e - s) ELSE 0 END AS share, e - s < 100 AS small, greatest(0, cs - e, s - ce) <= 0.1 * (ce - cs) AS near FROM x),
-m AS (SELECT span_id, doc_id, chunk_index::BIGINT AS chunk_index, round(iou, 6) AS iou, round(share, 6) AS share FROM y WHERE iou > 0.05 OR (s >= cs AND e <= ce) OR share > 0.3 OR (small AND (share > 0.05 OR iou > 0.005)) OR (near AND iou > 0.005))"""
+m AS (SELECT span_id, doc_id, chunk_index::BIGINT AS chunk_index, round(iou, 6) AS iou, round(share, 6) AS share FROM y WHERE iou > 0.05 OR (s >= cs AND e <= ce) OR share > 0.3 OR (small AND (share > 0.05 OR iou > 0.005)) OR (near AND (small OR iou > 0.005)))"""
 
 
 def _spans(spark, d):
@@ -281,18 +292,21 @@ def mapping_stats(spark, d):
     return evaluation.mapping_statistics(spans, evaluation.map_spans(spans, _chunks(spark, d)))
 
 
-ECU_SQL = """an AS (SELECT CASE doc_id % 4 WHEN 0 THEN 'group_a' WHEN 1 THEN 'group_b' WHEN 2 THEN 'group_c' ELSE 'group_d' END AS group_name, (doc_id // 4) % 10 + 1 AS rank,
+ECU_SQL = """an AS (SELECT CASE doc_id % 4 WHEN 0 THEN 'group_a' WHEN 1 THEN 'group_b' WHEN 2 THEN 'group_c' ELSE 'group_d' END AS group_name, doc_id // 40 AS query_id, (doc_id // 4) % 10 + 1 AS rank,
   CASE WHEN toxic = 1 THEN 'U' WHEN quality = 1 THEN 'E' ELSE 'C' END AS label FROM labels),
-ecu AS (SELECT group_name, k, count(*) FILTER (label = 'E') * 100.0::DOUBLE / count(*) AS e, count(*) FILTER (label = 'C') * 100.0::DOUBLE / count(*) AS c, count(*) FILTER (label = 'U') * 100.0::DOUBLE / count(*) AS u,
-  count(*) FILTER (label IN ('E', 'C')) * 100.0::DOUBLE / count(*) AS ec FROM an, (VALUES (1), (3), (5), (10)) t(k) WHERE rank <= k GROUP BY ALL)"""
+ecu AS (SELECT group_name, k, count(*) FILTER (label = 'E' AND rank <= k) * 100.0::DOUBLE / n AS e, count(*) FILTER (label = 'C' AND rank <= k) * 100.0::DOUBLE / n AS c, count(*) FILTER (label = 'U' AND rank <= k) * 100.0::DOUBLE / n AS u,
+  count(*) FILTER (label IN ('E', 'C') AND rank <= k) * 100.0::DOUBLE / n AS ec FROM an JOIN (SELECT group_name, k, count(DISTINCT query_id) * k AS n FROM an, (VALUES (1), (3), (5), (10)) t(k) GROUP BY group_name, k) USING (group_name) GROUP BY group_name, k, n)"""
 
 
-def _ecu(spark, d):
+def _annotations(spark, d):
     n = F.col("doc_id")
     group = F.element_at(F.array(*[F.lit(f"group_{x}") for x in "abcd"]), (n % 4 + 1).cast("int"))
     label = F.when(F.col("toxic") == 1, "U").when(F.col("quality") == 1, "E").otherwise("C")
-    rows = table(spark, d, "labels").select(group.alias("group_name"), (F.floor(n / 4) % 10 + 1).alias("rank"), label.alias("label"))
-    return evaluation.ecu(rows, (1, 3, 5, 10)).withColumn("k", F.col("k").cast("long"))
+    return table(spark, d, "labels").select(group.alias("group_name"), F.floor(n / 40).alias("query_id"), (F.floor(n / 4) % 10 + 1).alias("rank"), label.alias("label"))
+
+
+def _ecu(spark, d):
+    return evaluation.ecu(_annotations(spark, d), (1, 3, 5, 10)).withColumn("k", F.col("k").cast("long"))
 
 
 @query(f"WITH {ECU_SQL} SELECT group_name, k::BIGINT AS k, round(e, 6) AS e_at_k, round(c, 6) AS c_at_k, round(u, 6) AS u_at_k, round(ec, 6) AS ec_at_k FROM ecu")
@@ -305,26 +319,37 @@ def granularity_report(spark, d):
     return evaluation.against_baseline(_ecu(spark, d), "group_a")
 
 
-# --- Chinese statutes: literal tables, the same in both engines --------------------------------------------------------------
-LABELS = "VALUES (1, '第10條'), (2, '第十條之一'), (3, '第28-1條'), (4, '第一百零五條'), (5, '無條號'), (6, '第二十三條之二'), (7, '第３條')"
-STATUTE = "第一章 總則\n第1條\n為示範而訂定本規則。\n第2條\n1 本規則用詞如下：\n一、甲：示範用語。\n（一）第一目。\n續行文字。\n第3條\n（刪除）\n第一節 通則\n第4條\n依第2條第1項規定，本法準用之。"
-LAWS = [(i, STATUTE.replace("示範", f"示範{i}")) for i in (1, 2, 3)]
+# --- Chinese statutes: one law per document, with the document's text in its first article -----------------------------------------
+BODY = "translate(coalesce(text, ''), chr(10) || chr(13), '  ')"
+LAW_TEXT = f"""SELECT doc_id, '第一章 總則' || chr(10) || '第1條' || chr(10) || '為示範' || doc_id || '而訂定本規則。' || {BODY} || '。' || chr(10) || '第2條' || chr(10) || '1 本規則用詞如下：' || chr(10) || '一、甲：示範' || doc_id || '用語。'
+  || chr(10) || '（一）第一目。' || chr(10) || '續行文字。' || chr(10) || '第3條' || chr(10) || '（刪除）' || chr(10) || '第一節 通則' || chr(10) || '第4條' || chr(10) || '依第2條第1項規定，本法準用之。' AS text FROM documents"""
 
 
-def _laws(spark):
-    return spark.createDataFrame(LAWS, "doc_id long, text string")
+def _laws(spark, d):
+    return spark.sql(LAW_TEXT.replace("FROM documents", "FROM {documents}"), documents=table(spark, d, "documents"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 10::BIGINT, NULL::BIGINT), (2, 10, 1), (3, 28, 1), (4, 105, NULL), (5, NULL, NULL), (6, 23, 2), (7, 3, NULL)) t(id, article_number, article_suffix)")
+#: Labels of articles for n from 1 to 99 with suffixes 1 to 9, in four ways of writing.
+NUMERAL = "(CASE WHEN {0} >= 20 THEN substring('一二三四五六七八九', CAST(floor({0} / 10) AS INT), 1) ELSE '' END || CASE WHEN {0} >= 10 THEN '十' ELSE '' END || CASE WHEN {0} % 10 > 0 THEN substring('一二三四五六七八九', CAST({0} % 10 AS INT), 1) ELSE '' END)"
+WRITTEN = f"CASE way WHEN 0 THEN '甲法第' || n || '條' WHEN 1 THEN '第 ' || {NUMERAL.format('n')} || ' 條之' || {NUMERAL.format('m')} WHEN 2 THEN '第' || n || '-' || m || '條' ELSE translate('第' || n || '條之' || m, '0123456789', '０１２３４５６７８９') END"
+
+
+@query("SELECT n::BIGINT AS n, m::BIGINT AS m, way::BIGINT AS way, n::BIGINT AS article_number, CASE WHEN way > 0 THEN m END::BIGINT AS article_suffix FROM (SELECT unnest(generate_series(1, 99)) AS n), (SELECT unnest(generate_series(1, 9)) AS m), (VALUES (0), (1), (2), (3)) w(way)")
 def citation_parse(spark, d):
+    rows = spark.sql("SELECT * FROM (SELECT explode(sequence(1, 99)) AS n), (SELECT explode(sequence(1, 9)) AS m), (SELECT explode(sequence(0, 3)) AS way)")
     number, suffix = T.article(F.col("label"))
-    return spark.sql(f"SELECT * FROM ({LABELS}) AS t(id, label)").select(F.col("id").cast("long"), number.cast("long").alias("article_number"), suffix.cast("long").alias("article_suffix"))
+    return rows.withColumn("label", F.expr(WRITTEN)).select(*[F.col(c).cast("long") for c in ("n", "m", "way")], number.cast("long").alias("article_number"), suffix.cast("long").alias("article_suffix"))
+
 
+HUNDREDS = "substring('一二三四五六七八九', CAST(floor(n / 100) AS INT), 1) || '百' || CASE WHEN n % 100 = 0 THEN '' WHEN n % 100 < 10 THEN '零' ELSE '' END || CASE WHEN n % 100 >= 10 THEN substring('一二三四五六七八九', CAST(floor(n / 10) AS INT) % 10, 1) || '十' ELSE '' END || CASE WHEN n % 10 > 0 THEN substring('一二三四五六七八九', n % 10, 1) ELSE '' END"
+DIGIT_RUN = "substring('一二三四五六七八九', CAST(floor(n / 100) AS INT), 1) || CASE WHEN n % 10 > 0 THEN substring('一二三四五六七八九', n % 10, 1) ELSE '零' END"
 
-@query("SELECT * FROM (VALUES ('十', 10::BIGINT, 10::BIGINT), ('二十三', 23, 23), ('一百零五', 105, 105), ('二三', 3, 23), ('', NULL, NULL)) t(numeral, overwriting, appending)")
+
+@query("SELECT n::BIGINT AS n, n::BIGINT AS full_number, (n % 10)::BIGINT AS overwriting, (n // 100 * 10 + n % 10)::BIGINT AS appending FROM (SELECT unnest(generate_series(100, 999)) AS n)")
 def cn_numeral(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES ('十'), ('二十三'), ('一百零五'), ('二三'), ('') AS t(numeral)")
-    return rows.select("numeral", T.cn_number(F.col("numeral")).cast("long").alias("overwriting"), T.cn_number(F.col("numeral"), True).cast("long").alias("appending"))
+    """Numerals of 100 to 999 read back, and runs of two digits (hundreds and ones) under both readings."""
+    rows = spark.sql(f"SELECT n, {HUNDREDS} AS whole, {DIGIT_RUN} AS run FROM (SELECT explode(sequence(100, 999)) AS n)")
+    return rows.select(F.col("n").cast("long"), T.cn_number(F.col("whole")).cast("long").alias("full_number"), T.cn_number(F.col("run")).cast("long").alias("overwriting"), T.cn_number(F.col("run"), True).cast("long").alias("appending"))
 
 
 @query("SELECT n, CASE WHEN n >= 20 THEN substring('一二三四五六七八九', n // 10, 1) ELSE '' END || CASE WHEN n >= 10 THEN '十' ELSE '' END || CASE WHEN n % 10 > 0 THEN substring('一二三四五六七八九', n % 10, 1) ELSE '' END AS numeral FROM (SELECT unnest(generate_series(1, 99)) AS n)")
@@ -332,32 +357,32 @@ def cn_numeral_names(spark, d):
     return spark.range(1, 100).select(F.col("id").alias("n"), T.cn_numeral(F.col("id")).alias("numeral"))
 
 
-NODES_SQL = """n AS (SELECT * FROM (VALUES (0, 'chapter', '第一章 總則', ''), (1, 'article', '第一章 總則/第1條', '為示範#而訂定本規則。'), (3, 'article', '第一章 總則/第2條', ''),
+NODES_SQL = f"""n AS (SELECT * FROM (VALUES (0, 'chapter', '第一章 總則', ''), (1, 'article', '第一章 總則/第1條', '為示範#而訂定本規則。@。'), (3, 'article', '第一章 總則/第2條', ''),
   (4, 'paragraph', '第一章 總則/第2條/1 本規則用詞如下：', ''), (5, 'subparagraph', '第一章 總則/第2條/1 本規則用詞如下：/一、甲：示範#用語。', ''),
   (6, 'item', '第一章 總則/第2條/1 本規則用詞如下：/一、甲：示範#用語。/（一）第一目。', '續行文字。'), (8, 'article', '第一章 總則/第3條', '（刪除）'),
   (10, 'section', '第一章 總則/第一節 通則', ''), (11, 'article', '第一章 總則/第一節 通則/第4條', '依第2條第1項規定，本法準用之。')) t(node, kind, path, content)),
-nodes AS (SELECT i::BIGINT AS doc_id, node::BIGINT AS node, kind, replace(path, '#', i::VARCHAR) AS path, replace(content, '#', i::VARCHAR) AS content FROM n, (VALUES (1), (2), (3)) d(i))"""
+nodes AS (SELECT doc_id::BIGINT AS doc_id, node::BIGINT AS node, kind, replace(path, '#', doc_id::VARCHAR) AS path, replace(replace(content, '#', doc_id::VARCHAR), '@', {BODY}) AS content FROM n, documents)"""
 
 
-@query(f"WITH {NODES_SQL} SELECT * FROM nodes")
+@query(f"WITH {NODES_SQL} SELECT doc_id, node, kind, path, md5(content) AS content_md5 FROM nodes")
 def statute_flatten(spark, d):
-    return statutes.parts(_laws(spark)).select("doc_id", F.col("node").cast("long"), "kind", F.concat_ws("/", *statutes.LEVELS).alias("path"), "content")
+    return statutes.parts(_laws(spark, d)).select("doc_id", F.col("node").cast("long"), "kind", F.concat_ws("/", *statutes.LEVELS).alias("path"), F.md5("content").alias("content_md5"))
 
 
 @query(f"""WITH {NODES_SQL} SELECT doc_id, node, path, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS parent,
   CASE kind WHEN 'chapter' THEN 'document_component' WHEN 'section' THEN 'basic_unit_hierarchy' WHEN 'article' THEN 'basic_unit' WHEN 'paragraph' THEN 'basic_unit_component' ELSE 'enumeration' END AS level FROM nodes""")
 def statute_tree_long(spark, d):
-    return statutes.tree(statutes.parts(_laws(spark))).withColumn("node", F.col("node").cast("long"))
+    return statutes.tree(statutes.parts(_laws(spark, d))).withColumn("node", F.col("node").cast("long"))
 
 
-@query(f"WITH {NODES_SQL} SELECT doc_id, string_agg(regexp_replace(path, '^.*/', '') || CASE WHEN content <> '' THEN chr(10) || content ELSE '' END, chr(10) || chr(10) ORDER BY node) AS text FROM nodes GROUP BY doc_id")
+@query(f"WITH {NODES_SQL} SELECT doc_id, md5(string_agg(regexp_replace(path, '^.*/', '') || CASE WHEN content <> '' THEN chr(10) || content ELSE '' END, chr(10) || chr(10) ORDER BY node)) AS text_md5 FROM nodes GROUP BY doc_id")
 def statute_text(spark, d):
-    return statutes.linear_text(statutes.parts(_laws(spark)))
+    return statutes.linear_text(statutes.parts(_laws(spark, d))).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 @query(f"WITH {NODES_SQL} SELECT doc_id, node, (len(string_split(path, '/')))::BIGINT AS depth FROM nodes WHERE contains(path || '/', '/第2條/')")
 def citation_search(spark, d):
-    return statutes.search(statutes.parts(_laws(spark)), article="第2條").select("doc_id", F.col("node").cast("long"), F.col("depth").cast("long"))
+    return statutes.search(statutes.parts(_laws(spark, d)), article="第2條").select("doc_id", F.col("node").cast("long"), F.col("depth").cast("long"))
 
 
 # --- enrichment ---------------------------------------------------------------------------------------------------------
@@ -382,16 +407,16 @@ def degree_centrality(spark, d):
     return enrichment.centrality(enrichment.consecutive_edges(enrichment.concepts(_docs(spark, d), PATTERNS)))
 
 
-GRAPH = "VALUES ('a', 'b', 0.9D), ('b', 'c', 0.8D), ('c', 'a', 0.7D), ('b', 'd', 0.6D), ('d', 'e', 0.5D), ('x', 'x', 0.4D)"
-
-
-@query(f"""WITH RECURSIVE e AS (SELECT * FROM ({GRAPH.replace('D)', '::DOUBLE)')}) t(src, dst, confidence)),
-p AS (SELECT src AS start, [src, dst] AS path, 1 AS hops, confidence AS total FROM e WHERE src IN ('a', 'x') AND src <> dst
+@query(f"""WITH RECURSIVE {EDGES}, e AS (SELECT src, dst, 1.0::DOUBLE / weight AS confidence FROM ed), st AS (SELECT DISTINCT min(concept) AS concept FROM co WHERE doc_id % 20 = 0 GROUP BY doc_id),
+p AS (SELECT src AS start, [src, dst] AS path, 1 AS hops, confidence AS total FROM e JOIN st ON src = concept
   UNION ALL SELECT start, list_append(path, dst), hops + 1, total + confidence FROM p JOIN e ON path[-1] = src WHERE hops < 3 AND NOT list_contains(path, dst))
 SELECT start, array_to_string(path, '>') AS path, hops::BIGINT AS hops, round(total / hops, 6) AS strength FROM p""")
 def graph_paths(spark, d):
-    edges = spark.sql(f"SELECT * FROM {GRAPH} AS t(src, dst, confidence)")
-    return enrichment.paths(edges, spark.sql("SELECT * FROM VALUES ('a'), ('x') AS t(concept)")).withColumn("hops", F.col("hops").cast("long"))
+    """Paths from the first concept of every twentieth document along the graph of all documents; an edge is as sure as it is rare."""
+    found = stored(enrichment.concepts(_docs(spark, d), PATTERNS))
+    edges = stored(enrichment.consecutive_edges(found).withColumn("confidence", 1.0 / F.col("weight")))
+    starts = found.where("doc_id % 20 = 0").groupBy("doc_id").agg(F.min("concept").alias("concept")).select("concept").distinct()
+    return enrichment.paths(edges, starts).withColumn("hops", F.col("hops").cast("long"))
 
 
 @query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents) WHERE rn = 1")
@@ -400,19 +425,20 @@ def dedupe_docs(spark, d):
     return enrichment.latest_by_filename(docs).select(F.col("filename").alias("source"), "doc_id", F.col("n_chunks").alias("n_chars"))
 
 
-def _ws(c):
-    return f"list_distinct({TOKENS.format(c)})"
+ANSWER = "list_distinct(list_concat(regexp_extract_all(lower({0}), '[a-z0-9_]+'), regexp_extract_all(lower({0}), '[一-鿿]')))"
+#: Sentences end behind a mark and white space, at which RE2 cannot look back: the white space is marked first.
+SENTENCES = "list_filter(list_transform(flatten(list_transform(string_split_regex(content, '[\\n\\r]+'), lambda l: string_split(regexp_replace(trim(l), '([。！？!?；;])[ \\t\\x0B\\f]+', '\\1' || chr(30), 'g'), chr(30)))), lambda s: trim(s)), lambda s: s <> '')"
 
 
-@query(f"""WITH {BM25}, ctx AS (SELECT query_id, b.text AS question, content FROM bm25 JOIN chunks USING (doc_id, chunk_index) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 10),
-s AS (SELECT query_id, question, trim(unnest(string_split_regex(content, '[.!?\\n]'))) AS sentence FROM ctx),
-z AS (SELECT query_id, sentence, max(len(list_intersect({_ws('sentence')}, {_ws('question')})) + least(length(sentence) / 200, 1.0::DOUBLE)) AS score FROM s WHERE sentence <> '' GROUP BY ALL)
-SELECT query_id, sentence, round(score, 6) AS score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, sentence) AS rank FROM z) WHERE rank <= 5""")
+@query(f"""WITH {BM25}, ctx AS (SELECT query_id, rank, b.text AS question, content FROM bm25 JOIN chunks USING (doc_id, chunk_index) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 10),
+s AS (SELECT query_id, question, rank, unnest({SENTENCES}) AS sentence, unnest(generate_series(0, len({SENTENCES}) - 1)) AS pos FROM ctx),
+y AS (SELECT *, len(list_intersect({ANSWER.format('sentence')}, {ANSWER.format('question')})) AS n FROM s),
+z AS (SELECT query_id, sentence, max(CASE WHEN n > 0 THEN n + least(length(sentence) / 200, 1.0::DOUBLE) ELSE 0 END) AS score, min(rank * 1000000 + pos) AS first FROM y WHERE n > 0 OR (rank <= 2 AND pos < 2) GROUP BY ALL),
+w AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM z)
+SELECT query_id, sentence, round(score, 6) AS score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, first) AS rank FROM w WHERE score > 0 OR best = 0) WHERE rank <= 5 AND (score > 0 OR rank <= 4)""")
 def extractive_answer(spark, d):
-    chunks, items = _chunks(spark, d), table(spark, d, "benchmark")
-    found = retrieval.bm25(chunks, items).join(chunks.select("doc_id", "chunk_index", "content"), ["doc_id", "chunk_index"])
-    ctx = found.join(F.broadcast(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))), "query_id")
-    return enrichment.extractive_answers(ctx).select("query_id", "sentence", "score", F.col("rank").cast("long"))
+    found = _with_contents(spark, d, retrieval.bm25(_chunks(spark, d), table(spark, d, "benchmark")))
+    return enrichment.extractive_answers(found).select("query_id", "sentence", "score", F.col("rank").cast("long"))
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")

@@ -38,31 +38,8 @@ def chunk_concept_levels(spark, d):
   m.level = 'item' AND length(m.content) < 200 AND NOT regexp_matches(m.content, '本法.*?定義|本法.*?規定|本法.*?用詞|應.*?申請|得.*?辦理|依.*?程序') AS in_context, a.own AS context
   FROM multi m LEFT JOIN own a ON m.doc_id = a.doc_id AND a.kind = 'article' AND starts_with(m.path, a.path || '/'))
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY node) - 1 AS chunk_index, CASE part WHEN 'law' THEN 'document' WHEN 'chapter' THEN 'document_component' WHEN 'section' THEN 'basic_unit_hierarchy' WHEN 'article' THEN 'basic_unit' WHEN 'paragraph' THEN 'basic_unit_component' ELSE 'enumeration' END AS level,
-  part, original, CASE WHEN in_context THEN context || chr(10) || original ELSE original END AS content, in_context FROM c""")
+  part, md5(original) AS original_md5, md5(CASE WHEN in_context THEN context || chr(10) || original ELSE original END) AS content_md5, in_context FROM c""")
 def statute_six_levels(spark, d):
-    return statutes.six_levels(statutes.multi_level(statutes.parts(_laws(spark)))).select("doc_id", F.col("chunk_index").cast("long"), "level", "part", "original", "content", "in_context")
-
-
-KIND = "CASE query_id % 3 WHEN 0 THEN 'conceptual' WHEN 1 THEN 'normative' ELSE 'explicit_article' END"
-HARD = "query_id % 40 = 0"
-
-
-@query(f"""WITH {PAIRED}, found AS (SELECT query_id, 'vector_search' AS strategy, chunk_id, (101 - rank)::DOUBLE AS score FROM av UNION ALL SELECT query_id, 'hybrid_rag', chunk_id, 101 - rank FROM bv UNION ALL SELECT query_id, 'hierarchical', chunk_id, (101 - rank) / 2 FROM av WHERE chunk_id % 2 = 0 UNION ALL SELECT query_id, 'semantic_search', chunk_id, (101 - rank) / 4 FROM av WHERE chunk_id % 3 = 0),
-routed AS (SELECT *, {KIND} AS kind, {HARD} AS hard, chunk_id % 7 = query_id % 7 AS named FROM found),
-weighed AS (SELECT query_id, chunk_id, hard, strategy, score * CASE
-  WHEN kind = 'conceptual' AND strategy IN ('vector_search', 'semantic_search') THEN CASE WHEN chunk_id % 5 = 0 THEN 1.2::DOUBLE ELSE 1 END
-  WHEN kind = 'normative' AND strategy = 'hybrid_rag' THEN 1.2::DOUBLE * CASE WHEN named THEN 1.3::DOUBLE ELSE 1 END
-  WHEN kind = 'normative' AND strategy = 'hierarchical' THEN 1.1::DOUBLE * CASE WHEN named THEN 1.3::DOUBLE ELSE 1 END
-  WHEN kind = 'explicit_article' AND strategy = 'hybrid_rag' THEN 1.2::DOUBLE * CASE WHEN named THEN 1.5::DOUBLE ELSE 1 END END AS score FROM routed)
-SELECT query_id, chunk_id AS result_id, round(avg(score) * CASE WHEN hard AND count(*) > 1 THEN 1.1::DOUBLE ELSE 1 END, 6) AS score, count(*) AS strategies FROM weighed WHERE score IS NOT NULL GROUP BY query_id, chunk_id, hard""")
-def adaptive_retrieve(spark, d):
-    left, right = _sides(spark, d)
-    points = (101 - F.col("rank")).cast("double").alias("score")
-    dense = left.select("query_id", "chunk_id", points)
-    parts = {"vector_search": dense, "hybrid_rag": right.select("query_id", "chunk_id", points), "hierarchical": dense.where("chunk_id % 2 = 0").withColumn("score", F.col("score") / 2), "semantic_search": dense.where("chunk_id % 3 = 0").withColumn("score", F.col("score") / 4)}
-    results = None
-    for name, part in parts.items():
-        part = part.select("query_id", F.lit(name).alias("strategy"), F.col("chunk_id").alias("result_id"), F.expr("concat('article ', chunk_id % 7, '.')").alias("content"), "score", F.expr("chunk_id % 5 = 0").alias("by_concept"))
-        results = part if results is None else results.unionByName(part)
-    queries = results.select("query_id").distinct().selectExpr("query_id", f"{KIND} AS kind", f"CASE WHEN {HARD} THEN 0.9D ELSE 0.2D END AS complexity", "array(concat('article ', query_id % 7, '.')) AS articles")
-    return fusion.adaptive(queries, results, tuple(parts)).select("query_id", "result_id", "score", "strategies")
+    return statutes.six_levels(statutes.multi_level(statutes.parts(_laws(spark, d)))).select("doc_id", F.col("chunk_index").cast("long"), "level", "part", F.md5("original").alias("original_md5"), F.md5("content").alias("content_md5"), "in_context")
+
+

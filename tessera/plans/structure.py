@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import learning, splitting, statutes
 from ..sources import table
+from .corpus import pick
 from .queries import NODES_SQL, _docs, _laws, query
 
 
@@ -37,24 +38,26 @@ multi AS (SELECT h.doc_id, h.node, h.kind AS level, h.path, string_agg(b.own, ch
   UNION ALL SELECT doc_id, -1, 'law', '', string_agg(own, chr(10) ORDER BY node) FROM own GROUP BY doc_id)"""
 
 
-@query(f"WITH {LIVE} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY node) - 1 AS chunk_index, level, path, content FROM multi")
+@query(f"WITH {LIVE} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY node) - 1 AS chunk_index, level, path, md5(content) AS content_md5 FROM multi")
 def statute_multi_level(spark, d):
-    return statutes.multi_level(statutes.parts(_laws(spark))).select("doc_id", F.col("chunk_index").cast("long"), "level", "path", "content")
+    return statutes.multi_level(statutes.parts(_laws(spark, d))).select("doc_id", F.col("chunk_index").cast("long"), "level", "path", F.md5("content").alias("content_md5"))
 
 
-@query(f"""WITH {LIVE} SELECT m.doc_id, row_number() OVER (PARTITION BY m.doc_id ORDER BY m.node) - 1 AS chunk_index, m.level, CASE WHEN m.level = 'article' THEN o.own ELSE m.content END AS content
+@query(f"""WITH {LIVE} SELECT m.doc_id, row_number() OVER (PARTITION BY m.doc_id ORDER BY m.node) - 1 AS chunk_index, m.level, md5(CASE WHEN m.level = 'article' THEN o.own ELSE m.content END) AS content_md5
 FROM multi m LEFT JOIN own o ON m.doc_id = o.doc_id AND m.node = o.node WHERE m.level IN ('law', 'chapter', 'section', 'article')""")
 def statute_articles_only(spark, d):
-    return statutes.multi_level(statutes.parts(_laws(spark)), deep=False, whole_articles=False).select("doc_id", F.col("chunk_index").cast("long"), "level", "content")
+    return statutes.multi_level(statutes.parts(_laws(spark, d)), deep=False, whole_articles=False).select("doc_id", F.col("chunk_index").cast("long"), "level", F.md5("content").alias("content_md5"))
 
 
-LABELLED = "(1, '第一章 總則', '第一節 通則', '第2條 用詞定義'), (2, '第五章 罰則', '', '第30條'), (3, '第六章 附則', '', '第40條 施行'), (4, '第三章 施行程序', '通則', '第9條'), (5, '第二章', '', '第5條')"
+CHAPTERS, SECTIONS, TITLES = ("第一章 總則", "第五章 罰則", "第六章 附則", "第三章 施行程序", "第二章"), ("第一節 通則", "", "第二節"), ("第2條 用詞定義", "第30條", "第40條 施行", "第9條 釋義")
+WEIGHED = f"(SELECT doc_id, {pick(CHAPTERS, 'doc_id % 5')} AS chapter, {pick(SECTIONS, 'doc_id % 3')} AS section, {pick(TITLES, 'doc_id % 4')} AS article FROM documents)"
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 2.34::DOUBLE), (2, 1.2), (3, 0.7), (4, 0.96), (5, 1.0)) t(id, weight)")
+@query(f"""SELECT doc_id, round(CASE WHEN doc_id % 5 = 0 THEN 1.5::DOUBLE ELSE 1 END * CASE WHEN doc_id % 4 IN (0, 3) THEN 1.3::DOUBLE ELSE 1 END * CASE WHEN doc_id % 5 = 1 THEN 1.2::DOUBLE ELSE 1 END
+  * CASE WHEN doc_id % 5 = 3 THEN 0.8::DOUBLE ELSE 1 END * CASE WHEN doc_id % 5 = 2 THEN 0.7::DOUBLE ELSE 1 END * CASE WHEN doc_id % 3 = 0 THEN 1.2::DOUBLE ELSE 1 END, 2) AS weight FROM {WEIGHED}""")
 def article_importance(spark, d):
-    rows = spark.sql(f"SELECT * FROM VALUES {LABELLED} AS t(id, chapter, section, article)")
-    return rows.select(F.col("id").cast("long"), statutes.importance(F.col("chapter"), F.col("section"), F.col("article")).alias("weight"))
+    rows = spark.sql(f"SELECT * FROM {WEIGHED}".replace("FROM documents", "FROM {documents}"), documents=table(spark, d, "documents"))
+    return rows.select("doc_id", statutes.importance(F.col("chapter"), F.col("section"), F.col("article")).alias("weight"))
 
 
 # --- learning from feedback: events stand for feedback, their types for patterns -----------------------------------------------
