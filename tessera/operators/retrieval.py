@@ -123,7 +123,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, level: str | None
     def one(b: int) -> DataFrame:
         part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
         ids = part.column(0).to_numpy()
-        shared = spark.sparkContext.broadcast((ids, np.array([x for c in part.column(1).chunks for x in c.flatten().to_numpy()]).reshape(len(ids), -1)))
+        shared = spark.sparkContext.broadcast((ids, np.array([x for c in part.column(1).chunks for x in c.flatten().to_numpy()]).reshape(len(ids), -1) if len(ids) else None))
 
         def search(batches):
             ids, q = shared.value

@@ -85,14 +85,26 @@ def chunk_stats(spark, d):
     return chunking.statistics(_chunks(spark, d), ["doc_id"])
 
 
-@query()
+def greedy(pieces: str, most: int, glue: str) -> str:
+    """Greedy packing as SQL: a list of strings folded into one string whose packs are parted by chr(31), and parted again."""
+    return f"string_split(list_reduce({pieces}, lambda a, s: CASE WHEN length(string_split(a, chr(31))[-1]) + length(s) > {most} THEN a || chr(31) || s ELSE a || {glue} || s END), chr(31))"
+
+
+PACKED = f"""s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[.。！？!?]'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents), packs AS (SELECT doc_id, {greedy('ps', 500, "'. '")} AS cs FROM s WHERE len(ps) > 0)"""
+
+
+@query(f"WITH {PACKED} SELECT doc_id, unnest(generate_series(0, len(cs) - 1)) AS chunk_index, md5(unnest(cs)) AS content_md5 FROM packs")
 def semantic_pack(spark, d):
     return chunking.sentence_packs(_docs(spark, d)).select("doc_id", F.col("chunk_index").cast("long"), F.md5("content").alias("content_md5"))
 
 
-@query()
+LINES = f"""l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS ls FROM documents), lp AS (SELECT doc_id, {greedy('ls', 600, 'chr(10)')} AS cs FROM l WHERE len(ls) > 0),
+one AS (SELECT doc_id, unnest(generate_series(0, len(cs) - 1)) AS chunk_index, unnest(cs) AS content FROM lp), cut AS (SELECT *, unnest(CASE WHEN length(content) > 900 THEN generate_series(0, length(content) - 41, 360) ELSE [0] END) AS at_char FROM one)"""
+
+
+@query(f"WITH {LINES} SELECT doc_id, chunk_index, (at_char // 360)::BIGINT AS sub_index, md5(CASE WHEN length(content) > 900 THEN substring(content, at_char + 1, 400) ELSE content END) AS content_md5 FROM cut")
 def hybrid_chunks(spark, d):
-    return chunking.hybrid(_docs(spark, d)).select("doc_id", "chunk_index", "sub_index", F.md5("content").alias("content_md5"))
+    return chunking.hybrid(_docs(spark, d)).select("doc_id", F.col("chunk_index").cast("long"), F.col("sub_index").cast("long"), F.md5("content").alias("content_md5"))
 
 
 SIZES, RATIOS = (300, 500, 800), (0.0, 0.1, 0.2)

@@ -11,7 +11,7 @@ from ..operators import asking, evaluation, fusion, gold, graph, pipelines, retr
 from ..sources import stored, table
 from .corpus import LC, LQ, any_of, chunks, count_of, joined, questions
 from .labels import ANALYSED, ASKED, CONCEPT_VALUES, REASONED
-from .queries import ANSWER, DENSE, LEVEL, LEVELLED, PAIRED, SENTENCES, SLIDING, TFIDF, TOKENS, WEIGHT, _charset, _chunks, _docs, _levelled, _queries, _sides, _spans, _with_contents, query
+from .queries import ANSWER, DENSE, LEVEL, LEVELLED, PAIRED, SENTENCES, SLIDING, SPANS, TFIDF, TOKENS, WEIGHT, _charset, _chunks, _docs, _levelled, _queries, _sides, _spans, _with_contents, query
 
 HIERARCHY = "CASE WHEN regexp_matches(content, '第[ \\t\\n\\r]*[0-9]+[ \\t\\n\\r]*條') THEN 'article' WHEN regexp_matches(content, '第[ \\t\\n\\r]*[0-9]+[ \\t\\n\\r]*[節章]') THEN 'section' WHEN regexp_matches(content, '總則|附則') THEN 'chapter' WHEN regexp_matches(content, '條文|規定|權利|義務|禁止|處罰') THEN 'article' ELSE 'general' END"
 DENSE100 = f"{DENSE}, av AS (SELECT query_id, vec_id AS chunk_id, score AS vec, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM cosine) WHERE rank <= 100)"
@@ -213,7 +213,8 @@ def document_concepts(spark, d):
     return graph.extracted(_contents(spark, d)).select(F.md5("concept").alias("concept_md5"), "kind", "confidence", "n", F.array_join("articles", "|").alias("articles"))
 
 
-@query()
+@query(f"""WITH {CLAUSES}, f AS (SELECT doc_id, lower(name) AS concept FROM (SELECT * FROM ({NAMED_SQL}) WHERE length(name) >= 2 UNION ALL {WORD_SQL})), x AS (SELECT DISTINCT unnest(regexp_extract_all(content, '第[0-9]+(-[0-9]+)?條')) AS article, concept FROM f JOIN lc USING (doc_id))
+SELECT article, count(*) AS n, md5(string_agg(concept, '|' ORDER BY concept)) AS concepts_md5 FROM x GROUP BY article""")
 def article_concepts(spark, d):
     return graph.article_map(graph.extracted(_contents(spark, d))).select("article", "n", F.md5(F.array_join("concepts", "|")).alias("concepts_md5"))
 
@@ -223,7 +224,7 @@ QC, CC = (f"list_distinct(list_filter(string_split(translate({{0}}, '{marks}', '
 
 
 @query(f"""WITH {TFIDF}, qs AS (SELECT item_id AS query_id, {QC.format('text')} AS q FROM benchmark), j AS (SELECT query_id, rank, q, len(list_intersect(q, {CC.format('content')})) / len(q) AS share FROM tfidf JOIN chunks USING (doc_id, chunk_index) JOIN qs USING (query_id) WHERE rank <= 10),
-cs AS (SELECT {CC.format('content')} AS c FROM chunks), po AS (SELECT query_id, count(*) AS relevant FROM qs, cs WHERE len(q) > 0 AND len(list_intersect(q, c)) >= 0.3::DOUBLE * len(q) GROUP BY 1)
+cset AS (SELECT {CC.format('content')} AS c FROM chunks), po AS (SELECT query_id, count(*) AS relevant FROM qs, cset WHERE len(q) > 0 AND len(list_intersect(q, c)) >= 0.3::DOUBLE * len(q) GROUP BY 1)
 SELECT query_id, round(count(*) FILTER (rank <= 5 AND share >= 0.5) / count(*) FILTER (rank <= 5), 6) AS "precision", round(count(*) FILTER (share >= 0.3) / count(*), 6) AS omega, round(coalesce(count(*) FILTER (rank <= 5 AND share >= 0.3) / any_value(relevant), 0), 6) AS recall FROM j LEFT JOIN po USING (query_id) GROUP BY query_id""")
 def character_metrics(spark, d):
     ranked = _with_contents(spark, d, retrieval.tfidf(_chunks(spark, d), table(spark, d, "benchmark")))
@@ -308,7 +309,8 @@ def span_mapping_ranges(spark, d):
     return evaluation.map_by_cumulative_ranges(spans, _chunks(spark, d), 50).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
-@query()
+@query(f"""WITH {SPANS}, rel AS (SELECT span_id AS query_id, doc_id * 100000 + chunk_index AS chunk_id FROM m), rk AS (SELECT doc_id AS query_id, doc_id * 100000 + chunk_index AS chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index * 7 % 11, chunk_index) AS rank FROM chunks),
+p AS (SELECT k, query_id, count(DISTINCT rel.chunk_id) AS n, count(*) FILTER (rank <= k) AS hits FROM rel JOIN rk USING (query_id, chunk_id), (VALUES (1), (3), (5), (10)) t(k) GROUP BY ALL) SELECT k::BIGINT AS k, round(avg(hits / k), 6) AS "precision", round(avg(hits / n), 6) AS recall, count(*) AS n_queries FROM p GROUP BY k""")
 def mapped_metrics(spark, d):
     """Chunks that hold a span, against an order of the document's chunks by hash."""
     ids = lambda df: df.withColumn("chunk_id", F.col("doc_id") * 100_000 + F.col("chunk_index"))

@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import chunking, retrieval, splitting, statutes
 from ..sources import table
 from .corpus import LAWS, LC, any_of, chunks, joined, pick
-from .queries import SLIDING, TOKENS, _chunks, _docs, query
+from .queries import SLIDING, TOKENS, _chunks, _docs, greedy, query
 from .structure import _digest
 
 # --- statutes as JSON ------------------------------------------------------------------------------------------------------------------
@@ -130,12 +130,24 @@ def chunk_overlap_windows(spark, d):
     return _digest(chunking.overlap_windows(_docs(spark, d), 400, 0.2))
 
 
-@query()
+PARAGRAPHS = """pp AS (SELECT doc_id, flatten(list_transform(string_split(text, chr(10) || chr(10)), lambda p: CASE WHEN length(p) <= 800 THEN [p] ELSE list_transform(list_filter(string_split(list_reduce(list_concat([''], string_split(p, '。')),
+  lambda a, s: CASE WHEN length(string_split(a, chr(31))[-1]) + length(s) <= 800 THEN a || s || '。' ELSE a || chr(31) || s || '。' END), chr(31)), lambda c: length(c) >= 50), lambda c: trim(c)) END)) AS ps FROM documents WHERE text IS NOT NULL),
+pc AS (SELECT doc_id, ps, unnest(generate_series(1, len(ps))) AS i FROM pp WHERE len(ps) > 0), pa AS (SELECT doc_id, i, 0 AS o, ps[i] AS content FROM pc UNION ALL SELECT doc_id, i, 1, right(ps[i], 40) || substring(ps[i + 1], 41) FROM pc WHERE length(ps[i]) > 40 AND length(ps[i + 1]) > 40)"""
+
+
+@query(f"WITH {PARAGRAPHS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, o) - 1 AS chunk_index, md5(content) AS content_md5, o = 1 AS overlapped FROM pa")
 def chunk_paragraphs(spark, d):
     return chunking.paragraphs_then_sentences(_docs(spark, d), 800, 50, 40).select("doc_id", F.col("chunk_index").cast("long"), F.md5("content").alias("content_md5"), "overlapped")
 
 
-@query()
+_BLANK = "list_filter(string_split(text, {0}), lambda s: trim(s) <> '')"
+_SENTENCES = greedy("list_filter(string_split(regexp_replace(text, '([。！？；;])', '\\1' || chr(30), 'g'), chr(30)), lambda s: s <> '')", 600, "''")
+OVERSIZE = f"""op AS (SELECT doc_id, text, CASE WHEN length(text) <= 600 THEN [text] WHEN len({_BLANK.format('chr(10) || chr(10)')}) > 1 THEN {_BLANK.format('chr(10) || chr(10)')} WHEN len({_BLANK.format('chr(10)')}) > 1 THEN {_BLANK.format('chr(10)')} ELSE {_SENTENCES} END AS ps FROM documents WHERE text IS NOT NULL),
+oc AS (SELECT doc_id, CASE WHEN length(text) <= 600 THEN ps ELSE list_transform(string_split(list_reduce(list_transform(ps, lambda p: trim(p)), lambda a, s: CASE WHEN length(string_split(a, chr(31))[-1]) + length(s) > 600
+  THEN a || chr(31) || CASE WHEN length(string_split(a, chr(31))[-1]) > 60 AND trim(right(string_split(a, chr(31))[-1], 60)) <> '' THEN trim(right(string_split(a, chr(31))[-1], 60)) || chr(10) || chr(10) || s ELSE s END ELSE a || chr(10) || chr(10) || s END), chr(31)), lambda c: trim(c)) END AS cs FROM op)"""
+
+
+@query(f"WITH {OVERSIZE} SELECT doc_id, unnest(generate_series(0, len(cs) - 1)) AS chunk_index, md5(unnest(cs)) AS content_md5 FROM oc")
 def chunk_oversize(spark, d):
     whole = _docs(spark, d).where("text IS NOT NULL").select("doc_id", F.lit(0).alias("chunk_index"), F.col("text").alias("content"))
     return chunking.split_oversize(whole, 600).select("doc_id", F.col("part").cast("long").alias("chunk_index"), F.md5("content").alias("content_md5"))
