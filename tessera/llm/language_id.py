@@ -177,22 +177,26 @@ class Model:
         return out
 
     def _viterbi(self, scores: np.ndarray, rows: np.ndarray, todo: np.ndarray, out: np.ndarray) -> None:
+        """Rows of todo, longest first, word by word in step: the rows that are long enough for a step are the first ones."""
         begin, size = rows[todo], rows[todo + 1] - rows[todo]
+        live = np.searchsorted(-size, -np.arange(1, int(size[0])), "left").tolist()  # rows longer than t, for t from 1
+        row = np.arange(len(todo))
         value = scores[begin].copy()
-        back: list[np.ndarray] = []
-        for t in range(1, int(size[0])):
-            live = int(np.searchsorted(-size, -t, "left"))  # rows longer than t
-            v = value[:live]
+        stays, tops = [], []
+        for t, n in enumerate(live, 1):
+            v = value[:n]
             top = v.argmax(axis=1)
-            jump = v[np.arange(live), top] - PENALTY
-            stay = v >= jump[:, None]
-            back.append(np.where(stay, np.arange(v.shape[1]), top[:, None]).astype(np.int16))
-            value[:live] = np.where(stay, v, jump[:, None]) + scores[begin[:live] + t]
+            jump = (v[row[:n], top] - PENALTY)[:, None]
+            stays.append(v >= jump)
+            tops.append(top.astype(np.int16))
+            np.maximum(v, jump, out=v)
+            v += scores[begin[:n] + t]
         state = value.argmax(axis=1)
-        for t in range(int(size[0]) - 1, 0, -1):
-            live = int(np.searchsorted(-size, -t, "left"))
-            out[begin[:live] + t] = state[:live]
-            state[:live] = back[t - 1][np.arange(live), state[:live]]
+        for t in range(len(live), 0, -1):
+            n = live[t - 1]
+            s = state[:n]
+            out[begin[:n] + t] = s
+            state[:n] = np.where(stays[t - 1][row[:n], s], s, tops[t - 1])
         out[begin] = state
 
 
