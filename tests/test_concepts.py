@@ -29,7 +29,7 @@ def concepts_of(text):
     out = set()
     for kind, (_, cues) in concept_spans.CUES.items():
         for cue in cues:
-            first, _, second = cue.partition("..")
+            first, _, second = cue.removesuffix(concept_spans.REST).partition(concept_spans.GAP)
             at = 0
             while (at := text.find(first, at)) >= 0:
                 end = next((i for i in range(at, len(text)) if text[i] in "。！？\n"), len(text))
