@@ -24,7 +24,7 @@ def let(value: Column, body) -> Column:
 #: Words that tell nothing of a text; a parameter of importance_tokens().
 STOP_WORDS = ("的", "了", "在", "是", "有", "和", "就", "不", "都", "一", "上", "也", "很", "到", "要", "去", "會", "著", "沒有", "我們", "你們", "他們", "如果", "因為", "所以", "但是", "或者", "而且", "可以", "應該", "必須", "需要", "以及", "對於", "關於")
 #: Runs of anything but letters, digits and underscores, and of Chinese characters.
-BETWEEN = "(?:[^\\p{L}\\p{N}_]|\\p{IsHan})+"
+BETWEEN = "[[^\\p{L}\\p{N}_]\\p{IsHan}]+"
 
 
 def words(text: Column, least: int = 2, tokenizer: str = "bigram") -> Column:
@@ -41,7 +41,8 @@ def _words(low: Column, least: int, tokenizer: str) -> Column:
     pairs = lambda s: F.when(F.length(s) > 1, F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, 2))).otherwise(F.array(s))
     han = {"bigram": lambda: F.flatten(F.transform(runs, pairs)), "char": lambda: F.regexp_extract_all(low, F.lit("\\p{IsHan}"), F.lit(0)), "run": lambda: runs}[tokenizer]()
     long = F.filter(F.split(low, BETWEEN), lambda t: F.length(t) >= least)
-    return F.concat(long, han if tokenizer == "char" else F.filter(han, lambda t: F.length(t) >= min(least, 2)))
+    both = F.concat(long, han if tokenizer == "char" else F.filter(han, lambda t: F.length(t) >= min(least, 2)))
+    return F.when(low.rlike("\\p{IsHan}"), both).otherwise(long)
 
 
 def importance_tokens(text: Column, stop: tuple = STOP_WORDS) -> Column:

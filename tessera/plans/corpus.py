@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources import table
+from ..sources import spread, table
 
 LAWS = ("著作權法", "商標法", "專利法", "民法", "刑法")
 PHRASES = (
@@ -46,7 +46,7 @@ LC, LQ = f"lc AS ({CHUNKS})", f"lq AS ({QUESTIONS})"
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(CHUNKS.replace("FROM documents", "FROM {documents}"), documents=table(spark, d, "documents"))
+    return spark.sql(CHUNKS.replace("FROM documents", "FROM {documents}"), documents=spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"))
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, enrichment, evaluation, fusion, retrieval, statutes
-from ..sources import stored, table
+from ..sources import spread, stored, table
 from ..streaming import annotations
 
 QUERIES: dict = {}
@@ -61,7 +61,7 @@ WEIGHT = "CASE level WHEN 'document' THEN 0.3::DOUBLE WHEN 'document_component'
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:

@@ -13,6 +13,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key over all cores if its files make fewer partitions than there are cores: one row group would keep one core busy.
+    Only small inputs are shuffled so; those with work for every core stay where they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a session on one machine that has none gets a new temporary one, a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
