@@ -27,15 +27,24 @@ def top(scored: DataFrame, by: list[str], k: int, ties: list[str], score: str =
 KEYS = ["doc_id", "chunk_index"]
 
 
+def counted(tokens: Column) -> Column:
+    """array<struct<term, tf>> of an array of words, by term: sorted once, each run of equal words is a term. No words: no terms."""
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(first, lambda at: F.transform(F.slice(at, 1, F.size(at) - 1), lambda p, j: F.struct(F.get(s, p).alias("term"), (F.get(at, j + 1) - p).alias("tf"))))
+
+    return let(F.array_sort(tokens), runs)
+
+
 def index(chunks: DataFrame, keys: list[str] | None = None, tokens: Column | None = None) -> DataFrame:
     """(keys, dl, terms array<struct<term, tf>>): the index that all searches and statistics read, written once to the shared folder.
 
     Tokens are counted inside the row, so building it shuffles nothing. tokens: an array column, else words() of content.
     """
     keys = KEYS if keys is None else keys
-    counted = lambda t: F.transform(F.array_distinct(t), lambda w: F.struct(w.alias("term"), (F.size(t) - F.size(F.array_remove(t, w))).alias("tf")))
     rows = chunks.select(*keys, (words(F.col("content")) if tokens is None else tokens).alias("tokens"))
-    return stored(rows.select(*keys, F.size("tokens").alias("dl"), let(F.col("tokens"), counted).alias("terms")))
+    return stored(rows.select(*keys, F.size("tokens").alias("dl"), counted(F.col("tokens")).alias("terms")))
 
 
 def _postings(indexed: DataFrame, *columns: str) -> DataFrame:
