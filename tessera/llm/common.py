@@ -175,6 +175,16 @@ def shielded(df: DataFrame, *keep: str) -> DataFrame:
     return df.toDF(*[c if c in keep else f"_{i}_" for i, c in enumerate(df.columns)])
 
 
+def replacing(df: DataFrame, made: list[str], *keep: str) -> tuple[DataFrame, list[str]]:
+    """df shielded, without the columns that the new columns `made` replace, and the names for toDF() once those follow.
+
+    Names are compared as Spark's writers do, whatever their case. A column of `keep` stays under its name for the work to use.
+    """
+    rows = shielded(df, *keep)
+    pairs = [(c, k) for c, k in zip(rows.columns, df.columns) if k.lower() not in {m.lower() for m in made}]
+    return rows.select(*[c for c, _ in pairs]), [k for _, k in pairs] + made
+
+
 def split_hot(keyed: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
     """Adds the column `part` to keyed(key, node, ...): all rows of a key whose count is at most limit share part 0.
 

@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import chat_format, decontaminate, html_extract, language_id, mixing, near_embeddings, sharding, simhash_dedup, suffix_dedup, toxicity
+from . import chat_format, decontaminate, html_extract, language_id, mixing, near_embeddings, resample, sharding, simhash_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_near_embeddings": near_embeddings.op1,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_toxicity": toxicity.op8,
     "op9_html_text": html_extract.op9,
     "op10_shard": sharding.op10,
+    "op11_resample": resample.op11,
 }
 ORACLES = {"op2_chat_format": chat_format.OP2_SQL, "op3_decontaminate": decontaminate.OP3_SQL}
