@@ -15,4 +15,4 @@ QUERIES = {
     "op10_shard": sharding.op10,
     "op11_resample": resample.op11,
 }
-ORACLES = {"op2_chat_format": chat_format.OP2_SQL, "op3_decontaminate": decontaminate.OP3_SQL}
+ORACLES = {"op2_chat_format": chat_format.OP2_SQL, "op3_decontaminate": decontaminate.OP3_SQL, "op11_resample": resample.OP11_SQL}

@@ -236,6 +236,28 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, orders:
     return out.select(*[c for c, _ in keep], *made).toDF(*[k for _, k in keep], *made)
 
 
+#: The bits of a CRC step by step, for every distinct feature.
+OP11_SQL = r"""
+WITH RECURSIVE step AS (
+  SELECT i, i AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+byte AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+texts AS (SELECT 's' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark),
+cut AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (SELECT side, id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM cut),
+feature AS (SELECT f, list_reduce(list_transform(range(strlen(f)), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT) AS c FROM (SELECT DISTINCT f FROM runs), byte),
+bucketed AS (SELECT side, id, xor(c, 4294967295) % 10000 AS b FROM runs JOIN feature USING (f)),
+counts AS (SELECT b, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM bucketed GROUP BY b),
+sums AS (SELECT sum(s)::DOUBLE AS s_all, sum(t)::DOUBLE AS t_all FROM counts),
+gain AS (SELECT b, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS g FROM counts, sums),
+weight AS (SELECT id, count(*) AS n_features, floor(sum(g) / count(*))::BIGINT AS weight FROM bucketed JOIN gain USING (b) WHERE side = 's' GROUP BY id),
+scored AS (SELECT doc_id, len(w) AS n, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM (SELECT doc_id FROM documents) d JOIN cut ON side = 's' AND cut.id = doc_id LEFT JOIN weight ON weight.id = doc_id),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS fit FROM scored WHERE n >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 25 * fit // 100 THEN r END AS rank FROM scored LEFT JOIN drawn USING (doc_id)
+"""
+
+
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its features, weight, score and rank of the draw towards `benchmark`; see weighed() and ranked_draw()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
