@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import align_tokens, chat_format, decontaminate, html_extract, language_id, mixing, near_embeddings, resample, sharding, simhash_dedup, suffix_dedup, toxicity
+from . import align_tokens, chat_format, decontaminate, html_extract, language_id, mixing, near_embeddings, personal_data, resample, sharding, simhash_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_near_embeddings": near_embeddings.op1,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_shard": sharding.op10,
     "op11_resample": resample.op11,
     "op12_align_tokens": align_tokens.op12,
+    "op13_personal_data": personal_data.op13,
 }
 ORACLES = {"op2_chat_format": chat_format.OP2_SQL, "op3_decontaminate": decontaminate.OP3_SQL, "op11_resample": resample.OP11_SQL}
