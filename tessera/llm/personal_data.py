@@ -100,7 +100,10 @@ class Tokens:
         self.count, self.offsets = [], []
         for r, (text, _, _, held) in enumerate(runs):
             spans = [m.span() for m in TOKEN.finditer(text)]
-            k = 0
+            edges, k = np.zeros(len(text) + 1, np.int64), 0
+            np.add.at(edges, [a for a, _ in held], 1)
+            np.add.at(edges, [b for _, b in held], -1)
+            free = (np.cumsum(edges) == 0).tolist()
             for s, e in spans:
                 number = text[s] in "0123456789"
                 kind.append(DIGIT if number else _KIND[text[s]])
@@ -108,7 +111,7 @@ class Tokens:
                 value.append(int(text[s:e]) if number and e - s <= 3 else 999)
                 run.append(r)
                 start.append(s)
-                taken.append(any(s < b and e > a for a, b in held))
+                taken.append(not all(free[s:e]))
                 a = b = 0
                 for c in text[s:e] if number else "":
                     d = ord(c) - 48
