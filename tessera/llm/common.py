@@ -64,9 +64,15 @@ def hashed(seed: str, *cols) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 12)
 
 
+def comparable(df: DataFrame) -> list[Column]:
+    """df's columns, those with maps, which can be neither hashed nor sorted, as JSON text."""
+    return [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in df.dtypes]
+
+
 def row_names(df: DataFrame) -> dict[str, Column]:
-    """Two hashes of all values of a row, as columns _a and _b: only rows equal in every column share both. Never null."""
-    values = [F.isnull(c) for c in df.columns] + [F.col(c) for c in df.columns]
+    """Two hashes of all values of a row, as columns _a and _b: only rows equal in every column share both. Never null. Columns
+    with maps count by their JSON text."""
+    values = [F.isnull(c) for c in df.columns] + comparable(df)
     return {"_a": F.xxhash64(*values), "_b": F.xxhash64(F.lit("row"), *values)}
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed, ranked, shielded, stored, table
+from .common import hashed, ranked, replacing, stored, table
 
 SHARDS = 8
 BLOCK_ROWS = 4096
@@ -113,12 +113,12 @@ def shard(rows: DataFrame, by: list[str], shards: int = SHARDS, seed: str = "shu
 
     by: the columns whose values drive the permutations; give ones that tell rows apart, null or not. Rows equal in all of
     them are interchangeable. Shard sizes differ by one at most. Empty input gives no rows. Columns of rows named shard or
-    slot are replaced, all others kept. The result depends on the
+    slot, in any case, are replaced, all others kept; those of `by` must not be among these. The result depends on the
     rows and the seed alone, not on files, partitions or retries. rows is read twice: store it first if it is dear.
     """
-    given = [c for c in rows.columns if c not in ("shard", "slot")]
-    rows = shielded(rows.select(*given))
-    by = [rows.columns[given.index(c)] for c in by]
+    given = rows.columns
+    by = [f"_{given.index(c)}_" for c in by]
+    rows, names = replacing(rows, ["shard", "slot"])
     n = rows.count()
     depth = min(MOST_DEPTH, max(0, (max(n, 1) // block_rows).bit_length()))
     made = rows.withColumns({"_b": F.shiftright(hashed(f"{seed}/block", *by), 52 - depth).cast("int") if depth else F.lit(0), "_r1": hashed(f"{seed}/first", *by), "_r2": hashed(f"{seed}/second", *by)})
@@ -127,7 +127,7 @@ def shard(rows: DataFrame, by: list[str], shards: int = SHARDS, seed: str = "shu
     small = (1 << depth) * shards <= 1 << 20  # 8 MB of longs
     placed = ranked(made, ["_b"], "_r1", "_p").join(F.broadcast(dealt) if small else dealt, "_b")
     placed = placed.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("_p"))).cast("int")).drop("ends", "_p", "_b", "_r1")
-    return ranked(stored(placed), ["shard"], "_r2", "slot").select(*rows.columns, "shard", "slot").toDF(*given, "shard", "slot")
+    return ranked(stored(placed), ["shard"], "_r2", "slot").select(*rows.columns, "shard", "slot").toDF(*names)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -170,11 +170,11 @@ def cluster(fps: DataFrame, key: str = "doc_id", tau: int = TAU) -> DataFrame:
     """(fp, component, n): the smallest key reachable through links of at most tau differing bits, and the number of rows, for
     every fingerprint.
 
-    fps: (key long, fp long), stored. Equal fingerprints are one node. Null keys count last: a component of null keys
-    alone has a null component. No fingerprints, no rows.
+    fps: (key long, fp long), stored. The fingerprint itself is the node, so rows without a key link others like any row; a
+    component of null keys alone has a null component. No fingerprints, no rows.
     """
-    nodes = stored(fps.groupBy("fp").agg(F.min(key).alias("node"), F.count("*").alias("n")))
-    known = nodes.where(F.col("node").isNotNull())
+    nodes = stored(fps.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")))
+    known = nodes.select(F.col("fp").alias("node"), "fp")
     parts = plan(known, tau)
     probes = [(i, v, bits, mask) for i, (bits, t) in enumerate(parts) for v, mask in enumerate(_masks(len(bits), t))]
 
@@ -186,12 +186,14 @@ def cluster(fps: DataFrame, key: str = "doc_id", tau: int = TAU) -> DataFrame:
                 values = {i: _part_values(fp, bits)}
             yield {"key": values[i] & ~np.int64(mask) | np.int64(i) << 61 | np.int64(v) << 48 if len(bits) <= 48 else values[i], "node": node, "fp": batch.column(1)}
 
-    keyed = arrow_map(known.select("node", "fp"), keys, "key long, node long, fp long")
+    keyed = arrow_map(known, keys, "key long, node long, fp long")
     counts = keyed.groupBy("key").agg(F.count("*").alias("count"))
     runs = split_hot(keyed, counts, HOT_KEY)
     edges = in_runs(runs, lambda c: _near_edges(c, tau), "a long, b long", ["key", "part", "node", "fp"])
     found = components(edges)
-    return nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"), "n")
+    told = stored(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("_of"), "least", "n"))
+    least = told.groupBy("_of").agg(F.min("least").alias("component"), F.count("*").alias("_n"))
+    return join_hot(told.drop("least"), least, "_of", "_n").select("fp", "component", "n")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

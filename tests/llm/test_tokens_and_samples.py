@@ -7,14 +7,13 @@ import random
 import re
 import zlib
 from collections import Counter
-from itertools import product
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import align_tokens, personal_data, queries, resample
+from tessera.llm import align_tokens, personal_data, queries, resample, sharding, simhash_dedup, toxicity
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -310,3 +309,53 @@ def test_redaction_and_clashing_columns(spark, field, tmp_path):
     got = {r.doc_id: r.text for r in personal_data.redacted(rows.drop("Spans"), field).collect()}
     assert got[1].startswith("to <email>, <phone>") and got[1].endswith(".") and not re.search("[0-9]", got[1])
     assert got[2] is None and got[3] == "nothing"
+
+
+# --- earlier operators: keys without value, names that differ by case, maps ---------------------------------------------------
+def plain_components(rows):
+    """(key, fp) rows: the least key reachable by steps of at most three bits, over all rows."""
+    seen, out = set(), {}
+    for start in range(len(rows)):
+        if start in seen:
+            continue
+        group, todo = {start}, [start]
+        while todo:
+            x = todo.pop()
+            near = [j for j in range(len(rows)) if j not in group and ((rows[x][1] ^ rows[j][1]) & (1 << 64) - 1).bit_count() <= 3]
+            group.update(near)
+            todo += near
+        seen |= group
+        least = min((rows[j][0] for j in group if rows[j][0] is not None), default=None)
+        out.update({j: least for j in group})
+    return Counter((*rows[j], out[j]) for j in range(len(rows)))
+
+
+def test_rows_without_a_key_link_others(spark):
+    told = spark.createDataFrame([(1, 0), (None, 7), (2, 63)], "doc_id long, fp long")
+    assert {r["component"] for r in simhash_dedup.cluster(simhash_dedup.stored(told)).collect()} == {1}
+    rng = random.Random(8)
+    rows = []
+    for k in range(300):
+        fp = rng.getrandbits(64) - (1 << 63) if k % 10 == 0 or not rows else rows[-1][1]
+        for b in rng.sample(range(63), rng.randint(0, 4)):
+            fp ^= 1 << b
+        rows.append((None if rng.random() < 1 / 3 else rng.randint(0, 10_000), fp))
+    fps = simhash_dedup.stored(spark.createDataFrame(rows, "doc_id long, fp long"))
+    got = fps.join(simhash_dedup.cluster(fps), "fp").select("doc_id", "fp", "component").collect()
+    assert Counter(map(tuple, got)) == plain_components(rows)
+
+
+def test_names_that_differ_by_case_and_maps_go_through_every_stage(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    rows = odd.withColumns({"SHARD": F.lit("s"), "Slot": F.lit(1), "Score": F.lit(2), "m": F.create_map(F.lit("a"), "doc_id"), "_copy": F.lit(3)})
+    sharding.shard(rows.drop("m"), ["doc_id", "text"]).write.parquet(f"{tmp_path}/shards")
+    assert sorted(spark.read.parquet(f"{tmp_path}/shards").columns) == sorted([*odd.columns, "Score", "_copy", "shard", "slot"])
+    toxicity.score(rows, toxicity.fit(odd, spark.createDataFrame([(4, 1), (5, 0)], "doc_id long, toxic int"))).write.parquet(f"{tmp_path}/scores")
+    assert "score" in spark.read.parquet(f"{tmp_path}/scores").columns
+    place = folder(tmp_path / "in", documents=rows, benchmark=spark.createDataFrame([(1, EN)], "item_id long, text string"))
+    docs = rows
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, place).write.parquet(f"{tmp_path}/stage{k}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{k}")
+    assert sorted(docs.columns) == sorted([*odd.columns, "Score", "m", "_copy", "shard", "slot"])
