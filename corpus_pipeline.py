@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, language_id, mixing, sharding, simhash_dedup
-from tessera.llm.common import row_names, shared_folder, shielded, stored, table
+from tessera.llm.common import comparable, row_names, shared_folder, shielded, stored, table
 
 #: A document stays if at least this share of its words is in one language.
 LEAST_SCORE = 0.4
@@ -53,14 +53,14 @@ def shuffle_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """All columns of documents, with shard and slot. Keys are permuted without their texts and meet them at the end.
 
     Rows equal in doc_id and text share their places, and the k-th of them takes the k-th place; after the mix these are the
-    copies of one document. Columns of docs named shard or slot are replaced.
+    copies of one document. Columns of docs named shard or slot, in any case, are replaced. doc_id is an integer.
     """
-    given = [c for c in docs.columns if c not in ("shard", "slot")]
+    given = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     rows = shielded(docs.select(*given), "doc_id", "text")
     keys = {"_id": F.coalesce("doc_id", F.lit(-(1 << 63))), "_crc": F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))}
     keyed = rows.withColumns(keys)
     dealt = sharding.shard(stored(keyed.select("_id", "_crc")), ["_id", "_crc"]).groupBy("_id", "_crc").agg(F.array_sort(F.collect_list(F.struct("shard", "slot"))).alias("_places"))
-    numbered = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy(*[c for c in rows.columns if c != "text"])))
+    numbered = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy(*comparable(rows.drop("text")))))
     return numbered.join(dealt, ["_id", "_crc"]).withColumn("_place", F.element_at("_places", F.col("_k"))).select(*rows.columns, "_place.shard", "_place.slot").toDF(*given, "shard", "slot")
 
 
