@@ -225,20 +225,20 @@ def configuration_score(omega: Column, precision: Column, recall: Column) -> Col
 def grid_evaluation(docs: DataFrame, questions: DataFrame, sizes: tuple, ratios: tuple, ks: tuple) -> DataFrame:
     """(chunk_size, overlap_ratio, n_chunks, k, precision, recall, omega): character-overlap measures of a TF-IDF search for questions(item_id, text) over
     the fixed-size chunks of every configuration. Each configuration has an index of its own in the shared folder."""
-    from . import chunking, retrieval
+    from . import block_index, chunking, retrieval
 
     asked = questions.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     out = None
     for size in sizes:
         for ratio in ratios:
             chunks = chunking.fixed_ratio(docs, size, ratio)
-            indexed = retrieval.index(chunks)
-            found = retrieval.stored(retrieval.tfidf(chunks, questions, max(ks), indexed))
+            blocked = block_index.blocks(chunks, retrieval.KEYS)
+            found = retrieval.stored(retrieval.tfidf(chunks, questions, max(ks), blocked))
             named = docs.join(retrieval.small(found.select("doc_id").distinct()), "doc_id", "left_semi")
             contents = chunking.fixed_ratio(named, size, ratio).select("doc_id", "chunk_index", "content")
             judged = overlap_relevance(found.join(contents, ["doc_id", "chunk_index"]).join(retrieval.small(asked), "query_id"))
             n = judged.groupBy("query_id").agg(F.count_if("relevant").alias("n_relevant"))
-            got = precision_recall(judged.join(n, "query_id"), ks).crossJoin(indexed.agg(F.count("*").alias("n_chunks")))
+            got = precision_recall(judged.join(n, "query_id"), ks).crossJoin(block_index.statistics(blocked).select(F.col("n").alias("n_chunks")))
             got = got.select(F.lit(size).alias("chunk_size"), F.lit(float(ratio)).alias("overlap_ratio"), "n_chunks", "k", "precision", "recall", "omega")
             out = got if out is None else out.unionByName(got)
     return out

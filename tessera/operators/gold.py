@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from ..functions import values as V
@@ -68,67 +65,6 @@ def id_set_measures(relevant: DataFrame, ranked: DataFrame, ks: tuple, by: tuple
     return each.groupBy(*by, "k").agg(F.round(F.avg(hit / F.col("k")), 6).alias("precision"), F.round(F.avg(hit / F.col("n")), 6).alias("recall"), F.count("*").alias("n_queries"))
 
 
-# --- question sets to spans: a cascade of ever looser matches ------------------------------------------------------------------------
-KEYWORD_SHARE, JACCARD, OVERLAP, SENTENCE, CONCEPT = 0.3, 0.4, 0.4, 0.3, 0.3
-
-
-def _keywords(text: Column) -> Column:
-    return F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit("[\\p{L}\\p{N}]+"), F.lit(0))), lambda w: F.length(w) >= 2)
-
-
-@F.pandas_udf(DoubleType())
-def longest_common_share(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common substring over that of the longer text; no built-in function tells it."""
-
-    def one(x: str, y: str) -> float:
-        if not x or not y:
-            return 0.0
-        u, v = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (x, y))
-        run, best = np.zeros(len(v) + 1, np.int64), 0
-        for c in u:
-            run[1:] = np.where(v == c, run[:-1] + 1, 0)
-            best = max(best, int(run.max()))
-        return best / max(len(u), len(v))
-
-    return pd.Series([one(x or "", y or "") for x, y in zip(a, b)])
-
-
-def spans_of_questions(items: DataFrame, spans: DataFrame) -> DataFrame:
-    """(query_id, span_id, strategy, score): which of spans(span_id, article, text) hold the answer to items(query_id, query, answer).
-
-    The first of seven strategies that finds anything counts: the same article with suffix; its number alone; keywords
-    weighted by length (over .3, best 3); Jaccard of characters (over .4, best 2); longest common substring (over .4);
-    keywords sentence by sentence (over .3, best 2); shared concepts, .7, and length, .3 (over .3, best 2). Ties go to the smaller
-    span_id. The first two are equality joins; only questions that they leave open meet all spans.
-    """
-    said = items.where(F.coalesce("answer", F.lit("")) != "").select("query_id", F.concat_ws(" ", "answer", "query").alias("said"), "answer")
-    keys = lambda c: article_keys(c)
-    base = lambda c: F.array_distinct(F.transform(keys(c), lambda k: F.regexp_extract(k, "^[0-9]+", 0)))
-    own = spans.select("span_id", "text", F.get(keys(F.col("article")), F.lit(0)).alias("key"), F.get(base(F.col("article")), F.lit(0)).alias("base"))
-    exact = said.select("query_id", F.explode(keys(F.col("said"))).alias("key")).join(own.select("span_id", "key"), "key").select("query_id", "span_id", F.lit("article").alias("strategy"), F.lit(1.0).alias("score"))
-    loose = said.join(exact, "query_id", "left_anti").select("query_id", F.explode(base(F.col("said"))).alias("base")).join(own.select("span_id", "base"), "base").select("query_id", "span_id", F.lit("number").alias("strategy"), F.lit(1.0).alias("score"))
-    done = exact.unionByName(loose).distinct()
-    open_ = small(said.join(done, "query_id", "left_anti"))
-    pairs = open_.crossJoin(spans.where(F.coalesce("text", F.lit("")) != "").select("span_id", "text"))
-    words, chars = _keywords(F.col("said")), lambda c: F.array_distinct(F.split(c, ""))
-    weight = lambda a: F.aggregate(a, F.lit(0), lambda s, w: s + F.length(w))
-    share = F.when(F.size(words) > 0, weight(F.filter(words, lambda w: F.contains("text", w))) / weight(words)).otherwise(0.0)
-    jaccard = F.size(F.array_intersect(chars(F.col("answer")), chars(F.col("text")))) / F.size(F.array_union(chars(F.col("answer")), chars(F.col("text"))))
-    sentences = lambda c: F.filter(F.transform(F.split(c, "[。！？；.!?;]"), lambda s: F.trim(s)), lambda s: F.length(s) > 5)
-    alike = lambda a, b: F.when((F.size(_keywords(a)) > 0) & (F.size(_keywords(b)) > 0), F.size(F.array_intersect(_keywords(a), _keywords(b))) / F.size(F.array_union(_keywords(a), _keywords(b)))).otherwise(0.0)
-    best = F.transform(sentences(F.col("answer")), lambda a: F.coalesce(F.array_max(F.transform(sentences(F.col("text")), lambda b: alike(a, b))), F.lit(0.0)))
-    by_sentence = F.when(F.size(sentences(F.col("answer"))) > 0, F.aggregate(best, F.lit(0.0), lambda s, x: s + F.when(x > 0.5, x).otherwise(0.0)) / F.size(sentences(F.col("answer")))).otherwise(0.0)
-    terms = F.filter(F.array(*[F.lit(w) for w in V.LEGAL_KEYWORDS + V.ABOUT]), lambda w: F.contains("said", w))
-    concept = F.when(F.size(terms) > 0, 0.7 * F.size(F.filter(terms, lambda w: F.contains("text", w))) / F.size(terms) + 0.3 * F.least(F.length("text") / 200, F.lit(1.0))).otherwise(0.0)
-    tries = [("keywords", share, KEYWORD_SHARE, 3), ("characters", jaccard, JACCARD, 2), ("overlap", longest_common_share("answer", "text"), OVERLAP, 2), ("sentences", by_sentence, SENTENCE, 2), ("concepts", concept, CONCEPT, 2)]
-    scored = pairs.select("query_id", "span_id", *[F.round(score, 6).alias(name) for name, score, _, _ in tries])
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("order"), F.lit(name).alias("strategy"), F.col(name).alias("score"), F.lit(least).alias("least"), F.lit(most).alias("most")) for i, (name, _, least, most) in enumerate(tries)]))
-    ranked = scored.select("query_id", "span_id", each.alias("t")).where("t.score > t.least").select("query_id", "span_id", "t.*")
-    first = ranked.withColumn("first", F.min("order").over(Window.partitionBy("query_id"))).where("order = first")
-    top = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "span_id"))).where("rank <= most")
-    return done.unionByName(top.select("query_id", "span_id", "strategy", "score"))
-
-
 def conversion_statistics(items: DataFrame, found: DataFrame) -> DataFrame:
     """(n_items, n_with_spans, coverage) of a converted question set."""
     per = items.select("query_id").join(found.select("query_id").distinct().withColumn("has", F.lit(1)), "query_id", "left")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import importance_tokens, let, ngrams, words
 from ..sources import stored
+from . import block_index
+from .vectors import Nearest, matrix, unit
 
 #: Rows of a query-side relation that may be broadcast, and of a vocabulary (a word and a number each, about 50 MB).
 BROADCAST_ROWS, VOCABULARY = 100_000, 1_000_000
@@ -75,9 +78,22 @@ def bm25_scores(indexed: DataFrame, queries: DataFrame, k1: float = 1.2, b: floa
     return _postings(indexed, *keys, "dl").join(small(weighted), "term").groupBy("query_id", *keys).agg(F.sum(part * F.col("qtf")).alias("score"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, indexed: DataFrame | None = None) -> DataFrame:
-    """Okapi BM25 top k chunks per query; see bm25_scores(). Builds an index unless one is given."""
-    scored = bm25_scores(index(chunks) if indexed is None else indexed, queries)
+def asked_bm25(blocked: DataFrame, asked: DataFrame, epsilon: float = 0.25) -> tuple[DataFrame, float]:
+    """(query_id, term, weight) of asked(query_id, term, qtf) by the frequencies of a block-max index, and the mean length of its
+    chunks. weight: qtf * idf; a negative idf becomes epsilon times the vocabulary's mean idf."""
+    n, avgdl = block_index.statistics(blocked).first()
+    raw = stored(block_index.frequencies(blocked).select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
+    floor = (raw.agg(F.avg("raw")).first()[0] or 0.0) * epsilon
+    idf = F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw"))
+    return raw.join(small(asked), "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight")), avgdl or 1.0
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, blocked: DataFrame | None = None) -> DataFrame:
+    """Okapi BM25 top k chunks per query; see bm25_scores(). Each task keeps its own first k by a block-max index, which is built
+    unless one is given."""
+    blocked = block_index.blocks(chunks, KEYS) if blocked is None else blocked
+    weighed, avgdl = asked_bm25(blocked, query_terms(queries))
+    scored = block_index.top_k(blocked, weighed, KEYS, block_index.bm25_weight(avgdl), k)
     return top(scored, ["query_id"], k, KEYS).withColumn("score", F.round("score", 6))
 
 
@@ -104,9 +120,30 @@ def tfidf_scores(indexed: DataFrame, asked: DataFrame, keys: list[str] | None =
     return dots.join(lengths, keys).select("query_id", *keys, (F.col("dot") / F.col("len")).alias("score"))
 
 
-def tfidf(chunks: DataFrame, queries: DataFrame, k: int = 10, indexed: DataFrame | None = None) -> DataFrame:
-    """TF-IDF cosine top k chunks per query; see tfidf_scores(). Builds an index unless one is given."""
-    scored = tfidf_scores(index(chunks) if indexed is None else indexed, query_terms(queries))
+def tfidf_blocks(blocked: DataFrame, max_df: float = 1.0) -> tuple[DataFrame, DataFrame | None]:
+    """(idf of all terms, the block-max index with the lengths of its chunks' vectors): the lengths are worked out once, not in each
+    search. The index is None if the vocabulary is too large to travel to every task."""
+    n = block_index.statistics(blocked).first()["n"]
+    idf = stored(block_index.frequencies(blocked).where(F.col("df") <= n * max_df).select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")))
+    return idf, block_index.with_lengths(blocked, idf, KEYS) if idf.count() <= VOCABULARY else None
+
+
+def asked_tfidf(idf: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, term, weight) of asked(query_id, term, qtf): the term's part of the query's unit vector, times its idf in chunks."""
+    weighed = idf.join(small(asked), "term").withColumn("qw", F.col("qtf") * F.col("idf"))
+    norms = weighed.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
+    return weighed.join(norms, "query_id").select("query_id", "term", (F.col("qw") / F.col("qn") * F.col("idf")).alias("weight"))
+
+
+def tfidf(chunks: DataFrame, queries: DataFrame, k: int = 10, blocked: DataFrame | None = None) -> DataFrame:
+    """TF-IDF cosine top k chunks per query; see tfidf_scores(). Each task keeps its own first k by a block-max index, which is built
+    unless one is given; a vocabulary too large to travel is joined instead."""
+    blocked = block_index.blocks(chunks, KEYS) if blocked is None else blocked
+    idf, measured = tfidf_blocks(blocked)
+    if measured is None:
+        scored = tfidf_scores(index(chunks), query_terms(queries))
+    else:
+        scored = block_index.top_k(measured, asked_tfidf(idf, query_terms(queries)), KEYS, block_index.cosine_weight(), k)
     return top(scored, ["query_id"], k, KEYS).select("query_id", *KEYS, F.round("score", 6).alias("score"), "rank")
 
 
@@ -119,37 +156,29 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, level: str | None
     """Exact cosine top k of queries(vec_id, embedding) against all vectors, per level if one is named, without the query itself.
 
     Queries are dealt into blocks of about `block` by hash of their key, in the shared folder. One block after another is broadcast:
-    each task multiplies its batches with the block and keeps k rows per query and level, so the driver holds one block, and what
-    is shuffled is tasks x queries x k rows, not pairs. Zero and null vectors are skipped.
+    each task multiplies its vectors, a few at a time, with the block and keeps its first k per query and level over all its
+    batches, so the driver holds one block, and what is shuffled is tasks x queries x k rows, not pairs. Zero and null vectors are skipped.
     """
     spark = vectors.sparkSession
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    ready = lambda d, extra: d.where(F.col("embedding").isNotNull()).withColumn("_n", norm).where("_n > 0").select("vec_id", F.transform("embedding", lambda x: x.cast("double") / F.col("_n")).alias("v"), *extra)
-    asked = stored(ready(queries, []))
+    asked = stored(unit(queries))
     blocks = max(1, -(-asked.count() // block))
-    side = ready(vectors, [F.col(level).cast("string").alias("level")] if level else [F.lit("").alias("level")])
+    side = unit(vectors, "vec_id", "embedding", (F.col(level).cast("string") if level else F.lit("")).alias("level"))
 
     def one(b: int) -> DataFrame:
         part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        ids = part.column(0).to_numpy()
-        shared = spark.sparkContext.broadcast((ids, np.array([x for c in part.column(1).chunks for x in c.flatten().to_numpy()]).reshape(len(ids), -1) if len(ids) else None))
+        shared = spark.sparkContext.broadcast((part.column(0).to_numpy(), matrix(part.column(1).combine_chunks())))
 
         def search(batches):
             ids, q = shared.value
+            states: dict[str, Nearest] = {}
             for batch in batches if len(ids) else ():
-                if not batch.num_rows:
-                    continue
-                v = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1)
-                own = batch.column(0).to_numpy()
-                levels = np.array(batch.column(2).fill_null("").to_pylist())
-                for name in np.unique(levels):
-                    at = np.flatnonzero(levels == name)
-                    s = np.round(q @ v[at].T, 6)
-                    s[ids[:, None] == own[at][None]] = -np.inf
-                    order = np.lexsort((np.broadcast_to(own[at], s.shape), -s), axis=1)[:, :k]
-                    rows, cols = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
-                    fine = np.isfinite(s[rows, cols])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows][fine]), pa.array(own[at][cols][fine]), pa.array([str(name)] * int(fine.sum())), pa.array(s[rows, cols][fine])], names=["query_id", "vec_id", "level", "score"])
+                own, v, levels = batch.column(0).to_numpy(), matrix(batch.column(1)), batch.column(2).fill_null("")
+                for name in levels.unique().to_pylist():
+                    at = np.flatnonzero(pc.equal(levels, name).to_numpy(zero_copy_only=False))
+                    states.setdefault(name, Nearest(ids, q, k)).add(own[at], v[at])
+            for name, state in states.items():
+                query, found, score = state.rows()
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(found), pa.array([name] * len(query), pa.string()), pa.array(score)], names=["query_id", "vec_id", "level", "score"])
 
         return top(side.mapInArrow(search, "query_id long, vec_id long, level string, score double"), ["query_id", "level"], k, ["vec_id"])
 

@@ -8,6 +8,8 @@ from ..functions import labels as L
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import asking, evaluation, gold, metadata, retrieval
+from ..operators import question_spans as question_spans_
+from ..operators.retrieval import top
 from .corpus import ASKS, LAWS, LC, LQ, PHRASES, any_of, chunks, count_of, held, joined, numeral, pick, questions
 from .queries import query
 
@@ -351,10 +353,40 @@ def gold_metrics(spark, d):
     return gold.id_set_measures(_relevant(spark, d), ranked.select("query_id", "chunk_id", "rank"), (1, 3, 5, 10)).withColumn("k", F.col("k").cast("long"))
 
 
+def _items(spark, d):
+    """Questions; every third names no article."""
+    third = F.col("query_id") % 3 == 0
+    bare = F.when(third, F.regexp_replace("answer", "第[0-9]+條[之0-9]*", "")).otherwise(F.col("answer"))
+    return questions(spark, d).select("query_id", F.when(third, "").otherwise(F.col("query")).alias("query"), bare.alias("answer"))
+
+
 def _converted(spark, d):
-    spans = chunks(spark, d).where("doc_id % 4 <> 3").select(F.col("doc_id").alias("span_id"), F.col("label").alias("article"), F.concat("label", F.lit("\n"), "phrase", "more").alias("text"))
-    items = questions(spark, d).select("query_id", "query", F.when(F.col("query_id") % 3 == 0, F.regexp_replace("answer", "第[0-9]+條[之0-9]*", "")).otherwise(F.col("answer")).alias("answer"))
-    return items, gold.spans_of_questions(items.withColumn("query", F.when(F.col("query_id") % 3 == 0, "").otherwise(F.col("query"))), spans)
+    spans = chunks(spark, d).select(F.col("doc_id").alias("span_id"), F.col("label").alias("article"), F.col("content").alias("text"))
+    items = _items(spark, d)
+    return items, question_spans_.spans_of_questions(items, spans)
+
+
+ITEMS = f"""{LC}, {LQ}, it AS (SELECT query_id, answer, concat_ws(' ', answer, query) AS said FROM (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN '' ELSE query END AS query,
+  CASE WHEN query_id % 3 = 0 THEN regexp_replace(answer, '第[0-9]+條[之0-9]*', '', 'g') ELSE answer END AS answer FROM lq) WHERE answer <> ''), sp AS (SELECT doc_id AS span_id, content AS text FROM lc WHERE content <> '')"""
+BEST = "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, span_id) AS rank FROM s WHERE score > {0}) SELECT query_id, span_id, score, rank::BIGINT AS rank FROM ranked WHERE rank <= {1}"
+
+
+def _best_spans(spark, d, step, most):
+    spans = chunks(spark, d).where("content <> ''").select(F.col("doc_id").alias("span_id"), F.col("content").alias("text"))
+    items = _items(spark, d).where("answer <> ''").select("query_id", F.concat_ws(" ", "answer", "query").alias("said"), "answer")
+    return top(step(items, spans), ["query_id"], most, ["span_id"]).select("query_id", "span_id", "score", F.col("rank").cast("long"))
+
+
+@query(f"""WITH {ITEMS}, w AS (SELECT query_id, list_filter(list_distinct(regexp_extract_all(said, '[\pL\pN]+')), lambda x: length(x) >= 2) AS ws FROM it), wide AS (SELECT query_id, ws, list_sum(list_transform(ws, lambda x: length(x))) AS total FROM w WHERE len(ws) > 0),
+s AS (SELECT query_id, span_id, round(coalesce(list_sum(list_transform(list_filter(ws, lambda x: contains(text, x)), lambda x: length(x))), 0)::DOUBLE / total, 6) AS score FROM wide, sp), {BEST.format('0.3', 3)}""")
+def question_spans_keywords(spark, d):
+    return _best_spans(spark, d, question_spans_.by_keywords, 3)
+
+
+@query(f"""WITH {ITEMS}, a AS (SELECT query_id, list_distinct(regexp_extract_all(answer, '(?s).')) AS x FROM it), b AS (SELECT span_id, list_distinct(regexp_extract_all(text, '(?s).')) AS y FROM sp), m AS (SELECT query_id, span_id, len(x) AS n, len(y) AS k, len(list_intersect(x, y)) AS c FROM a, b),
+s AS (SELECT query_id, span_id, round(c::DOUBLE / (n + k - c), 6) AS score FROM m), {BEST.format('0.4', 2)}""")
+def question_spans_characters(spark, d):
+    return _best_spans(spark, d, question_spans_.by_characters, 2)
 
 
 @query()

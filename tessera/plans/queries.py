@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, enrichment, evaluation, fusion, retrieval, statutes
+from ..operators import chunking, enrichment, evaluation, fusion, retrieval, statutes, vectors
 from ..sources import spread, stored, table
 from ..streaming import annotations
 
@@ -171,6 +171,15 @@ LEVELLED = f"""{DENSE}, lv AS (SELECT query_id, {LEVEL} AS level, vec_id, score
 r AS (SELECT query_id, level, vec_id AS doc_id, 'text ' || (vec_id % 50) AS content, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, level ORDER BY score DESC, vec_id) AS rank FROM lv) WHERE rank <= 20)"""
 
 
+@query()
+def ivf_topk(spark, d):
+    """Nearest vectors by inverted lists; tests hold its recall against dense_topk."""
+    v = table(spark, d, "embeddings")
+    lists = vectors.build(v)
+    found = vectors.first(vectors.search(lists, vectors.unit(_queries(v))), 10)
+    return found.select("query_id", "vec_id", "score", F.col("rank").cast("long"))
+
+
 @query(f"WITH {LEVELLED} SELECT query_id, level, doc_id, score, rank::BIGINT AS rank FROM r")
 def dense_topk_per_level(spark, d):
     return _levelled(spark, d).select("query_id", "level", "doc_id", "score", F.col("rank").cast("long"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera import sources
 from tessera.functions import text as T
 from tessera.functions import values as V
-from tessera.operators import asking, chunking, enrichment, evaluation, fusion, gold, graph, metadata, pipelines, retrieval, splitting, statutes
+from tessera.operators import asking, chunking, enrichment, evaluation, fusion, gold, graph, metadata, pipelines, question_spans, retrieval, splitting, statutes
 
 STATUTE = "著作人專有重製其著作之權利。依第2條規定，申請人應依程序申請登記。但有下列情形之一者，不在此限。違反前項規定者，處罰金。"
 
@@ -85,7 +85,7 @@ def longest_common(a, b):
 
 def test_longest_common_substring(spark):
     pairs = [("abcdef", "zabcy"), ("", "x"), ("著作權", "著作權"), ("aXbXc", "XbX"), ("ab", "cd"), (None, "a")]
-    got = spark.createDataFrame(pairs, "a string, b string").select(gold.longest_common_share("a", "b").alias("x")).collect()
+    got = spark.createDataFrame(pairs, "a string, b string").select(question_spans.longest_common_share("a", "b").alias("x")).collect()
     assert [r["x"] for r in got] == [longest_common(a, b) if a and b else 0.0 for a, b in pairs]
 
 
@@ -126,7 +126,7 @@ def test_question_spans_by_the_cascade(spark):
             if got:
                 want |= {(i, s, name) for _, s in got}
                 break
-    found = gold.spans_of_questions(spark.createDataFrame(items, "query_id long, query string, answer string"), spark.createDataFrame(spans, "span_id long, article string, text string"))
+    found = question_spans.spans_of_questions(spark.createDataFrame(items, "query_id long, query string, answer string"), spark.createDataFrame(spans, "span_id long, article string, text string"))
     assert {(r["query_id"], r["span_id"], r["strategy"]) for r in found.collect()} == want and len({x[2] for x in want}) >= 3
 
 
