@@ -2,8 +2,8 @@
 
 Python only tokenises: it gives the ids of both tokenizers and the byte offsets at which their tokens end. All else are array
 expressions of one row. The common borders are array_intersect of the two end arrays. A tokenizer's tokens and the borders,
-packed as numbers, are merged by one sort of two runs that are sorted already, so groups come out in linear time, however long a text
-is. What ends together is linked; how many links hold a pair of ids is counted over the corpus.
+packed as numbers, are merged by one sort of two sorted runs, so groups come out in linear time, however long a text is. What ends
+together is linked; how many links hold a pair of ids is counted over the corpus.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ LONG_BLANK = re.compile(r"\s{1000}")
 PIECE = 1 << 20
 #: Rows of a table of pairs (two numbers each) that may be broadcast, about 60 MB.
 PAIRS = 1_000_000
+#: Bits of an id; more than any vocabulary needs.
 ID_BITS = 24
+MARK = 1 << ID_BITS
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -67,11 +69,12 @@ class ByteLevel:
             self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={b: i for i, b in enumerate(self.bytes) if i not in special}, special_tokens={})
         self.sizes = np.array([len(b) for b in self.bytes], np.int32)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         texts = [f" {t}" for t in texts]
         if not self.fast:
-            return [e.ids for e in self.slow.encode_batch_fast(texts, add_special_tokens=False)]
-        return [self.slow.encode(t, add_special_tokens=False).ids if LONG_BLANK.search(t) else self.fast.encode_ordinary(t) for t in texts]
+            return [np.array(e.ids, np.int32) for e in self.slow.encode_batch_fast(texts, add_special_tokens=False)]
+        slow = lambda t: self.slow.encode(t, add_special_tokens=False).ids
+        return [np.array(slow(t) if len(t) > 1000 and LONG_BLANK.search(t) else self.fast.encode_ordinary(t), np.int32) for t in texts]
 
 
 class Pieces:
@@ -91,8 +94,8 @@ class Pieces:
         self.bytes = [bytes([int(self.fast.id_to_piece(i)[3:5], 16)]) if self.fast.is_byte(i) else self.fast.id_to_piece(i).replace("▁", " ").encode() for i in ids]
         self.sizes = np.array([len(b) for b in self.bytes], np.int32)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.fast.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, np.int32) for ids in self.fast.encode(texts, num_threads=1)]
 
 
 def encoder(path: str) -> ByteLevel | Pieces:
@@ -119,20 +122,19 @@ def tokenised(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, key
         for e in both:
             if e.fast is None:
                 e.build()
+        none = np.zeros(0, np.int32)
         for batch in batches:
             size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
-            i, none = 0, np.zeros(0, np.int32)
+            i = 0
             while i < batch.num_rows:
                 j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + PIECE, "right")))
                 texts = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
-                sides = []
-                for e in both:
-                    found = e.encode(texts)
-                    whole = [bool(t) and b"".join([e.bytes[x] for x in ids]) == b" " + t.encode() for t, ids in zip(texts, found)]
-                    sides.append((found, whole))
+                found = [e.encode(texts) for e in both]
+                whole = lambda e, t, ids: b"".join([e.bytes[x] for x in ids.tolist()]) == b" " + t.encode()
+                fine = [bool(t) and all(whole(e, t, ids[k]) for e, ids in zip(both, found)) for k, t in enumerate(texts)]
+                sides = [[x if ok else none for x, ok in zip(ids, fine)] for ids in found]
                 columns = []
-                for e, (found, _) in zip(both, sides):
-                    ids = [np.array(x, np.int32) if p and q else none for x, p, q in zip(found, sides[0][1], sides[1][1])]
+                for e, ids in zip(both, sides):
                     columns += [listed(ids), listed([np.cumsum(e.sizes[x], dtype=np.int32) for x in ids])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *columns], names=[key, "a", "a_ends", "b", "b_ends"])
                 i = j
@@ -141,15 +143,19 @@ def tokenised(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, key
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>")
 
 
-def _parts(ids: str, ends: str) -> Column:
-    """Per group the ids of one side, joined by commas: tokens and borders as end, border bit and id, merged by one sort."""
-    pack = lambda e, rest: F.shiftleft(e.cast("long"), ID_BITS + 1).bitwiseOR(rest)
-    tokens = F.zip_with(ends, ids, lambda e, i: pack(e, i.cast("long")))
-    borders = F.transform("cuts", lambda c: pack(c, F.lit(1 << ID_BITS)))
-    merged = F.sort_array(F.concat(tokens, borders))
-    low = lambda x: x.bitwiseAND(F.lit((1 << ID_BITS + 1) - 1))
-    shown = F.transform(merged, lambda x: F.when(low(x) >= 1 << ID_BITS, F.lit(";")).otherwise(low(x).cast("string")))
-    return F.split(F.regexp_replace(F.replace(F.array_join(shown, ","), F.lit(",;,"), F.lit(";")), ",;$", ""), ";")
+def _marked(ids: str, ends: str) -> Column:
+    """The ids of one side with MARK after each that ends at a border: tokens and borders as one number each of end, border bit
+    and id, merged by a sort of two runs that are sorted already."""
+    pack = lambda e, low: F.shiftleft(e.cast("long"), ID_BITS + 1).bitwiseOR(low)
+    tokens, borders = F.zip_with(ends, ids, lambda e, i: pack(e, i.cast("long"))), F.transform("cuts", lambda c: pack(c, F.lit(MARK)))
+    return F.transform(F.sort_array(F.concat(tokens, borders)), lambda x: x.bitwiseAND(F.lit(2 * MARK - 1)))
+
+
+def _parts(marked: str) -> Column:
+    """The ids between two marks, joined by commas."""
+    mark = f",{MARK}"
+    parted = F.replace(F.array_join(F.col(marked).cast("array<string>"), ","), F.lit(f"{mark},"), F.lit(";"))
+    return F.split(F.left(parted, F.length(parted) - len(mark)), ";")
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
@@ -157,10 +163,10 @@ def aligned(tokens: DataFrame) -> DataFrame:
     end together, one a group, as each border ends one token of either side. No tokens: none."""
     some = F.size("a") > 0
     cut = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    sided = cut.select(*tokens.columns, _parts("a", "a_ends").alias("_a"), _parts("b", "b_ends").alias("_b"))
-    last = lambda g: F.substring_index(g, ",", -1).cast("long")
-    links = F.zip_with("_a", "_b", lambda x, y: F.shiftleft(last(x), 32).bitwiseOR(last(y)))
-    groups = F.zip_with("_a", "_b", lambda x, y: F.concat(x, F.lit("|"), y))
+    sided = cut.select(*tokens.columns, _marked("a", "a_ends").alias("_a"), _marked("b", "b_ends").alias("_b"))
+    last = lambda c: F.filter(c, lambda x, i: F.get(F.col(c), i + 1) == MARK)
+    links = F.zip_with(last("_a"), last("_b"), lambda x, y: F.shiftleft(x, 32).bitwiseOR(y))
+    groups = F.zip_with(_parts("_a"), _parts("_b"), lambda x, y: F.concat(x, F.lit("|"), y))
     return sided.select(*tokens.columns, F.when(some, groups).otherwise(F.array().cast("array<string>")).alias("groups"), F.when(some, links).otherwise(F.array().cast("array<bigint>")).alias("links"))
 
 
