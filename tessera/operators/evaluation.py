@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..functions.labels import count_of, hierarchy
 from ..functions.text import chars
+from .intervals import touching
 
 
 def overlap_relevance(pairs: DataFrame, share: float = 0.5) -> DataFrame:
@@ -44,9 +45,11 @@ def iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Colum
 
 
 def map_spans(spans: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Spans (span_id, doc_id, s, e) to the chunks (doc_id, chunk_index, start, end) they belong to: an interval join that is
-    an equality on the document with the range as a residual."""
-    joined = spans.join(chunks.select("doc_id", "chunk_index", F.col("start").alias("cs"), F.col("end").alias("ce")), "doc_id")
+    """Spans (span_id, doc_id, s, e) to the chunks (doc_id, chunk_index, start, end) they belong to: an interval join in buckets of
+    positions, with chunks a tenth of their length wider on either side."""
+    told = chunks.select("doc_id", "chunk_index", F.col("start").alias("cs"), F.col("end").alias("ce"))
+    wide = 0.1 * (F.col("ce") - F.col("cs")) + 1e-9
+    joined = touching(spans, told, "doc_id", (F.col("s"), F.col("e")), (F.col("cs") - wide, F.col("ce") + wide))
     over = F.greatest(F.lit(0), F.least("e", "ce") - F.greatest("s", "cs"))
     x = iou(F.col("s"), F.col("e"), F.col("cs"), F.col("ce"))
     share = F.when(F.col("e") > F.col("s"), over / (F.col("e") - F.col("s"))).otherwise(0.0)
@@ -187,8 +190,9 @@ def rule_measures(judged: DataFrame, k: int) -> DataFrame:
 # --- spans without a chunk of their own -------------------------------------------------------------------------------------------------
 def nearest_chunks(spans: DataFrame, chunks: DataFrame, most: int = 2000) -> DataFrame:
     """(span_id, doc_id, chunk_index, distance): the chunk of the span's document that lies nearest, the first of equals, if it is
-    less than `most` characters away. A partial aggregate; no span's chunks are gathered."""
-    joined = spans.join(chunks.select("doc_id", "chunk_index", F.col("start").alias("cs"), F.col("end").alias("ce")), "doc_id")
+    less than `most` characters away. Only these meet it, in buckets of positions; a partial aggregate keeps the nearest."""
+    told = chunks.select("doc_id", "chunk_index", F.col("start").alias("cs"), F.col("end").alias("ce"))
+    joined = touching(spans, told, "doc_id", (F.col("s") - most, F.col("e") + most), (F.col("cs"), F.col("ce")))
     gap = F.greatest(F.lit(0), F.col("cs") - F.col("e"), F.col("s") - F.col("ce"))
     near = joined.groupBy("span_id", "doc_id").agg(F.min(F.struct(gap.alias("distance"), "chunk_index")).alias("n"))
     return near.where(F.col("n.distance") < most).select("span_id", "doc_id", "n.chunk_index", "n.distance")
@@ -214,7 +218,8 @@ def map_by_cumulative_ranges(spans: DataFrame, chunks: DataFrame, overlap: int,
     before = F.coalesce(F.sum(F.length("content") - overlap).over(Window.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = chunks.select("doc_id", "chunk_index", before.alias("cs"), (before + F.length("content")).alias("ce"))
     x = iou(F.col("s"), F.col("e"), F.col("cs"), F.col("ce"))
-    return spans.join(ranges, "doc_id").withColumn("iou", F.round(x, 6)).where(x > least).select("span_id", "doc_id", "chunk_index", "iou")
+    met = touching(spans, ranges, "doc_id", (F.col("s"), F.col("e")), (F.col("cs"), F.col("ce")))
+    return met.withColumn("iou", F.round(x, 6)).where(x > least).select("span_id", "doc_id", "chunk_index", "iou")
 
 
 def configuration_score(omega: Column, precision: Column, recall: Column) -> Column:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import values as V
+from ..functions.text import words
 from ..operators import asking, evaluation, fusion, gold, graph, pipelines, retrieval
 from ..sources import stored, table
 from .corpus import LC, LQ, any_of, chunks, count_of, joined, questions
-from .labels import ANALYSED, ASKED, CONCEPT_VALUES, REASONED
-from .queries import ANSWER, DENSE, LEVEL, LEVELLED, PAIRED, SENTENCES, SLIDING, SPANS, TFIDF, TOKENS, WEIGHT, _charset, _chunks, _docs, _levelled, _queries, _sides, _spans, _with_contents, query
+from .labels import ANALYSED, ASKED, CONCEPT_VALUES, FOUND, REASONED, found
+from .queries import ANSWER, DENSE, LEVEL, LEVELLED, PAIRED, RATIOS, SENTENCES, SIZES, SLIDING, SPANS, TFIDF, TOKENS, WEIGHT, _charset, _chunks, _docs, _levelled, _queries, _sides, _spans, _with_contents, query
 
 HIERARCHY = "CASE WHEN regexp_matches(content, '第[ \\t\\n\\r]*[0-9]+[ \\t\\n\\r]*條') THEN 'article' WHEN regexp_matches(content, '第[ \\t\\n\\r]*[0-9]+[ \\t\\n\\r]*[節章]') THEN 'section' WHEN regexp_matches(content, '總則|附則') THEN 'chapter' WHEN regexp_matches(content, '條文|規定|權利|義務|禁止|處罰') THEN 'article' ELSE 'general' END"
 DENSE100 = f"{DENSE}, av AS (SELECT query_id, vec_id AS chunk_id, score AS vec, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM cosine) WHERE rank <= 100)"
@@ -238,24 +239,22 @@ def faithfulness(spark, d):
     return evaluation.faithfulness(_chunks(spark, d), ".!?")
 
 
-RANKED = "rk AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY (chunk_id * 7 + query_id * 13) % 101, chunk_id) AS rank FROM (SELECT q.item_id AS query_id, d.doc_id AS chunk_id FROM benchmark q JOIN documents d ON d.doc_id % 40 = q.item_id % 40))"
 SPLIT = "list_distinct(list_filter(string_split_regex(lower({0}), '[ \\t\\n\\r\\f]+'), lambda w: w <> ''))"
 LAWS5 = tuple(V.LAW_VARIANTS)
 
 
 def _pairs(spark, d):
-    """Questions with the chunks of their number modulo 40, in an order by hash; scores fall with the rank."""
+    """Questions with the contents that a BM25 search finds for them; scores fall with the rank."""
     asked = asking.reasoned(questions(spark, d).select("query_id", F.col("query").alias("text")))
     mapped = F.concat(F.filter("found", lambda x: x["how"] == "everyday_term"), "fired")
     names = F.transform(F.array_sort(F.array_distinct(F.transform(mapped, lambda x: F.struct(x["term"].alias("term"), x["concept"].alias("concept"))))), lambda x: x["concept"])
     blanks = lambda c: F.size(F.filter(F.split(c, "[ \\t\\n\\r\\f]+"), lambda w: w != ""))
-    asked = asked.select("query_id", F.col("text").alias("query"), "expanded", (blanks("expanded") / blanks("text")).alias("expansion"), names.alias("concepts"), (F.col("query_id") % 40).alias("m"))
-    rows = asked.join(_contents(spark, d).withColumn("m", F.col("chunk_id") % 40), "m")
-    order = Window.partitionBy("query_id").orderBy((F.col("chunk_id") * 7 + F.col("query_id") * 13) % 101, "chunk_id")
-    return rows.withColumn("rank", F.row_number().over(order)).withColumn("score", 1.0 / (1 + F.col("rank")))
+    asked = asked.select("query_id", F.col("text").alias("query"), "expanded", (blanks("expanded") / blanks("text")).alias("expansion"), names.alias("concepts"))
+    met = asked.join(found(spark, d), "query_id")
+    return _contents(spark, d).join(retrieval.small(stored(met)), "chunk_id").withColumn("score", 1.0 / (1 + F.col("rank")))
 
 
-RULE_POINTS = f"""{REASONED}, {LC}, {RANKED}, ex AS (SELECT query_id, string_agg(concept, ' ' ORDER BY i, j) AS names FROM fd GROUP BY query_id), fx AS (SELECT query_id, string_agg(concept, ' ' ORDER BY i) AS names FROM (SELECT DISTINCT query_id, i, concept FROM fr) GROUP BY query_id),
+RULE_POINTS = f"""{REASONED}, {LC}, {FOUND}, ex AS (SELECT query_id, string_agg(concept, ' ' ORDER BY i, j) AS names FROM fd GROUP BY query_id), fx AS (SELECT query_id, string_agg(concept, ' ' ORDER BY i) AS names FROM (SELECT DISTINCT query_id, i, concept FROM fr) GROUP BY query_id),
 ar AS (SELECT DISTINCT query_id, article FROM (SELECT query_id, article FROM fd JOIN (VALUES {", ".join(f"('{c}', '{a}')" for c, _, _, arts in V.REASONING_CONCEPTS for a in arts)}) a(concept, article) USING (concept) UNION ALL SELECT query_id, article FROM fr JOIN (VALUES {", ".join(f"('{r}', '{a}')" for r, _, _, _, arts in V.REASONING_RULES for a in arts)}) a(rule, article) USING (rule))),
 ag AS (SELECT query_id, string_agg(article, ' ' ORDER BY article) AS articles FROM ar GROUP BY query_id), mp AS (SELECT query_id, list_transform(list_sort(list_distinct(list(term || chr(1) || concept))), lambda x: string_split(x, chr(1))[2])[1:5] AS concepts FROM (SELECT query_id, term, concept FROM fd WHERE how = 'everyday_term' UNION ALL SELECT query_id, term, concept FROM fr) GROUP BY query_id),
 eq AS (SELECT query_id, query, concat_ws(' ', query, ex.names, fx.names, ag.articles) AS expanded, coalesce(concepts, []) AS concepts FROM lq LEFT JOIN ex USING (query_id) LEFT JOIN fx USING (query_id) LEFT JOIN ag USING (query_id) LEFT JOIN mp USING (query_id)),
@@ -309,31 +308,32 @@ def span_mapping_ranges(spark, d):
     return evaluation.map_by_cumulative_ranges(spans, _chunks(spark, d), 50).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
-@query(f"""WITH {SPANS}, rel AS (SELECT span_id AS query_id, doc_id * 100000 + chunk_index AS chunk_id FROM m), rk AS (SELECT doc_id AS query_id, doc_id * 100000 + chunk_index AS chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index * 7 % 11, chunk_index) AS rank FROM chunks),
+@query(f"""WITH {SPANS}, rel AS (SELECT span_id AS query_id, doc_id * 100000 + chunk_index AS chunk_id FROM m), sd AS (SELECT doc_id, list_distinct({TOKENS.format('substring(text, instr(text, chr(10)), 120)')}) AS said FROM documents WHERE instr(text, chr(10)) > 0), rk AS (SELECT doc_id AS query_id, doc_id * 100000 + chunk_index AS chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY len(list_intersect(said, list_distinct({TOKENS.format('content')}))) DESC, chunk_index) AS rank FROM chunks JOIN sd USING (doc_id)),
 p AS (SELECT k, query_id, count(DISTINCT rel.chunk_id) AS n, count(*) FILTER (rank <= k) AS hits FROM rel JOIN rk USING (query_id, chunk_id), (VALUES (1), (3), (5), (10)) t(k) GROUP BY ALL) SELECT k::BIGINT AS k, round(avg(hits / k), 6) AS "precision", round(avg(hits / n), 6) AS recall, count(*) AS n_queries FROM p GROUP BY k""")
 def mapped_metrics(spark, d):
-    """Chunks that hold a span, against an order of the document's chunks by hash."""
+    """Chunks that hold a span, against a search for the span's words among the chunks of its document."""
     ids = lambda df: df.withColumn("chunk_id", F.col("doc_id") * 100_000 + F.col("chunk_index"))
     relevant = ids(evaluation.map_spans(_spans(spark, d), _chunks(spark, d))).select(F.col("span_id").alias("query_id"), "chunk_id")
-    order = Window.partitionBy("doc_id").orderBy(F.col("chunk_index") * 7 % 11, "chunk_index")
-    ranked = ids(_chunks(spark, d)).select(F.col("doc_id").alias("query_id"), "chunk_id", F.row_number().over(order).alias("rank"))
+    said = _docs(spark, d).where(F.instr("text", "\n") > 0).select("doc_id", F.array_distinct(words(F.substring(F.col("text"), F.instr("text", "\n"), F.lit(120)))).alias("said"))
+    shared = _chunks(spark, d).join(said, "doc_id").select("doc_id", "chunk_index", F.size(F.array_intersect("said", words(F.col("content")))).alias("n"))
+    order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "chunk_index")
+    ranked = ids(shared).select(F.col("doc_id").alias("query_id"), "chunk_id", F.row_number().over(order).alias("rank"))
     return gold.id_set_measures(relevant, ranked, (1, 3, 5, 10)).withColumn("k", F.col("k").cast("long"))
 
 
-GRID = f"""g AS (SELECT * FROM (VALUES (300, 0.0), (800, 0.2)) t(size, ratio)),
-ch AS (SELECT size, ratio, doc_id, row_number() OVER (PARTITION BY size, ratio, doc_id ORDER BY s) - 1 AS chunk_index, substring(text, s + 1, size) AS content FROM (SELECT doc_id, text, size, ratio, unnest(generate_series(0, length(text) - 1, size - floor(size * ratio)::INT)) AS s FROM documents, g WHERE length(text) > 0) WHERE trim(substring(text, s + 1, size)) <> ''),
-tok AS (SELECT size, doc_id, chunk_index, {TOKENS.format('content')} AS toks FROM ch), n AS (SELECT size, count(*) AS n FROM ch GROUP BY size), tf AS (SELECT size, doc_id, chunk_index, term, count(*) AS tf FROM (SELECT size, doc_id, chunk_index, unnest(toks) AS term FROM tok) GROUP BY ALL), df AS (SELECT size, term, count(*) AS df FROM tf GROUP BY ALL),
-q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOKENS.format('text')}) AS term FROM benchmark) GROUP BY ALL), idf AS (SELECT size, term, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM df JOIN n USING (size)), w AS (SELECT size, doc_id, chunk_index, term, tf * idf AS w FROM tf JOIN idf USING (size, term)), qw AS (SELECT size, query_id, term, qtf * idf AS w FROM q JOIN idf USING (term)),
-le AS (SELECT size, doc_id, chunk_index, sqrt(sum(w * w)) AS l FROM w GROUP BY ALL), ql AS (SELECT size, query_id, sqrt(sum(w * w)) AS l FROM qw GROUP BY ALL), dt AS (SELECT size, query_id, doc_id, chunk_index, sum(w.w * qw.w) AS dot FROM w JOIN qw USING (size, term) GROUP BY ALL),
-rk AS (SELECT size, query_id, doc_id, chunk_index, row_number() OVER (PARTITION BY size, query_id ORDER BY round(dot / le.l / ql.l, 6) DESC, doc_id, chunk_index) AS rank FROM dt JOIN le USING (size, doc_id, chunk_index) JOIN ql USING (size, query_id)),
-j AS (SELECT size, ratio, query_id, rank, len(list_intersect({_charset('b.text')}, {_charset('ch.content')})) >= 0.5 * len({_charset('b.text')}) AS rel FROM rk JOIN ch USING (size, doc_id, chunk_index) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 5),
+GRID = "g AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, {b})" for a in SIZES for b in RATIOS) + ") t(size, ratio)),\n" + f"""ch AS (SELECT size, ratio, doc_id, row_number() OVER (PARTITION BY size, ratio, doc_id ORDER BY s) - 1 AS chunk_index, substring(text, s + 1, size) AS content FROM (SELECT doc_id, text, size, ratio, unnest(generate_series(0, length(text) - 1, size - floor(size * ratio)::INT)) AS s FROM documents, g WHERE length(text) > 0) WHERE trim(substring(text, s + 1, size)) <> ''),
+tok AS (SELECT size, ratio, doc_id, chunk_index, {TOKENS.format('content')} AS toks FROM ch), n AS (SELECT size, ratio, count(*) AS n FROM ch GROUP BY size, ratio), tf AS (SELECT size, ratio, doc_id, chunk_index, term, count(*) AS tf FROM (SELECT size, ratio, doc_id, chunk_index, unnest(toks) AS term FROM tok) GROUP BY ALL), df AS (SELECT size, ratio, term, count(*) AS df FROM tf GROUP BY ALL),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOKENS.format('text')}) AS term FROM benchmark) GROUP BY ALL), idf AS (SELECT size, ratio, term, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM df JOIN n USING (size, ratio)), w AS (SELECT size, ratio, doc_id, chunk_index, term, tf * idf AS w FROM tf JOIN idf USING (size, ratio, term)), qw AS (SELECT size, ratio, query_id, term, qtf * idf AS w FROM q JOIN idf USING (term)),
+le AS (SELECT size, ratio, doc_id, chunk_index, sqrt(sum(w * w)) AS l FROM w GROUP BY ALL), ql AS (SELECT size, ratio, query_id, sqrt(sum(w * w)) AS l FROM qw GROUP BY ALL), dt AS (SELECT size, ratio, query_id, doc_id, chunk_index, sum(w.w * qw.w) AS dot FROM w JOIN qw USING (size, ratio, term) GROUP BY ALL),
+rk AS (SELECT size, ratio, query_id, doc_id, chunk_index, row_number() OVER (PARTITION BY size, ratio, query_id ORDER BY round(dot / le.l / ql.l, 6) DESC, doc_id, chunk_index) AS rank FROM dt JOIN le USING (size, ratio, doc_id, chunk_index) JOIN ql USING (size, ratio, query_id)),
+j AS (SELECT size, ratio, query_id, rank, len(list_intersect({_charset('b.text')}, {_charset('ch.content')})) >= 0.5 * len({_charset('b.text')}) AS rel FROM rk JOIN ch USING (size, ratio, doc_id, chunk_index) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 5),
 per AS (SELECT size, ratio, k, query_id, count(*) FILTER (rel AND rank <= k) AS hits, count(*) FILTER (rel) AS r FROM j, (VALUES (1), (5)) t(k) GROUP BY ALL),
-ge AS (SELECT size, any_value(ratio) AS ratio, any_value(n) AS n_chunks, k, round(avg(hits / k), 6) AS p, round(avg(CASE WHEN r > 0 THEN hits / r END), 6) AS rc, round(avg(CASE WHEN r > 0 THEN least(r, 5) / 5 END), 6) AS om FROM per JOIN n USING (size) GROUP BY size, k)"""
+ge AS (SELECT size, ratio, any_value(n) AS n_chunks, k, round(avg(hits / k), 6) AS p, round(avg(CASE WHEN r > 0 THEN hits / r END), 6) AS rc, round(avg(CASE WHEN r > 0 THEN least(r, 5) / 5 END), 6) AS om FROM per JOIN n USING (size, ratio) GROUP BY size, ratio, k)"""
 
 
 def _grid(spark, d):
-    rows = [evaluation.grid_evaluation(_docs(spark, d), table(spark, d, "benchmark"), (size,), (ratio,), (1, 5)) for size, ratio in ((300, 0.0), (800, 0.2))]
-    return rows[0].unionByName(rows[1]).withColumns({"chunk_size": F.col("chunk_size").cast("long"), "k": F.col("k").cast("long")})
+    rows = evaluation.grid_evaluation(_docs(spark, d), table(spark, d, "benchmark"), SIZES, RATIOS, (1, 5))
+    return rows.withColumns({"chunk_size": F.col("chunk_size").cast("long"), "k": F.col("k").cast("long")})
 
 
 @query(f'WITH {GRID} SELECT size::BIGINT AS chunk_size, ratio::DOUBLE AS overlap_ratio, n_chunks, k::BIGINT AS k, p AS "precision", rc AS recall, om AS omega FROM ge')
