@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     plain: list[str] = []  # the text, with a blank for what is in links
     links = 0  # open links
     bad, article = 0, False
+    open_: Counter = Counter()  # of the stack, so that an end tag of nothing costs nothing
 
     def flush() -> None:
         nonlocal text, plain
@@ -125,7 +127,9 @@ def lines(page: str) -> list[tuple[str, int, int]]:
                 continue
             if tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
+                open_["p"] -= 1
             stack.append((tag, bad, article))
+            open_[tag] += 1
             if tag in ("article", "main") and bad != MARKED:
                 article, bad = True, 0
             bad = max(bad, _mark(tag, m[3], article))
@@ -134,9 +138,10 @@ def lines(page: str) -> list[tuple[str, int, int]]:
                 flush()
             if tag == "a":
                 links = max(0, links - 1)
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if open_[tag] else ():
                 if stack[k][0] == tag:
                     _, bad, article = stack[k]
+                    open_.subtract(t for t, _, _ in stack[k:])
                     del stack[k:]
                     break
                 if tag not in BLOCKS and stack[k][0] in BLOCKS:  # a stray inline end tag closes no block

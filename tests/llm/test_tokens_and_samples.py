@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import align_tokens, personal_data, queries, resample, sharding, simhash_dedup, toxicity
+from tessera.llm import align_tokens, html_extract, personal_data, queries, resample, sharding, simhash_dedup, toxicity
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -359,3 +360,10 @@ def test_names_that_differ_by_case_and_maps_go_through_every_stage(spark, odd, t
         stage(spark, docs, place).write.parquet(f"{tmp_path}/stage{k}")
         docs = spark.read.parquet(f"{tmp_path}/stage{k}")
     assert sorted(docs.columns) == sorted([*odd.columns, "Score", "m", "_copy", "shard", "slot"])
+
+
+def test_stray_end_tags_cost_nothing():
+    page = "<article>" + "<div>" * 20_000 + "</p></span>" * 20_000 + "text of an article" + "</div>" * 20_000 + "</article>"
+    began = time.process_time()
+    assert html_extract.main_text(page) == "text of an article"
+    assert time.process_time() - began < 5
