@@ -9,6 +9,7 @@ from ..functions import values as V
 from ..functions.labels import count_of, hierarchy
 from ..functions.text import chars
 from .intervals import touching
+from .set_join import small
 
 
 def overlap_relevance(pairs: DataFrame, share: float = 0.5) -> DataFrame:
@@ -148,7 +149,7 @@ def character_pool(questions: DataFrame, chunks: DataFrame, share: float = 0.3)
     chunks in one pass; nothing but counts is shuffled."""
     q = questions.select("query_id", _characters(F.col("question"), QUESTION_MARKS).alias("q")).where(F.size("q") > 0)
     c = chunks.select(_characters(F.col("content"), CHUNK_MARKS).alias("c"))
-    return c.join(F.broadcast(q), F.size(F.array_intersect("q", "c")) >= share * F.size("q")).groupBy("query_id").agg(F.count("*").alias("relevant"))
+    return c.join(small(q), F.size(F.array_intersect("q", "c")) >= share * F.size("q")).groupBy("query_id").agg(F.count("*").alias("relevant"))
 
 
 # --- relevance by rules ---------------------------------------------------------------------------------------------------------------

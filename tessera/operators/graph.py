@@ -16,6 +16,34 @@ from .retrieval import document_frequencies, index, small
 NEAR, ABOUT = 300, 200
 #: Characters of a concept that are looked up by equality before the whole is compared.
 GRAM = 4
+#: Slices that a concept's occurrences are ranked in.
+SLICES = 64
+
+
+def walker(pattern: str):
+    """A function from a text to the (start, end) of the pattern's matches, dots standing for line ends too.
+
+    Patterns that are literals with `.*?` between them are walked by looking for one literal after the other: once one is not
+    found there is no further match, so the walk is linear, where a search would run to the end from every first literal.
+    """
+    parts = pattern.split(".*?")
+    if not all(part and re.escape(part) == part for part in parts):
+        searched = re.compile(pattern, re.S)
+        return lambda text: (m.span() for m in searched.finditer(text))
+
+    def walk(text: str):
+        at = 0
+        while True:
+            start = end = text.find(parts[0], at)
+            for part in parts:
+                found = text.find(part, end) if end >= 0 else -1
+                if found < 0:
+                    return
+                end = found + len(part)
+            yield start, end
+            at = end
+
+    return walk
 
 
 def occurrences(docs: DataFrame, concepts: tuple = V.GRAPH_CONCEPTS, relations: tuple = V.GRAPH_RELATIONS) -> DataFrame:
@@ -29,18 +57,19 @@ def occurrences(docs: DataFrame, concepts: tuple = V.GRAPH_CONCEPTS, relations:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = docs.sparkSession.createDataFrame([], f"doc_id {kind}, is_relation boolean, name string, kind string, importance double, template int, pattern int, at int, said string, around string").schema
     out = to_arrow_schema(schema)
-    ready = [(False, name, what, weight, i, j, re.compile(p, re.S)) for i, (name, what, weight, ps) in enumerate(concepts) for j, p in enumerate(ps)]
-    ready += [(True, name, "", 0.0, i, j, re.compile(p, re.S)) for i, (name, ps) in enumerate(relations) for j, p in enumerate(ps)]
+    ready = [(False, name, what, weight, i, j, p) for i, (name, what, weight, ps) in enumerate(concepts) for j, p in enumerate(ps)]
+    ready += [(True, name, "", 0.0, i, j, p) for i, (name, ps) in enumerate(relations) for j, p in enumerate(ps)]
 
     def run(batches):
         import pyarrow as pa
 
+        walks = [(*told, walker(p)) for *told, p in ready]
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for rel, name, what, weight, i, j, pattern in ready if text else ():
+                for rel, name, what, weight, i, j, walk in walks if text else ():
                     width = NEAR if rel else ABOUT
-                    rows += [(key, rel, name, what, weight, i, j, m.start(), m[0].strip(), text[max(0, m.start() - width) : m.end() + width]) for m in pattern.finditer(text)]
+                    rows += [(key, rel, name, what, weight, i, j, s, text[s:e].strip(), text[max(0, s - width) : e + width]) for s, e in walk(text)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(out), out)], schema=out)
 
     return docs.select("doc_id", "content").mapInArrow(run, schema)
@@ -160,6 +189,7 @@ def extracted(chunks: DataFrame) -> DataFrame:
     Concepts are named by clause patterns (names of under two characters go) and by domain keywords (.6). Of a concept the
     surest occurrence counts, of equal ones the first by chunk, rule and clause; articles are those of all its chunks, sorted;
     contexts the clauses of its first three occurrences. The domain is the first one with a keyword in the chunk, else 其他.
+    A common concept's occurrences are ranked in slices by chunk; only the first three of each slice meet in one task.
     """
     domain = F.coalesce(*[F.when(any_of(F.col("content"), words), F.lit(name)) for name, words in EXTRACT_DOMAINS.items()], F.lit("其他"))
     articles = F.array_distinct(F.regexp_extract_all("content", F.lit("第[0-9]+(?:-[0-9]+)?條"), F.lit(0)))
@@ -173,11 +203,14 @@ def extracted(chunks: DataFrame) -> DataFrame:
     by_word = rows.select("chunk_id", "content", "articles", F.explode(held).alias("h")).select("chunk_id", F.col("h.d").alias("domain"), "articles", F.lit(0).alias("pos"), F.substring("content", at + 1, F.lit(100) + F.length("h.name")).alias("context"), "h.rule", F.lit("關鍵詞").alias("kind"), F.lit(0.6).alias("confidence"), "h.name")
     every = named.unionByName(by_word)
     order = F.struct("chunk_id", "rule", "pos")
-    first = Window.partitionBy("concept").orderBy("chunk_id", "rule", "pos")
-    numbered = every.withColumn("concept", F.lower("name")).withColumn("i", F.row_number().over(first))
+    told = every.withColumn("concept", F.lower("name"))
+    sliced = told.select("concept", "chunk_id", "rule", "pos", "context", F.pmod(F.xxhash64("chunk_id"), F.lit(SLICES)).alias("slice"))
+    first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("chunk_id", "rule", "pos"))
+    few = sliced.withColumn("i", first("concept", "slice")).where("i <= 3").withColumn("i", first("concept")).where("i <= 3")
     best = F.min_by(F.struct("kind", "confidence", "domain"), F.struct(-F.col("confidence"), order))
-    context = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("i") <= 3, F.struct("i", "context")))), lambda x: x["context"]), " | ")
-    return numbered.groupBy("concept").agg(best.alias("v"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("articles")))).alias("articles"), context.alias("contexts"), F.count("*").alias("n")).select("concept", "v.*", "articles", "contexts", "n")
+    context = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "context"))), lambda x: x["context"]), " | ")
+    merged = told.groupBy("concept").agg(best.alias("v"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("articles")))).alias("articles"), F.count("*").alias("n"))
+    return merged.join(few.groupBy("concept").agg(context.alias("contexts")), "concept").select("concept", "v.*", "articles", "contexts", "n")
 
 
 def linked(chunks: DataFrame) -> DataFrame:

@@ -11,15 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.text import importance_tokens, let, ngrams, words
 from ..sources import stored
 from . import block_index
+from .set_join import small
 from .vectors import Nearest, matrix, unit
 
-#: Rows of a query-side relation that may be broadcast, and of a vocabulary (a word and a number each, about 50 MB).
-BROADCAST_ROWS, VOCABULARY = 100_000, 1_000_000
-
-
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows that it is small; else joins shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+#: Words of a vocabulary (a word and a number each, about 50 MB) that may be broadcast.
+VOCABULARY = 1_000_000
 
 
 def top(scored: DataFrame, by: list[str], k: int, ties: list[str], score: str = "score") -> DataFrame:

@@ -9,7 +9,11 @@ from ..functions.text import let
 from ..sources import stored
 
 
-def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+#: Rows of a relation that may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows that it is small; else joins shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import any_of, number
 from ..functions.text import article as article_numbers
 from ..functions.text import cn_numeral, let, line_class
+from .set_join import small
 
 LEVELS = ("chapter", "section", "article", "paragraph", "subparagraph", "item")
 #: Granularity level of each kind of part.
@@ -316,7 +317,7 @@ def citation_search(nodes: DataFrame, citations: DataFrame) -> DataFrame:
         ok = ok & (F.col(f"c.{k}").isNull() | F.coalesce(F.col(f"k_{k}") == F.col(f"c.{k}"), F.lit(False)))
     ok = ok & (F.col("c.law").isNull() | F.coalesce(F.contains("plain", F.col("c.law")), F.lit(False)))
     by_article = known.where("k_article IS NOT NULL").join(asked.where("c.article IS NOT NULL").withColumn("k_article", F.col("c.article")), "k_article").where(ok)
-    others = known.join(F.broadcast(asked.where("c.article IS NULL")), ok)
+    others = known.join(small(asked.where("c.article IS NULL")), ok)
     found = by_article.select("query_id", "doc_id", "place", "kind").unionByName(others.select("query_id", "doc_id", "place", "kind"))
     order = Window.partitionBy("query_id").orderBy(F.size("place"), "doc_id", "place")
     return found.withColumn("rank", F.row_number().over(order))

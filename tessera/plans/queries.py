@@ -355,27 +355,36 @@ NUMERAL = "(CASE WHEN {0} >= 20 THEN substring('一二三四五六七八九', CA
 WRITTEN = f"CASE way WHEN 0 THEN '甲法第' || n || '條' WHEN 1 THEN '第 ' || {NUMERAL.format('n')} || ' 條之' || {NUMERAL.format('m')} WHEN 2 THEN '第' || n || '-' || m || '條' ELSE translate('第' || n || '條之' || m, '0123456789', '０１２３４５６７８９') END"
 
 
-@query("SELECT n::BIGINT AS n, m::BIGINT AS m, way::BIGINT AS way, n::BIGINT AS article_number, CASE WHEN way > 0 THEN m END::BIGINT AS article_suffix FROM (SELECT unnest(generate_series(1, 99)) AS n), (SELECT unnest(generate_series(1, 9)) AS m), (VALUES (0), (1), (2), (3)) w(way)")
+def _numbered(spark, d, **columns):
+    """Documents with numbers made from their doc_id by SQL that both engines read, and their whole text."""
+    docs = _docs(spark, d)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[F.expr(sql).alias(name) for name, sql in columns.items()])
+
+
+@query("SELECT doc_id, doc_id % 99 + 1 AS article_number, CASE WHEN doc_id % 4 > 0 THEN doc_id % 9 + 1 END AS article_suffix FROM documents")
 def citation_parse(spark, d):
-    rows = spark.sql("SELECT * FROM (SELECT explode(sequence(1, 99)) AS n), (SELECT explode(sequence(1, 9)) AS m), (SELECT explode(sequence(0, 3)) AS way)")
-    number, suffix = T.article(F.col("label"))
-    return rows.withColumn("label", F.expr(WRITTEN)).select(*[F.col(c).cast("long") for c in ("n", "m", "way")], number.cast("long").alias("article_number"), suffix.cast("long").alias("article_suffix"))
+    """The article that each document's first line names, in one of four ways of writing, read out of its whole text."""
+    rows = _numbered(spark, d, n="doc_id % 99 + 1", m="doc_id % 9 + 1", way="doc_id % 4").withColumn("content", F.concat(F.expr(WRITTEN), F.lit("\n"), "text"))
+    number, suffix = T.article(F.col("content"))
+    return rows.select("doc_id", number.cast("long").alias("article_number"), suffix.cast("long").alias("article_suffix"))
 
 
 HUNDREDS = "substring('一二三四五六七八九', CAST(floor(n / 100) AS INT), 1) || '百' || CASE WHEN n % 100 = 0 THEN '' WHEN n % 100 < 10 THEN '零' ELSE '' END || CASE WHEN n % 100 >= 10 THEN substring('一二三四五六七八九', CAST(floor(n / 10) AS INT) % 10, 1) || '十' ELSE '' END || CASE WHEN n % 10 > 0 THEN substring('一二三四五六七八九', n % 10, 1) ELSE '' END"
 DIGIT_RUN = "substring('一二三四五六七八九', CAST(floor(n / 100) AS INT), 1) || CASE WHEN n % 10 > 0 THEN substring('一二三四五六七八九', n % 10, 1) ELSE '零' END"
 
 
-@query("SELECT n::BIGINT AS n, n::BIGINT AS full_number, (n % 10)::BIGINT AS overwriting, (n // 100 * 10 + n % 10)::BIGINT AS appending FROM (SELECT unnest(generate_series(100, 999)) AS n)")
+@query("SELECT doc_id, n AS full_number, n % 10 AS overwriting, n // 100 * 10 + n % 10 AS appending FROM (SELECT doc_id, doc_id % 900 + 100 AS n FROM documents)")
 def cn_numeral(spark, d):
-    """Numerals of 100 to 999 read back, and runs of two digits (hundreds and ones) under both readings."""
-    rows = spark.sql(f"SELECT n, {HUNDREDS} AS whole, {DIGIT_RUN} AS run FROM (SELECT explode(sequence(100, 999)) AS n)")
-    return rows.select(F.col("n").cast("long"), T.cn_number(F.col("whole")).cast("long").alias("full_number"), T.cn_number(F.col("run")).cast("long").alias("overwriting"), T.cn_number(F.col("run"), True).cast("long").alias("appending"))
+    """Numerals of 100 to 999 read out of each document's whole text, and runs of two digits (hundreds and ones) under both readings."""
+    rows = _numbered(spark, d, n="CAST(doc_id % 900 + 100 AS INT)").withColumn("content", F.concat(F.lit("第"), F.expr(HUNDREDS), F.lit("號／"), F.expr(DIGIT_RUN), F.lit("\n"), "text"))
+    found = F.regexp_extract_all("content", F.lit("[零一二三四五六七八九十百千]+"), F.lit(0))
+    whole, run = F.get(found, F.lit(0)), F.get(found, F.lit(1))
+    return rows.select("doc_id", T.cn_number(whole).cast("long").alias("full_number"), T.cn_number(run).cast("long").alias("overwriting"), T.cn_number(run, True).cast("long").alias("appending"))
 
 
-@query("SELECT n, CASE WHEN n >= 20 THEN substring('一二三四五六七八九', n // 10, 1) ELSE '' END || CASE WHEN n >= 10 THEN '十' ELSE '' END || CASE WHEN n % 10 > 0 THEN substring('一二三四五六七八九', n % 10, 1) ELSE '' END AS numeral FROM (SELECT unnest(generate_series(1, 99)) AS n)")
+@query("SELECT doc_id, CASE WHEN n >= 20 THEN substring('一二三四五六七八九', n // 10, 1) ELSE '' END || CASE WHEN n >= 10 THEN '十' ELSE '' END || CASE WHEN n % 10 > 0 THEN substring('一二三四五六七八九', n % 10, 1) ELSE '' END AS numeral FROM (SELECT doc_id, doc_id % 99 + 1 AS n FROM documents)")
 def cn_numeral_names(spark, d):
-    return spark.range(1, 100).select(F.col("id").alias("n"), T.cn_numeral(F.col("id")).alias("numeral"))
+    return _numbered(spark, d, n="doc_id % 99 + 1").select("doc_id", T.cn_numeral(F.col("n")).alias("numeral"))
 
 
 NODES_SQL = f"""n AS (SELECT * FROM (VALUES (0, 'chapter', '第一章 總則', ''), (1, 'article', '第一章 總則/第1條', '為示範#而訂定本規則。@。'), (3, 'article', '第一章 總則/第2條', ''),

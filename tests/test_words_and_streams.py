@@ -2,13 +2,15 @@
 
 import math
 import random
+import re
+import time
 from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluation, intervals, segmentation
+from tessera.operators import evaluation, graph, intervals, segmentation
 from tessera.streaming import annotations
 
 
@@ -33,6 +35,17 @@ def test_best_path_against_all_segmentations():
             assert lattice.path(run) == best
 
 
+def test_patterns_are_walked_as_they_are_searched_and_in_linear_time():
+    rng = random.Random(9)
+    for pattern in ("ab.*?c", "a.*?b.*?a", "ab", "aa.*?a", "a+.*?[bc]"):
+        for _ in range(300):
+            text = "".join(rng.choice("abc\n") for _ in range(rng.randint(0, 25)))
+            assert list(graph.walker(pattern)(text)) == [m.span() for m in re.finditer(pattern, text, re.S)], (pattern, text)
+    began = time.process_time()
+    assert not list(graph.walker("如.*?時")("如" * 400_000))
+    assert time.process_time() - began < 2
+
+
 def test_dictionary_words_and_keywords(spark):
     rng = random.Random(2)
     said = [rng.choice("寅卯辰巳午未") + "著作權" + rng.choice("甲乙丙丁戊己") + "商標法" + rng.choice("庚辛壬癸子丑") for _ in range(60)]
