@@ -32,8 +32,11 @@ WORD_ENDS = "。！？；：，、．·\n\r \t（）()「」\"【】[]《》<>"
 BATCH_ROWS = 1024
 
 
-def walked(docs: DataFrame, walk: Callable[[str], Iterator[tuple]], columns: str) -> DataFrame:
-    """(doc_id, chunk_index, columns): walk gives the tuples of one text."""
+def walked(docs: DataFrame | None, walk: Callable[[str], Iterator[tuple]], columns: str) -> DataFrame:
+    """(doc_id, chunk_index, columns): walk gives the tuples of one text. Without docs the walk itself and its columns, for table
+    functions."""
+    if docs is None:
+        return walk, columns
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kind = docs.schema["doc_id"].dataType.simpleString()
