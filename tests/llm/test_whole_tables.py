@@ -2,16 +2,16 @@
 
 import hashlib
 import re
-from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
 
 from tessera.llm import queries
 
-DATA, HOT = "/root/testdata/sf0.01", "/root/testdata/check_h"
+DATA = "/root/testdata/sf0.01"
 
 
 def rows(spark, name):
@@ -62,14 +62,21 @@ def test_every_fingerprint_and_component(spark, texts):
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows(spark, "op5_simhash_dedup")} == want
 
 
-@pytest.mark.skipif(not Path(HOT).exists(), reason="no table with hot groups")
-def test_every_link_of_the_hot_vectors(spark):
-    """check_h: one vector in very many rows, and one cloud of near copies."""
-    t = pq.read_table(f"{HOT}/embeddings.parquet", columns=["vec_id", "embedding"]).to_pandas().sort_values("vec_id")
-    v = np.array([np.asarray(x, float) for x in t["embedding"]])
+def test_every_link_of_hot_vectors(spark, tmp_path):
+    """One vector in very many rows, one cloud of near copies, pairs from just over the threshold on, and vectors alone."""
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((1200, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((200, 32))
+    side -= (side * base[:200]).sum(1, keepdims=True) * base[:200]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = np.linspace(0.905, 0.999, 200)[:, None]
+    v = np.concatenate([base, cosine * base[:200] + np.sqrt(1 - cosine**2) * side, np.repeat(base[300:301], 900, 0), base[301:302] + 0.02 * rng.standard_normal((500, 32))])
+    v = v[rng.permutation(len(v))].astype(np.float32).astype(float)
+    pq.write_table(pa.table({"vec_id": np.arange(len(v)), "embedding": pa.array(v.astype(np.float32).tolist(), pa.list_(pa.float32()))}), f"{tmp_path}/embeddings.parquet")
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     linked = v @ v.T >= 0.9
-    keys, least = t["vec_id"].to_numpy(), least_reachable(linked)
-    want = {int(k): (int(n) - 1, int(keys[c]), bool(keys[c] == k)) for k, n, c in zip(keys, linked.sum(axis=1), least)}
-    got = queries.QUERIES["op1_near_embeddings"](spark, HOT).collect()
+    least = least_reachable(linked)
+    want = {i: (int(n) - 1, int(c), bool(c == i)) for i, (n, c) in enumerate(zip(linked.sum(axis=1), least))}
+    got = queries.QUERIES["op1_near_embeddings"](spark, str(tmp_path)).collect()
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == want
