@@ -14,16 +14,15 @@ FIELDS = ("article_number", "article_suffix", "item_number", "clause_type", "cla
 
 
 def place(text: Column) -> Column:
-    """struct of FIELDS: the article, item and clause that a text names first. 第N條之M goes before 第N-M條 and 第N條; of 款, （目）
-    and 第N目之M the last kind that occurs counts. White space stays."""
+    """struct of FIELDS: the article, item and clause that a text names first. An article is 第N條之M, 第N-M條 or 第N條, whichever stands
+    first: one that the text only refers to later is not it; of 款, （目） and 第N目之M the last kind that occurs counts. White space stays."""
     return T.let(T.nfkc_like(F.coalesce(text, F.lit(""))), _place)
 
 
 def _place(t: Column) -> Column:
-    after, dash, plain = f"第({NUM})條之({NUM})", f"第({NUM})-({NUM})條", f"第({NUM})條"
+    named = f"第({NUM})(?:條(?:之({NUM}))?|-({NUM})條)"
     clause, item, sub = f"第({NUM})款", "[（(]([0-9一二兩三四五六七八九十〇零]+)[)）]", f"第({NUM})目之({NUM})"
-    article = F.when(t.rlike(after), F.regexp_extract(t, after, 1)).when(t.rlike(dash), F.regexp_extract(t, dash, 1)).otherwise(F.regexp_extract(t, plain, 1))
-    suffix = F.when(t.rlike(after), F.regexp_extract(t, after, 2)).when(t.rlike(dash), F.regexp_extract(t, dash, 2))
+    article, suffix = F.regexp_extract(t, named, 1), F.concat(F.regexp_extract(t, named, 2), F.regexp_extract(t, named, 3))
     number = F.when(t.rlike(sub), F.regexp_extract(t, sub, 1)).when(t.rlike(item), F.regexp_extract(t, item, 1)).otherwise(F.regexp_extract(t, clause, 1))
     return F.struct(
         T.label_number(article).alias("article_number"),

@@ -324,6 +324,12 @@ def test_gold_places(spark):
     ]
 
 
+def test_gold_articles_are_the_first_named(spark):
+    texts = ["第42條：第12條之1準用之，第12條不準用。", "第5-2條，第7條之1", "依第9條及第3-1條", "第4條之二，第6條", "之1"]
+    got = [r["p"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(gold.place(F.col("t")).alias("p")).collect()]
+    assert [(p["article_number"], p["article_suffix"]) for p in got] == [(42, None), (5, 2), (9, None), (4, 2), (None, None)]
+
+
 def test_answers_fall_back_to_first_sentences(spark):
     rows = [(1, "重製", 1, "無關文字。 第二句。 第三句。"), (1, "重製", 2, "又一句！ 末句。"), (1, "重製", 3, "不取。"), (2, "alpha", 1, "no. Alpha here! other"), (2, "alpha", 2, "Alpha here!")]
     got = enrichment.extractive_answers(spark.createDataFrame(rows, "query_id long, question string, rank int, content string")).orderBy("query_id", "rank").collect()
