@@ -5,25 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 
-def _spread(docs: DataFrame, starts: Column, size: int) -> DataFrame:
-    n = F.length("text")
-    parts = F.transform(starts, lambda s: F.struct(F.substr("text", s + 1, F.lit(size)).alias("content"), s.alias("start"), F.least(s + size, n).alias("end")))
-    kept = docs.where(n > 0).select("doc_id", F.filter(parts, lambda p: F.trim(p["content"]) != "").alias("parts"))
-    return kept.select("doc_id", F.posexplode("parts").alias("chunk_index", "p")).select("doc_id", "chunk_index", "p.content", "p.start", "p.end")
+#: Windows that are cut from one piece of a text.
+RUN = 32
+
+
+def windows(last: Column, step: Column, size: Column) -> Column:
+    """array<struct<content, start>>: windows of `size` of the column text at 0, step, ... up to `last`.
+
+    A character is found by walking from the start of its text, so cutting each window from the whole text is quadratic: RUN windows
+    in a row are cut from a piece of their own.
+    """
+    def run(at: Column, end: Column) -> Column:
+        cut = lambda piece: F.transform(F.sequence(at, F.least(end, at + step * (RUN - 1)), step), lambda s: F.struct(F.substr(piece, s - at + 1, size).alias("content"), s.alias("start")))
+        return let(F.substr("text", at + 1, step * (RUN - 1) + size), cut)
+
+    return let(last, lambda end: F.flatten(F.transform(F.sequence(F.lit(0), end, step * RUN), lambda at: run(at, end))))
+
+
+def _spread(docs: DataFrame, last: Column, step: int, size: int) -> DataFrame:
+    kept = docs.where(F.length("text") > 0).select("doc_id", F.length("text").alias("n"), F.filter(windows(last, F.lit(step), F.lit(size)), lambda w: F.trim(w["content"]) != "").alias("parts"))
+    return kept.select("doc_id", "n", F.posexplode("parts").alias("chunk_index", "p")).select("doc_id", "chunk_index", "p.content", "p.start", F.least(F.col("p.start") + size, F.col("n")).alias("end"))
 
 
 def fixed_ratio(docs: DataFrame, size: int = 500, ratio: float = 0.1) -> DataFrame:
     """Windows of `size` every size - int(size * ratio) characters to the very end; blank ones are skipped."""
     if not 0 <= ratio < 1 or size < 1:
         raise ValueError("size must be positive and 0 <= ratio < 1")
-    return _spread(docs, F.sequence(F.lit(0), F.length("text") - 1, F.lit(size - int(size * ratio))), size)
+    return _spread(docs, F.length("text") - 1, size - int(size * ratio), size)
 
 
 def sliding_stop(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
     """Windows of `size` that overlap by `overlap` characters and stop with the one that reaches the end."""
     overlap = min(overlap, size - 1)
-    return _spread(docs, F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("text") - overlap - 1), F.lit(size - overlap)), size)
+    return _spread(docs, F.greatest(F.lit(0), F.length("text") - overlap - 1), size - overlap, size)
 
 
 def packed(pieces: Column, most: int, glue: str) -> Column:
@@ -69,8 +85,7 @@ def grid(docs: DataFrame, sizes: tuple, ratios: tuple) -> DataFrame:
     """fixed_ratio chunks for every configuration; each document is read once and fanned out in its row."""
     configs = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(r).alias("ratio"), F.lit(s - int(s * r)).alias("step")) for s in sizes for r in ratios])
     each = docs.where(F.length("text") > 0).select("doc_id", "text", F.explode(configs).alias("g"))
-    starts = F.sequence(F.lit(0), F.length("text") - 1, F.col("g.step"))
-    parts = F.filter(F.transform(starts, lambda s: F.substr("text", s + 1, F.col("g.size"))), lambda c: F.trim(c) != "")
+    parts = F.filter(F.transform(windows(F.length("text") - 1, F.col("g.step"), F.col("g.size")), lambda w: w["content"]), lambda c: F.trim(c) != "")
     return each.select(F.col("g.size").alias("chunk_size"), F.col("g.ratio").alias("overlap_ratio"), "doc_id", F.posexplode(parts).alias("chunk_index", "content"))
 
 

@@ -3,8 +3,9 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tessera.operators import learning, splitting
+from tessera.operators import chunking, learning, splitting
 
 TEXTS = [None, "", "  \n ", "短句。", "一二三。四五六！七八九十" * 30, "word " * 200, "no stops at all" * 40, "\n\n".join(["para one is here", "two, three; four " * 20, "x" * 130]), "句。" * 300]
 SHAPE = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -35,6 +36,19 @@ def slowly(text, size, tolerance, overlap, ends):
     return out
 
 
+@pytest.mark.parametrize("size, overlap", [(5, 1), (3, 0), (500, 50)])
+def test_windows_of_long_texts_are_cut_from_pieces(spark, monkeypatch, size, overlap):
+    texts = [t for t in [*TEXTS, "著作é𝄞ab" * 90] if t]
+    step, cut, asked = size - overlap, {}, F.substr
+    for i, t in enumerate(texts):
+        cut[i] = [(t[s : s + size], s, min(s + size, len(t))) for s in range(0, max(0, len(t) - overlap - 1) + 1, step) if t[s : s + size].strip(" ")]
+    whole = []
+    monkeypatch.setattr(F, "substr", lambda c, *rest: whole.append(str(c)) or asked(c, *rest))
+    got = by_document(chunking.sliding_stop(frame(spark, texts).select("doc_id", "text"), size, overlap))
+    assert {i: [(r["content"], r["start"], r["end"]) for r in rows] for i, rows in got.items()} == {i: c for i, c in cut.items() if c}
+    assert whole.count("text") == 1  # only pieces are cut from the whole text, windows from pieces
+
+
 @SHAPE
 @given(texts=SOME)
 def test_boundary_windows_against_brute_force(spark, texts):
