@@ -170,7 +170,12 @@ class Search:
         side = np.zeros((len(live), len(local)))
         side[place[query[mine]], column[mine]] = weight[mine]
         score = side @ chunk
-        shares = (side != 0).astype(np.float32) @ (chunk != 0).astype(np.float32) > 0 if self.signed else score > 0
+        if self.signed:  # a chunk with a word of the question is found whatever the word weighs, be it nothing
+            asks = np.zeros(side.shape, np.float32)
+            asks[place[query[mine]], column[mine]] = 1
+            shares = asks @ (chunk != 0).astype(np.float32) > 0
+        else:
+            shares = score > 0
         q, c = np.nonzero(shares & (np.round(score, 6) >= self.least[live][:, None]))
         if not len(q):
             return
