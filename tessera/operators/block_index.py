@@ -40,7 +40,7 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 def blocks(chunks: DataFrame, keys: list[str], tokens: Column | None = None, size: int = BLOCK) -> DataFrame:
     """The block-max index of chunks(keys, content), written once to the shared folder, without a shuffle.
 
-    One row a block: each key as an array, norm array<double> (the chunks' words), terms, peak and low (per term the highest count
+    One row a block: its number, each key as an array, norm array<double> (the chunks' words), terms, peak and low (per term the highest count
     and the least norm), starts (of each term's postings), rows and tfs. keys: integers or strings. tokens: an array column,
     else words() of content. No chunks: no blocks.
     """
@@ -72,7 +72,8 @@ def blocks(chunks: DataFrame, keys: list[str], tokens: Column | None = None, siz
                     names=[*keys, "norm", "terms", "peak", "low", "starts", "rows", "tfs"],
                 )
 
-    return stored(chunks.select(*keys, (words(F.col("content")) if tokens is None else tokens).alias("tokens")).mapInArrow(run, schema))
+    rows = chunks.select(*keys, (words(F.col("content")) if tokens is None else tokens).alias("tokens")).mapInArrow(run, schema)
+    return stored(rows.withColumn("block", F.monotonically_increasing_id()))
 
 
 def frequencies(index: DataFrame) -> DataFrame:
@@ -91,30 +92,42 @@ def _flat(column, i: int) -> np.ndarray:
     return column[i].values.to_numpy(zero_copy_only=False)
 
 
-def with_lengths(index: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
-    """index with the lengths of the chunks' tf * idf vectors as norms, stored. idf(term, idf), small; terms without one count nothing.
-    A chunk of no length gets an infinite norm: it scores 0 for every query."""
-    told = idf.orderBy("term").toArrow()
-    shared = index.sparkSession.sparkContext.broadcast((told.column("term").combine_chunks(), told.column("idf").to_numpy()))
-    names = index.columns
+def with_lengths(index: DataFrame, idf: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """index with the lengths of the chunks' tf * idf vectors as norms, stored. idf(term, idf); terms without one count nothing.
+    A chunk of no length gets an infinite norm: it scores 0 for every query.
+
+    Up to `most` terms travel to every task. More are joined with the blocks' terms, a row per term and block, and the index meets the
+    weights of its blocks: work and shuffle grow with the index, whatever is asked.
+    """
+    names, schema = index.columns, index.schema
+    few = idf.limit(most + 1).count() <= most
+    if few:
+        told = idf.orderBy("term").toArrow()
+        shared = index.sparkSession.sparkContext.broadcast((told.column("term").combine_chunks(), told.column("idf").to_numpy()))
+    else:
+        each = index.select("block", F.posexplode("terms").alias("i", "term")).join(idf, "term", "left").select("block", "i", F.coalesce("idf", F.lit(0.0)).alias("w"))
+        weights = each.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("w"))
+        index = index.join(weights, "block", "left").select(*names, F.coalesce("w", F.array().cast("array<double>")).alias("w"))
 
     def run(batches):
-        vocabulary, weight = shared.value
         for batch in batches:
-            norms, lows = [], []
             cols = {n: batch.column(n) for n in ("norm", "terms", "starts", "rows", "tfs")}
+            norms, lows, ends = [], [], np.concatenate([[0], np.cumsum(pc.list_value_length(cols["terms"]).to_numpy())])
+            if few:  # one look-up of all blocks of the batch: each builds a table of the vocabulary
+                vocabulary, weight = shared.value
+                at = pc.index_in(cols["terms"].flatten(), value_set=vocabulary)
+                every = np.where(at.is_valid().to_numpy(zero_copy_only=False), weight[at.fill_null(0).to_numpy()] if len(weight) else 0.0, 0.0)
+            else:
+                every = batch.column("w").flatten().to_numpy()
             for i in range(batch.num_rows):
-                at = pc.index_in(cols["terms"][i].values, value_set=vocabulary)
-                known = at.is_valid().to_numpy(zero_copy_only=False)
-                w = np.where(known, weight[at.fill_null(0).to_numpy()] if len(weight) else 0.0, 0.0)
                 starts, row, tf = _flat(cols["starts"], i), _flat(cols["rows"], i), _flat(cols["tfs"], i)
-                length = np.sqrt(np.bincount(row, (tf * np.repeat(w, np.diff(starts))) ** 2, minlength=len(cols["norm"][i])))
+                length = np.sqrt(np.bincount(row, (tf * np.repeat(every[ends[i] : ends[i + 1]], np.diff(starts))) ** 2, minlength=len(cols["norm"][i])))
                 norms.append(np.where(length > 0, length, np.inf))
                 lows.append(np.minimum.reduceat(norms[-1][row], starts[:-1]) if len(row) else norms[-1][:0])
             new = {"norm": _lists(norms, pa.float64()), "low": _lists(lows, pa.float64())}
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names=names)
 
-    return stored(index.mapInArrow(run, index.schema))
+    return stored(index.mapInArrow(run, schema))
 
 
 def bm25_weight(avgdl: float, k1: float = 1.2, b: float = 0.75):

@@ -44,6 +44,14 @@ def test_asked_pairs_go_out_in_parts_and_empty_tables_give_nothing(spark, monkey
     assert len(ranks(retrieval.tfidf(chunks, queries))) == len(want)
 
 
+def test_large_vocabularies_are_joined_with_blocks_not_with_pairs(spark, monkeypatch):
+    chunks, queries = _chunks(spark, DATA), table(spark, DATA, "benchmark")
+    want = ranks(retrieval.tfidf(chunks, queries))
+    monkeypatch.setattr(retrieval, "VOCABULARY", 0)
+    monkeypatch.setattr(retrieval, "tfidf_scores", None)  # makes a row of every chunk that shares a word with a query
+    assert ranks(retrieval.tfidf(chunks, queries)) == want
+
+
 def test_odd_chunks_and_string_keys(spark):
     rows = [("a", None), ("b", ""), (None, "alpha beta"), ("d", "alpha alpha beta"), ("e", "alpha beta"), ("f", "gamma 重製權利")]
     chunks = spark.createDataFrame(rows, "name string, content string")
