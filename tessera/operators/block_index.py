@@ -25,6 +25,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no pac
 
 #: Chunks of a block.
 BLOCK = 256
+#: Bytes of a row group of an index. A block takes some 200 kB, several times that once it is decoded.
+GROUP = 4 << 20
 #: (query, term) pairs that travel to the tasks at once; more queries are searched one part after the other.
 ASKED = 100_000
 _NULL = -(1 << 63)
@@ -73,7 +75,7 @@ def blocks(chunks: DataFrame, keys: list[str], tokens: Column | None = None, siz
                 )
 
     rows = chunks.select(*keys, (words(F.col("content")) if tokens is None else tokens).alias("tokens")).mapInArrow(run, schema)
-    return stored(rows.withColumn("block", F.monotonically_increasing_id()))
+    return stored(rows.withColumn("block", F.monotonically_increasing_id()), GROUP)
 
 
 def frequencies(index: DataFrame) -> DataFrame:
@@ -127,7 +129,7 @@ def with_lengths(index: DataFrame, idf: DataFrame, most: int = 1_000_000) -> Dat
             new = {"norm": _lists(norms, pa.float64()), "low": _lists(lows, pa.float64())}
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names=names)
 
-    return stored(index.mapInArrow(run, schema))
+    return stored(index.mapInArrow(run, schema), GROUP)
 
 
 def bm25_weight(avgdl: float, k1: float = 1.2, b: float = 0.75):

@@ -35,10 +35,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written once as a Parquet table in the shared folder and read back; lost executors cost only the tasks they ran."""
+def stored(df: DataFrame, group: int | None = None) -> DataFrame:
+    """df, written once as a Parquet table in the shared folder and read back; lost executors cost only the tasks they ran.
+
+    group: bytes of a row group. Readers hold up to 4,096 rows of one row group at once, so tables of large rows need small groups.
+    """
     path = f"{shared_folder(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    written = df.write.option("compression", "zstd")
+    if group is not None:  # by default the writer first looks at a group's size after 100 rows
+        written = written.option("parquet.block.size", group).option("parquet.page.size.row.check.min", 4)
+    written.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

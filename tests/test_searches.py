@@ -52,6 +52,17 @@ def test_large_vocabularies_are_joined_with_blocks_not_with_pairs(spark, monkeyp
     assert ranks(retrieval.tfidf(chunks, queries)) == want
 
 
+def test_blocks_lie_in_small_row_groups(spark):
+    import glob
+    import pyarrow.parquet as pq
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents").coalesce(1)
+    blocked = block_index.blocks(docs.select("doc_id", F.lit(0).alias("chunk_index"), F.explode(F.array_repeat("text", 12)).alias("content")), ["doc_id", "chunk_index"])
+    held = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocked.inputFiles()]
+    sizes = [m.row_group(g).total_byte_size for m in held for g in range(m.num_row_groups)]
+    assert len(sizes) > 1 and max(sizes) < 8 << 20
+
+
 def test_odd_chunks_and_string_keys(spark):
     rows = [("a", None), ("b", ""), (None, "alpha beta"), ("d", "alpha alpha beta"), ("e", "alpha beta"), ("f", "gamma 重製權利")]
     chunks = spark.createDataFrame(rows, "name string, content string")
