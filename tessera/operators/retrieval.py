@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import importance_tokens, let, ngrams, words
 from ..sources import stored
-from . import block_index
+from . import block_index, importance
 from .set_join import small
 from .vectors import Nearest, matrix, unit
 
@@ -217,43 +217,54 @@ def rule_rank(candidates: DataFrame, k: int = 10) -> DataFrame:
     return top(candidates.withColumn("score", F.lit(0.8) * F.col("vec") + F.col("bonus")), ["query_id"], k, ["chunk_id"]).withColumn("score", F.round("score", 6))
 
 
-def dynamic_importance(articles: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, max_df: float = 0.95) -> DataFrame:
+def _importance_by_joins(rows: DataFrame, sizes: DataFrame, k1: float, b: float, epsilon: float, max_df: float) -> DataFrame:
+    """(law, article_id, tfidf, bm25) of rows(law, article_id, tokens) of laws with more articles than one task takes; as
+    importance.measures(), by joins: articles meet through each term that they share, which is quadratic in a law's articles."""
+    keys = ["law", "article_id"]
+    counts = stored(index(rows, keys, F.col("tokens")).select(*keys, "dl"))
+    stats = sizes.join(counts.groupBy("law").agg(F.avg("dl").alias("avgdl")), "law")
+    grams = _postings(index(rows, keys, with_bigrams(F.col("tokens"))), *keys)
+    dfs = grams.groupBy("law", "term").agg(F.count("*").alias("df")).join(stats, "law").withColumns({"word": ~F.contains("term", F.lit(" ")), "raw": F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)})
+    dfs = stored(dfs)
+    floors = dfs.where("word").groupBy("law").agg((F.avg("raw") * epsilon).alias("floor"))
+    idf = lambda d: F.when(d <= (F.col("n") + 1) * max_df, F.log((F.col("n") + 2) / (1 + d)) + 1).otherwise(0.0)
+    weight = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    every = grams.join(dfs, ["law", "term"]).join(counts, keys).join(floors, "law", "left").withColumns({"plain": idf(F.col("df")), "own": idf(F.col("df") + 1)})
+    every = every.select(*keys, "term", F.col("word").cast("long").alias("word"), (F.col("tf") * F.col("plain")).alias("p"), (F.col("tf") * F.col("own")).alias("x"), F.when(F.col("word"), F.col("tf")).otherwise(0).alias("asked"), F.when(F.col("word"), weight).otherwise(0.0).alias("part"))
+    every = stored(every)
+    lengths = stored(every.groupBy(*keys).agg(F.sum(F.col("p") * F.col("p")).alias("base"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"), F.sum("x").alias("total"), F.sum("word").alias("words")))
+    mine = every.select("law", F.col("article_id").alias("target"), "term", F.col("x").alias("tx"), "asked")
+    pairs = every.select(*keys, "term", "x", (F.col("x") * F.col("x") - F.col("p") * F.col("p")).alias("change"), "part", "word").join(mine, ["law", "term"])
+    pairs = pairs.groupBy("law", "target", "article_id").agg(F.sum(F.col("x") * F.col("tx")).alias("dot"), F.sum("change").alias("change"), F.sum(F.col("asked") * F.col("part")).alias("s"), F.sum("word").alias("met"))
+    pairs = pairs.join(lengths.select(*keys, "base"), keys)
+    cosine = F.sum(F.when(F.col("dot") > 0, F.col("dot") / F.sqrt(F.col("base") + F.col("change"))))
+    met = F.col("met") > 0
+    of = pairs.groupBy("law", F.col("target").alias("article_id")).agg(cosine.alias("cos"), F.sum("s").alias("sum"), F.max(F.when(met, F.col("s"))).alias("top"), F.sum(F.when(met, 1).otherwise(0)).alias("hits"))
+    of = rows.select(*keys).join(lengths.join(of, keys), keys, "left").join(sizes, "law")
+    tfidf = F.when(F.col("total") > 0, 10 * (0.7 * F.col("total") + 0.3 * F.col("cos") / F.col("n")) / F.col("length"))
+    # articles that share no word score 0
+    top_ = F.when(F.col("hits") < F.col("n"), F.greatest("top", F.lit(0.0))).otherwise(F.col("top"))
+    return of.select(*keys, tfidf.alias("tfidf"), F.when(F.col("words") > 0, 2 * (0.6 * F.col("sum") / F.col("n") + 0.4 * top_)).alias("bm25"))
+
+
+def dynamic_importance(articles: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, max_df: float = 0.95, together: int = 512) -> DataFrame:
     """(law, article_id, tfidf, bm25, importance) of articles(law, article_id, text): how an article's terms weigh among those of its law.
 
     TF-IDF (words and pairs of words, over the law's articles and the article once more, without terms in over max_df of them):
     10 (.7 sum of its unit vector + .3 mean cosine to all articles); BM25 of the article as a question against all articles:
     2 (.6 mean + .4 maximum). Both lie within .1 and 5; importance is .3 + .7 (.6 TF-IDF + .4 BM25). Articles without terms have 1 for
-    either. Only articles of one law meet, through the terms they share.
+    either. Only articles of one law meet, through the terms they share: in one task if the law has at most `together`, else by joins.
     """
-    keys = ["law", "article_id"]
     clip = lambda c: F.round(F.least(F.lit(5.0), F.greatest(F.lit(0.1), c)), 2)
-    tokens = importance_tokens(F.col("text"))
-    grams = stored(_postings(index(articles, keys, with_bigrams(tokens)), *keys).select(*keys, "term", "tf"))
-    sizes = articles.groupBy("law").agg(F.count("*").alias("n"))
-    dfs = grams.groupBy("law", "term").agg(F.count("*").alias("df"))
-    # a target's own copy raises the document frequency of its terms by one
-    own = grams.select("law", F.col("article_id").alias("target"), "term").withColumn("has", F.lit(1))
-    every = grams.join(articles.select("law", F.col("article_id").alias("target")), "law").join(own, ["law", "target", "term"], "left").join(dfs, ["law", "term"]).join(sizes, "law")
-    df, n = F.col("df") + F.coalesce("has", F.lit(0)), F.col("n") + 1
-    weighed = every.where(df <= n * max_df).withColumn("w", F.col("tf") * (F.log((1 + n) / (1 + df)) + 1)).select("law", "target", "article_id", "term", "w", "has")
-    mine = weighed.where("article_id = target").select("law", "target", "term", F.col("w").alias("t"))
-    lengths = weighed.groupBy("law", "target", "article_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    dots = weighed.join(mine, ["law", "target", "term"]).groupBy("law", "target", "article_id").agg(F.sum(F.col("w") * F.col("t")).alias("dot"), F.sum("t").alias("total"))
-    of_target = lengths.where("article_id = target").select("law", "target", F.col("len").alias("tlen"))
-    cosines = dots.join(lengths, ["law", "target", "article_id"]).join(of_target, ["law", "target"])
-    mean = cosines.groupBy("law", F.col("target").alias("article_id")).agg(F.sum(F.col("dot") / F.col("len") / F.col("tlen")).alias("cos"), F.max(F.when(F.col("article_id") == F.col("target"), F.col("total") / F.col("tlen"))).alias("sum"))
-    tf = mean.join(sizes, "law").select(*keys, clip(10 * (0.7 * F.col("sum") + 0.3 * F.col("cos") / F.col("n"))).alias("tfidf"))
-    words_ = stored(index(articles, keys, tokens))
-    posted = _postings(words_, *keys, "dl")
-    stats = words_.groupBy("law").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    raw = posted.groupBy("law", "term").agg(F.count("*").alias("df")).join(stats, "law").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floors = raw.groupBy("law").agg((F.avg("raw") * epsilon).alias("floor"))
-    idf = raw.join(floors, "law").select("law", "term", "n", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    pairs = posted.join(idf, ["law", "term"]).withColumn("part", part).select("law", "article_id", "term", "part", "n").join(posted.select("law", F.col("article_id").alias("target"), "term", F.col("tf").alias("qtf")), ["law", "term"])
-    scores = pairs.groupBy("law", "target", "article_id", "n").agg(F.sum(F.col("part") * F.col("qtf")).alias("s"))
-    bm = scores.groupBy("law", F.col("target").alias("article_id"), "n").agg(F.sum("s").alias("total"), F.max("s").alias("top"), F.count("*").alias("hits"))
-    # articles that share no term score 0
-    bm = bm.select(*keys, clip(2 * (0.6 * F.col("total") / F.col("n") + 0.4 * F.when(F.col("hits") < F.col("n"), F.greatest("top", F.lit(0.0))).otherwise(F.col("top")))).alias("bm25"))
-    both = articles.select(*keys).join(tf, keys, "left").join(bm, keys, "left").select(*keys, F.coalesce("tfidf", F.lit(1.0)).alias("tfidf"), F.coalesce("bm25", F.lit(1.0)).alias("bm25"))
+    rows = articles.where("law IS NOT NULL").select("law", "article_id", importance_tokens(F.col("text")).alias("tokens"))
+    large = stored(articles.groupBy("law").agg(F.count("*").alias("n")).where(F.col("n") > together))
+    if large.isEmpty():
+        measured = importance.laws_in_tasks(rows, k1, b, epsilon, max_df)
+    else:
+        named = small(large.select("law"))
+        by_joins = _importance_by_joins(stored(rows.join(named, "law")), large, k1, b, epsilon, max_df)
+        measured = importance.laws_in_tasks(rows.join(named, "law", "left_anti"), k1, b, epsilon, max_df).unionByName(by_joins)
+    # least and greatest skip nulls, so articles without terms are told first
+    cut = lambda c: F.when(F.col(c).isNull(), 1.0).otherwise(clip(F.col(c)))
+    both = measured.unionByName(articles.where("law IS NULL").select("law", "article_id", F.lit(None).cast("double").alias("tfidf"), F.lit(None).cast("double").alias("bm25"))).select("law", "article_id", cut("tfidf").alias("tfidf"), cut("bm25").alias("bm25"))
     return both.withColumn("importance", F.round(0.3 + 0.7 * (0.6 * F.col("tfidf") + 0.4 * F.col("bm25")), 2))

@@ -220,6 +220,19 @@ def test_dynamic_importance_against_plain_python(spark):
             assert r["tfidf"] == pytest.approx(tf, abs=0.011) and r["bm25"] == pytest.approx(bm, abs=0.011), (law, i, r, tf, bm)
 
 
+def test_importance_in_tasks_and_by_joins_without_pairs_of_articles_and_terms(spark):
+    rng = np.random.default_rng(8)
+    rows = [(law, i, " ".join(rng.choice([f"w{x}" for x in range(30)], rng.integers(0, 25)))) for law, n in ((1, 40), (2, 1), (3, 7), (4, 0), (5, 25)) for i in range(n)] + [(3, 99, None)]
+    articles = spark.createDataFrame(rows, "law long, article_id long, text string").repartition(3)
+    sort = lambda df: sorted(tuple(r) for r in df.select("law", "article_id", "tfidf", "bm25", "importance").collect())
+    tasks, joins, both = (sort(retrieval.dynamic_importance(articles, together=n)) for n in (512, 0, 10))
+    assert len(tasks) == len(rows)
+    for other in (joins, both):
+        assert [r[:2] for r in other] == [r[:2] for r in tasks] and np.abs(np.array(other)[:, 2:] - np.array(tasks)[:, 2:]).max() < 0.011
+    # a law's articles are not joined with all terms of the law
+    assert "Join" not in retrieval.dynamic_importance(articles)._jdf.queryExecution().executedPlan().toString()
+
+
 # --- splitting --------------------------------------------------------------------------------------------------------------------------
 def test_sentence_length_chooses_the_window(spark):
     rng = np.random.default_rng(5)
