@@ -5,8 +5,11 @@ No step makes all pairs of questions and spans: each has a filter that gives the
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -14,7 +17,7 @@ from pyspark.sql.types import DoubleType
 from ..functions import values as V
 from ..functions.labels import article_keys
 from ..sources import stored
-from .set_join import sharing_run, similar_sets, small, with_contained
+from .set_join import sharing_run, similar_sets, small
 
 KEYWORD_SHARE, JACCARD, OVERLAP, SENTENCE, CONCEPT = 0.3, 0.4, 0.4, 0.3, 0.3
 #: Two sentences count as alike from this share of their keywords on.
@@ -51,27 +54,113 @@ def longest_common_share(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x or "", y or "") for x, y in zip(a, b)])
 
 
-def by_keywords(items: DataFrame, spans: DataFrame, least: float = KEYWORD_SHARE) -> DataFrame:
+class _Asked:
+    """Questions' keywords, and which of them stand in which words of texts; words are looked at once for as long as they are remembered."""
+
+    def __init__(self, query: np.ndarray, word: pa.Array, remembered: int = 1 << 20):
+        coded = word.dictionary_encode()
+        self.words, self.remembered, self.known = coded.dictionary.to_pylist(), remembered, {}
+        self.queries, at = np.unique(query, return_inverse=True)
+        lengths = np.array([len(w) for w in self.words], np.float32)
+        codes = np.asarray(coded.indices, np.int64)
+        # float sums of lengths are exact below 2 ** 24
+        self.weights = np.zeros((len(self.words), len(self.queries)), np.float32)
+        self.weights[codes, at] = lengths[codes]
+        self.all = np.bincount(at, lengths[codes], len(self.queries)).astype(np.int64)
+        self.by_start: dict[str, list] = {}
+        for k, w in enumerate(self.words):
+            self.by_start.setdefault(w[:2], []).append((k, w))
+
+    def within(self, word: str) -> list[int]:
+        found = self.known.get(word)
+        if found is None:
+            found = list({k for i in range(len(word) - 1) for k, w in self.by_start.get(word[i : i + 2], ()) if word.startswith(w, i)})
+            if len(self.known) >= self.remembered:
+                self.known.clear()
+            self.known[word] = found
+        return found
+
+    def hits(self, texts: pa.Array) -> np.ndarray:
+        """By text and question: the summed length of the question's keywords that stand in the words of the text."""
+        coded = texts.flatten().dictionary_encode()
+        each = [self.within(w) for w in coded.dictionary.to_pylist()]
+        sizes = np.array([len(x) for x in each], np.int64)
+        held, starts = np.array([k for x in each for k in x], np.int64), np.cumsum(sizes) - sizes
+        code = np.asarray(coded.indices, np.int64)
+        row = np.repeat(np.arange(len(texts)), np.asarray(texts.value_lengths().fill_null(0), np.int64))
+        n = sizes[code]
+        at = np.repeat(starts[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        has = np.zeros((len(texts), len(self.words)), np.float32)
+        has[np.repeat(row, n), held[at]] = 1
+        return has @ self.weights
+
+
+#: Questions whose keywords travel at once.
+QUESTIONS = 512
+
+
+def by_keywords(items: DataFrame, spans: DataFrame, least: float = KEYWORD_SHARE, most: int | None = None) -> DataFrame:
     """(query_id, span_id, score): the share, by length, of a question's keywords that stand in the span, if over `least`.
 
-    The most frequent keywords that together weigh at most `least` cannot do alone, so a span must hold one of the others.
-    items(query_id, said), spans(span_id, text).
+    A keyword stands in a text if it does in one of the text's own keywords, so each distinct word is looked through once and a text
+    goes by as its words: no rows of texts and words. Questions go out QUESTIONS at a time. items(query_id, said), spans(span_id,
+    text). most: a task gives out only rows that can be among the first `most` of a question, by score, then span_id.
     """
-    asked = stored(items.select("query_id", keywords(F.col("said")).alias("words")).where(F.size("words") > 0))
-    texts = spans.select(F.col("span_id").alias("rid"), "text")
-    each = asked.select("query_id", F.explode("words").alias("word"))
-    # a keyword is about as frequent as the rarest of its pairs of characters
-    pairs = stored(each.select("word").distinct().select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))).alias("pair")))
-    spread = texts.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(2))))).alias("pair"))
-    df = spread.join(small(pairs.select("pair").distinct()), "pair", "left_semi").groupBy("pair").agg(F.count("*").alias("df"))
-    common = pairs.join(small(stored(df)), "pair", "left").groupBy("word").agg(F.min(F.coalesce("df", F.lit(0))).alias("df"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("df"), F.desc("word"))
-    weighed = each.join(small(stored(common)), "word").withColumns({"sum": F.sum(F.length("word")).over(order.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum(F.length("word")).over(Window.partitionBy("query_id"))})
-    needed = stored(weighed.where((F.col("sum") > F.col("all") * least) & (F.col("df") > 0)).select("query_id", "word"))
-    met = with_contained(needed.select("word").distinct(), texts).join(small(needed), "word").select("query_id", F.col("rid").alias("span_id")).distinct()
-    weight = lambda a: F.aggregate(a, F.lit(0), lambda s, w: s + F.length(w))
-    share = weight(F.filter("words", lambda w: F.contains("text", w))) / weight(F.col("words"))
-    return met.join(small(asked), "query_id").join(spans.select("span_id", "text"), "span_id").select("query_id", "span_id", F.round(share, 6).alias("score")).where(F.col("score") > least)
+    spark, kind, key = spans.sparkSession, spans.schema["span_id"].dataType.simpleString(), items.schema["query_id"].dataType.simpleString()
+    asked = stored(items.select("query_id", F.explode(keywords(F.col("said"))).alias("word")))
+    blocks = max(1, -(-asked.select("query_id").distinct().count() // QUESTIONS))
+    texts = spans.select("span_id", F.regexp_extract_all("text", F.lit("[\\p{L}\\p{N}]+"), F.lit(0)).alias("words"))
+
+    def one(b: int) -> DataFrame:
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow().combine_chunks()
+        ids, words = part.column("query_id").combine_chunks() if len(part) else None, part.column("word").combine_chunks() if len(part) else None
+        distinct = ids.dictionary_encode() if ids is not None else None
+        shared = spark.sparkContext.broadcast((distinct, words))
+
+        def run(batches):
+            distinct, words = shared.value
+            if distinct is None:
+                return
+            state = _Asked(np.asarray(distinct.indices, np.int64), words)
+            names, total = distinct.dictionary, state.all
+            # scores of one question tell its hits apart once rounded, if its keywords are not too long together
+            ordered = most is not None and total.max() < 400_000
+            kept = None
+            for batch in batches:
+                for start in range(0, batch.num_rows, 256):
+                    rows = batch.slice(start, 256)
+                    hits = state.hits(rows.column(1))
+                    at, q = np.nonzero(hits > total * (least - 1e-6))
+                    got = pa.table([pa.array(q), rows.column(0).take(pa.array(at)), pa.array(hits[at, q].astype(np.int64))], names=["q", "span_id", "hit"])
+                    kept = got if kept is None else pa.concat_tables([kept, got])
+                    if kept.num_rows > 1 << 16:
+                        if ordered:
+                            kept = _first(kept, most)
+                        if not ordered or kept.num_rows > 1 << 15:
+                            yield from give(kept, names, total)
+                            kept = None
+            if kept is not None:
+                yield from give(_first(kept, most) if ordered else kept, names, total)
+
+        def give(rows, names, total):
+            q = rows.column("q").combine_chunks()
+            yield from pa.table([names.take(q), rows.column("span_id"), rows.column("hit"), pa.array(total[np.asarray(q)])], names=["query_id", "span_id", "hit", "total"]).combine_chunks().to_batches()
+
+        return texts.mapInArrow(run, f"query_id {key}, span_id {kind}, hit long, total long")
+
+    found = one(0) if blocks == 1 else stored(one(0))
+    for b in range(1, blocks):
+        found = found.unionByName(stored(one(b)))
+    return found.select("query_id", "span_id", F.round(F.col("hit") / F.col("total"), 6).alias("score")).where(F.col("score") > least)
+
+
+def _first(rows: pa.Table, most: int) -> pa.Table:
+    """The first `most` rows of each q, by hit from above, then span_id."""
+    rows = rows.sort_by([("q", "ascending"), ("hit", "descending"), ("span_id", "ascending")]).combine_chunks()
+    q = rows.column("q").to_numpy()
+    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+    rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+    return rows.filter(pa.array(rank < most))
 
 
 def by_characters(items: DataFrame, spans: DataFrame, least: float = JACCARD) -> DataFrame:
@@ -136,7 +225,7 @@ def spans_of_questions(items: DataFrame, spans: DataFrame) -> DataFrame:
     done = stored(exact.unionByName(loose).distinct())
     texts = spans.where(F.coalesce("text", F.lit("")) != "").select("span_id", "text")
     open_ = stored(said.join(small(done.select("query_id").distinct()), "query_id", "left_anti"))
-    for name, step, most in (("keywords", by_keywords, 3), ("characters", by_characters, 2), ("overlap", by_overlap, 2), ("sentences", by_sentences, 2), ("concepts", by_concepts, 2)):
+    for name, step, most in (("keywords", partial(by_keywords, most=3), 3), ("characters", by_characters, 2), ("overlap", by_overlap, 2), ("sentences", by_sentences, 2), ("concepts", by_concepts, 2)):
         if open_.isEmpty():
             break
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "span_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -387,7 +389,7 @@ def _best_spans(spark, d, step, most):
 @query(f"""WITH {ITEMS}, w AS (SELECT query_id, list_filter(list_distinct(regexp_extract_all(said, '[\\pL\\pN]+')), lambda x: length(x) >= 2) AS ws FROM it), wide AS (SELECT query_id, ws, list_sum(list_transform(ws, lambda x: length(x))) AS total FROM w WHERE len(ws) > 0),
 s AS (SELECT query_id, span_id, round(coalesce(list_sum(list_transform(list_filter(ws, lambda x: contains(text, x)), lambda x: length(x))), 0)::DOUBLE / total, 6) AS score FROM wide, sp), {BEST.format('0.3', 3)}""")
 def question_spans_keywords(spark, d):
-    return _best_spans(spark, d, question_spans_.by_keywords, 3)
+    return _best_spans(spark, d, partial(question_spans_.by_keywords, most=3), 3)
 
 
 @query(f"""WITH {ITEMS}, a AS (SELECT query_id, list_distinct(regexp_extract_all(answer, '(?s).')) AS x FROM it), b AS (SELECT span_id, list_distinct(regexp_extract_all(text, '(?s).')) AS y FROM sp), m AS (SELECT query_id, span_id, len(x) AS n, len(y) AS k, len(list_intersect(x, y)) AS c FROM a, b),

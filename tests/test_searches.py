@@ -177,3 +177,20 @@ def test_the_cascade_makes_no_pairs_of_all(spark):
     for step in (question_spans.by_keywords, question_spans.by_characters, question_spans.by_overlap, question_spans.by_sentences, question_spans.by_concepts):
         plan = step(items, spans)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_keywords_in_spans_against_plain_python_without_rows_of_texts_and_words(spark):
+    rng = random.Random(11)
+    make = lambda n: " ".join("".join(rng.choice("abcé重") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, n)))
+    items, spans = [(i, make(9)) for i in range(40)] + [(40, None)], [(i, make(40)) for i in range(300)] + [(300, None), (301, "")]
+    asked, texts = spark.createDataFrame(items, "query_id long, said string"), spark.createDataFrame(spans, "span_id long, text string").repartition(5)
+    word = lambda t: list(dict.fromkeys(w for w in (t or "").split() if len(w) >= 2))
+    share = lambda q, t: sum(len(w) for w in word(q) if w in t) / sum(map(len, word(q)))
+    want = {(i, s): round(share(q, t), 6) for i, q in items if word(q) for s, t in spans if t and round(share(q, t), 6) > 0.3}
+    rows = lambda df: {(r.query_id, r.span_id): r.score for r in df.collect()}
+    assert rows(question_spans.by_keywords(asked, texts)) == pytest.approx(want)
+    best = lambda found: {(i, s) for i in range(41) for s, _ in sorted(((s, x) for (j, s), x in found.items() if i == j), key=lambda r: (-r[1], r[0]))[:3]}
+    few = question_spans.by_keywords(asked, texts, most=3)
+    assert best(rows(few)) == best(want) and few.count() < len(want)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
