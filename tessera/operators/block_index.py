@@ -144,8 +144,10 @@ def cosine_weight():
 class Search:
     """First k of each query over the blocks that scan() is given: a running k-th score a query, ties by key."""
 
-    def __init__(self, terms: pa.Array, term: np.ndarray, query: np.ndarray, weight: np.ndarray, queries: int, keys: int, k: int, formula):
-        """terms: sorted asked terms; term, query, weight: the asked pairs, by term; queries: how many."""
+    def __init__(self, terms: pa.Array, term: np.ndarray, query: np.ndarray, weight: np.ndarray, queries: int, keys: int, k: int, formula, once: bool = False):
+        """terms: sorted asked terms; term, query, weight: the asked pairs, by term; queries: how many; once: chunks of equal keys count
+        as one, by their best score."""
+        self.once = once
         self.terms, self.query, self.weight, self.k, self.formula = terms, query, weight, k, formula
         self.starts = np.searchsorted(term, np.arange(len(terms) + 1))
         self.least = np.full(queries, -np.inf)
@@ -199,6 +201,12 @@ class Search:
         pick = np.concatenate([np.arange(first), first + c])
         columns = [g[pick] for g in given]
         order = np.lexsort([*columns[::-1], -np.round(raw, 6), queries])
+        if self.once:
+            by = np.lexsort([-raw, *columns, queries])
+            again = np.logical_and.reduce([c[by][1:] == c[by][:-1] for c in (queries, *columns)])
+            best = np.ones(len(by), bool)
+            best[by[1:][again]] = False
+            order = order[best[order]]
         queries = queries[order]
         rank = np.arange(len(order)) - np.searchsorted(queries, queries)
         keep = order[rank < self.k]
@@ -207,9 +215,10 @@ class Search:
         self.least[queries[full]] = np.round(raw, 6)[order[full]]
 
 
-def top_k(index: DataFrame, asked: DataFrame, keys: list[str], formula, k: int = 10) -> DataFrame:
+def top_k(index: DataFrame, asked: DataFrame, keys: list[str], formula, k: int = 10, once: bool = False) -> DataFrame:
     """(query_id, keys, score): of each task the first k chunks of each query, by score rounded to six places and keys. Their first
     k by query are the first k of all. asked(query_id long, term, weight): score is the sum of weight * formula(count, norm).
+    once: a task gives equal keys once, with their best score, so of first k keys by their best scores over all tasks none is lost.
 
     Asked pairs are dealt by query into parts of about ASKED pairs, one search each; only one part is in the driver.
     """
@@ -228,7 +237,7 @@ def top_k(index: DataFrame, asked: DataFrame, keys: list[str], formula, k: int =
 
         def search(batches):
             names, term, query, weight, ids = shared.value
-            state = Search(names, term, query, weight, len(ids), len(keys), k, formula)
+            state = Search(names, term, query, weight, len(ids), len(keys), k, formula, once)
 
             def key(column):
                 values = column.values

@@ -84,13 +84,15 @@ def asked_bm25(blocked: DataFrame, asked: DataFrame, epsilon: float = 0.25) -> t
     return raw.join(small(asked), "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight")), avgdl or 1.0
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, blocked: DataFrame | None = None, keys: list[str] | None = None, key: str = "item_id") -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, blocked: DataFrame | None = None, keys: list[str] | None = None, key: str = "item_id", once: bool = False) -> DataFrame:
     """Okapi BM25 top k chunks(keys, content) per query(key, text); see bm25_scores(). Each task keeps its own first k by a block-max
-    index, which is built unless one is given."""
+    index, which is built unless one is given. once: keys repeat, and count once, by the best score of their chunks."""
     keys = KEYS if keys is None else keys
     blocked = block_index.blocks(chunks, keys) if blocked is None else blocked
     weighed, avgdl = asked_bm25(blocked, query_terms(queries, key))
-    scored = block_index.top_k(blocked, weighed, keys, block_index.bm25_weight(avgdl), k)
+    scored = block_index.top_k(blocked, weighed, keys, block_index.bm25_weight(avgdl), k, once)
+    if once:
+        scored = scored.groupBy("query_id", *keys).agg(F.max("score").alias("score"))
     return top(scored, ["query_id"], k, keys).withColumn("score", F.round("score", 6))
 
 

@@ -72,6 +72,22 @@ def test_odd_chunks_and_string_keys(spark):
     assert got == pytest.approx({(1, None): 0.75, (1, "d"): 2 / 3 + 0.5 / 3, (1, "e"): 0.75, (2, "f"): 2.0 / 4})
 
 
+def test_documents_by_their_best_chunk_without_every_score(spark):
+    rng = random.Random(3)
+    rows = [(i % 37, " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(rng.randint(0, 12)))) for i in range(500)]
+    chunks = spark.createDataFrame([(d, i, t) for i, (d, t) in enumerate(rows)], "doc_id long, chunk_index int, content string").repartition(6)
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "zeta"), (3, "nothing"), (4, "eta eta theta gamma")], "item_id long, text string")
+    every = retrieval.bm25_scores(retrieval.index(chunks), asked).groupBy("query_id", "doc_id").agg(F.round(F.max("score"), 6).alias("score"))
+    want = sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 5)) for r in retrieval.top(every, ["query_id"], 20, ["doc_id"]).collect())
+    blocked = block_index.blocks(chunks.select("doc_id", "content"), ["doc_id"], size=16)
+    got = retrieval.bm25(chunks, asked, 20, blocked, keys=["doc_id"], once=True)
+    assert sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 5)) for r in got.collect()) == want
+    weighed, mean = retrieval.asked_bm25(blocked, retrieval.query_terms(asked))
+    each = block_index.top_k(blocked, weighed, ["doc_id"], block_index.bm25_weight(mean), 5, once=True)
+    assert each.count() <= 5 * 4 * blocked.rdd.getNumPartitions()
+    assert each.groupBy("query_id", "doc_id", F.spark_partition_id()).count().where("count > 1").isEmpty()
+
+
 def test_blocks_below_the_kth_score_are_skipped():
     names = pa.array(["a", "b"])
     state = block_index.Search(names, np.array([0, 1]), np.array([0, 0]), np.array([1.0, 1.0]), 1, 1, 2, lambda tf, norm: tf / norm)
