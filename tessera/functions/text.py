@@ -62,12 +62,13 @@ def nfkc_like(text: Column) -> Column:
 
 
 def keywords(text: Column, k: int = 5) -> Column:
-    """The k most frequent words, ties by their first place."""
-    def counted(tokens: Column) -> Column:
-        each = F.transform(F.array_distinct(tokens), lambda w, i: F.struct((F.size(F.array_remove(tokens, w)) - F.size(tokens)).alias("less"), i.alias("at"), w.alias("word")))
-        return F.transform(F.slice(F.array_sort(each), 1, k), lambda x: x["word"])
+    """The k most frequent words, ties by their first place. Words are sorted once, each run of equal ones is a word."""
+    def counted(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | (F.get(s, i)["word"] != F.get(s, i - 1)["word"]))
+        each = lambda at: F.transform(F.slice(at, 1, F.size(at) - 1), lambda p, j: F.struct((p - F.get(at, j + 1)).alias("less"), F.get(s, p)["at"].alias("at"), F.get(s, p)["word"].alias("word")))
+        return F.transform(F.slice(F.array_sort(let(first, each)), 1, k), lambda x: x["word"])
 
-    return let(words(text), counted)
+    return let(F.array_sort(F.transform(words(text), lambda w, i: F.struct(w.alias("word"), i.alias("at")))), counted)
 
 
 def chars(text: Column) -> Column:

@@ -204,8 +204,16 @@ c AS (SELECT doc_id, w, count(*) AS n, min(pos) AS first FROM k GROUP BY doc_id,
 
 @query(f"WITH {KEYWORDS} SELECT doc_id, rank, w AS word FROM r WHERE rank <= 5")
 def keywords(spark, d):
-    """The words of whole texts, counted where they lie and shuffled once by document."""
-    tokens = _docs(spark, d).select("doc_id", F.posexplode(T.words(F.col("text"))).alias("at", "word"))
+    """The words of whole texts, counted inside the row. Documents of several rows, if there are any, are counted over all of them."""
+    docs = _docs(spark, d).select("doc_id", "text")
+    again = sources.stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    ranked = lambda rows: rows.select("doc_id", F.posexplode(T.keywords(F.col("text"))).alias("at", "word")).select("doc_id", (F.col("at") + 1).cast("long").alias("rank"), "word")
+    if again.isEmpty():
+        return ranked(docs)
+    many = again.select(F.col("doc_id").alias("id"))
+    repeated = F.col("doc_id").eqNullSafe(F.col("id"))
+    tokens = docs.join(many, repeated, "left_semi").select("doc_id", F.posexplode(T.words(F.col("text"))).alias("at", "word"))
     counted = tokens.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")
-    return counted.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("doc_id", F.col("rank").cast("long"), "word")
+    over = counted.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("doc_id", F.col("rank").cast("long"), "word")
+    return ranked(docs.join(many, repeated, "left_anti")).unionByName(over)

@@ -2,6 +2,7 @@
 
 import pytest
 
+from tessera import catalog
 from tessera.functions import tables
 
 TEXT = "第1條\n本法所稱著作，是指文學之創作。如有下列情形時，不在此限。\n\n第2條\n因此應向主管機關申請註冊。" * 12
@@ -24,3 +25,12 @@ def test_parameters_of_a_table_function(spark):
     tables.register(spark, "split_recursive", size=30, overlap=5)
     rows = spark.sql("SELECT t.content FROM split_recursive(TABLE(texts_to_split)) t").collect()
     assert len(rows) > 3 and max(len(r.content) for r in rows) <= 30
+
+
+def test_keywords_are_ranked_in_their_row_and_numerals_searched_once(spark, tmp_path):
+    rows = [(1, "bb aa bb cc cc aa dd ee ff ff ff"), (2, None), (3, ""), (4, "xx yy xx"), (4, "yy zz zz zz xx"), (None, "pp qq qq")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(((r.doc_id or 0, r["rank"], r.word) for r in catalog.QUERIES["keywords"](spark, str(tmp_path)).collect()))
+    assert got == [(0, 1, "qq"), (0, 2, "pp"), (1, 1, "ff"), (1, 2, "bb"), (1, 3, "aa"), (1, 4, "cc"), (1, 5, "dd"), (4, 1, "xx"), (4, 2, "zz"), (4, 3, "yy")]
+    plan = lambda name: catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan("keywords") and plan("cn_numeral").count("regexp_extract_all") == 1
