@@ -168,10 +168,15 @@ def recovered_spans(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     n = F.length("text")
 
     def step(a: Column, c: Column) -> Column:
-        ahead, anywhere = F.call_function("locate", c["content"], F.col("text"), a["at"] + 1) - 1, F.instr("text", c["content"]) - 1
-        at = F.when(ahead >= 0, ahead).when(anywhere >= 0, anywhere).otherwise(a["at"])
-        end = F.least(at + F.length(c["content"]), n)
-        return F.struct(F.greatest(end, at).alias("at"), F.concat(a["out"], F.array(F.struct(c["chunk_index"].cast("int").alias("chunk_index"), at.alias("start"), end.alias("end")))).alias("out"))
+        # each search is made once, and the one from the beginning only where the other finds nothing
+        anywhere = let(F.instr("text", c["content"]) - 1, lambda p: F.when(p >= 0, p).otherwise(a["at"]))
+        found = let(F.call_function("locate", c["content"], F.col("text"), a["at"] + 1) - 1, lambda p: F.when(p >= 0, p).otherwise(anywhere))
+
+        def told(at: Column) -> Column:
+            end = F.least(at + F.length(c["content"]), n)
+            return F.struct(F.greatest(end, at).alias("at"), F.concat(a["out"], F.array(F.struct(c["chunk_index"].cast("int").alias("chunk_index"), at.alias("start"), end.alias("end")))).alias("out"))
+
+        return let(found, told)
 
     return docs.join(listed, "doc_id").select("doc_id", F.inline(F.aggregate("chunks", start, step, lambda a: a["out"])))
 
