@@ -10,6 +10,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -163,10 +164,62 @@ def _first(rows: pa.Table, most: int) -> pa.Table:
     return rows.filter(pa.array(rank < most))
 
 
-def by_characters(items: DataFrame, spans: DataFrame, least: float = JACCARD) -> DataFrame:
-    """(query_id, span_id, score): Jaccard similarity of the characters of answer and span, if over `least`."""
-    left, right = stored(items.select(F.col("query_id").alias("lid"), characters(F.col("answer")).alias("tokens"))), spans.select(F.col("span_id").alias("rid"), characters(F.col("text")).alias("tokens"))
-    return similar_sets(left, right, least).select(F.col("lid").alias("query_id"), F.col("rid").alias("span_id"), F.round("score", 6).alias("score")).where(F.col("score") > least)
+def by_characters(items: DataFrame, spans: DataFrame, least: float = JACCARD, most: int | None = None) -> DataFrame:
+    """(query_id, span_id, score): Jaccard similarity of the characters of answer and span, if over `least`.
+
+    One pass over the spans, as in by_keywords(): the answers' characters travel, QUESTIONS answers at a time, and a text's distinct
+    ones are counted against all of them where it lies; see there for `most`.
+    """
+    spark, kind, key = spans.sparkSession, spans.schema["span_id"].dataType.simpleString(), items.schema["query_id"].dataType.simpleString()
+    asked = stored(items.select("query_id", F.explode(characters(F.col("answer"))).alias("token")))
+    blocks = max(1, -(-asked.select("query_id").distinct().count() // QUESTIONS))
+    texts = spans.select("span_id", characters(F.col("text")).alias("tokens"))
+
+    def one(b: int) -> DataFrame:
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow().combine_chunks()
+        given = (part.column("query_id").combine_chunks().dictionary_encode(), part.column("token").combine_chunks().dictionary_encode()) if len(part) else None
+        shared = spark.sparkContext.broadcast(given)
+
+        def run(batches):
+            if shared.value is None:
+                return
+            ids, tokens = shared.value
+            at, names = np.asarray(ids.indices, np.int64), ids.dictionary
+            weights = np.zeros((len(tokens.dictionary), len(names)), np.float32)
+            weights[np.asarray(tokens.indices), at] = 1
+            size = np.bincount(at, minlength=len(names))
+            kept = None
+            for batch in batches:
+                for start in range(0, batch.num_rows, 256):
+                    rows = batch.slice(start, 256)
+                    listed = rows.column(1)
+                    n = np.asarray(listed.value_lengths().fill_null(0), np.int64)
+                    code = pc.index_in(listed.flatten(), value_set=tokens.dictionary)
+                    held = np.asarray(code.is_valid())
+                    has = np.zeros((len(n), len(weights)), np.float32)
+                    has[np.repeat(np.arange(len(n)), n)[held], np.asarray(code.fill_null(0))[held]] = 1
+                    common = (has @ weights).astype(np.int64)
+                    whole = n[:, None] + size - common
+                    r, q = np.nonzero(common > whole * (least - 1e-6))
+                    got = pa.table([pa.array(q), rows.column(0).take(pa.array(r)), pa.array(np.round(common[r, q] / whole[r, q], 6)), pa.array(common[r, q]), pa.array(whole[r, q])], names=["q", "span_id", "hit", "common", "whole"])
+                    kept = got if kept is None else pa.concat_tables([kept, got])
+                    if kept.num_rows > 1 << 16:
+                        kept = kept if most is None else _first(kept, most)
+                        if kept.num_rows > 1 << 15:
+                            yield from give(kept, names)
+                            kept = None
+            if kept is not None:
+                yield from give(kept if most is None else _first(kept, most), names)
+
+        def give(rows, names):
+            yield from pa.table([names.take(rows.column("q").combine_chunks()), rows.column("span_id"), rows.column("common"), rows.column("whole")], names=["query_id", "span_id", "common", "whole"]).combine_chunks().to_batches()
+
+        return texts.mapInArrow(run, f"query_id {key}, span_id {kind}, common long, whole long")
+
+    found = one(0) if blocks == 1 else stored(one(0))
+    for b in range(1, blocks):
+        found = found.unionByName(stored(one(b)))
+    return found.select("query_id", "span_id", F.round(F.col("common") / F.col("whole"), 6).alias("score")).where(F.col("score") > least)
 
 
 def by_overlap(items: DataFrame, spans: DataFrame, least: float = OVERLAP) -> DataFrame:
@@ -225,7 +278,7 @@ def spans_of_questions(items: DataFrame, spans: DataFrame) -> DataFrame:
     done = stored(exact.unionByName(loose).distinct())
     texts = spans.where(F.coalesce("text", F.lit("")) != "").select("span_id", "text")
     open_ = stored(said.join(small(done.select("query_id").distinct()), "query_id", "left_anti"))
-    for name, step, most in (("keywords", partial(by_keywords, most=3), 3), ("characters", by_characters, 2), ("overlap", by_overlap, 2), ("sentences", by_sentences, 2), ("concepts", by_concepts, 2)):
+    for name, step, most in (("keywords", partial(by_keywords, most=3), 3), ("characters", partial(by_characters, most=2), 2), ("overlap", by_overlap, 2), ("sentences", by_sentences, 2), ("concepts", by_concepts, 2)):
         if open_.isEmpty():
             break
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "span_id")

@@ -395,7 +395,7 @@ def question_spans_keywords(spark, d):
 @query(f"""WITH {ITEMS}, a AS (SELECT query_id, list_distinct(regexp_extract_all(answer, '(?s).')) AS x FROM it), b AS (SELECT span_id, list_distinct(regexp_extract_all(text, '(?s).')) AS y FROM sp), m AS (SELECT query_id, span_id, len(x) AS n, len(y) AS k, len(list_intersect(x, y)) AS c FROM a, b),
 s AS (SELECT query_id, span_id, round(c::DOUBLE / (n + k - c), 6) AS score FROM m), {BEST.format('0.4', 2)}""")
 def question_spans_characters(spark, d):
-    return _best_spans(spark, d, question_spans_.by_characters, 2)
+    return _best_spans(spark, d, partial(question_spans_.by_characters, most=2), 2)
 
 
 @query()

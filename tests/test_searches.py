@@ -210,3 +210,18 @@ def test_keywords_in_spans_against_plain_python_without_rows_of_texts_and_words(
     assert best(rows(few)) == best(want) and few.count() < len(want)
     plan = few._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan
+
+
+def test_characters_of_spans_against_plain_python_in_one_pass(spark):
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choice("abcdefgh重é ") for _ in range(rng.randint(1, n)))
+    items, spans = [(i, make(9)) for i in range(40)] + [(40, None)], [(i, make(14)) for i in range(300)] + [(300, None)]
+    asked, texts = spark.createDataFrame(items, "query_id long, answer string"), spark.createDataFrame(spans, "span_id long, text string").repartition(5)
+    jaccard = lambda a, b: round(len({*a} & {*b}) / len({*a} | {*b}), 6)
+    want = {(i, s): jaccard(a, t) for i, a in items if a for s, t in spans if t and jaccard(a, t) > 0.4}
+    rows = lambda df: {(r.query_id, r.span_id): r.score for r in df.collect()}
+    assert rows(question_spans.by_characters(asked, texts)) == pytest.approx(want)
+    best = lambda found: {(i, s) for i in range(41) for s, _ in sorted(((s, x) for (j, s), x in found.items() if i == j), key=lambda r: (-r[1], r[0]))[:2]}
+    few = question_spans.by_characters(asked, texts, most=2)
+    assert best(rows(few)) == best(want) and few.count() < len(want)
+    assert "Join" not in few._jdf.queryExecution().executedPlan().toString()
