@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import any_of, number
 from ..functions.text import article as article_numbers
 from ..functions.text import cn_numeral, let, line_class
+from ..sources import stored
 from .set_join import small
 
 LEVELS = ("chapter", "section", "article", "paragraph", "subparagraph", "item")
@@ -310,7 +311,8 @@ def citation_search(nodes: DataFrame, citations: DataFrame) -> DataFrame:
     from ..functions.labels import level_info
 
     keys = {f"k_{k}": level_info(F.col(k), k)["key"] for k in level}
-    known = nodes.withColumns(keys).withColumn("plain", F.replace("law", F.lit(PREFIX), F.lit("")))
+    # stored: nodes are read and their labels parsed once, not for either join
+    known = stored(nodes.select("doc_id", "place", "kind", F.replace("law", F.lit(PREFIX), F.lit("")).alias("plain"), *[c.alias(k) for k, c in keys.items()]))
     asked = citations.select("query_id", cited(F.col("citation")).alias("c"))
     ok = F.lit(True)
     for k in level:

@@ -34,3 +34,8 @@ def test_keywords_are_ranked_in_their_row_and_numerals_searched_once(spark, tmp_
     assert got == [(0, 1, "qq"), (0, 2, "pp"), (1, 1, "ff"), (1, 2, "bb"), (1, 3, "aa"), (1, 4, "cc"), (1, 5, "dd"), (4, 1, "xx"), (4, 2, "zz"), (4, 3, "yy")]
     plan = lambda name: catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan("keywords") and plan("cn_numeral").count("regexp_extract_all") == 1
+
+
+def test_citations_read_the_statutes_once(spark):
+    plan = catalog.QUERIES["citation_query"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "rlike" not in plan.lower()
