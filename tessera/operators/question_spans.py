@@ -201,7 +201,7 @@ def by_characters(items: DataFrame, spans: DataFrame, least: float = JACCARD, mo
                     common = (has @ weights).astype(np.int64)
                     whole = n[:, None] + size - common
                     r, q = np.nonzero(common > whole * (least - 1e-6))
-                    got = pa.table([pa.array(q), rows.column(0).take(pa.array(r)), pa.array(np.round(common[r, q] / whole[r, q], 6)), pa.array(common[r, q]), pa.array(whole[r, q])], names=["q", "span_id", "hit", "common", "whole"])
+                    got = pa.table([pa.array(q), rows.column(0).take(pa.array(r)), pa.array(np.floor(common[r, q] * 1e6 / whole[r, q] + 0.5)), pa.array(common[r, q]), pa.array(whole[r, q])], names=["q", "span_id", "hit", "common", "whole"])
                     kept = got if kept is None else pa.concat_tables([kept, got])
                     if kept.num_rows > 1 << 16:
                         kept = kept if most is None else _first(kept, most)
