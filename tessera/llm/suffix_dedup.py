@@ -11,9 +11,10 @@ document and place. So suffixes that could be equal meet by gram, and a text cos
 3. Repeats become byte ranges of their documents and are cut out.
 
 A gram that very many rows share does not meet in one task. Its contexts are dealt by their own hash and a salt of the
-document; each task keeps the earliest of equal ones, and these meet again without the salt. The windows of what is then left,
-one of each context, go the same way. Which grams are hot is read off a table of counters over all rows; hot or not, the
-result is the same.
+document; each task keeps the earliest of equal ones, and these meet again without the salt. What is then left, one of each
+context, is cut into blocks of up to STEP windows, which meet by the bytes that all windows of a block share and are sorted as in 2;
+so a context travels about once, not once a window. Only the windows of blocks that very many rows share go out one by one,
+as contexts do. Which grams are hot is read off a table of counters over all rows; hot or not, the result is the same.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SORTED_AT_ONCE = 400_000
 #: Counters that grams are counted in by hash. Grams are hot where a counter holds more than HOT_ROWS rows and more than 8
 #: times the mean, so at most an eighth of the counters are hot.
 COUNTERS, HOT_ROWS = 1 << 20, 1024
+#: Windows of a block: those of a hot gram whose offsets to it agree but for the remainder by STEP.
+STEP = 8
 OPEN, DONE, HOT = 0, 1, 2
 
 
@@ -262,6 +265,7 @@ def _hot_counters(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 MET = "kind int, key long, c long, doc long, ord long, meta long, to long, ctx binary"
 COLUMNS = ["key", "part", "c", "doc", "ord", "meta", "ctx"]
+ROW = ["key", "c", "doc", "ord", "meta", "ctx"]
 
 
 def _salt(doc: np.ndarray, ord_: np.ndarray, salts: int) -> np.ndarray:
@@ -269,9 +273,40 @@ def _salt(doc: np.ndarray, ord_: np.ndarray, salts: int) -> np.ndarray:
     return ((doc * 0x9E3779B1 ^ ord_ * 0x85EBCA6B ^ doc >> 17) % salts + 1).astype(np.int32)
 
 
-def _meet(cols: dict, windows: bool = False) -> dict:
+def _blocks(ctx: np.ndarray, doc: np.ndarray, ord_: np.ndarray, start: np.ndarray, n: np.ndarray, offset: np.ndarray) -> dict:
+    """Contexts cut into OPEN rows of up to STEP windows, with the hash of the bytes that all STEP windows of such a block share as key:
+    equal windows have equal offsets to their gram, so they lie in blocks of one key."""
+    low = offset - n + 1  # offsets fall from window to window
+    parts = offset // STEP - low // STEP + 1
+    row = np.repeat(np.arange(len(n)), parts)
+    block = offset[row] // STEP - (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts))
+    top, bottom = np.minimum(offset[row], block * STEP + STEP - 1), np.maximum(low[row], block * STEP)
+    size = np.fromiter(map(len, ctx), np.int64, len(ctx))
+    data = np.frombuffer(b"".join(ctx), np.uint8)
+    prefix = prefix_hashes(data)
+    base = (np.cumsum(size) - size)[row]
+    first, count = base + offset[row] - top, top - bottom + 1
+    core = base + offset[row] - block * STEP
+    key = span_hashes(prefix, core, core + LENGTH - STEP + 1) ^ block.astype(np.uint64)
+    c = span_hashes(prefix, first, first + count - 1 + LENGTH) ^ top.astype(np.uint64) << np.uint64(8) ^ count.astype(np.uint64)
+    raw = [data[s:e].tobytes() for s, e in zip(first.tolist(), (first + count - 1 + LENGTH).tolist())]
+    return {"key": key.view(np.int64), "c": c.view(np.int64), "doc": doc[row], "ord": ord_[row], "meta": pack(start[row] + offset[row] - top, count, top, OPEN), "ctx": raw}
+
+
+def _windows(ctx: np.ndarray, doc: np.ndarray, ord_: np.ndarray, start: np.ndarray, n: np.ndarray) -> dict:
+    """Each window of the contexts as a HOT row of its own, named by the hash of its bytes."""
+    size = np.fromiter(map(len, ctx), np.int64, len(ctx))
+    data = np.frombuffer(b"".join(ctx), np.uint8)
+    row = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    pos = (np.cumsum(size) - size)[row] + step
+    h = span_hashes(prefix_hashes(data), pos, pos + LENGTH).view(np.int64)
+    return {"key": h, "c": h, "doc": doc[row], "ord": ord_[row], "meta": pack(start[row] + step, 1, 0, HOT), "ctx": [data[p : p + LENGTH].tobytes() for p in pos.tolist()]}
+
+
+def _meet(cols: dict, blocks: bool = False) -> dict:
     """What rows that share key and part tell of one another, as MET: ranges that repeat something earlier (kind 0), and rows
-    that must be compared again (kind 1): those of salted parts, or, if asked, the windows of all rows that are no repeats."""
+    that must be compared again (kind 1): those of salted parts, or, if asked, the blocks of all rows that are no repeats."""
     starts, sizes = cols["starts"], cols["sizes"]
     c, doc, ord_, meta, ctx = (cols[k] for k in ("c", "doc", "ord", "meta", "ctx"))
     start, n, offset = unpack(meta)
@@ -283,20 +318,12 @@ def _meet(cols: dict, windows: bool = False) -> dict:
     found = [(doc[later], ord_[later], start[later], (start + n + LENGTH - 1)[later])]
     again = {k: [] for k in ("key", "c", "doc", "ord", "meta", "ctx")}
     salted = cols["part"] > 0
-    if windows or salted.any():
-        at = np.flatnonzero(left if windows else left & salted)
-        if windows:
-            size = np.fromiter(map(len, ctx[at]), np.int64, len(at))
-            data = np.frombuffer(b"".join(ctx[at]), np.uint8)
-            row = np.repeat(np.arange(len(at)), n[at])
-            step = np.arange(len(row)) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
-            pos = (np.cumsum(size) - size)[row] + step
-            h = span_hashes(prefix_hashes(data), pos, pos + LENGTH).view(np.int64)
-            raw = [data[p : p + LENGTH].tobytes() for p in pos.tolist()]
-            again = {"key": h, "c": h, "doc": doc[at][row], "ord": ord_[at][row], "meta": pack(start[at][row] + step, 1, 0, HOT), "ctx": raw}
-        else:
-            again = {"key": cols["key"][at], "c": c[at], "doc": doc[at], "ord": ord_[at], "meta": meta[at], "ctx": ctx[at].tolist()}
-    if not windows:  # suffix sort of the runs with several rows left
+    if blocks:
+        again = _blocks(ctx[left], doc[left], ord_[left], start[left], n[left], offset[left])
+    elif salted.any():
+        at = np.flatnonzero(left & salted)
+        again = {"key": cols["key"][at], "c": c[at], "doc": doc[at], "ord": ord_[at], "meta": meta[at], "ctx": ctx[at].tolist()}
+    if not blocks:  # suffix sort of the runs with several rows left
         alive = left & ~salted
         count = np.add.reduceat(alive, starts) if len(starts) else np.zeros(0, np.int64)
         rows = np.flatnonzero(alive & (count > 1)[run])
@@ -359,19 +386,31 @@ def repeats(texts: DataFrame) -> DataFrame:
 
     cut = arrow_map(texts.select("doc", "ord", "text").join(wanted, ["doc", "ord"]).select("doc", "ord", "text", "rows"), contexts, "key long, part int, c long, doc long, ord long, meta long, ctx binary")
 
-    def met(df: DataFrame, windows: bool = False) -> DataFrame:
+    def met(df: DataFrame, blocks: bool = False) -> DataFrame:
         """The rows that are left to compare; the ranges go to found."""
-        got = stored(in_runs(df, lambda cols: _meet(cols, windows), MET, COLUMNS))
+        got = stored(in_runs(df, lambda cols: _meet(cols, blocks), MET, COLUMNS))
         found.append(got.where("kind = 0").select("doc", "ord", begin.alias("from"), "to"))
-        return got.where("kind = 1").select("key", "c", "doc", "ord", "meta", "ctx")
+        return got.where("kind = 1").select(*ROW)
+
+    def windows(batch):
+        doc, ord_, meta = (batch.column(i).to_numpy() for i in (2, 3, 4))
+        start, n, _ = unpack(meta)
+        return _windows(np.array(batch.column(5).to_pylist(), object), doc, ord_, start, n)
 
     left = met(cut)
     if len(hot):
         whole = F.lit(0)
         salted = (F.pmod(F.xxhash64("doc", "ord"), F.lit(salts)) + 1).cast("int")
-        left = met(left.withColumn("part", whole), windows=True)
-        left = met(left.withColumn("part", salted))
-        met(left.withColumn("part", whole))
+        parts = met(left.withColumn("part", whole), blocks=True)
+        common = stored(parts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS))  # at most a key for HOT_ROWS rows
+        if common.isEmpty():
+            met(parts.withColumn("part", whole))
+        else:
+            common = F.broadcast(common.select("key"))
+            met(parts.join(common, "key", "left_anti").withColumn("part", whole))
+            each = arrow_map(parts.join(common, "key", "left_semi").select(*ROW), windows, "key long, c long, doc long, ord long, meta long, ctx binary")
+            left = met(each.withColumn("part", salted))
+            met(left.withColumn("part", whole))
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionByName(more)

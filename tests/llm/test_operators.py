@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -529,6 +530,30 @@ def test_suffix_dedup_against_all_windows(spark):
     assert suffix_dedup.cut_repeats(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_cuts_hot_contexts_into_few_rows():
+    rng = np.random.default_rng(5)
+    gram = rng.integers(97, 123, 24).astype(np.uint8).tobytes()
+    far = suffix_dedup.LENGTH - suffix_dedup.GRAM
+    ctx = [rng.integers(97, 123, far).astype(np.uint8).tobytes() + gram + rng.integers(97, 123, far).astype(np.uint8).tobytes() for _ in range(50)]
+    ctx[9] = ctx[9][:50] + ctx[3][50:150] + ctx[9][150:]
+    n = np.full(50, suffix_dedup.GRAMS)
+    meta = suffix_dedup.pack(np.zeros(50, np.int64), n, np.full(50, far), suffix_dedup.HOT)
+    cols = {"key": np.arange(50), "part": np.zeros(50, np.int32), "c": np.arange(50), "doc": np.arange(50), "ord": np.zeros(50, np.int64), "meta": meta, "ctx": np.array(ctx, object)}
+    got = suffix_dedup._meet(cols | {"starts": np.arange(50), "sizes": np.ones(50, np.int64)}, True)
+    again = np.flatnonzero(got["kind"] == 1)
+    assert len(again) <= 50 * (suffix_dedup.GRAMS // 8 + 2)
+    # each window lies in one row, and rows that hold equal windows share a key
+    start, size, offset = suffix_dedup.unpack(got["meta"][again])
+    assert np.bincount(got["doc"][again], size).tolist() == n.tolist()
+    assert (start + offset == far).all()
+    held = {}
+    for k, d, s, m, raw in zip(got["key"][again], got["doc"][again], start, size, got["ctx"].take(pa.array(again)).to_pylist()):
+        for i in range(m):
+            assert raw[i : i + suffix_dedup.LENGTH] == ctx[d][s + i : s + i + suffix_dedup.LENGTH]
+            held.setdefault((s + i, raw[i : i + suffix_dedup.LENGTH]), set()).add(k)
+    assert all(len(keys) == 1 for keys in held.values()) and len(held) < n.sum()
+
+
 @pytest.mark.parametrize(("counters", "hot"), [(1 << 20, 1024), (16, 3), (16, 40)])
 def test_suffix_dedup_of_hot_grams_repeated_keys_and_long_texts(spark, monkeypatch, counters, hot):
     rng = np.random.default_rng(16)
