@@ -1,9 +1,9 @@
 """Cross-tokenizer alignment: two tokenisations of one text, cut into groups where both have a token border.
 
-Python only tokenises: it gives the ids of both tokenizers and the byte offsets at which their tokens end. All else are array
-expressions of one row. The common borders are array_intersect of the two end arrays. A tokenizer's tokens and the borders,
-packed as numbers, are merged by one sort of two sorted runs, so groups come out in linear time, however long a text is. What ends
-together is linked; how many links hold a pair of ids is counted over the corpus.
+Texts are tokenised in Arrow batches, which gives the ids of both tokenizers and the byte offsets at which their tokens end. The common
+borders are the bytes that both sides mark as an end; what stands before a token of a group is told by sums, so groups come out
+in linear time, however long a text is, for many texts at once. What ends together is linked; how many links hold a pair of
+ids is counted over the corpus.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_hot, shared, stored, table
@@ -29,9 +29,8 @@ LONG_BLANK = re.compile(r"\s{1000}")
 PIECE = 1 << 20
 #: Rows of a table of pairs (two numbers each) that may be broadcast, about 60 MB.
 PAIRS = 1_000_000
-#: Bits of an id; more than any vocabulary needs.
-ID_BITS = 24
-MARK = 1 << ID_BITS
+#: What follows an id in the text of a group: another id of its side, the other side, or nothing.
+MARKS = (",", "|", "")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -143,31 +142,64 @@ def tokenised(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, key
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>")
 
 
-def _marked(ids: str, ends: str) -> Column:
-    """The ids of one side with MARK after each that ends at a border: tokens and borders as one number each of end, border bit
-    and id, merged by a sort of two runs that are sorted already."""
-    pack = lambda e, low: F.shiftleft(e.cast("long"), ID_BITS + 1).bitwiseOR(low)
-    tokens, borders = F.zip_with(ends, ids, lambda e, i: pack(e, i.cast("long"))), F.transform("cuts", lambda c: pack(c, F.lit(MARK)))
-    return F.transform(F.sort_array(F.concat(tokens, borders)), lambda x: x.bitwiseAND(F.lit(2 * MARK - 1)))
-
+def _written(ids: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, sizes): the ids in decimal, each with its mark of MARKS behind it, one after the other, and the bytes that each takes."""
+    known, at = np.unique(ids, return_inverse=True)
+    told = [f"{i}{m}".encode() for i in known.tolist() for m in MARKS]
+    wide, size = max(map(len, told), default=1), np.array([len(t) for t in told], np.int64)
+    table = np.frombuffer(b"".join(t.ljust(wide) for t in told), np.uint8).reshape(-1, wide)
+    code = at.ravel() * len(MARKS) + after
+    sizes = size[code]
+    return table[code][np.arange(wide) < sizes[:, None]], sizes
+
+
+def _groups(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """(groups, links, last): of tokens whose ends rise, all texts of a piece on one line; last tells the a tokens that end a group."""
+    seen = np.zeros(int(max(a_ends.max(initial=0), b_ends.max(initial=0))) + 1, np.uint8)
+    seen[a_ends] = 1
+    seen[b_ends] |= 2
+    last_a, last_b = seen[a_ends] == 3, seen[b_ends] == 3
+    at_a, at_b = np.flatnonzero(last_a), np.flatnonzero(last_b)
+    # the a tokens of a group stand after the b tokens of the groups before it, its b tokens after its a tokens
+    place_a = np.arange(len(a)) + np.r_[0, at_b + 1][np.cumsum(last_a) - last_a]
+    place_b = np.arange(len(b)) + np.r_[at_a + 1, len(a)][np.cumsum(last_b) - last_b]
+    ids, after = np.zeros(len(a) + len(b), np.int32), np.zeros(len(a) + len(b), np.int64)
+    ids[place_a], ids[place_b] = a, b
+    after[place_a[at_a]], after[place_b[at_b]] = 1, 2
+    data, sizes = _written(ids, after)
+    cut = np.r_[0, np.cumsum(sizes)[place_b[at_b]]].astype(np.int32)
+    groups = pa.StringArray.from_buffers(len(at_b), pa.py_buffer(cut), pa.py_buffer(data))
+    return groups, pa.array(a[at_a].astype(np.int64) << 32 | b[at_b]), last_a
+
+
+def aligned(tokens: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """tokens with `groups`, array<string> of the groups as `a1,a2|b1`, and `links`, array<long> of a * 2^32 + b of the tokens that
+    end together, one a group, as each border ends one token of either side. No tokens: none.
 
-def _parts(marked: str) -> Column:
-    """The ids between two marks, joined by commas."""
-    mark = f",{MARK}"
-    parted = F.replace(F.array_join(F.col(marked).cast("array<string>"), ","), F.lit(f"{mark},"), F.lit(";"))
-    return F.split(F.left(parted, F.length(parted) - len(mark)), ";")
+    Rows are worked on where they lie, about PIECE tokens at once. keep: the columns of tokens that are given back, else all.
+    """
+    keep = tokens.columns if keep is None else keep
+    sides = ["a", "a_ends", "b", "b_ends"]
 
+    def run(batches):
+        for batch in batches:
+            size = {c: pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy().astype(np.int64) for c in ("a", "b")}
+            load = np.cumsum(size["a"] + size["b"])
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(load, (load[i - 1] if i else 0) + PIECE, "right")))
+                part = batch.slice(i, j - i)
+                a, a_ends, b, b_ends = (part.column(c).flatten().to_numpy() for c in sides)
+                at_a, at_b = (np.r_[0, np.cumsum(size[c][i:j])] for c in ("a", "b"))
+                full = lambda ends, at: np.where(at[1:] > at[:-1], ends[at[1:] - 1] if len(ends) else 0, 0)
+                base = np.r_[0, np.cumsum(np.maximum(full(a_ends, at_a), full(b_ends, at_b)) + 1)][:-1]
+                groups, links, last = _groups(a, a_ends + np.repeat(base, np.diff(at_a)), b, b_ends + np.repeat(base, np.diff(at_b)))
+                rows = pa.array(np.r_[0, np.cumsum(last)][at_a].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.ListArray.from_arrays(rows, groups), pa.ListArray.from_arrays(rows, links)], names=[*keep, "groups", "links"])
+                i = j
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """tokens with `groups`, array<string> of the groups as `a1,a2|b1`, and `links`, array<long> of a * 2^32 + b of the tokens that
-    end together, one a group, as each border ends one token of either side. No tokens: none."""
-    some = F.size("a") > 0
-    cut = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    sided = cut.select(*tokens.columns, _marked("a", "a_ends").alias("_a"), _marked("b", "b_ends").alias("_b"))
-    last = lambda c: F.filter(c, lambda x, i: F.get(F.col(c), i + 1) == MARK)
-    links = F.zip_with(last("_a"), last("_b"), lambda x, y: F.shiftleft(x, 32).bitwiseOR(y))
-    groups = F.zip_with(_parts("_a"), _parts("_b"), lambda x, y: F.concat(x, F.lit("|"), y))
-    return sided.select(*tokens.columns, F.when(some, groups).otherwise(F.array().cast("array<string>")).alias("groups"), F.when(some, links).otherwise(F.array().cast("array<bigint>")).alias("links"))
+    kinds = dict(tokens.dtypes)
+    return tokens.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "groups array<string>, links array<bigint>"]))
 
 
 def pair_counts(rows: DataFrame, links: str = "links") -> DataFrame:
@@ -195,10 +227,11 @@ def op12(spark: SparkSession, sf_dir: str, folder: str = FOLDER) -> DataFrame:
     """Per document its tokens of both sides, groups and links, and how its links stand in the corpus; see aligned() and scored().
     Repeated doc_ids are documents of their own: rows are told apart by a number of the stored table."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = aligned(tokenised(docs, encoder(f"{folder}/{BYTE_BPE}"), encoder(f"{folder}/{PIECE_BPE}")))
-    digest = F.when(F.size("groups") > 0, F.sha2(F.array_join("groups", ";").cast("binary"), 256)).otherwise("")
     n = lambda c: F.size(c).cast("long")
-    rows = found.select("doc_id", n("a").alias("n_a"), n("b").alias("n_b"), n("groups").alias("n_groups"), n("links").alias("n_links"), digest.alias("groups_sha256"), "links")
+    tokens = tokenised(docs, encoder(f"{folder}/{BYTE_BPE}"), encoder(f"{folder}/{PIECE_BPE}"))
+    found = aligned(tokens.withColumns({"n_a": n("a"), "n_b": n("b")}), ["doc_id", "n_a", "n_b"])
+    digest = F.when(F.size("groups") > 0, F.sha2(F.array_join("groups", ";").cast("binary"), 256)).otherwise("")
+    rows = found.select("doc_id", "n_a", "n_b", n("groups").alias("n_groups"), n("links").alias("n_links"), digest.alias("groups_sha256"), "links")
     rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return rows.drop("links").join(scored(rows, "_row"), "_row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")

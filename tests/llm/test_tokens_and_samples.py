@@ -172,6 +172,15 @@ def test_pairs_that_cannot_travel_meet_by_shuffle(spark, tools, odd, monkeypatch
     assert sorted(map(tuple, align_tokens.scored(rows, "doc_id").collect())) == first
 
 
+def test_groups_of_a_batch_are_put_together_at_once(spark):
+    rows = [(1, [5, 70, 8], [2, 3, 6], [9, 11], [3, 6]), (2, [], [], [], []), (3, [4], [7], [1, 2, 3], [1, 2, 7]), (4, [123456], [1], [0], [1])]
+    tokens = spark.createDataFrame(rows, "doc_id long, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>")
+    got = {r.doc_id: (r.groups, r.links) for r in align_tokens.aligned(tokens, ["doc_id"]).collect()}
+    link = lambda a, b: a << 32 | b
+    assert got == {1: (["5,70|9", "8|11"], [link(70, 9), link(8, 11)]), 2: ([], []), 3: (["4|1,2,3"], [link(4, 3)]), 4: (["123456|0"], [link(123456, 0)])}
+    assert align_tokens.aligned(tokens).columns == [*tokens.columns, "groups", "links"]
+
+
 def test_both_libraries_give_the_same_byte_tokens(tools):
     e = align_tokens.encoder(f"{align_tokens.FOLDER}/{align_tokens.BYTE_BPE}")
     e.build()
