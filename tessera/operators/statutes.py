@@ -189,33 +189,35 @@ def tree_nodes(documents: DataFrame) -> DataFrame:
     for each law, chapter, section, article and part below it, in the order of place (array of positions).
 
     Older names (items, sub_items) are read where the newer ones (paragraphs, subparagraphs) are missing or empty; several
-    documents, each with several laws, are one table, which is all that merging them takes.
+    documents, each with several laws, are one table, which is all that merging them takes. A document is walked once, inside its
+    row: its nodes are one array, which is then exploded.
     """
-    def level(df: DataFrame, array, kind: str, title, *more) -> DataFrame:
-        return df.select("*", F.posexplode_outer(array).alias(f"_{kind}_at", f"_{kind}")).where(F.col(f"_{kind}").isNotNull())
-
-    own = lambda new, old: F.when(F.size(new) > 0, new).otherwise(old)
-    laws = documents.select("doc_id", F.posexplode("laws").alias("_law_at", "_law"))
-    chapters = laws.select("*", F.posexplode("_law.chapters").alias("_chapter_at", "_chapter"))
-    sections = chapters.select("*", F.posexplode("_chapter.sections").alias("_section_at", "_section"))
-    articles = sections.select("*", F.posexplode("_section.articles").alias("_article_at", "_article"))
     part = lambda title: lambda x: F.struct(F.coalesce(*[x[t] for t in title]).alias("title"), x["content"].alias("content"), x["metadata"]["id"].alias("id"))
-    items = lambda xs: F.transform(F.coalesce(xs, F.array()), part(["item"]))
-    new = F.transform("_article.paragraphs", lambda p: F.struct(part(["paragraph"])(p).alias("self"), F.transform(F.coalesce(p["subparagraphs"], F.array()), lambda q: F.struct(part(["subparagraph"])(q).alias("self"), F.transform(F.coalesce(q["items"], F.array()), part(["item"])).alias("below"))).alias("below")))
-    old = F.transform("_article.items", lambda p: F.struct(part(["item"])(p).alias("self"), F.transform(F.coalesce(p["sub_items"], F.array()), lambda q: F.struct(part(["sub_item"])(q).alias("self"), F.transform(F.coalesce(q["items"], F.array()), part(["item"])).alias("below"))).alias("below")))
-    paragraphs = articles.select("*", F.posexplode(F.when(F.size("_article.paragraphs") > 0, new).otherwise(old)).alias("_paragraph_at", "_paragraph"))
-    subs = paragraphs.select("*", F.posexplode("_paragraph.below").alias("_subparagraph_at", "_subparagraph"))
-    deep = subs.select("*", F.posexplode("_subparagraph.below").alias("_item_at", "_item"))
-    empty = F.lit(None).cast("string")
-    names = {"law": "_law.law_name", "chapter": "_chapter.chapter", "section": "_section.section", "article": "_article.article", "paragraph": "_paragraph.self.title", "subparagraph": "_subparagraph.self.title", "item": "_item.title"}
-    texts = {"article": ("_article.content", "_article.metadata.id"), "paragraph": ("_paragraph.self.content", "_paragraph.self.id"), "subparagraph": ("_subparagraph.self.content", "_subparagraph.self.id"), "item": ("_item.content", "_item.id")}
-    out, kinds = None, list(names)
-    for i, (kind, df) in enumerate(zip(kinds, (laws, chapters, sections, articles, paragraphs, subs, deep))):
-        content, id_ = (F.col(c) for c in texts[kind]) if kind in texts else (empty, empty)
-        labels = [F.col(names[k]).alias(k) if j <= i else empty.alias(k) for j, k in enumerate(kinds)]
-        rows = df.select("doc_id", *labels, F.lit(kind).alias("kind"), F.array(*[F.col(f"_{k}_at") for k in kinds[: i + 1]]).alias("place"), F.col(names[kind]).alias("title"), F.coalesce(content, F.lit("")).alias("content"), id_.alias("id"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    inner = lambda q, name: F.struct(part([name])(q).alias("self"), F.transform(F.coalesce(q["items"], F.array()), part(["item"])).alias("below"))
+    outer = lambda p, name, subs, sub: F.struct(part([name])(p).alias("self"), F.transform(F.coalesce(p[subs], F.array()), lambda q: inner(q, sub)).alias("below"))
+    new = lambda article: F.transform(article["paragraphs"], lambda p: outer(p, "paragraph", "subparagraphs", "subparagraph"))
+    old = lambda article: F.transform(article["items"], lambda p: outer(p, "item", "sub_items", "sub_item"))
+    empty, kinds = F.lit(None).cast("string"), ("law", *LEVELS)
+    #: Of each kind: its title, content, id, and what lies below it.
+    told = {
+        "law": lambda x: (x["law_name"], empty, empty, x["chapters"]), "chapter": lambda x: (x["chapter"], empty, empty, x["sections"]), "section": lambda x: (x["section"], empty, empty, x["articles"]),
+        "article": lambda x: (x["article"], x["content"], x["metadata"]["id"], F.when(F.size(x["paragraphs"]) > 0, new(x)).otherwise(old(x))),
+        "paragraph": lambda x: (x["self"]["title"], x["self"]["content"], x["self"]["id"], x["below"]), "subparagraph": lambda x: (x["self"]["title"], x["self"]["content"], x["self"]["id"], x["below"]), "item": lambda x: (x["title"], x["content"], x["id"], None),
+    }
+
+    def walk(xs: Column, names: tuple = (), at: tuple = ()) -> Column:
+        kind = kinds[len(names)]
+
+        def one(x: Column, i: Column) -> Column:
+            title, content, id_, below = told[kind](x)
+            mine, place = (*names, title), (*at, i)
+            labels = [(mine[j] if j < len(mine) else empty).alias(k) for j, k in enumerate(kinds)]
+            node = F.array(F.struct(*labels, F.lit(kind).alias("kind"), F.array(*place).alias("place"), title.alias("title"), F.coalesce(content, F.lit("")).alias("content"), id_.alias("id")))
+            return node if below is None else F.concat(node, F.coalesce(walk(below, mine, place), F.slice(node, 1, 0)))
+
+        return F.flatten(F.transform(xs, one))
+
+    return documents.select("doc_id", F.inline(walk(F.col("laws"))))
 
 
 def tree_text(nodes: DataFrame, glue: str = "\n\n") -> DataFrame:
@@ -262,9 +264,10 @@ def unit_chunks(nodes: DataFrame, unit: str = "article", context: bool = True) -
     all below it, a line each. Repealed articles are left out with all below them, unclassified titles too.
     """
     depth = {"law": 1, "chapter": 2, "section": 3, "article": 4, "paragraph": 5, "subparagraph": 6, "item": 7}[unit]
-    rows = relabelled(nodes)
-    gone = rows.where((F.col("kind") == "article") & F.trim("content").isin(*REPEALED)).select("doc_id", F.col("place").alias("_at"))
-    rows = rows.withColumn("_at", F.slice("place", 1, 4)).join(gone, ["doc_id", "_at"], "left_anti").where(F.size("place") >= depth)
+    # dealt by document once: the window, the groups and the order all lie inside one
+    rows = relabelled(nodes).repartition("doc_id").withColumn("_at", F.slice("place", 1, 4))
+    repealed = F.max((F.col("kind") == "article") & F.trim("content").isin(*REPEALED)).over(Window.partitionBy("doc_id", "_at"))
+    rows = rows.withColumn("_gone", repealed).where(~F.col("_gone") & (F.size("place") >= depth))
     titled = F.when(F.coalesce("title", F.lit("")).isin("", *UNSORTED), None).otherwise(F.col("title"))
     said = F.filter(F.array(F.when(F.col("kind") != "law", titled), F.when(F.trim("content") != "", F.col("content"))), lambda s: s.isNotNull())
     pieces = rows.select("doc_id", F.slice("place", 1, depth).alias("unit"), "place", said.alias("said"), "law", *[F.when(F.col(k).isin(*UNSORTED), None).otherwise(F.col(k)).alias(k) for k in LEVELS])

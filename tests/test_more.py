@@ -315,6 +315,28 @@ def test_json_statutes_and_stores(spark, tmp_path):
     assert [(r["filename"], r["text"]) for r in sources.text_documents(spark, str(tmp_path / "t")).collect()] == [("x.txt", "text")]
 
 
+def test_statutes_are_walked_once_and_dealt_once(spark):
+    part = {"paragraph": "1", "content": "項", "subparagraphs": [{"subparagraph": "甲", "content": "款", "items": [{"item": "x", "content": "目"}]}]}
+    articles = [{"article": "第1條", "content": "一", "paragraphs": [part]}, {"article": "第2條", "content": "（刪除）", "items": [{"item": "1", "content": "舊項", "sub_items": [{"sub_item": "乙", "content": "舊款"}]}]}, {"article": "第3條", "content": "三", "items": [{"item": "2", "content": "尾"}]}]
+    laws = [{"law_name": "甲法", "chapters": [{"chapter": "第一章", "sections": [{"section": "未分類節", "articles": articles}]}, {"chapter": "第二章"}]}, {"law_name": "乙法"}]
+    rows = [(1, json.dumps({"laws": laws})), (2, json.dumps({"laws": []})), (3, None)]
+    nodes = statutes.tree_nodes(sources.json_statutes(spark.createDataFrame(rows, "doc_id long, json string")))
+    got = {tuple(r["place"]): (r["kind"], r["article"], r["title"], r["content"]) for r in nodes.collect()}
+    assert len(got) == nodes.count() == 14
+    assert got[0, 0, 0, 0, 0, 0, 0] == ("item", "第1條", "x", "目") and got[0, 0, 0, 1, 0, 0] == ("subparagraph", "第2條", "乙", "舊款") and got[1,] == ("law", None, "乙法", "") and got[0, 1] == ("chapter", None, "第二章", "")
+    units = statutes.unit_chunks(nodes, "law")
+    assert [r["content"] for r in units.orderBy("chunk_index").collect()] == ["【甲法】\n第一章\n第1條\n一\n1\n項\n一\n款\n(一)\n目\n第3條\n三\n2\n尾\n第二章", "【乙法】"]
+    plan = units._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1 and "Join" not in plan and "Union" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_matches_do_not_depend_on_how_much_a_task_takes_apart_at_once(spark, monkeypatch):
+    docs = spark.createDataFrame([*DOCS, (99, None), (98, "")], "doc_id long, content string").coalesce(1)
+    want = sorted(map(str, graph.occurrences(docs).collect()))
+    monkeypatch.setattr(graph, "PIECE", 1)
+    assert sorted(map(str, graph.occurrences(docs).collect())) == want and want
+
+
 def test_citations_in_words(spark):
     texts = ["著作權法第十條之一第2項第三款", "第3條-2", "民法", "第一章第二節", "", "第 5 條 第（一）目"]
     got = [r["c"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(statutes.cited(F.col("t")).alias("c")).collect()]
