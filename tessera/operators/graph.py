@@ -18,6 +18,8 @@ NEAR, ABOUT = 300, 200
 GRAM = 4
 #: Slices that a concept's occurrences are ranked in.
 SLICES = 64
+#: Bytes of text that a task takes apart before it gives out what it found there.
+PIECE = 1 << 20
 
 
 def walker(pattern: str):
@@ -50,7 +52,8 @@ def occurrences(docs: DataFrame, concepts: tuple = V.GRAPH_CONCEPTS, relations:
     """(doc_id, is_relation, name, kind, importance, template, pattern, at, said, around) of docs(doc_id, content): matches of concept
     templates and of relation patterns, which may span lines, with the text around them.
 
-    Where a match stands no built-in function tells, so texts are walked in Arrow batches where they lie; nothing is shuffled.
+    Where a match stands no built-in function tells, so texts are walked in Arrow batches where they lie, about PIECE bytes at once;
+    nothing is shuffled.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -61,16 +64,23 @@ def occurrences(docs: DataFrame, concepts: tuple = V.GRAPH_CONCEPTS, relations:
     ready += [(True, name, "", 0.0, i, j, p) for i, (name, ps) in enumerate(relations) for j, p in enumerate(ps)]
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         walks = [(*told, walker(p)) for *told, p in ready]
         for batch in batches:
-            rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for rel, name, what, weight, i, j, walk in walks if text else ():
-                    width = NEAR if rel else ABOUT
-                    rows += [(key, rel, name, what, weight, i, j, s, text[s:e].strip(), text[max(0, s - width) : e + width]) for s, e in walk(text)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(out), out)], schema=out)
+            load = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(load, (load[i - 1] if i else 0) + PIECE, "right")))
+                piece, rows = batch.slice(i, j - i), []
+                for key, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+                    for rel, name, what, weight, t, n, walk in walks if text else ():
+                        width = NEAR if rel else ABOUT
+                        rows += [(key, rel, name, what, weight, t, n, s, text[s:e].strip(), text[max(0, s - width) : e + width]) for s, e in walk(text)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(out), out)], schema=out)
+                i = j
 
     return docs.select("doc_id", "content").mapInArrow(run, schema)
 
