@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import let
 
 #: Windows that are cut from one piece of a text.
-RUN = 32
+RUN = 8
 
 
 def windows(last: Column, step: Column, size: Column) -> Column:
@@ -26,7 +26,9 @@ def windows(last: Column, step: Column, size: Column) -> Column:
 
 def _spread(docs: DataFrame, last: Column, step: int, size: int) -> DataFrame:
     kept = docs.where(F.length("text") > 0).select("doc_id", F.length("text").alias("n"), F.filter(windows(last, F.lit(step), F.lit(size)), lambda w: F.trim(w["content"]) != "").alias("parts"))
-    return kept.select("doc_id", "n", F.posexplode("parts").alias("chunk_index", "p")).select("doc_id", "chunk_index", "p.content", "p.start", F.least(F.col("p.start") + size, F.col("n")).alias("end"))
+    # of an inner explode the optimizer asks beforehand whether the array is null or empty, and cuts all windows for each answer
+    each = kept.select("doc_id", "n", F.posexplode_outer("parts").alias("chunk_index", "p")).where("p IS NOT NULL")
+    return each.select("doc_id", "chunk_index", "p.content", "p.start", F.least(F.col("p.start") + size, F.col("n")).alias("end"))
 
 
 def fixed_ratio(docs: DataFrame, size: int = 500, ratio: float = 0.1) -> DataFrame:

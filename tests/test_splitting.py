@@ -104,3 +104,11 @@ def test_expansion_of_nulls_and_empty_names(spark):
     relations = spark.createDataFrame([], "order int, source string, target string, confidence double")
     got = {r["query_id"]: (r["expanded"], r["boost"]) for r in learning.expand(queries, concepts, relations).collect()}
     assert got == {1: ("", 0.0), 2: ("", 0.0), 3: ("Tax law LAW w", 0.1)}
+
+
+def test_windows_are_cut_once_a_text(spark):
+    docs = spark.createDataFrame([(1, "abcdefg"), (2, ""), (3, None), (4, "   ")], "doc_id long, text string")
+    got = chunking.fixed_ratio(docs, 3, 0.4)
+    assert sorted((r["doc_id"], r["chunk_index"], r["content"]) for r in got.collect()) == [(1, 0, "abc"), (1, 1, "cde"), (1, 2, "efg"), (1, 3, "g")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("substr") == 2  # of a piece and of its windows; more: the array is made anew for a filter
