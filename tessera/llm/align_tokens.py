@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,6 @@ class ByteLevel:
 
     def build(self) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
         told, alphabet = json.loads(self.raw), byte_alphabet()
         vocabulary, merges = told["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in told["model"]["merges"]]
@@ -59,8 +59,6 @@ class ByteLevel:
         for entry, i in vocabulary.items():
             self.bytes[i] = bytes(alphabet[c] for c in entry) if all(c in alphabet for c in entry) else entry.encode()
         made = [vocabulary[a + b] for a, b in merges]
-        self.slow = Tokenizer.from_str(self.raw.decode())
-        self.slow.encode_special_tokens = True
         plain = told.get("normalizer") is None and (told.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
         special = {x["id"] for x in told.get("added_tokens", [])}
         self.fast = False
@@ -68,6 +66,15 @@ class ByteLevel:
             self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={b: i for i, b in enumerate(self.bytes) if i not in special}, special_tokens={})
         self.sizes = np.array([len(b) for b in self.bytes], np.int32)
 
+    @cached_property
+    def slow(self):
+        """The library that runs any such file; built when a text or the vocabulary needs it."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_str(self.raw.decode())
+        made.encode_special_tokens = True
+        return made
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         texts = [f" {t}" for t in texts]
         if not self.fast:
@@ -104,12 +111,8 @@ def encoder(path: str) -> ByteLevel | Pieces:
     return Pieces(raw) if path.endswith(".model") else ByteLevel(raw)
 
 
-def tokenised(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, a, a_ends, b, b_ends): ids of both tokenizers and the byte offsets in space + text at which their tokens end.
-
-    Texts that are null or empty, or that the tokens of either side do not give back byte for byte, have no tokens.
-    """
-    get = shared(docs.sparkSession, (a, b))
+def _encoding(get, key: str):
+    """What a task of tokenised() does with its batches of (key, text). get: gives both encoders."""
 
     def listed(rows: list[np.ndarray]) -> pa.Array:
         at = np.zeros(len(rows) + 1, np.int32)
@@ -138,8 +141,16 @@ def tokenised(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, key
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *columns], names=[key, "a", "a_ends", "b", "b_ends"])
                 i = j
 
-    kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>")
+    return run
+
+
+def tokenised(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, a, a_ends, b, b_ends): ids of both tokenizers and the byte offsets in space + text at which their tokens end.
+
+    Texts that are null or empty, or that the tokens of either side do not give back byte for byte, have no tokens.
+    """
+    run = _encoding(shared(docs.sparkSession, (a, b)), key)
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>")
 
 
 def _written(ids: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,13 +183,8 @@ def _groups(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray
     return groups, pa.array(a[at_a].astype(np.int64) << 32 | b[at_b]), last_a
 
 
-def aligned(tokens: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """tokens with `groups`, array<string> of the groups as `a1,a2|b1`, and `links`, array<long> of a * 2^32 + b of the tokens that
-    end together, one a group, as each border ends one token of either side. No tokens: none.
-
-    Rows are worked on where they lie, about PIECE tokens at once. keep: the columns of tokens that are given back, else all.
-    """
-    keep = tokens.columns if keep is None else keep
+def _aligning(keep: list[str]):
+    """What a task of aligned() does with its batches of tokens."""
     sides = ["a", "a_ends", "b", "b_ends"]
 
     def run(batches):
@@ -198,8 +204,30 @@ def aligned(tokens: DataFrame, keep: list[str] | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.ListArray.from_arrays(rows, groups), pa.ListArray.from_arrays(rows, links)], names=[*keep, "groups", "links"])
                 i = j
 
-    kinds = dict(tokens.dtypes)
-    return tokens.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "groups array<string>, links array<bigint>"]))
+    return run
+
+
+def aligned(tokens: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """tokens with `groups`, array<string> of the groups as `a1,a2|b1`, and `links`, array<long> of a * 2^32 + b of the tokens that
+    end together, one a group, as each border ends one token of either side. No tokens: none.
+
+    Rows are worked on where they lie, about PIECE tokens at once. keep: the columns of tokens that are given back, else all.
+    """
+    keep, kinds = tokens.columns if keep is None else keep, dict(tokens.dtypes)
+    return tokens.mapInArrow(_aligning(keep), ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "groups array<string>, links array<bigint>"]))
+
+
+def aligned_texts(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_a, n_b, groups, links) of docs(key, text): tokenised() and aligned(), one after the other for about PIECE bytes of text in
+    the same worker, so a task holds the tokens of one piece and they never leave it."""
+    encode, align = _encoding(shared(docs.sparkSession, (a, b)), key), _aligning([key, "n_a", "n_b"])
+
+    def run(batches):
+        for part in encode(batches):
+            counts = [pc.list_value_length(part.column(c)).cast(pa.int64()) for c in ("a", "b")]
+            yield from align([pa.RecordBatch.from_arrays([*part.columns, *counts], names=[*part.schema.names, "n_a", "n_b"])])
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_a bigint, n_b bigint, groups array<string>, links array<bigint>")
 
 
 def pair_counts(rows: DataFrame, links: str = "links") -> DataFrame:
@@ -228,8 +256,7 @@ def op12(spark: SparkSession, sf_dir: str, folder: str = FOLDER) -> DataFrame:
     Repeated doc_ids are documents of their own: rows are told apart by a number of the stored table."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n = lambda c: F.size(c).cast("long")
-    tokens = tokenised(docs, encoder(f"{folder}/{BYTE_BPE}"), encoder(f"{folder}/{PIECE_BPE}"))
-    found = aligned(tokens.withColumns({"n_a": n("a"), "n_b": n("b")}), ["doc_id", "n_a", "n_b"])
+    found = aligned_texts(docs, encoder(f"{folder}/{BYTE_BPE}"), encoder(f"{folder}/{PIECE_BPE}"))
     digest = F.when(F.size("groups") > 0, F.sha2(F.array_join("groups", ";").cast("binary"), 256)).otherwise("")
     rows = found.select("doc_id", "n_a", "n_b", n("groups").alias("n_groups"), n("links").alias("n_links"), digest.alias("groups_sha256"), "links")
     rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()))

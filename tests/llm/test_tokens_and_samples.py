@@ -181,6 +181,15 @@ def test_groups_of_a_batch_are_put_together_at_once(spark):
     assert align_tokens.aligned(tokens).columns == [*tokens.columns, "groups", "links"]
 
 
+def test_tokens_never_leave_the_worker_that_aligns_them(spark, tools, odd, monkeypatch):
+    a, b = (align_tokens.encoder(f"{align_tokens.FOLDER}/{f}") for f in (align_tokens.BYTE_BPE, align_tokens.PIECE_BPE))
+    want = align_tokens.aligned(align_tokens.tokenised(odd, a, b)).selectExpr("doc_id", "cast(size(a) as long)", "cast(size(b) as long)", "groups", "links")
+    monkeypatch.setattr(align_tokens, "PIECE", 50)  # texts a few at a time
+    got = align_tokens.aligned_texts(odd, a, b)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
 def test_both_libraries_give_the_same_byte_tokens(tools):
     e = align_tokens.encoder(f"{align_tokens.FOLDER}/{align_tokens.BYTE_BPE}")
     e.build()
