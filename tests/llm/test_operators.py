@@ -503,6 +503,30 @@ def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
     assert 0 < seen[0] < 400 * 200 / 2
 
 
+def test_toxicity_learns_from_every_labelled_row_in_shards(spark, none, monkeypatch):
+    rng = np.random.default_rng(4)
+    filler = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
+    rows = [(i, " ".join([*rng.choice(filler, 20), *(["vilebad"] if i % 3 == 0 else []), *rng.choice(filler, 20)]), "en" if i % 2 else "de", "s", 1) for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")).where("doc_id < 400")
+    for name, most in {"SAMPLE_PER_LABEL": 5, "SAMPLE_BYTES": 1000, "SHARD_ROWS": 100, "FEW_LABELS": 10}.items():
+        monkeypatch.setattr(toxicity, name, most)
+    shards = toxicity._shards(docs, labels, "doc_id").collect()
+    assert len(shards) == 4 and sum(len(r["toxic"]) for r in shards) == 400 and sum(r["toxic"].count(1) for r in shards) == 134
+    assert sum(len(r["words"]) // 2 for r in shards) == 400 * 40 + 134 and 60 < sum(r["held"].count(1) for r in shards) < 140
+    seen, summed = [], toxicity._summed
+    monkeypatch.setattr(toxicity, "_summed", lambda *a: seen.append(summed(*a)) or seen[-1])
+    model = toxicity.fit_whole(docs, labels)
+    trained = sum(r["held"].count(0) for r in shards)
+    assert seen[0]["n"][:2].sum() == trained and seen[-1]["levels"].reshape(-1)[: 2 * 2 * 92].reshape(2, 2, 92)[:, :, -1].sum() == 400 - trained
+    assert seen[0]["=en"].sum() + seen[0]["=de"].sum() == 400 * 40 + 134
+    got = toxicity.score(docs.select("doc_id", "text"), model).where("doc_id >= 400").collect()
+    assert np.mean([(r["doc_id"] % 3 == 0) == bool(r["predicted"]) for r in got]) > 0.97
+    again = toxicity.fit_whole(docs, labels)
+    assert all((again.numbers()[k] == v).all() for k, v in model.numbers().items()) and (again.cuts == model.cuts).all()
+    assert toxicity.score(none, toxicity.fit_whole(none, labels)).count() == 0
+
+
 # --- suffixes ----------------------------------------------------------------------------------------------------------
 def slow_cut(texts):
     seen, out = set(), []
