@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import stored
 from . import enrichment, fusion, retrieval
 
 #: Levels in the order they are tried if the one asked for is missing.
@@ -47,16 +48,22 @@ def enhanced_levels(candidates: DataFrame, k: int = 10, strategy: str = "weighte
     return fusion.fuse(first.select("query_id", "level", "doc_id", "content", "score", "rank"), strategy, -1.0, k)
 
 
+def with_contents(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """ranked(chunk_id, ...) joined with chunks(chunk_id, content). Only chunks that ranked names are shuffled, not all texts."""
+    ranked = stored(ranked)
+    return ranked.join(chunks.join(retrieval.small(ranked.select("chunk_id").distinct()), "chunk_id", "left_semi"), "chunk_id")
+
+
 def contexts(ranked: DataFrame, chunks: DataFrame, k: int = 5, most: int = 2000) -> DataFrame:
     """(query_id, context, n_chunks): the first `most` characters of the first k chunks of each question, in order, a blank line between.
     chunks(chunk_id, content)."""
-    rows = ranked.where(F.col("rank") <= k).join(chunks, "chunk_id").select("query_id", F.struct("rank", "chunk_id", F.substring("content", 1, most).alias("said")).alias("r"))
+    rows = with_contents(ranked.where(F.col("rank") <= k), chunks).select("query_id", F.struct("rank", "chunk_id", F.substring("content", 1, most).alias("said")).alias("r"))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["said"]), "\n\n").alias("context"), F.count("*").alias("n_chunks"))
 
 
 def answers(ranked: DataFrame, chunks: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
     """extractive_answers() from the first k chunks of each question; ranked(query_id, chunk_id, rank), questions(query_id, question)."""
-    found = ranked.where(F.col("rank") <= k).join(chunks, "chunk_id").join(retrieval.small(questions), "query_id")
+    found = with_contents(ranked.where(F.col("rank") <= k), chunks).join(retrieval.small(questions), "query_id")
     return enrichment.extractive_answers(found.select("query_id", "question", "rank", "content"))
 
 

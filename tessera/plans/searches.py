@@ -139,7 +139,7 @@ def _strategies(spark, d):
     for name, (rows, most) in parts.items():
         part = rows.select("query_id", F.lit(name).alias("strategy"), "chunk_id", points(most))
         results = part if results is None else results.unionByName(part)
-    return results.join(_contents(spark, d), "chunk_id").select("query_id", "strategy", F.col("chunk_id").alias("result_id"), "content", "score", L.any_of(F.col("content"), V.ABOUT).alias("by_concept")), tuple(parts)
+    return pipelines.with_contents(results, _contents(spark, d)).select("query_id", "strategy", F.col("chunk_id").alias("result_id"), "content", "score", L.any_of(F.col("content"), V.ABOUT).alias("by_concept")), tuple(parts)
 
 
 @query(f"WITH {ADAPTIVE} SELECT * FROM ad")

@@ -377,3 +377,18 @@ def test_routes_and_levels_on_nothing(spark):
     assert statutes.level_histogram(spark.createDataFrame([], "level string")).where("n = 0").count() == 6
     assert evaluation.rule_measures(spark.createDataFrame([], "query_id long, rank int, relevant boolean"), 5).count() == 0
     assert asking.analysed(spark.createDataFrame([(1, None)], "query_id long, text string")).first()["kind"] == "conceptual"
+
+
+def test_only_texts_that_were_found_are_shuffled(spark):
+    texts = spark.range(2000).select(F.col("id").alias("chunk_id"), F.concat(F.lit("said "), F.repeat(F.lit("x"), 300)).alias("content"))
+    ranked = spark.createDataFrame([(1, 7, 2), (1, 9, 1), (2, 7, 1), (2, 5000, 2)], "query_id long, chunk_id long, rank int")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = pipelines.with_contents(ranked, texts)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "LeftSemi" in plan  # the texts meet the names before they are dealt
+        assert sorted((r.query_id, r.chunk_id, r.rank, r.content[:4]) for r in got.collect()) == [(1, 7, 2, "said"), (1, 9, 1, "said"), (2, 7, 1, "said")]
+        assert [(r.query_id, r.n_chunks) for r in pipelines.contexts(ranked, texts).orderBy("query_id").collect()] == [(1, 2), (2, 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
