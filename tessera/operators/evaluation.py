@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..functions.labels import count_of, hierarchy
 from ..functions.text import chars
+from ..sources import stored
 from .intervals import touching
 from .set_join import small
 
@@ -18,13 +19,13 @@ def overlap_relevance(pairs: DataFrame, share: float = 0.5) -> DataFrame:
     return pairs.withColumn("relevant", F.size(F.array_intersect(q, chars(F.col("content")))) >= share * F.size(q))
 
 
-def precision_recall(ranked: DataFrame, ks: tuple, omega_k: int = 5) -> DataFrame:
-    """(k, precision, recall, omega) of ranked(query_id, rank, relevant, n_relevant): precision divides by k, recall and omega
+def precision_recall(ranked: DataFrame, ks: tuple, omega_k: int = 5, by: tuple = ()) -> DataFrame:
+    """(by, k, precision, recall, omega) of ranked(by, query_id, rank, relevant, n_relevant): precision divides by k, recall and omega
     skip queries without a relevant row."""
-    each = ranked.select("query_id", "rank", "n_relevant", F.col("relevant").cast("int").alias("hit"), F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
-    per = each.groupBy("k", "query_id").agg(F.sum(F.when(F.col("rank") <= F.col("k"), F.col("hit")).otherwise(0)).alias("hits"), F.max("n_relevant").alias("r"))
+    each = ranked.select(*by, "query_id", "rank", "n_relevant", F.col("relevant").cast("int").alias("hit"), F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    per = each.groupBy(*by, "k", "query_id").agg(F.sum(F.when(F.col("rank") <= F.col("k"), F.col("hit")).otherwise(0)).alias("hits"), F.max("n_relevant").alias("r"))
     some = F.col("r") > 0
-    return per.groupBy("k").agg(
+    return per.groupBy(*by, "k").agg(
         F.round(F.avg(F.col("hits") / F.col("k")), 6).alias("precision"),
         F.round(F.avg(F.when(some, F.col("hits") / F.col("r"))), 6).alias("recall"),
         F.round(F.avg(F.when(some, F.least("r", F.lit(omega_k)) / omega_k)), 6).alias("omega"),
@@ -230,7 +231,29 @@ def configuration_score(omega: Column, precision: Column, recall: Column) -> Col
 
 def grid_evaluation(docs: DataFrame, questions: DataFrame, sizes: tuple, ratios: tuple, ks: tuple) -> DataFrame:
     """(chunk_size, overlap_ratio, n_chunks, k, precision, recall, omega): character-overlap measures of a TF-IDF search for questions(item_id, text) over
-    the fixed-size chunks of every configuration. Each configuration has an index of its own in the shared folder."""
+    the fixed-size chunks of every configuration. All configurations are searched in one pass over the texts, unless more frequencies
+    than window_search.TRAVEL are shared by documents."""
+    from . import window_search
+
+    grid = [(size, float(ratio)) for size in sizes for ratio in ratios]
+    cuts = [window_search.fixed(*g) for g in grid]
+    counts = window_search.frequencies(docs, cuts)
+    found = window_search.tfidf(docs, questions, cuts, max(ks), counts)
+    if found is None:
+        return _grid_by_indexes(docs, questions, sizes, ratios, ks)
+    found = stored(found)
+    asked = questions.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("cut") + 1)
+    named = docs.join(small(found.drop("score")), "doc_id").select("cut", "query_id", "rank", F.substr("text", F.col("start") + 1, of([g[0] for g in grid])).alias("content"))
+    judged = overlap_relevance(named.join(small(asked), "query_id"))
+    n = judged.groupBy("cut", "query_id").agg(F.count_if("relevant").alias("n_relevant"))
+    windows = counts.where("term IS NULL").select(F.posexplode(F.array(*[f"n{c}" for c in range(len(cuts))])).alias("cut", "n_chunks"))
+    got = precision_recall(judged.join(n, ["cut", "query_id"]), ks, by=("cut",)).join(F.broadcast(windows), "cut")
+    return got.select(of([g[0] for g in grid]).alias("chunk_size"), of([g[1] for g in grid]).alias("overlap_ratio"), "n_chunks", "k", "precision", "recall", "omega")
+
+
+def _grid_by_indexes(docs: DataFrame, questions: DataFrame, sizes: tuple, ratios: tuple, ks: tuple) -> DataFrame:
+    """grid_evaluation() with an index for each configuration in the shared folder."""
     from . import block_index, chunking, retrieval
 
     asked = questions.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
