@@ -309,19 +309,24 @@ def cited(citation: Column) -> Column:
 
 def citation_search(nodes: DataFrame, citations: DataFrame) -> DataFrame:
     """(query_id, doc_id, place, kind, rank): tree_nodes() that agree with every part that citations(query_id, citation) name; the coarsest first,
-    then by document and place. An equality join on the article where one is named; other citations meet the nodes by their law."""
-    level = {"chapter": "chapter", "section": "section", "article": "article", "paragraph": "paragraph", "subparagraph": "subparagraph", "item": "item"}
+    then by document and place. An equality join on the article where one is named; other citations meet the nodes by their law.
+
+    Nodes are read once, and each of their labels is parsed once, however many nodes bear it. Of either join the citations are the
+    side that travels, if a count shows that they are few: nodes never pass the driver.
+    """
     from ..functions.labels import level_info
 
-    keys = {f"k_{k}": level_info(F.col(k), k)["key"] for k in level}
-    # stored: nodes are read and their labels parsed once, not for either join
-    known = stored(nodes.select("doc_id", "place", "kind", F.replace("law", F.lit(PREFIX), F.lit("")).alias("plain"), *[c.alias(k) for k, c in keys.items()]))
-    asked = citations.select("query_id", cited(F.col("citation")).alias("c"))
+    known = stored(nodes.select("doc_id", "place", "kind", F.replace("law", F.lit(PREFIX), F.lit("")).alias("plain"), *LEVELS))
+    labels = known.select(F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.col(k).alias("label")) for k in LEVELS])).alias("x")).select("x.*").where("label IS NOT NULL").distinct()
+    keys = stored(labels.withColumn("key", F.coalesce(*[F.when(F.col("level") == k, level_info(F.col("label"), k)["key"]) for k in LEVELS])).where("key IS NOT NULL"))
+    for k in LEVELS:
+        known = known.join(small(keys.where(F.col("level") == k).select(F.col("label").alias(k), F.col("key").alias(f"k_{k}"))), k, "left")
+    asked = stored(citations.select("query_id", cited(F.col("citation")).alias("c")))
     ok = F.lit(True)
-    for k in level:
+    for k in LEVELS:
         ok = ok & (F.col(f"c.{k}").isNull() | F.coalesce(F.col(f"k_{k}") == F.col(f"c.{k}"), F.lit(False)))
     ok = ok & (F.col("c.law").isNull() | F.coalesce(F.contains("plain", F.col("c.law")), F.lit(False)))
-    by_article = known.where("k_article IS NOT NULL").join(asked.where("c.article IS NOT NULL").withColumn("k_article", F.col("c.article")), "k_article").where(ok)
+    by_article = known.where("k_article IS NOT NULL").join(small(asked.where("c.article IS NOT NULL").withColumn("k_article", F.col("c.article"))), "k_article").where(ok)
     others = known.join(small(asked.where("c.article IS NULL")), ok)
     found = by_article.select("query_id", "doc_id", "place", "kind").unionByName(others.select("query_id", "doc_id", "place", "kind"))
     order = Window.partitionBy("query_id").orderBy(F.size("place"), "doc_id", "place")

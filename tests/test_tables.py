@@ -39,3 +39,22 @@ def test_keywords_are_ranked_in_their_row_and_numerals_searched_once(spark, tmp_
 def test_citations_read_the_statutes_once(spark):
     plan = catalog.QUERIES["citation_query"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in plan and "rlike" not in plan.lower()
+
+
+def test_citations_travel_to_the_nodes_and_labels_are_parsed_once(spark, monkeypatch):
+    from tessera.functions import labels
+    from tessera.operators import statutes
+
+    names = ["doc_id", "law", *statutes.LEVELS, "kind", "place", "title", "content", "id"]
+    rows = [(i, "法規名稱：民法", "第一章", None, f"第{i % 3 + 1}條", None, None, None, "article", [0, 0, 0, i], None, "", None) for i in range(300)]
+    nodes = spark.createDataFrame(rows, "doc_id long, law string, " + ", ".join(f"{k} string" for k in statutes.LEVELS) + ", kind string, place array<int>, title string, content string, id string").toDF(*names)
+    asked = spark.createDataFrame([(1, "民法第2條"), (2, "第一章"), (3, "刑法")], "query_id long, citation string")
+    seen = []
+    parsed = labels.level_info
+    monkeypatch.setattr(labels, "level_info", lambda label, level: (seen.append(str(label)), parsed(label, level))[1])
+    got = statutes.citation_search(nodes, asked)
+    assert all("label" in s for s in seen)  # not the columns of the nodes
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and "SortMergeJoin" not in plan
+    want = [(1, i) for i in range(300) if i % 3 == 1] + [(2, i) for i in range(300)]
+    assert sorted((r.query_id, r.doc_id) for r in got.collect()) == want
