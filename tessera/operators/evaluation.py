@@ -153,6 +153,15 @@ def character_pool(questions: DataFrame, chunks: DataFrame, share: float = 0.3)
     return c.join(small(q), F.size(F.array_intersect("q", "c")) >= share * F.size("q")).groupBy("query_id").agg(F.count("*").alias("relevant"))
 
 
+def character_pool_of_windows(questions: DataFrame, docs: DataFrame, cut: tuple, share: float = 0.3) -> DataFrame:
+    """character_pool() of the windows of docs(text), which are not cut out one by one: cut as in window_search."""
+    from . import window_search
+
+    q = questions.select("query_id", _characters(F.col("question"), QUESTION_MARKS).alias("q")).where(F.size("q") > 0)
+    held = F.filter("q", lambda c: ~F.contains(F.lit(CHUNK_MARKS), c))
+    return window_search.holding(docs, q.select("query_id", held.alias("characters"), (share * F.size("q")).alias("need")), cut).withColumnRenamed("windows", "relevant")
+
+
 # --- relevance by rules ---------------------------------------------------------------------------------------------------------------
 def rule_points(pairs: DataFrame) -> DataFrame:
     """pairs(query_id, query, expanded, expansion, concepts, content, score, ...) with points and relevant.

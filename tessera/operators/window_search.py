@@ -22,7 +22,7 @@ from .set_join import small
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no package path
 
-#: Characters that a task takes apart at once.
+#: Bytes of text that a task takes apart at once.
 PIECE = 1 << 20
 #: Rows of frequencies that a task sums before it gives them out.
 SUMMED = 500_000
@@ -56,6 +56,25 @@ def kinds(spark) -> np.ndarray:
     return out
 
 
+def _cut_texts(length: np.ndarray, offset: np.ndarray, cut: tuple) -> tuple:
+    """(text, start in it, start and end in the joined texts) of the windows of texts, which begin at offset."""
+    size, step, rest = cut
+    many = np.maximum(0, length - 1 - rest) // step + 1
+    at = np.repeat(np.arange(len(length)), many)
+    start = (np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)) * step
+    return at, start, offset[at] + start, offset[at] + np.minimum(start + size, length[at])
+
+
+def _parts(batch: pa.RecordBatch, column: int):
+    """Slices of a batch with about PIECE bytes of text; a longer text is a slice of its own."""
+    load = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(load, (load[i - 1] if i else 0) + PIECE, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 class Piece:
     """The words of a few texts, and which of them, or parts of them, stand in which window."""
 
@@ -112,13 +131,7 @@ class Piece:
 
     def _windows(self, c: int, plain, rows, n, offset, single, inked):
         """(start and end in the joined texts, row, start in the row's text, index without blank windows, not blank), in their order."""
-        size, step, rest = self.cuts[c]
-        length = n[plain]
-        many = np.maximum(0, length - 1 - rest) // step + 1
-        at = np.repeat(np.arange(len(plain)), many)
-        start = (np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)) * step
-        a = offset[plain][at] + start
-        b = offset[plain][at] + np.minimum(start + size, length[at])
+        at, start, a, b = _cut_texts(n[plain], offset[plain], self.cuts[c])
         row = rows[at]
         if single:
             one = np.array([(s[0], s[2], s[3]) for s in single], np.int64)
@@ -179,13 +192,8 @@ def _strings(joined: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarr
 def _pieces(batches, kind, cuts):
     """(keys, Piece) of batches(doc_id, text, odd)."""
     for batch in batches:
-        load = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
-        i = 0
-        while i < batch.num_rows:
-            j = max(i + 1, int(np.searchsorted(load, (load[i - 1] if i else 0) + PIECE, "right")))
-            part = batch.slice(i, j - i)
+        for part in _parts(batch, 1):
             yield part.column(0), Piece(part.column(1).to_pylist(), part.column(2).to_pylist(), kind, cuts)
-            i = j
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -373,3 +381,38 @@ def tfidf(docs: DataFrame, queries: DataFrame, cuts: list[tuple], k: int = 10, c
     for p in range(1, parts):
         found = found.unionByName(stored(one(p)))
     return retrieval.top(found, ["cut", "query_id"], k, retrieval.KEYS).withColumn("score", F.round("score", 6))
+
+
+def holding(docs: DataFrame, asked: DataFrame, cut: tuple) -> DataFrame:
+    """(query_id, windows): how many windows of docs(text) hold at least `need`, over 0, of the characters of asked(query_id, characters, need); no row
+    for none. Questions are a small stated set. Of a window it is told once which of their characters it has; a task gives its counts."""
+    told = asked.select("query_id", "characters", F.col("need").cast("double").alias("need")).toArrow()
+    lists = told.column("characters").to_pylist()
+    place = {c: i for i, c in enumerate(sorted({c for x in lists for c in x}))}
+    column = np.full(0x110000, len(place), np.int32)
+    column[[ord(c) for c in place]] = np.arange(len(place))
+    of = np.zeros((len(place) + 1, len(lists)), np.float32)
+    for i, x in enumerate(lists):
+        of[[place[c] for c in x], i] = 1
+    shared = docs.sparkSession.sparkContext.broadcast((column, of, told.column("need").to_numpy(), told.column("query_id").to_numpy()))
+
+    def run(batches):
+        column, of, need, ids = shared.value
+        width, hits = len(of), np.zeros(len(ids), np.int64)
+        for batch in batches:
+            for part in _parts(batch, 0):
+                texts = [t for t in part.column(0).to_pylist() if t]
+                n = np.array([len(t) for t in texts], np.int64)
+                held = column[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+                _, _, a, b = _cut_texts(n, np.cumsum(n) - n, cut)
+                step = max(1, 8 * CELLS // max(width, len(ids)))
+                for i in range(0, len(a), step):
+                    begin, size = a[i : i + step], (b - a)[i : i + step]
+                    at = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+                    has = np.zeros(len(size) * width, np.float32)
+                    has[np.repeat(np.arange(len(size)) * width, size) + held[at]] = 1
+                    hits += (has.reshape(-1, width) @ of >= need).sum(axis=0)
+        some = np.flatnonzero(hits)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(hits[some])], names=["query_id", "windows"])
+
+    return docs.select("text").mapInArrow(run, "query_id long, windows long").groupBy("query_id").agg(F.sum("windows").alias("windows"))

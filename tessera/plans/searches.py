@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import values as V
 from ..functions.text import words
-from ..operators import asking, evaluation, fusion, gold, graph, pipelines, retrieval
+from ..operators import asking, evaluation, fusion, gold, graph, pipelines, retrieval, window_search
 from ..sources import stored, table
 from .corpus import LC, LQ, any_of, chunks, count_of, joined, questions
 from .labels import ANALYSED, ASKED, CONCEPT_VALUES, FOUND, REASONED, found
-from .queries import ANSWER, DENSE, LEVEL, LEVELLED, PAIRED, RATIOS, SENTENCES, SIZES, SLIDING, SPANS, TFIDF, TOKENS, WEIGHT, _charset, _chunks, _docs, _levelled, _queries, _sides, _spans, _with_contents, query
+from .queries import ANSWER, DENSE, LEVEL, LEVELLED, PAIRED, RATIOS, SENTENCES, SIZES, SLIDING, SPANS, TFIDF, TOKENS, WEIGHT, _charset, _chunks, _docs, _levelled, _queries, _sides, _spans, _tfidf, _with_contents, query
 
 HIERARCHY = "CASE WHEN regexp_matches(content, '第[ \\t\\n\\r]*[0-9]+[ \\t\\n\\r]*條') THEN 'article' WHEN regexp_matches(content, '第[ \\t\\n\\r]*[0-9]+[ \\t\\n\\r]*[節章]') THEN 'section' WHEN regexp_matches(content, '總則|附則') THEN 'chapter' WHEN regexp_matches(content, '條文|規定|權利|義務|禁止|處罰') THEN 'article' ELSE 'general' END"
 DENSE100 = f"{DENSE}, av AS (SELECT query_id, vec_id AS chunk_id, score AS vec, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM cosine) WHERE rank <= 100)"
@@ -228,8 +228,9 @@ QC, CC = (f"list_distinct(list_filter(string_split(translate({{0}}, '{marks}', '
 cset AS (SELECT {CC.format('content')} AS c FROM chunks), po AS (SELECT query_id, count(*) AS relevant FROM qs, cset WHERE len(q) > 0 AND len(list_intersect(q, c)) >= 0.3::DOUBLE * len(q) GROUP BY 1)
 SELECT query_id, round(count(*) FILTER (rank <= 5 AND share >= 0.5) / count(*) FILTER (rank <= 5), 6) AS "precision", round(count(*) FILTER (share >= 0.3) / count(*), 6) AS omega, round(coalesce(count(*) FILTER (rank <= 5 AND share >= 0.3) / any_value(relevant), 0), 6) AS recall FROM j LEFT JOIN po USING (query_id) GROUP BY query_id""")
 def character_metrics(spark, d):
-    ranked = _with_contents(spark, d, retrieval.tfidf(_chunks(spark, d), table(spark, d, "benchmark")))
-    pool = evaluation.character_pool(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), _chunks(spark, d))
+    ranked = _with_contents(spark, d, _tfidf(spark, d))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    pool = evaluation.character_pool_of_windows(asked, _docs(spark, d), window_search.sliding())
     return evaluation.character_measures(ranked, pool, 5)
 
 

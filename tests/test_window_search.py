@@ -72,3 +72,15 @@ def test_terms_are_compared_after_their_hash():
     assert known.counts[known.find(names), 0].tolist() == list(range(1000))
     known.hashes[:] = np.sort(window_search._hash(pa.array(["other"] * 1000), known.seed))
     assert (known.find(pa.array(["other", "w"])) == -1).all()
+
+
+def test_characters_of_windows_against_windows_cut_one_by_one(tables, spark, monkeypatch):
+    docs, asked = tables
+    monkeypatch.setattr(window_search, "PIECE", 400)
+    monkeypatch.setattr(window_search, "CELLS", 9)
+    questions = asked.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")).unionByName(spark.createDataFrame([(7, "？，"), (8, "，；著 作a😀"), (9, "ß")], "query_id long, question string"))
+    for c in ((50, 5), (40, 28)):
+        want = evaluation.character_pool(questions, chunking.sliding_stop(docs, *c)).collect()
+        got = evaluation.character_pool_of_windows(questions, docs, window_search.sliding(*c))
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 3
