@@ -123,3 +123,45 @@ def test_adaptive_of_nulls(spark):
     )
     got = {(r["query_id"], r["result_id"]): (r["score"], r["strategies"], r["rank"]) for r in fusion.adaptive(queries, results, ("hybrid_rag", "vector_search", "semantic_search")).collect()}
     assert got == {(1, 7): (0.9, 1, 1), (2, 8): (0.5, 1, 1), (3, 9): (0.495, 2, 1)}
+
+
+def test_paths_are_walked_in_tasks_without_shuffling_paths(spark, monkeypatch):
+    import random
+
+    from tessera.operators import enrichment
+
+    rng = random.Random(8)
+    names = [f"n{i}" for i in range(14)] + ["é", "重製"]
+    rows = sorted({(rng.choice(names), rng.choice(names)) for _ in range(70)})
+    weight = {e: rng.choice((1.0, 0.5, 1 / 128, 1 / 3, 0.0000005)) for e in rows}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in weight.items()] + [("n1", None, 1.0)], "src string, dst string, confidence double")
+    starts = spark.createDataFrame([("n1",), ("n2",), ("é",), ("alone",), (None,)], "concept string")
+
+    def walk(path, most):
+        for a, b in rows:
+            if a == path[-1] and b not in path and len(path) <= most:
+                yield [*path, b]
+                yield from walk([*path, b], most)
+
+    for most in (1, 3, 4):
+        want = sorted((s, ">".join(p), len(p) - 1) for s in ("n1", "n2", "é") for p in walk([s], most))
+        with monkeypatch.context() as m:
+            m.setattr(enrichment, "EDGES", 0)
+            joined = sorted(map(tuple, enrichment.paths(edges, starts, most).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(enrichment, "ROWS", 5)
+            got = enrichment.paths(edges, starts, most)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(tuple, got.collect())) == joined and plan.count("Join") <= 1
+        assert [r[:3] for r in joined] == want
+    assert enrichment.paths(edges.where("false"), starts).count() == 0 and enrichment.paths(edges, starts.where("false")).count() == 0
+
+
+def test_numbers_are_rounded_as_spark_rounds_them(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from tessera.operators.enrichment import rounded
+
+    x = [0.0, 1.0, 1 / 128, 3 / 128, 0.0000005, 0.1234565, 0.12345649999999999, 2 / 3, -1 / 128, 1234.5678905, *np.random.default_rng(1).random(200).tolist(), *[(1 / a + 1 / b) / 2 for a in range(1, 65) for b in (1, 64)]]
+    want = [r.v for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").orderBy("i").select(F.round("x", 6).alias("v")).collect()]
+    assert rounded(np.array(x)).tolist() == want
