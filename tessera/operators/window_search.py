@@ -23,13 +23,13 @@ from .set_join import small
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no package path
 
 #: Bytes of text that a task takes apart at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Rows of frequencies that a task sums before it gives them out.
-SUMMED = 500_000
+SUMMED = 200_000
 #: Frequencies (terms of two documents or more, times ways of cutting) that travel to the tasks, about 8 bytes each.
 TRAVEL = 32_000_000
 #: Pairs of window and query that are scored at once.
-CELLS = 500_000
+CELLS = 125_000
 #: Characters whose lower case depends on what stands around them, or is longer: windows of such texts are lowered one by one.
 ODD = "İΣ"
 _NULL = -(1 << 63)
@@ -218,7 +218,7 @@ def frequencies(docs: DataFrame, cuts: list[tuple]) -> DataFrame:
         for _, piece in _pieces(batches, shared.value, cuts):
             windows += [int(w[5].sum()) for w in piece.windows]
             ns = [np.bincount(piece.counts(c)[1], minlength=len(piece.names)) for c in range(len(cuts))]
-            held.append(pa.table([piece.names, pa.array(1 + piece.several), *[pa.array(n.astype(np.int64)) for n in ns]], names=["term", "seen", *names]))
+            held.append(pa.table([piece.names, pa.array(1 + piece.several), *[pa.array(n.astype(np.int32)) for n in ns]], names=["term", "seen", *names]))
             rows += len(piece.names)
             if rows > SUMMED:
                 held = [summed()]
@@ -405,7 +405,7 @@ def holding(docs: DataFrame, asked: DataFrame, cut: tuple) -> DataFrame:
                 n = np.array([len(t) for t in texts], np.int64)
                 held = column[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
                 _, _, a, b = _cut_texts(n, np.cumsum(n) - n, cut)
-                step = max(1, 8 * CELLS // max(width, len(ids)))
+                step = max(1, 32 * CELLS // max(width, len(ids)))
                 for i in range(0, len(a), step):
                     begin, size = a[i : i + step], (b - a)[i : i + step]
                     at = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
